@@ -63,3 +63,110 @@ def index_summary(spark, sf_dir):
 def index_mark_processed_outcomes(spark, sf_dir):
     """PLN-1 with mark_processed: only inserts take the flag."""
     return _index(spark, sf_dir, mark_processed=True).outcomes
+
+
+# ------------------------------------------------------------ column jobs
+from .functions import dates as D  # noqa: E402
+from .functions import metadata as M  # noqa: E402
+from .functions import names as N  # noqa: E402
+from .functions import tags as TG  # noqa: E402
+from .fixtures import LIB_ROOT  # noqa: E402
+
+
+@register("media_names")
+def media_names(spark, sf_dir):
+    """FLT-1..3, COL-1, COL-2, COL-17: name parts, support, class and conversion class."""
+    fx = fixtures(spark, sf_dir)
+    df = N.with_names(fx.media_files.select("path", "audio_codec"))
+    return df.select(
+        "path",
+        "dir",
+        "name",
+        "ext",
+        "stem",
+        N.is_supported(F.col("ext")).alias("supported"),
+        N.media_class(F.col("ext")).alias("media_class"),
+        N.is_live_video(F.col("ext")).alias("live_video"),
+        N.is_live_image(F.col("ext")).alias("live_image"),
+        N.compound_base(F.col("path")).alias("compound_base"),
+        N.compound_ext(F.col("path")).alias("compound_ext"),
+        N.is_mixed_case(F.col("ext")).alias("mixed_case_ext"),
+        N.conversion_class(F.col("ext"), F.col("audio_codec")).alias("conversion"),
+    )
+
+
+@register("created_dates")
+def created_dates(spark, sf_dir):
+    """COL-4..6: date from file name, from directory path, and the inferred date."""
+    fx = fixtures(spark, sf_dir)
+    df = D.with_dates(fx.media_files.select("path"), AS_OF_YEAR)
+    return df.select(
+        "path",
+        D.format_date(F.col("name_date")).alias("name_date"),
+        D.format_date(F.col("path_date")).alias("path_date"),
+        D.format_date(F.col("created_date")).alias("created_date"),
+    )
+
+
+@register("metadata_fields")
+def metadata_fields(spark, sf_dir):
+    """SRC-4, COL-7..12: typed metadata projection and derived fields."""
+    fx = fixtures(spark, sf_dir)
+    df = M.with_metadata(fx.media_meta)
+    return df.select(
+        "path",
+        "meta_ok",
+        "meta_ext",
+        "meta_date_string",
+        D.format_date(F.col("meta_date")).alias("meta_date"),
+        "validate_errors",
+        "validate_warnings",
+        "dng_newer",
+        "content_id",
+        F.to_json(F.col("subjects")).alias("subjects"),
+    )
+
+
+@register("mime_targets")
+def mime_targets(spark, sf_dir):
+    """COL-3: rename target when the metadata file type disagrees with the extension."""
+    fx = fixtures(spark, sf_dir)
+    meta = M.parse_metadata(fx.media_meta).select("path", F.col(M.column_name("File:FileTypeExtension")).alias("meta_ext"))
+    df = fx.media_files.select("path").join(meta, "path", "left")
+    return df.select("path", "meta_ext", N.mime_target(F.col("path"), F.col("meta_ext")).alias("target"))
+
+
+@register("backup_names")
+def backup_names(spark, sf_dir):
+    """COL-18: backup name parts of a backup listing."""
+    fx = fixtures(spark, sf_dir)
+    parts = N.backup_parts(F.col("path"))
+    return fx.backup_listing.select("path", *[c.alias(k) for k, c in parts.items()])
+
+
+@register("feed_checksums")
+def feed_checksums(spark, sf_dir):
+    """COL-13: feed checksum (base64) to lowercase SHA-1 hex."""
+    fx = fixtures(spark, sf_dir)
+    return fx.trash_pages.select("id", "checksum", TG.checksum_to_hex(F.col("checksum")).alias("sha1_hex"))
+
+
+EXPLICIT_TAGS = "family, trip,,family "
+
+
+@register("import_tags")
+def import_tags(spark, sf_dir):
+    """COL-14, COL-15: path tags below the library root plus explicit tags,
+    merged into the existing subjects when the file type is tag-writable."""
+    fx = fixtures(spark, sf_dir)
+    meta = M.with_metadata(fx.media_meta).select("path", "subjects", "meta_ext")
+    df = fx.media_files.select("path").join(meta, "path", "left")
+    writable = N.is_tag_writable(F.concat(F.lit("."), F.coalesce(F.col("meta_ext"), F.lit(""))))
+    explicit = F.array(*[F.lit(t) for t in TG.explicit_tags(EXPLICIT_TAGS)]).cast("array<string>")
+    new = F.concat(TG.path_tags(F.col("path"), LIB_ROOT), explicit)
+    merged = TG.merge_tags(F.col("subjects"), new, writable)
+    return df.select(
+        "path",
+        F.to_json(F.array_sort(TG.path_tags(F.col("path"), LIB_ROOT))).alias("path_tags"),
+        F.to_json(F.array_sort(merged)).alias("tags"),
+    )

@@ -60,58 +60,137 @@ def _with_compact_time(date: Column, y, m, d, digits: Column) -> Column:
     return F.when(date.isNotNull(), F.coalesce(timed, date))
 
 
-def date_from_filename(name) -> Column:
-    """COL-4: timestamp_ntz parsed from a file name, or null."""
-    n = _c(name)
-
-    # rule 1: YYYYMMDD[_HHMMSS...]
-    c8 = F.regexp_extract(n, FILENAME_COMPACT, 1)
-    y1, m1, d1 = F.substring(c8, 1, 4), F.substring(c8, 5, 2), F.substring(c8, 7, 2)
-    date1 = F.when(c8 != "", _ts(y1, m1, d1))
-    r1 = _with_compact_time(date1, y1, m1, d1, F.regexp_extract(n, FILENAME_COMPACT, 2))
-
-    # rule 2: YYYY-MM-DD[_HHMMSS | -HH-MM-SS | at H.MM.SS AM/PM]
-    g = [F.regexp_extract(n, FILENAME_HYPHEN, i) for i in range(12)]
-    date2 = F.when(g[1] != "", _ts(g[1], g[2], g[3]))
-    compact2 = _with_compact_time(date2, g[1], g[2], g[3], g[4])
-    h5, m6, s7 = _int(g[5]), _int(g[6]), _int(g[7])
-    dashed2 = F.coalesce(F.when(_hms_ok(h5, m6, s7), _ts(g[1], g[2], g[3], h5, m6, s7)), date2)
-    h12, mins, secs = _int(g[8]), _int(g[9]), _int(g[10])
-    pm = F.upper(g[11]) == "PM"
-    h24 = F.when(h12 == 12, F.when(pm, F.lit(12)).otherwise(F.lit(0))).otherwise(
-        F.when(pm, h12 + 12).otherwise(h12)
-    )
-    ok12 = (h12 >= 1) & (h12 <= 12) & (mins <= 59) & (secs <= 59)
-    dotted2 = F.coalesce(F.when(ok12, _ts(g[1], g[2], g[3], h24, mins, secs)), date2)
-    r2 = F.when(date2.isNotNull(), F.when(g[4] != "", compact2).when(g[5] != "", dashed2).when(g[8] != "", dotted2).otherwise(date2))
-
-    # rule 3: YYYY_MM_DD[_HHMMSS...]
-    u = [F.regexp_extract(n, FILENAME_UNDERSCORE, i) for i in range(5)]
-    date3 = F.when(u[1] != "", _ts(u[1], u[2], u[3]))
-    r3 = _with_compact_time(date3, u[1], u[2], u[3], u[4])
+# Each rule is written as stages: regex groups -> integers -> candidate
+# timestamps -> choice. A stage reads the previous ones through ``g``; in a
+# DataFrame job every stage is its own projection, so a value used many
+# times is computed once and the generated code stays small.
+
+
+def _filename_stages(name: Column):
+    def groups(g):
+        out = {"c8": F.regexp_extract(name, FILENAME_COMPACT, 1), "t1": F.regexp_extract(name, FILENAME_COMPACT, 2)}
+        for i, k in enumerate(["y2", "m2", "d2", "t2", "h2", "mi2", "s2", "h12", "m12", "s12", "ap"], start=1):
+            out[k] = F.regexp_extract(name, FILENAME_HYPHEN, i)
+        for i, k in enumerate(["y3", "m3", "d3", "t3"], start=1):
+            out[k] = F.regexp_extract(name, FILENAME_UNDERSCORE, i)
+        for i, k in enumerate(["y4", "m4", "d4"], start=1):
+            out[k] = F.regexp_extract(name, FILENAME_SPACE, i)
+        return out
+
+    def ints(g):
+        out = {}
+        for tag, y, m, d, t in (
+            ("1", F.substring(g("c8"), 1, 4), F.substring(g("c8"), 5, 2), F.substring(g("c8"), 7, 2), g("t1")),
+            ("2", g("y2"), g("m2"), g("d2"), g("t2")),
+            ("3", g("y3"), g("m3"), g("d3"), g("t3")),
+        ):
+            out["iy" + tag], out["im" + tag], out["id" + tag] = _int(y), _int(m), _int(d)
+            out["th" + tag] = _int(F.substring(t, 1, 2))
+            out["tm" + tag] = _int(F.substring(t, 3, 2))
+            out["ts" + tag] = _int(F.substring(t, 5, 2))
+        out["iy4"], out["im4"], out["id4"] = _int(g("y4")), _int(g("m4")), _int(g("d4"))
+        out["dh2"], out["dm2"], out["ds2"] = _int(g("h2")), _int(g("mi2")), _int(g("s2"))
+        h12 = _int(g("h12"))
+        pm = F.upper(g("ap")) == "PM"
+        out["ph2"] = F.when(h12 == 12, F.when(pm, F.lit(12)).otherwise(F.lit(0))).otherwise(
+            F.when(pm, h12 + 12).otherwise(h12)
+        )
+        out["ok12"] = (h12 >= 1) & (h12 <= 12) & (_int(g("m12")) <= 59) & (_int(g("s12")) <= 59)
+        out["pm2"], out["ps2"] = _int(g("m12")), _int(g("s12"))
+        return out
+
+    def candidates(g):
+        out = {}
+        for tag, present in (("1", g("c8") != ""), ("2", g("y2") != ""), ("3", g("y3") != ""), ("4", g("y4") != "")):
+            y, m, d = g("iy" + tag), g("im" + tag), g("id" + tag)
+            out["date" + tag] = F.when(present & (y >= 1), F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0)))
+        for tag in ("1", "2", "3"):
+            y, m, d = g("iy" + tag), g("im" + tag), g("id" + tag)
+            hh, mi, ss = g("th" + tag), g("tm" + tag), g("ts" + tag)
+            t = g("t" + tag)
+            out["timed" + tag] = F.when(
+                (t != "") & (y >= 1) & _hms_ok(hh, mi, ss), F.try_make_timestamp_ntz(y, m, d, hh, mi, ss)
+            )
+        y, m, d = g("iy2"), g("im2"), g("id2")
+        out["dashed2"] = F.when(
+            (y >= 1) & _hms_ok(g("dh2"), g("dm2"), g("ds2")), F.try_make_timestamp_ntz(y, m, d, g("dh2"), g("dm2"), g("ds2"))
+        )
+        out["dotted2"] = F.when((y >= 1) & g("ok12"), F.try_make_timestamp_ntz(y, m, d, g("ph2"), g("pm2"), g("ps2")))
+        return out
+
+    def choice(g):
+        r1 = F.when(g("date1").isNotNull(), F.coalesce(g("timed1"), g("date1")))
+        d2 = g("date2")
+        r2 = F.when(
+            d2.isNotNull(),
+            F.when(g("t2") != "", F.coalesce(g("timed2"), d2))
+            .when(g("h2") != "", F.coalesce(g("dashed2"), d2))
+            .when(g("h12") != "", F.coalesce(g("dotted2"), d2))
+            .otherwise(d2),
+        )
+        r3 = F.when(g("date3").isNotNull(), F.coalesce(g("timed3"), g("date3")))
+        return {"value": F.coalesce(r1, r2, r3, g("date4"))}
+
+    return [groups, ints, candidates, choice]
+
+
+def _path_stages(p: Column, as_of_year: int):
+    def groups(g):
+        out = {}
+        for rx, tag in ((PATH_HYPHEN, "h"), (PATH_UNDERSCORE, "u"), (PATH_YEAR_MONTH_DAY, "s")):
+            for i, k in enumerate("ymd", start=1):
+                out[k + tag] = _int(F.regexp_extract(p, rx, i))
+        c8 = F.regexp_extract(p, PATH_COMPACT, 1)
+        out["yc"], out["mc"], out["dc"] = _int(F.substring(c8, 1, 4)), _int(F.substring(c8, 5, 2)), _int(F.substring(c8, 7, 2))
+        out["yo"] = _int(F.regexp_extract(p, PATH_YEAR_ONLY, 1))
+        return out
+
+    def choice(g):
+        def ts(tag):
+            y = g("y" + tag)
+            return F.when(y >= 1, F.try_make_timestamp_ntz(y, g("m" + tag), g("d" + tag), F.lit(0), F.lit(0), F.lit(0)))
+
+        yo = g("yo")
+        return {
+            "value": F.coalesce(
+                ts("h"),
+                ts("u"),
+                ts("c"),
+                ts("s"),
+                F.when(
+                    (yo >= MIN_VALID_YEAR) & (yo <= as_of_year),
+                    F.try_make_timestamp_ntz(yo, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
+                ),
+            )
+        }
+
+    return [groups, choice]
+
+
+def _compose(stages) -> Column:
+    env: dict[str, Column] = {}
+    for st in stages:
+        env.update(st(env.__getitem__))
+    return env["value"]
+
+
+def _staged(df, stages, prefix: str, out: str):
+    made: list[str] = []
+    for st in stages:
+        cols = st(lambda k: F.col(prefix + k))
+        df = df.withColumns({prefix + k: v for k, v in cols.items()})
+        made += [prefix + k for k in cols]
+    return df.withColumn(out, F.col(prefix + "value")).drop(*made)
 
-    # rule 4: YYYY MM DD
-    s = [F.regexp_extract(n, FILENAME_SPACE, i) for i in range(4)]
-    r4 = F.when(s[1] != "", _ts(s[1], s[2], s[3]))
 
-    return F.coalesce(r1, r2, r3, r4)
+def date_from_filename(name) -> Column:
+    """COL-4: timestamp_ntz parsed from a file name, or null."""
+    return _compose(_filename_stages(_c(name)))
 
 
 def date_from_path(path, as_of_year: int) -> Column:
     """COL-5: timestamp_ntz from a directory segment of the path, or null."""
-    p = _c(path)
-    hy = [F.regexp_extract(p, PATH_HYPHEN, i) for i in range(4)]
-    un = [F.regexp_extract(p, PATH_UNDERSCORE, i) for i in range(4)]
-    cp = F.regexp_extract(p, PATH_COMPACT, 1)
-    ymd = [F.regexp_extract(p, PATH_YEAR_MONTH_DAY, i) for i in range(4)]
-    yo = _int(F.regexp_extract(p, PATH_YEAR_ONLY, 1))
-    return F.coalesce(
-        F.when(hy[1] != "", _ts(hy[1], hy[2], hy[3])),
-        F.when(un[1] != "", _ts(un[1], un[2], un[3])),
-        F.when(cp != "", _ts(F.substring(cp, 1, 4), F.substring(cp, 5, 2), F.substring(cp, 7, 2))),
-        F.when(ymd[1] != "", _ts(ymd[1], ymd[2], ymd[3])),
-        F.when((yo >= MIN_VALID_YEAR) & (yo <= as_of_year), F.try_make_timestamp_ntz(yo, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))),
-    )
+    return _compose(_path_stages(_c(path), as_of_year))
 
 
 def is_valid_year(ts: Column, as_of_year: int) -> Column:
@@ -137,15 +216,14 @@ def format_date(ts) -> Column:
 
 
 def with_dates(df, as_of_year: int, path: str = "path"):
-    """Whole-table job: add name_date, path_date and created_date."""
+    """Whole-table job: add name_date, path_date and created_date, one small
+    projection per stage."""
     p = F.col(path)
-    return (
-        df.withColumn("name_date", date_from_filename(F.substring_index(p, "/", -1)))
-        .withColumn("path_date", date_from_path(p, as_of_year))
-        .withColumn(
-            "created_date",
-            F.when(is_valid_year(F.col("name_date"), as_of_year), F.col("name_date")).when(
-                is_valid_year(F.col("path_date"), as_of_year), F.col("path_date")
-            ),
-        )
+    df = _staged(df, _filename_stages(F.substring_index(p, "/", -1)), "_dn_", "name_date")
+    df = _staged(df, _path_stages(p, as_of_year), "_dp_", "path_date")
+    return df.withColumn(
+        "created_date",
+        F.when(is_valid_year(F.col("name_date"), as_of_year), F.col("name_date")).when(
+            is_valid_year(F.col("path_date"), as_of_year), F.col("path_date")
+        ),
     )

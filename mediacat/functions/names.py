@@ -157,5 +157,6 @@ def backup_parts(path) -> dict[str, Column]:
         "is_backup": is_backup,
         "is_numbered": p.rlike(r"\.bak\d+\z"),
         "base": F.when(is_backup, F.regexp_replace(p, BACKUP_REGEX, "")),
-        "backup_key": F.when(is_backup, F.coalesce(F.try_to_number(F.when(digits != "", digits), F.lit("9999999999")).cast("bigint"), F.lit(0).cast("bigint"))),
+        # '.bak' sorts as 0, '.bakN' as N (digits beyond bigint range stay null)
+        "backup_key": F.when(is_backup, F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))),
     }

@@ -8,6 +8,8 @@ helpers beyond the fixed extension lists).
 
 from __future__ import annotations
 
+import re
+
 from .fixtures import AS_OF_YEAR, duckdb_with
 from .functions import names as N
 
@@ -29,7 +31,12 @@ def supported(col: str) -> str:
     return f"lower({ext(col)}) IN {SUPPORTED}"
 
 
+_STRUCT_FIELD = re.compile(r"\b(_[a-z][a-z0-9]*)\.([a-z][a-z0-9]*)\b")
+
+
 def add(name: str, views: list[str], body: str) -> None:
+    # lateral struct aliases are addressed as _alias['field'] in DuckDB
+    body = _STRUCT_FIELD.sub(lambda m: f"{m.group(1)}['{m.group(2)}']", body)
     ORACLE[name] = duckdb_with(views, body)
 
 
@@ -121,3 +128,283 @@ SELECT count(*) AS total,
 FROM allrows
 """,
 )
+
+
+# ------------------------------------------------------------ column jobs
+from .functions import dates as DT  # noqa: E402
+from .functions import metadata as MD  # noqa: E402
+
+
+def q(s: str) -> str:
+    """SQL string literal (DuckDB keeps backslashes literally)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def rx(p: str) -> str:
+    return q(p.replace(r"\z", "$"))
+
+
+def dts(y, m, d, hh="'00'", mi="'00'", ss="'00'") -> str:
+    return (
+        f"(CASE WHEN TRY_CAST({y} AS INTEGER) >= 1 THEN try_strptime({y} || '-' || {m} || '-' || {d} || ' ' || "
+        f"{hh} || ':' || {mi} || ':' || {ss}, '%Y-%m-%d %H:%M:%S') END)"
+    )
+
+
+def tfmt(ts: str) -> str:
+    return f"strftime({ts}, '%Y:%m:%d %H:%M:%S')"
+
+
+def date_columns(path: str = "path", as_of: int = AS_OF_YEAR) -> str:
+    """Select-list (DuckDB lateral aliases) computing name_date_ts,
+    path_date_ts and created_ts for ``path``."""
+    nm = f"regexp_extract({path}, '([^/]*)$', 1)"
+    p1, p2, p3, p4 = (rx(DT.FILENAME_COMPACT), rx(DT.FILENAME_HYPHEN), rx(DT.FILENAME_UNDERSCORE), rx(DT.FILENAME_SPACE))
+
+    def ctime(date, y, m, d, t):
+        return (
+            f"CASE WHEN {date} IS NOT NULL THEN coalesce(CASE WHEN {t} <> '' THEN "
+            f"{dts(y, m, d, f'substr({t},1,2)', f'substr({t},3,2)', f'substr({t},5,2)')} END, {date}) END"
+        )
+
+    cols = [
+        f"regexp_extract({nm}, {p1}, ['c8','t']) AS _g1",
+        f"CASE WHEN _g1.c8 <> '' THEN {dts('substr(_g1.c8,1,4)', 'substr(_g1.c8,5,2)', 'substr(_g1.c8,7,2)')} END AS _d1",
+        ctime("_d1", "substr(_g1.c8,1,4)", "substr(_g1.c8,5,2)", "substr(_g1.c8,7,2)", "_g1.t") + " AS _r1",
+        f"regexp_extract({nm}, {p2}, ['y','m','d','t','h','mi','s','h12','m12','s12','ap']) AS _g2",
+        f"CASE WHEN _g2.y <> '' THEN {dts('_g2.y', '_g2.m', '_g2.d')} END AS _d2",
+        "TRY_CAST(_g2.h12 AS INTEGER) AS _h12",
+        "CASE WHEN _h12 = 12 THEN (CASE WHEN upper(_g2.ap) = 'PM' THEN 12 ELSE 0 END) "
+        "ELSE (CASE WHEN upper(_g2.ap) = 'PM' THEN _h12 + 12 ELSE _h12 END) END AS _h24",
+        "CASE WHEN _d2 IS NULL THEN NULL "
+        f"WHEN _g2.t <> '' THEN {ctime('_d2', '_g2.y', '_g2.m', '_g2.d', '_g2.t')} "
+        f"WHEN _g2.h <> '' THEN coalesce({dts('_g2.y', '_g2.m', '_g2.d', '_g2.h', '_g2.mi', '_g2.s')}, _d2) "
+        "WHEN _g2.h12 <> '' THEN coalesce(CASE WHEN _h12 BETWEEN 1 AND 12 THEN "
+        f"{dts('_g2.y', '_g2.m', '_g2.d', 'lpad(CAST(_h24 AS VARCHAR),2,chr(48))', '_g2.m12', '_g2.s12')} END, _d2) "
+        "ELSE _d2 END AS _r2",
+        f"regexp_extract({nm}, {p3}, ['y','m','d','t']) AS _g3",
+        f"CASE WHEN _g3.y <> '' THEN {dts('_g3.y', '_g3.m', '_g3.d')} END AS _d3",
+        ctime("_d3", "_g3.y", "_g3.m", "_g3.d", "_g3.t") + " AS _r3",
+        f"regexp_extract({nm}, {p4}, ['y','m','d']) AS _g4",
+        f"CASE WHEN _g4.y <> '' THEN {dts('_g4.y', '_g4.m', '_g4.d')} END AS _r4",
+        "coalesce(_r1, _r2, _r3, _r4) AS name_date_ts",
+        f"regexp_extract({path}, {rx(DT.PATH_HYPHEN)}, ['y','m','d']) AS _p1",
+        f"regexp_extract({path}, {rx(DT.PATH_UNDERSCORE)}, ['y','m','d']) AS _p2",
+        f"regexp_extract({path}, {rx(DT.PATH_COMPACT)}, 1) AS _p3",
+        f"regexp_extract({path}, {rx(DT.PATH_YEAR_MONTH_DAY)}, ['y','m','d']) AS _p4",
+        f"TRY_CAST(regexp_extract({path}, {rx(DT.PATH_YEAR_ONLY)}, 1) AS INTEGER) AS _p5",
+        "coalesce("
+        f"CASE WHEN _p1.y <> '' THEN {dts('_p1.y', '_p1.m', '_p1.d')} END, "
+        f"CASE WHEN _p2.y <> '' THEN {dts('_p2.y', '_p2.m', '_p2.d')} END, "
+        f"CASE WHEN _p3 <> '' THEN {dts('substr(_p3,1,4)', 'substr(_p3,5,2)', 'substr(_p3,7,2)')} END, "
+        f"CASE WHEN _p4.y <> '' THEN {dts('_p4.y', '_p4.m', '_p4.d')} END, "
+        f"CASE WHEN _p5 BETWEEN 1900 AND {as_of} THEN make_timestamp(_p5, 1, 1, 0, 0, 0) END) AS path_date_ts",
+        f"CASE WHEN year(name_date_ts) BETWEEN 1900 AND {as_of} THEN name_date_ts "
+        f"WHEN year(path_date_ts) BETWEEN 1900 AND {as_of} THEN path_date_ts END AS created_ts",
+    ]
+    return ",\n ".join(cols)
+
+
+add(
+    "created_dates",
+    ["media_files"],
+    f"""
+SELECT path, {tfmt('name_date_ts')} AS name_date, {tfmt('path_date_ts')} AS path_date, {tfmt('created_ts')} AS created_date
+FROM (SELECT path, {date_columns()} FROM media_files) x
+""",
+)
+
+
+def jget(doc: str, key: str) -> str:
+    return f"json_extract_string({doc}, {q('$.' + chr(34) + key + chr(34))})"
+
+
+def _ws_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def validation_sql(v: str) -> tuple[str, str]:
+    clause = _ws_trim(f"regexp_replace({_ws_trim('c')}, '(?s)\\(.*$', '')")
+    cnt = f"TRY_CAST(regexp_extract({clause}, '^([0-9]+) ', 1) AS INTEGER)"
+    noun = f"lower({_ws_trim(f'regexp_extract({clause}, {q(chr(40) + "?s" + chr(41) + "^[0-9]+ (.*)$")}, 1)')})"
+    e = f"CASE WHEN {cnt} IS NOT NULL AND starts_with({noun}, 'error') THEN {cnt} ELSE 0 END"
+    w = f"CASE WHEN {cnt} IS NOT NULL AND NOT starts_with({noun}, 'error') AND starts_with({noun}, 'warning') THEN {cnt} ELSE 0 END"
+    parts = f"string_split(coalesce({v}, ''), ',')"
+    return (
+        f"CAST(coalesce(list_sum(list_transform({parts}, lambda c: {e})), 0) AS INTEGER)",
+        f"CAST(coalesce(list_sum(list_transform({parts}, lambda c: {w})), 0) AS INTEGER)",
+    )
+
+
+META_DATE_STRING_SQL = """CASE
+ WHEN coalesce(exif_dto,'') <> '' THEN exif_dto
+ WHEN coalesce(exif_cd,'') <> '' THEN exif_cd
+ WHEN coalesce(xmp_cd,'') <> '' THEN xmp_cd
+ WHEN coalesce(qt_cd,'') <> '' AND qt_cd <> '0000:00:00 00:00:00' THEN qt_cd
+ WHEN coalesce(h264,'') <> '' THEN h264
+ WHEN coalesce(asf,'') <> '' AND NOT starts_with(asf, '0000:') THEN asf
+ WHEN coalesce(riff,'') <> '' THEN riff END"""
+
+
+def meta_columns(doc: str = "meta_json") -> str:
+    j = f"regexp_replace({doc}, '^[\\s\\[]+|[\\s\\]]+$', '', 'g')"
+    errors, warnings = validation_sql("validate")
+    dng = "dngv"
+    cols = [
+        f"{j} AS _j",
+        "json_valid(_j) AND _j <> '' AND starts_with(_j, '{') AS meta_ok",
+        f"{jget('_j', 'File:FileTypeExtension')} AS meta_ext",
+        f"{jget('_j', 'EXIF:DateTimeOriginal')} AS exif_dto",
+        f"{jget('_j', 'EXIF:CreateDate')} AS exif_cd",
+        f"{jget('_j', 'XMP:CreateDate')} AS xmp_cd",
+        f"{jget('_j', 'QuickTime:CreateDate')} AS qt_cd",
+        f"{jget('_j', 'H264:DateTimeOriginal')} AS h264",
+        f"{jget('_j', 'ASF:CreationDate')} AS asf",
+        f"{jget('_j', 'RIFF:DateTimeOriginal')} AS riff",
+        f"{jget('_j', 'ExifTool:Validate')} AS validate",
+        f"{jget('_j', 'EXIF:DNGVersion')} AS dngv",
+        f"{jget('_j', 'XMP:Subject')} AS subject_raw",
+        f"coalesce({jget('_j', 'QuickTime:ContentIdentifier')}, {jget('_j', 'MakerNotes:ContentIdentifier')}) AS content_id",
+        f"{META_DATE_STRING_SQL} AS meta_date_string",
+        "regexp_extract(meta_date_string, '^(\\d{4}):(\\d{2}):(\\d{2}) (\\d{2}):(\\d{2}):(\\d{2})$', ['y','m','d','h','mi','s']) AS _md",
+        f"CASE WHEN _md.y <> '' THEN {dts('_md.y', '_md.m', '_md.d', '_md.h', '_md.mi', '_md.s')} END AS meta_date_ts",
+        f"{errors} AS validate_errors",
+        f"{warnings} AS validate_warnings",
+        f"coalesce(regexp_matches({dng}, '(?s)^([0-9]+)\\.([0-9]+)(\\..*)?$') AND ("
+        f"TRY_CAST(regexp_extract({dng}, '^([0-9]+)\\.', 1) AS INTEGER) > 1 OR "
+        f"(TRY_CAST(regexp_extract({dng}, '^([0-9]+)\\.', 1) AS INTEGER) = 1 AND "
+        f"TRY_CAST(regexp_extract({dng}, '^[0-9]+\\.([0-9]+)', 1) AS INTEGER) > 4)), false) AS dng_newer",
+        "CASE WHEN subject_raw IS NULL THEN NULL WHEN starts_with(subject_raw, '[') "
+        "THEN from_json(subject_raw, '[\"VARCHAR\"]') ELSE [subject_raw] END AS subjects",
+    ]
+    return ",\n ".join(cols)
+
+
+add(
+    "metadata_fields",
+    ["media_meta"],
+    f"""
+SELECT path, meta_ok, meta_ext, meta_date_string, {tfmt('meta_date_ts')} AS meta_date, validate_errors,
+ validate_warnings, dng_newer, content_id, CAST(to_json(subjects) AS VARCHAR) AS subjects
+FROM (SELECT path, {meta_columns()} FROM media_meta) x
+""",
+)
+
+_EXTS = "|".join(e[1:] for e in N.SUPPORTED_EXTENSIONS)
+COMPOUND = "'^(.*?)((?:\\.(?i:" + _EXTS + "))+)$'"
+
+
+def name_sql(path: str) -> str:
+    return f"regexp_extract({path}, '([^/]*)$', 1)"
+
+
+def compound_base_sql(path: str) -> str:
+    nm = name_sql(path)
+    return (
+        f"CASE WHEN regexp_matches({nm}, {COMPOUND}) THEN (CASE WHEN contains({path}, '/') THEN "
+        f"regexp_extract({path}, '^(.*)/', 1) || '/' || regexp_extract({nm}, {COMPOUND}, 1) "
+        f"ELSE regexp_extract({nm}, {COMPOUND}, 1) END) ELSE {path} END"
+    )
+
+
+def compound_ext_sql(path: str) -> str:
+    return f"regexp_extract({name_sql(path)}, {COMPOUND}, 2)"
+
+
+add(
+    "media_names",
+    ["media_files"],
+    f"""
+SELECT path, regexp_extract(path, '^(.*)/', 1) AS dir, {name_sql('path')} AS name, {ext('path')} AS ext,
+ CASE WHEN contains({name_sql('path')}, '.') THEN regexp_extract({name_sql('path')}, '^(.*)\\.[^.]*$', 1)
+      ELSE {name_sql('path')} END AS stem,
+ lower({ext('path')}) IN {SUPPORTED} AS supported,
+ CASE WHEN lower({ext('path')}) NOT IN {SUPPORTED} THEN NULL
+      WHEN lower({ext('path')}) IN {_lst(N.RAW_EXTENSIONS)} THEN 'raw'
+      WHEN lower({ext('path')}) IN {_lst(N.VIDEO_EXTENSIONS)} THEN 'video' ELSE 'image' END AS media_class,
+ lower({ext('path')}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)} AS live_video,
+ lower({ext('path')}) IN {_lst(N.LIVE_IMAGE_EXTENSIONS)} AS live_image,
+ {compound_base_sql('path')} AS compound_base,
+ {compound_ext_sql('path')} AS compound_ext,
+ regexp_matches({ext('path')}, '\\p{{Ll}}') AND regexp_matches({ext('path')}, '\\p{{Lu}}') AS mixed_case_ext,
+ CASE WHEN lower({ext('path')}) IN {_lst(N.REMUX_EXTENSIONS)} THEN 'remux'
+      WHEN lower({ext('path')}) IN {_lst(N.REENCODE_EXTENSIONS)} THEN 'reencode'
+      WHEN lower({ext('path')}) IN {_lst(N.REENCODE_AUDIO_EXTENSIONS)} AND starts_with(lower(coalesce(audio_codec,'')), 'pcm')
+      THEN 'reencode_audio' END AS conversion
+FROM media_files
+""",
+)
+
+
+def mime_target_sql(path: str, meta_ext: str) -> str:
+    return (
+        f"CASE WHEN {meta_ext} IS NOT NULL AND {meta_ext} <> '' AND lower('.' || {meta_ext}) IN {SUPPORTED} "
+        f"AND lower('.' || {meta_ext}) <> lower({compound_ext_sql(path)}) "
+        f"THEN {compound_base_sql(path)} || '.' || lower({meta_ext}) END"
+    )
+
+
+add(
+    "mime_targets",
+    ["media_files", "media_meta"],
+    f"""
+SELECT f.path, m.meta_ext, {mime_target_sql('f.path', 'm.meta_ext')} AS target
+FROM media_files f LEFT JOIN (SELECT path, {jget('meta_json', 'File:FileTypeExtension')} AS meta_ext FROM media_meta) m
+ON f.path = m.path
+""",
+)
+
+add(
+    "backup_names",
+    ["backup_listing"],
+    """
+SELECT path, regexp_matches(path, '\\.bak(\\d*)$') AS is_backup, regexp_matches(path, '\\.bak\\d+$') AS is_numbered,
+ CASE WHEN regexp_matches(path, '\\.bak(\\d*)$') THEN regexp_replace(path, '\\.bak(\\d*)$', '') END AS base,
+ CASE WHEN regexp_matches(path, '\\.bak(\\d*)$') THEN
+   CASE WHEN regexp_extract(path, '\\.bak(\\d*)$', 1) = '' THEN CAST(0 AS BIGINT)
+        ELSE TRY_CAST(regexp_extract(path, '\\.bak(\\d*)$', 1) AS BIGINT) END END AS backup_key
+FROM backup_listing
+""",
+)
+
+
+def checksum_sql(c: str) -> str:
+    t = _ws_trim(c)
+    return (
+        f"CASE WHEN regexp_matches({t}, '^[A-Za-z0-9+/]*={{0,2}}$') AND length({t}) % 4 = 0 AND {t} <> '' "
+        f"AND octet_length(try(from_base64({t}))) = 20 THEN lower(hex(from_base64({t}))) END"
+    )
+
+
+add(
+    "feed_checksums",
+    ["trash_pages"],
+    f"SELECT id, checksum, {checksum_sql('checksum')} AS sha1_hex FROM trash_pages",
+)
+
+
+def path_tags_sql(path: str, root: str) -> str:
+    d = f"regexp_extract({path}, '^(.*)/', 1)"
+    rel = f"CASE WHEN starts_with({d}, '{root}/') THEN substr({d}, {len(root) + 2}) ELSE '' END"
+    return f"list_filter(list_transform(string_split({rel}, '/'), lambda x: {_ws_trim('x')}), lambda x: x <> '')"
+
+
+def import_tags_sql():
+    from .catalog import EXPLICIT_TAGS
+    from .fixtures import LIB_ROOT
+    from .functions.tags import explicit_tags
+
+    explicit = "[" + ",".join(q(t) for t in explicit_tags(EXPLICIT_TAGS)) + "]::VARCHAR[]"
+    writable = f"lower('.' || coalesce(meta_ext, '')) IN {_lst(N.TAG_WRITABLE_EXTENSIONS)}"
+    newt = f"CASE WHEN {writable} THEN list_concat({path_tags_sql('f.path', LIB_ROOT)}, {explicit}) ELSE []::VARCHAR[] END"
+    return f"""
+SELECT path, CAST(to_json(list_sort({path_tags_sql('path', LIB_ROOT)})) AS VARCHAR) AS path_tags,
+ CAST(to_json(list_sort(list_concat(
+   list_filter(coalesce(subjects, []::VARCHAR[]), lambda x: NOT list_contains(nt, x)),
+   list_distinct(nt)))) AS VARCHAR) AS tags
+FROM (SELECT f.path, m.subjects, m.meta_ext, {newt} AS nt
+      FROM media_files f LEFT JOIN (SELECT path, {meta_columns()} FROM media_meta) m ON f.path = m.path) x
+"""
+
+
+add("import_tags", ["media_files", "media_meta"], import_tags_sql())
