@@ -170,3 +170,80 @@ def import_tags(spark, sf_dir):
         F.to_json(F.array_sort(TG.path_tags(F.col("path"), LIB_ROOT))).alias("path_tags"),
         F.to_json(F.array_sort(merged)).alias("tags"),
     )
+
+
+# ------------------------------------------------------------ import
+from .operators.membership import flag_member  # noqa: E402
+from .operators.naming import unique_names  # noqa: E402
+from .operators.ranking import first_in_group  # noqa: E402
+from .plans.import_plan import ImportOptions, import_run  # noqa: E402
+
+
+def _import(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    opts = ImportOptions(as_of_year=AS_OF_YEAR, date_path=True, tag_root=LIB_ROOT, tags=EXPLICIT_TAGS)
+    return import_run(
+        _listing(fx),
+        fx.media_meta,
+        led.table_hasher(_hashes(fx)),
+        opts,
+        import_ledger=fx.import_ledger,
+        skip_ledger=fx.skip_ledger,
+        trash=fx.trash,
+        existing=fx.existing_dest,
+    )
+
+
+@register("import_plan")
+def import_plan(spark, sf_dir):
+    """PLN-2: per-source outcome, unique destination, created date and tags."""
+    return _import(spark, sf_dir).plan
+
+
+@register("import_summary")
+def import_summary(spark, sf_dir):
+    """AGG-1 over PLN-2."""
+    return run_summary(_import(spark, sf_dir).plan, "import", "outcome")
+
+
+@register("import_ledger_next")
+def import_ledger_next(spark, sf_dir):
+    """PLN-2 + MUT-1/2: import ledger after the run (keyed by source path)."""
+    return _import(spark, sf_dir).ledger
+
+
+@register("trash_membership")
+def trash_membership(spark, sf_dir):
+    """JN-2: files whose sha1 is in the trash set."""
+    fx = fixtures(spark, sf_dir)
+    return flag_member(_hashes(fx), fx.trash, "sha1", "sha1", "in_trash").select("path", "in_trash")
+
+
+@register("skip_membership")
+def skip_membership(spark, sf_dir):
+    """JN-3: files whose sha256 is in the skip ledger."""
+    fx = fixtures(spark, sf_dir)
+    return flag_member(_hashes(fx), fx.skip_ledger, "sha256", "sha256", "in_skip").select("path", "in_skip")
+
+
+@register("import_ledger_membership")
+def import_ledger_membership(spark, sf_dir):
+    """JN-4: files whose sha256 occurs anywhere in the import ledger."""
+    fx = fixtures(spark, sf_dir)
+    return flag_member(_hashes(fx), fx.import_ledger, "sha256", "sha256", "in_ledger").select("path", "in_ledger")
+
+
+@register("first_copy")
+def first_copy(spark, sf_dir):
+    """WIN-4: the first file (by path) of each content hash wins."""
+    fx = fixtures(spark, sf_dir)
+    return first_in_group(_hashes(fx), ["sha256"], "path", "is_first").select("path", "sha256", "is_first")
+
+
+@register("unique_destinations")
+def unique_destinations(spark, sf_dir):
+    """WIN-3: every file asks for 2019/03/04/<name>; free names are kept,
+    the rest get the smallest free _K suffix."""
+    fx = fixtures(spark, sf_dir)
+    req = fx.media_files.select("path", F.concat(F.lit("2019/03/04/"), N.name_of(F.col("path"))).alias("dest"))
+    return unique_names(req, fx.existing_dest, "dest", "path").select("path", "dest", "final_dest")

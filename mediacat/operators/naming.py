@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import dir_of, name_of
+from .materialize import materialize
 from .ranking import group_ordinal, group_running_sums
 
 SUFFIXED_STEM = r"^(.*)_([1-9][0-9]{0,17})\z"
@@ -46,8 +47,8 @@ def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "dest
     ``order_col`` must be unique per request; it decides who keeps a name.
     ``existing`` holds the names already present (column ``path``).
     """
-    req = requests.select(F.col(order_col).alias("_id"), F.col(name_col).alias("_name"))
-    ex = existing.select(F.col("path").alias("_name")).distinct()
+    req = materialize(requests.select(F.col(order_col).alias("_id"), F.col(name_col).alias("_name")))
+    ex = materialize(existing.select(F.col("path").alias("_name")).distinct())
 
     # rank requests per name; existing rows sort first so a running count
     # of them says whether the name is already taken
@@ -64,7 +65,9 @@ def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "dest
     ranked = ranked.withColumn("_j", j)
 
     has_dir, d, stem, ext = _split(F.col("_name"))
-    ranked = ranked.withColumn("_hd", has_dir).withColumn("_d", d).withColumn("_s", stem).withColumn("_e", ext)
+    ranked = materialize(
+        ranked.withColumn("_hd", has_dir).withColumn("_d", d).withColumn("_s", stem).withColumn("_e", ext)
+    )
     need = ranked.filter(F.col("_j") >= 1)
     keep = ranked.filter(F.col("_j") < 1).withColumn("_final", F.col("_name"))
 

@@ -408,3 +408,137 @@ FROM (SELECT f.path, m.subjects, m.meta_ext, {newt} AS nt
 
 
 add("import_tags", ["media_files", "media_meta"], import_tags_sql())
+
+
+# ------------------------------------------------------------ import
+def unique_names_sql(req: str, existing: str) -> str:
+    """CTE text (leading comma) computing un(path, dest, final_dest) by brute
+    force: enumerate candidate suffixes per name and take the j-th free."""
+    nm = "regexp_extract(dest, '([^/]*)$', 1)"
+    return f"""
+, _ureq AS (SELECT path, dest, row_number() OVER (PARTITION BY dest ORDER BY path) AS rnk FROM {req}),
+_uex AS (SELECT DISTINCT path FROM {existing}),
+_utaken AS (SELECT path AS name FROM _uex UNION SELECT dest FROM {req}),
+_ugrp AS (
+  SELECT dest, count(*) AS n, bool_or(dest IN (SELECT path FROM _uex)) AS ex,
+   regexp_extract(dest, '^(.*)/', 1) AS d, contains(dest, '/') AS hd,
+   regexp_extract(any_value({nm}), '(\\.[^.]+)$', 1) AS e,
+   CASE WHEN contains(any_value({nm}), '.') THEN regexp_extract(any_value({nm}), '^(.*)\\.[^.]*$', 1) ELSE any_value({nm}) END AS st
+  FROM _ureq GROUP BY dest),
+_ucand AS (
+  SELECT g.dest, t.k,
+   CASE WHEN g.hd THEN g.d || '/' ELSE '' END || g.st || '_' || CAST(t.k AS VARCHAR) || g.e AS cname
+  FROM _ugrp g, range(1, (SELECT count(*) FROM _utaken) + 2 + (SELECT max(n) FROM _ugrp)) t(k)
+  WHERE t.k <= g.n + (SELECT count(*) FROM _utaken) + 1),
+_ufree AS (
+  SELECT dest, cname, row_number() OVER (PARTITION BY dest ORDER BY k) AS fidx
+  FROM _ucand WHERE cname NOT IN (SELECT name FROM _utaken)),
+un AS (
+  SELECT r.path, r.dest,
+   CASE WHEN NOT g.ex AND r.rnk = 1 THEN r.dest ELSE fr.cname END AS final_dest
+  FROM _ureq r JOIN _ugrp g ON r.dest = g.dest
+  LEFT JOIN _ufree fr ON fr.dest = r.dest AND fr.fidx = (CASE WHEN g.ex THEN r.rnk ELSE r.rnk - 1 END))
+"""
+
+
+add(
+    "unique_destinations",
+    ["media_files", "existing_dest"],
+    ", reqs AS (SELECT path, '2019/03/04/' || regexp_extract(path, '([^/]*)$', 1) AS dest FROM media_files)"
+    + unique_names_sql("reqs", "existing_dest")
+    + "SELECT path, dest, final_dest FROM un",
+)
+
+add(
+    "first_copy",
+    ["media_files"],
+    "SELECT path, sha256, path = min(path) OVER (PARTITION BY sha256) AS is_first FROM media_files",
+)
+add(
+    "trash_membership",
+    ["media_files", "trash"],
+    "SELECT path, sha1 IN (SELECT sha1 FROM trash) AS in_trash FROM media_files",
+)
+add(
+    "skip_membership",
+    ["media_files", "skip_ledger"],
+    "SELECT path, sha256 IN (SELECT sha256 FROM skip_ledger) AS in_skip FROM media_files",
+)
+add(
+    "import_ledger_membership",
+    ["media_files", "import_ledger"],
+    "SELECT path, sha256 IN (SELECT sha256 FROM import_ledger) AS in_ledger FROM media_files",
+)
+
+
+def _import_ctes() -> str:
+    from .catalog import EXPLICIT_TAGS
+    from .fixtures import LIB_ROOT
+    from .functions.tags import explicit_tags
+
+    explicit = "[" + ",".join(q(t) for t in explicit_tags(EXPLICIT_TAGS)) + "]::VARCHAR[]"
+    writable = f"lower('.' || coalesce(meta_ext, '')) IN {_lst(N.TAG_WRITABLE_EXTENSIONS)}"
+    return f"""
+, f AS (
+  SELECT mf.path, mf.file_size, mf.mtime_ticks,
+   CASE WHEN il.path IS NOT NULL AND il.file_size = mf.file_size AND il.mtime_ticks = mf.mtime_ticks THEN il.sha256 ELSE mf.sha256 END AS sha256,
+   CASE WHEN il.path IS NOT NULL AND il.file_size = mf.file_size AND il.mtime_ticks = mf.mtime_ticks THEN il.sha1 ELSE mf.sha1 END AS sha1
+  FROM media_files mf LEFT JOIN import_ledger il ON il.path = mf.path
+  WHERE {supported('mf.path')}),
+m AS (SELECT path, {meta_columns()} FROM media_meta),
+s AS (
+  SELECT f.*, m.meta_ext, m.meta_date_string, m.meta_date_ts,
+   CASE WHEN f.sha1 IN (SELECT sha1 FROM trash) THEN 'TrashedUpstream'
+        WHEN f.sha256 IN (SELECT sha256 FROM skip_ledger) THEN 'SkippedBySkipDb'
+        WHEN f.sha256 IN (SELECT sha256 FROM import_ledger) THEN 'Skipped'
+        WHEN NOT coalesce(m.meta_ok, false) THEN 'Failed'
+        WHEN m.validate_errors > 0 THEN 'Invalid' ELSE 'Imported' END AS o1
+  FROM f LEFT JOIN m ON f.path = m.path),
+s2 AS (
+  SELECT *, CASE WHEN o1 = 'Imported' AND path <> min(path) OVER (PARTITION BY sha256, o1) THEN 'Skipped' ELSE o1 END AS outcome
+  FROM s),
+imp AS (
+  SELECT path, sha256, sha1, file_size, mtime_ticks, meta_ext,
+   coalesce(CASE WHEN meta_date_string IS NULL THEN created_ts END, meta_date_ts, TIMESTAMP '0001-01-01 00:00:00') AS dt
+  FROM (SELECT *, {date_columns('path')} FROM s2 WHERE outcome = 'Imported') x),
+imp2 AS (
+  SELECT *, strftime(dt, '%Y/%m/%d') || '/' || regexp_extract(path, '([^/]*)$', 1) AS dest,
+   CASE WHEN {writable} THEN list_concat({path_tags_sql('path', LIB_ROOT)}, {explicit}) ELSE []::VARCHAR[] END AS applied
+  FROM imp)
+{unique_names_sql('imp2', 'existing_dest')}
+, plan AS (
+  SELECT i.path, 'Imported' AS outcome, u.final_dest AS dest, {tfmt('i.dt')} AS created,
+   CAST(to_json(list_sort(i.applied)) AS VARCHAR) AS tags
+  FROM imp2 i JOIN un u ON u.path = i.path
+  UNION ALL
+  SELECT path, outcome, NULL, NULL, NULL FROM s2 WHERE outcome <> 'Imported'
+  UNION ALL
+  SELECT path, 'Ignored', NULL, NULL, NULL FROM media_files WHERE NOT ({supported('path')}))
+"""
+
+
+_IMPORT_VIEWS = ["media_files", "media_meta", "import_ledger", "skip_ledger", "trash", "existing_dest"]
+add("import_plan", _IMPORT_VIEWS, _import_ctes() + "SELECT * FROM plan")
+add(
+    "import_summary",
+    _IMPORT_VIEWS,
+    _import_ctes()
+    + """
+SELECT count(*) AS total, count_if(outcome = 'Imported') AS n_imported, count_if(outcome = 'Ignored') AS n_ignored,
+ count_if(outcome = 'Skipped') AS n_skipped, count_if(outcome = 'SkippedBySkipDb') AS n_skipped_by_skip_db,
+ count_if(outcome = 'TrashedUpstream') AS n_trashed_upstream, count_if(outcome = 'Invalid') AS n_invalid,
+ count_if(outcome = 'Failed') AS n_failed,
+ CASE WHEN count_if(outcome = 'Invalid') > 0 OR count_if(outcome = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+FROM plan
+""",
+)
+add(
+    "import_ledger_next",
+    _IMPORT_VIEWS,
+    _import_ctes()
+    + """
+SELECT path, sha256, sha1, file_size, mtime_ticks, false AS is_processed FROM imp
+UNION ALL
+SELECT path, sha256, sha1, file_size, mtime_ticks, is_processed FROM import_ledger WHERE path NOT IN (SELECT path FROM imp)
+""",
+)
