@@ -247,3 +247,58 @@ def unique_destinations(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     req = fx.media_files.select("path", F.concat(F.lit("2019/03/04/"), N.name_of(F.col("path"))).alias("dest"))
     return unique_names(req, fx.existing_dest, "dest", "path").select("path", "dest", "final_dest")
+
+
+# ------------------------------------------------------------ trash feed
+from .plans.trash_sync import trash_sync, visited_pages  # noqa: E402
+from .sources.trash_feed import parse_feed_pages  # noqa: E402
+
+
+def _landed_pages(fx) -> DataFrame:
+    """Stand-in for landed feed responses: one JSON document per page built
+    from the flattened fixture rows (input staging only)."""
+    tp = fx.trash_pages
+    item = F.struct(
+        F.col("id").alias("id"),
+        F.col("checksum").alias("checksum"),
+        F.col("original_file_name").alias("originalFileName"),
+        F.col("is_trashed").alias("isTrashed"),
+    )
+    per_page = tp.groupBy("page").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), item.alias("v")))).alias("kv"),
+        F.min("next_page").alias("next_page"),
+    )
+    body = F.to_json(
+        F.struct(F.struct(F.transform("kv", lambda x: x["v"]).alias("items"), F.col("next_page").alias("nextPage")).alias("assets"))
+    )
+    return per_page.select("page", body.alias("body"))
+
+
+@register("feed_items")
+def feed_items(spark, sf_dir):
+    """SRC-5: landed feed page documents parsed and exploded into assets."""
+    fx = fixtures(spark, sf_dir)
+    return parse_feed_pages(_landed_pages(fx)).select(
+        "page", "next_page", "id", "checksum", "original_file_name", "is_trashed"
+    )
+
+
+@register("trash_pages_visited")
+def trash_pages_visited(spark, sf_dir):
+    """PLN-7 pagination: pages reached by following next_page from page 1."""
+    fx = fixtures(spark, sf_dir)
+    return visited_pages(fx.trash_pages)
+
+
+@register("trash_sync_set")
+def trash_sync_set(spark, sf_dir):
+    """PLN-7 + MUT-6: trash set after folding in the feed."""
+    fx = fixtures(spark, sf_dir)
+    return trash_sync(fx.trash_pages, fx.trash).trash
+
+
+@register("trash_sync_totals")
+def trash_sync_totals(spark, sf_dir):
+    """AGG-3: fetched, inserted, total, partial flag and run status."""
+    fx = fixtures(spark, sf_dir)
+    return trash_sync(fx.trash_pages, fx.trash).totals

@@ -542,3 +542,49 @@ UNION ALL
 SELECT path, sha256, sha1, file_size, mtime_ticks, is_processed FROM import_ledger WHERE path NOT IN (SELECT path FROM imp)
 """,
 )
+
+
+# ------------------------------------------------------------ trash feed
+add(
+    "feed_items",
+    ["trash_pages"],
+    "SELECT page, next_page, id, checksum, original_file_name, is_trashed FROM trash_pages",
+)
+
+_TRASH_CTES = f"""
+, pt AS (
+  SELECT page, min(next_page) AS next_page FROM trash_pages GROUP BY page),
+pt2 AS (
+  SELECT page, next_page,
+   CASE WHEN TRY_CAST(next_page AS INTEGER) > page THEN CAST(TRY_CAST(next_page AS INTEGER) AS BIGINT) END AS nxt
+  FROM pt),
+chain AS (
+  WITH RECURSIVE c(page) AS (
+    SELECT page FROM pt2 WHERE page = 1
+    UNION ALL
+    SELECT p2.page FROM c JOIN pt2 p1 ON p1.page = c.page JOIN pt2 p2 ON p2.page = p1.nxt)
+  SELECT DISTINCT page FROM c),
+items AS (SELECT t.*, {checksum_sql('t.checksum')} AS hex FROM trash_pages t WHERE t.page IN (SELECT page FROM chain)),
+firsts AS (
+  SELECT hex AS sha1, arg_min(original_file_name, (page, id)) AS original_file_name
+  FROM items WHERE coalesce(is_trashed, false) AND hex IS NOT NULL GROUP BY hex),
+added AS (SELECT * FROM firsts WHERE sha1 NOT IN (SELECT sha1 FROM trash)),
+after AS (SELECT sha1, original_file_name FROM trash UNION ALL SELECT sha1, original_file_name FROM added)
+"""
+
+add("trash_pages_visited", ["trash_pages"], _TRASH_CTES + "SELECT page FROM chain")
+add("trash_sync_set", ["trash_pages", "trash"], _TRASH_CTES + "SELECT * FROM after")
+add(
+    "trash_sync_totals",
+    ["trash_pages", "trash"],
+    _TRASH_CTES
+    + """
+, lastp AS (SELECT max(page) AS last_page FROM chain),
+st AS (SELECT l.last_page, CASE WHEN p.page IS NULL THEN NULL WHEN p.next_page IS NULL THEN 'end'
+        WHEN p.nxt IS NULL THEN 'bad' END AS stop FROM lastp l LEFT JOIN pt2 p ON p.page = l.last_page)
+SELECT (SELECT count(*) FROM items) AS fetched, (SELECT count(*) FROM added) AS inserted,
+ (SELECT count(*) FROM after) AS total, coalesce(stop = 'bad', false) AS partial, last_page,
+ CASE WHEN stop = 'bad' THEN 2 ELSE 0 END AS run_status
+FROM st
+""",
+)
