@@ -302,3 +302,78 @@ def trash_sync_totals(spark, sf_dir):
     """AGG-3: fetched, inserted, total, partial flag and run status."""
     fx = fixtures(spark, sf_dir)
     return trash_sync(fx.trash_pages, fx.trash).totals
+
+
+# ------------------------------------------------------------ process
+from .operators.groups import case_conflicts, live_photo_pairs, stem_waves  # noqa: E402
+from .plans.process import ProcessOptions, next_backup_names, process_run  # noqa: E402
+
+
+def _probe(fx) -> DataFrame:
+    return fx.media_files.select("path", "duration_s", "audio_codec")
+
+
+def _process(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return process_run(
+        _listing(fx),
+        fx.media_meta,
+        _probe(fx),
+        ProcessOptions(),
+        ledger=fx.ledger,
+        trash=fx.trash,
+        hasher=led.table_hasher(_hashes(fx)),
+    )
+
+
+@register("case_conflicts")
+def case_conflicts_q(spark, sf_dir):
+    """WIN-1: paths equal ignoring case and their conflict-free new names."""
+    return case_conflicts(_listing(fixtures(spark, sf_dir)))
+
+
+@register("stem_waves")
+def stem_waves_q(spark, sf_dir):
+    """WIN-2: wave of each file among media files sharing dir+stem (ignoring case)."""
+    return stem_waves(_listing(fixtures(spark, sf_dir)))
+
+
+@register("live_photo_pairs")
+def live_photo_pairs_q(spark, sf_dir):
+    """JN-5: live videos and their first existing companion image."""
+    fx = fixtures(spark, sf_dir)
+    return live_photo_pairs(_listing(fx), _listing(fx))
+
+
+@register("next_backup_names")
+def next_backup_names_q(spark, sf_dir):
+    """WIN-6: next free backup name for every original file of the backup listing."""
+    fx = fixtures(spark, sf_dir)
+    bl = fx.backup_listing
+    originals = bl.filter(~F.col("path").rlike(r"\.bak(\d*)\z") & ~F.col("path").endswith(".bak.out"))
+    return next_backup_names(originals, bl)
+
+
+@register("process_plan")
+def process_plan(spark, sf_dir):
+    """PLN-3 + PLN-4: the clean-up plan, iterated until no file re-enters."""
+    return _process(spark, sf_dir).plan
+
+
+@register("process_summary")
+def process_summary(spark, sf_dir):
+    """AGG-1 over the final outcome of every file of the process plan."""
+    plan = _process(spark, sf_dir).plan
+    final = plan.filter(F.col("outcome") != "Reprocess")
+    # a file that was renamed or converted counts as modified
+    touched = plan.filter(F.col("outcome") == "Reprocess").select("origin").distinct().withColumn("_m", F.lit(True))
+    final = final.join(touched, "origin", "left").withColumn(
+        "outcome", F.when(F.col("_m") & (F.col("outcome") == "Success"), F.lit("Modified")).otherwise(F.col("outcome"))
+    )
+    return run_summary(final, "process", "outcome")
+
+
+@register("process_ledger")
+def process_ledger(spark, sf_dir):
+    """PLN-3 ledger effects: index, trash deletes removed, finished files marked processed."""
+    return _process(spark, sf_dir).ledger

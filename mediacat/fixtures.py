@@ -236,19 +236,29 @@ class Fixtures:
         if name.startswith("_") or name not in _VIEW_SQL:
             raise AttributeError(name)
         if name not in self._frames:
-            # Views are analysed eagerly, so each DataFrame keeps the plan of
-            # the temp views registered right now (re-registration for another
-            # directory later does not change it).
-            for dep in _closure([name]):
-                if dep in self._frames:
-                    self._frames[dep].createOrReplaceTempView(dep)
-            self.table("documents").createOrReplaceTempView("documents")
             for dep in _closure([name]):
                 if dep not in self._frames:
-                    self._frames[dep] = self.spark.sql(_VIEW_SQL[dep])
-                self._frames[dep].createOrReplaceTempView(dep)
+                    self._frames[dep] = self._stage(dep)
         return self._frames[name]
 
+    def _stage(self, name: str) -> DataFrame:
+        """Build one view from the driver table and the views it uses, and
+        land it once as a parquet table in the session's checkpoint folder:
+        the operators then read it like any other input table."""
+        import uuid
+
+        from .session import ensure_checkpoint_dir
+
+        self.table("documents").createOrReplaceTempView("documents")
+        for dep in _closure([name]):
+            if dep != name:
+                self._frames[dep].createOrReplaceTempView(dep)
+        df = self.spark.sql(_VIEW_SQL[name])
+        base = ensure_checkpoint_dir(self.spark).rstrip("/")
+        path = f"{base}/mediacat-fixtures/{uuid.uuid4().hex}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 _CACHE: dict[tuple[int, str], Fixtures] = {}
 

@@ -1,20 +1,26 @@
 """Lineage cuts.
 
 Operators that reference one input several times (self-joins of ranking
-steps, decision tables feeding several outputs) materialise a *narrow*
-projection of it with a reliable ``checkpoint()`` into the session's shared
-checkpoint directory. This keeps logical plans small, computes the
-upstream once, and a lost executor re-reads the checkpoint instead of
-recomputing the lineage. ``localCheckpoint`` is never used.
+steps, decision tables feeding several outputs, rounds of a fixpoint)
+materialise a *narrow* projection of it as a parquet table in the session's
+shared checkpoint directory (``spark.checkpoint.dir``; a local scratch
+folder only when the session has none, as in tests). This keeps logical
+plans small, computes the upstream once, and a lost executor re-reads the
+table instead of recomputing the lineage. ``localCheckpoint`` is never used.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/mediacat-tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

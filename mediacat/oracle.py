@@ -588,3 +588,75 @@ SELECT (SELECT count(*) FROM items) AS fetched, (SELECT count(*) FROM added) AS
 FROM st
 """,
 )
+
+
+# ------------------------------------------------------------ process groups
+def _stem_sql(nm: str) -> str:
+    return f"CASE WHEN contains({nm}, '.') THEN regexp_extract({nm}, '^(.*)\\.[^.]*$', 1) ELSE {nm} END"
+
+
+add(
+    "case_conflicts",
+    ["media_files"],
+    """
+, lp AS (SELECT path, lower(path) AS lpath FROM media_files),
+mem AS (SELECT path, lpath AS dest FROM lp WHERE lpath IN (SELECT lpath FROM lp GROUP BY lpath HAVING count(*) > 1)),
+exl AS (SELECT lpath AS path FROM lp)
+"""
+    + unique_names_sql("mem", "exl")
+    + f"""
+SELECT path,
+ regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))} || '_' ||
+ regexp_extract({_stem_sql(name_sql('final_dest'))}, '_([1-9][0-9]*)$', 1) ||
+ regexp_extract({name_sql('path')}, '(\\.[^.]+)$', 1) AS new_path
+FROM un
+""",
+)
+
+add(
+    "stem_waves",
+    ["media_files"],
+    f"""
+SELECT path, CAST(row_number() OVER (PARTITION BY lower(regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))})
+                                    ORDER BY path) - 1 AS BIGINT) AS wave
+FROM media_files WHERE {supported('path')}
+UNION ALL SELECT path, CAST(0 AS BIGINT) FROM media_files WHERE NOT ({supported('path')})
+""",
+)
+
+
+def _companion_sql() -> str:
+    exts = [e for e0 in N.LIVE_IMAGE_EXTENSIONS for e in (e0, e0.upper())]
+    n = len(exts)
+    direct = ",".join(f"{{'prio': {i}, 'e': '{e}', 'h': false}}" for i, e in enumerate(exts))
+    hevc = ",".join(f"{{'prio': {n + i}, 'e': '{e}', 'h': true}}" for i, e in enumerate(exts))
+    st = _stem_sql(name_sql("v.path"))
+    return f"""
+, v AS (SELECT path FROM media_files WHERE lower({ext('path')}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)}),
+c AS (
+  SELECT v.path, x.prio,
+   regexp_extract(v.path, '^(.*)/', 1) || '/' ||
+   CASE WHEN x.h THEN (CASE WHEN regexp_matches({st}, '(?i)_hevc$') THEN regexp_replace({st}, '(?i)_hevc$', '') END)
+        ELSE {st} END || x.e AS companion
+  FROM v, (SELECT unnest([{direct},{hevc}], recursive := true)) x),
+hits AS (SELECT * FROM c WHERE companion IN (SELECT path FROM media_files))
+"""
+
+
+add(
+    "live_photo_pairs",
+    ["media_files"],
+    _companion_sql() + "SELECT path, arg_min(companion, prio) AS companion FROM hits GROUP BY path",
+)
+
+add(
+    "next_backup_names",
+    ["backup_listing"],
+    """
+, orig AS (SELECT path FROM backup_listing WHERE NOT regexp_matches(path, '\\.bak(\\d*)$') AND NOT ends_with(path, '.bak.out')),
+cand AS (SELECT o.path, t.k, o.path || '.bak' || CASE WHEN t.k = 0 THEN '' ELSE CAST(t.k AS VARCHAR) END AS name
+         FROM orig o, range(0, (SELECT count(*) FROM backup_listing) + 2) t(k)),
+free AS (SELECT * FROM cand WHERE name NOT IN (SELECT path FROM backup_listing))
+SELECT path, arg_min(name, k) AS backup_path FROM free GROUP BY path
+""",
+)
