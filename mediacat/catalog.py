@@ -377,3 +377,77 @@ def process_summary(spark, sf_dir):
 def process_ledger(spark, sf_dir):
     """PLN-3 ledger effects: index, trash deletes removed, finished files marked processed."""
     return _process(spark, sf_dir).ledger
+
+
+# ------------------------------------------------------------ undo
+from .plans.undo import backup_groups, group_table, undo_run  # noqa: E402
+
+
+@register("backup_groups")
+def backup_groups_q(spark, sf_dir):
+    """AGG-4: backups grouped by case-folded base, with position, size of group, non-empty flag."""
+    return backup_groups(fixtures(spark, sf_dir).backup_listing).drop("gkey")
+
+
+@register("undo_groups")
+def undo_groups(spark, sf_dir):
+    """WIN-5 + JN-7: per backup group the primary backup, stem-peer, existence and derived flags."""
+    return group_table(fixtures(spark, sf_dir).backup_listing).drop("gkey", "_ext")
+
+
+@register("undo_plan")
+def undo_plan(spark, sf_dir):
+    """PLN-5 + JN-8: restore / delete plan of an undo run."""
+    fx = fixtures(spark, sf_dir)
+    return undo_run(fx.backup_listing, fx.trackers).plan
+
+
+@register("undo_summary")
+def undo_summary(spark, sf_dir):
+    """AGG-1 for undo: restored, deleted, failed and run status."""
+    fx = fixtures(spark, sf_dir)
+    return undo_run(fx.backup_listing, fx.trackers).summary
+
+
+# ------------------------------------------------------------ verify
+from .fixtures import MEDIA_ROOT  # noqa: E402
+from .plans.verify import container_path, verify_run  # noqa: E402
+from .sources.verdicts import parse_verdict_lines  # noqa: E402
+
+
+def _verify(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return verify_run(
+        _listing(fx), fx.verdict_lines, LIB_ROOT, MEDIA_ROOT, ledger=fx.ledger, hasher=led.table_hasher(_hashes(fx))
+    )
+
+
+@register("verdicts")
+def verdicts_q(spark, sf_dir):
+    """SRC-7: decoder verdict lines parsed, noise dropped, last line per path."""
+    return parse_verdict_lines(fixtures(spark, sf_dir).verdict_lines)
+
+
+@register("container_paths")
+def container_paths_q(spark, sf_dir):
+    """FLT-5: library paths mapped below the container mount."""
+    fx = fixtures(spark, sf_dir)
+    return _listing(fx).select("path", container_path("path", LIB_ROOT, MEDIA_ROOT).alias("container_path"))
+
+
+@register("verify_outcomes")
+def verify_outcomes(spark, sf_dir):
+    """PLN-6 + JN-6 + FLT-4: per-file verify outcome."""
+    return _verify(spark, sf_dir).outcomes
+
+
+@register("verify_summary")
+def verify_summary(spark, sf_dir):
+    """AGG-1 for verify."""
+    return run_summary(_verify(spark, sf_dir).outcomes, "verify", "outcome")
+
+
+@register("verify_ledger")
+def verify_ledger(spark, sf_dir):
+    """PLN-6 + MUT-4: verify ledger with verified files flagged."""
+    return _verify(spark, sf_dir).ledger

@@ -660,3 +660,141 @@ free AS (SELECT * FROM cand WHERE name NOT IN (SELECT path FROM backup_listing))
 SELECT path, arg_min(name, k) AS backup_path FROM free GROUP BY path
 """,
 )
+
+
+# ------------------------------------------------------------ undo
+_UNDO_CTES = f"""
+, bk AS (
+  SELECT path, file_size, regexp_replace(path, '\\.bak\\d*$', '') AS base,
+   CASE WHEN regexp_matches(path, '\\.bak\\d+$') THEN CAST(regexp_extract(path, '\\.bak(\\d+)$', 1) AS BIGINT) ELSE 0 END AS k
+  FROM backup_listing WHERE regexp_matches(path, '\\.bak\\d*$')),
+grp AS (
+  SELECT lower(base) AS gkey, min(base) AS base, count(*) AS n_backups,
+   arg_min(path, (k, path)) FILTER (WHERE file_size > 0) AS "primary"
+  FROM bk GROUP BY lower(base)),
+g2 AS (
+  SELECT *, lower(regexp_extract(base, '^(.*)/', 1)) AS d, lower({_stem_sql(name_sql('base'))}) AS st,
+   lower(regexp_extract({name_sql('base')}, '(\\.[^./]+)$', 1)) AS e
+  FROM grp),
+g3 AS (
+  SELECT g2.*, (SELECT count(DISTINCT x.e) FROM g2 x WHERE x.d = g2.d AND x.st = g2.st) > 1 AS has_stem_peer,
+   base IN (SELECT path FROM backup_listing) AS base_exists
+  FROM g2),
+g AS (SELECT *, has_stem_peer AND base_exists AS derived FROM g3),
+plan AS (
+  SELECT base, 'delete' AS action, base AS path, CAST(NULL AS VARCHAR) AS target, true AS counted FROM g WHERE derived
+  UNION ALL SELECT g.base, 'delete', bk.path, NULL, true FROM g JOIN bk ON lower(bk.base) = g.gkey WHERE g.derived
+  UNION ALL SELECT base, 'fail', NULL, NULL, true FROM g WHERE NOT derived AND "primary" IS NULL
+  UNION ALL SELECT base, 'delete_current', base, NULL, false FROM g WHERE NOT derived AND "primary" IS NOT NULL AND base_exists
+  UNION ALL SELECT base, 'restore', "primary", base, true FROM g WHERE NOT derived AND "primary" IS NOT NULL
+  UNION ALL SELECT g.base, 'delete', bk.path, NULL, true FROM g JOIN bk ON lower(bk.base) = g.gkey
+    WHERE NOT g.derived AND g."primary" IS NOT NULL AND bk.path <> g."primary"
+  UNION ALL SELECT base, 'delete', "primary" || '.out', NULL, true FROM g
+    WHERE NOT derived AND "primary" IS NOT NULL AND "primary" || '.out' IN (SELECT path FROM backup_listing)
+  UNION ALL SELECT g.base, 'delete', trim(t.output_path), NULL, true FROM g JOIN trackers t ON t.backup_path = g."primary"
+    WHERE NOT g.derived AND g."primary" || '.out' IN (SELECT path FROM backup_listing)
+     AND trim(t.output_path) IN (SELECT path FROM backup_listing)
+     AND lower(trim(t.output_path)) NOT IN (SELECT gkey FROM g)
+  UNION ALL SELECT base, 'delete', o, NULL, true FROM (
+    SELECT base, regexp_extract(base, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('base'))} || '.mp4' AS o FROM g
+    WHERE NOT derived AND "primary" IS NOT NULL AND "primary" || '.out' NOT IN (SELECT path FROM backup_listing)
+     AND e <> '.mp4') z
+    WHERE o IN (SELECT path FROM backup_listing) AND lower(o) NOT IN (SELECT gkey FROM g))
+"""
+add("undo_plan", ["backup_listing", "trackers"], _UNDO_CTES + "SELECT * FROM plan")
+add(
+    "undo_summary",
+    ["backup_listing", "trackers"],
+    _UNDO_CTES
+    + """
+SELECT count_if(action = 'restore' AND counted) AS restored, count_if(action = 'delete' AND counted) AS deleted,
+ count_if(action = 'fail') AS failed, CASE WHEN count_if(action = 'fail') > 0 THEN 2 ELSE 0 END AS run_status
+FROM plan
+""",
+)
+add(
+    "undo_groups",
+    ["backup_listing"],
+    _UNDO_CTES + 'SELECT base, "primary", n_backups, has_stem_peer, base_exists, derived FROM g',
+)
+add(
+    "backup_groups",
+    ["backup_listing"],
+    _UNDO_CTES
+    + """
+SELECT bk.base, bk.path, bk.k AS backup_key, bk.file_size,
+ row_number() OVER (PARTITION BY lower(bk.base) ORDER BY bk.k, bk.path) AS position,
+ count(*) OVER (PARTITION BY lower(bk.base)) AS n_backups,
+ bool_or(bk.file_size > 0) OVER (PARTITION BY lower(bk.base)) AS has_nonempty
+FROM bk
+""",
+)
+
+
+# ------------------------------------------------------------ verify
+_VERDICT_CTE = """
+, vl AS (
+  SELECT line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM verdict_lines),
+vj AS (SELECT line_no, t FROM vl WHERE starts_with(t, '{') AND json_valid(t)),
+vp AS (
+  SELECT line_no, json_extract_string(t, '$.path') AS path,
+   coalesce(TRY_CAST(json_extract(t, '$.ok') AS BOOLEAN), false) AS ok,
+   json_extract_string(t, '$.via') AS via, json_extract_string(t, '$.error') AS error
+  FROM vj),
+verd AS (
+  SELECT path, arg_max(ok, line_no) AS ok, arg_max(via, line_no) AS via, arg_max(error, line_no) AS error
+  FROM vp WHERE path IS NOT NULL GROUP BY path)
+"""
+
+
+def _container_sql(p: str) -> str:
+    rel = f"substr({p}, {len('/lib') + 2})"
+    return (
+        f"CASE WHEN starts_with({p}, '/lib/') AND {rel} <> '' AND NOT regexp_matches({rel}, '(^|/)\\.\\.(/|$)') "
+        f"AND NOT regexp_matches({p}, '[\\r\\n]') THEN '/media/' || {rel} END"
+    )
+
+
+add("verdicts", ["verdict_lines"], _VERDICT_CTE + "SELECT path, ok, via, error FROM verd")
+add("container_paths", ["media_files"], f"SELECT path, {_container_sql('path')} AS container_path FROM media_files")
+
+_VERIFY_CTES = (
+    _index_ctes()
+    + _VERDICT_CTE
+    + f"""
+, cand AS (SELECT * FROM o WHERE NOT (status = 'Unchanged' AND coalesce(was_processed, false))),
+mapped AS (SELECT path, {_container_sql('path')} AS cpath FROM cand),
+outc AS (
+  SELECT m.path, CASE WHEN m.cpath IS NULL THEN 'Failed' WHEN v.path IS NULL THEN 'Failed'
+                      WHEN NOT v.ok THEN 'Invalid' ELSE 'Verified' END AS outcome
+  FROM mapped m LEFT JOIN verd v ON v.path = m.cpath
+  UNION ALL SELECT path, 'Skipped' FROM o WHERE status = 'Unchanged' AND coalesce(was_processed, false)
+  UNION ALL SELECT path, 'Ignored' FROM f WHERE NOT ({supported('path')}))
+"""
+)
+add("verify_outcomes", ["media_files", "ledger", "verdict_lines"], _VERIFY_CTES + "SELECT * FROM outc")
+add(
+    "verify_summary",
+    ["media_files", "ledger", "verdict_lines"],
+    _VERIFY_CTES
+    + """
+SELECT count(*) AS total, count_if(outcome = 'Verified') AS n_verified, count_if(outcome = 'Skipped') AS n_skipped,
+ count_if(outcome = 'Invalid') AS n_invalid, count_if(outcome = 'Ignored') AS n_ignored,
+ count_if(outcome = 'Failed') AS n_failed,
+ CASE WHEN count_if(outcome = 'Invalid') > 0 OR count_if(outcome = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+FROM outc
+""",
+)
+add(
+    "verify_ledger",
+    ["media_files", "ledger", "verdict_lines"],
+    _VERIFY_CTES
+    + """
+, nl AS (
+  SELECT path, sha256, sha1, file_size, mtime_ticks, was_processed AS is_processed FROM o
+  UNION ALL SELECT path, sha256, sha1, file_size, mtime_ticks, is_processed FROM ledger WHERE path NOT IN (SELECT path FROM o))
+SELECT path, sha256, sha1, file_size, mtime_ticks,
+ is_processed OR path IN (SELECT path FROM outc WHERE outcome = 'Verified') AS is_processed
+FROM nl
+""",
+)
