@@ -451,3 +451,104 @@ def verify_summary(spark, sf_dir):
 def verify_ledger(spark, sf_dir):
     """PLN-6 + MUT-4: verify ledger with verified files flagged."""
     return _verify(spark, sf_dir).ledger
+
+
+# ------------------------------------------------------------ directories
+from .operators.directories import empty_directories  # noqa: E402
+
+
+@register("empty_directories")
+def empty_directories_q(spark, sf_dir):
+    """SRT-1: directories below the library root with no surviving file, deepest first."""
+    fx = fixtures(spark, sf_dir)
+    return empty_directories(fx.media_dirs, _listing(fx), LIB_ROOT)
+
+
+# ------------------------------------------------------------ sources, sinks, streaming
+from .fixtures import stage_media_tree  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sinks import snapshots as SN  # noqa: E402
+from .sources.files import file_hasher, list_files, read_trackers  # noqa: E402
+from .streaming.stream_index import start_ledger, stream_index  # noqa: E402
+
+
+def _tree_listing(spark, fx):
+    root = stage_media_tree(spark, fx)
+    return root, list_files(spark, root + LIB_ROOT, strip_prefix=root).filter(~F.col("path").endswith(".out"))
+
+
+@register("listed_files")
+def listed_files(spark, sf_dir):
+    """SRC-1: recursive listing of a landed library (metadata only, content pruned)."""
+    fx = fixtures(spark, sf_dir)
+    _, listing = _tree_listing(spark, fx)
+    return listing.select("path", "file_size")
+
+
+@register("hashed_files")
+def hashed_files(spark, sf_dir):
+    """SRC-2: SHA-256 and SHA-1 of every landed file, streamed on the executors."""
+    fx = fixtures(spark, sf_dir)
+    root, listing = _tree_listing(spark, fx)
+    return file_hasher(root)(listing.select("path"))
+
+
+@register("trackers_from_disk")
+def trackers_from_disk(spark, sf_dir):
+    """SRC-8: conversion tracker files read back as (backup_path, output_path)."""
+    fx = fixtures(spark, sf_dir)
+    root = stage_media_tree(spark, fx)
+    return read_trackers(spark, root + LIB_ROOT, strip_prefix=root)
+
+
+@register("ledger_roundtrip")
+def ledger_roundtrip(spark, sf_dir):
+    """SNK-1 + SRC-3: the index run's ledger written as a versioned snapshot and read back."""
+    root = scratch_path(spark, "ledger")
+    SN.write_ledger(_index(spark, sf_dir).ledger, root)
+    return SN.read_ledger(spark, root)
+
+
+@register("trash_set_roundtrip")
+def trash_set_roundtrip(spark, sf_dir):
+    """SNK-2 + SRC-6: trash set after a sync, written and read back."""
+    fx = fixtures(spark, sf_dir)
+    root = scratch_path(spark, "trash")
+    SN.write_trash_set(trash_sync(fx.trash_pages, fx.trash).trash, root)
+    return SN.read_trash_snapshot(spark, root)
+
+
+@register("archive_roundtrip")
+def archive_roundtrip(spark, sf_dir):
+    """SNK-3: imported files written to the archive partitioned by date directory."""
+    root = scratch_path(spark, "archive")
+    plan = _import(spark, sf_dir).plan.filter(F.col("outcome") == "Imported").select("path", "dest", "created", "tags")
+    SN.write_archive(plan, root)
+    return SN.read_snapshot(spark, root).select("path", "dest", "created", "date_dir")
+
+
+@register("plan_roundtrip")
+def plan_roundtrip(spark, sf_dir):
+    """SNK-4: the undo plan written partitioned by action and read back."""
+    fx = fixtures(spark, sf_dir)
+    root = scratch_path(spark, "plan")
+    plan = SN.with_sequence(undo_run(fx.backup_listing, fx.trackers).plan, ["base", "action", "path"])
+    SN.write_plan(plan, root)
+    return SN.read_snapshot(spark, root).select("base", "action", "path", "target", "counted")
+
+
+@register("stream_index_ledger")
+def stream_index_ledger(spark, sf_dir):
+    """STR-1: listing files arriving as a stream, indexed batch by batch into
+    ledger versions; returns the final ledger."""
+    fx = fixtures(spark, sf_dir)
+    listing_dir = scratch_path(spark, "listing-stream")
+    listing = fx.media_files.select("path", "file_size", "mtime_ticks", (F.col("doc_id") % 4).alias("part"))
+    # four listing files arrive one after the other
+    listing.write.partitionBy("part").parquet(listing_dir + "/staged")
+    for i in range(4):
+        spark.read.parquet(f"{listing_dir}/staged/part={i}").write.parquet(f"{listing_dir}/in/batch-{i}")
+    ledger_root = scratch_path(spark, "stream-ledger")
+    start_ledger(fx.ledger, ledger_root)
+    stream_index(spark, listing_dir + "/in/*", ledger_root, led.table_hasher(_hashes(fx)))
+    return SN.read_ledger(spark, ledger_root)

@@ -234,6 +234,8 @@ class Fixtures:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in _VIEW_SQL:
+            if name == "_tree":
+                return None
             raise AttributeError(name)
         if name not in self._frames:
             for dep in _closure([name]):
@@ -268,3 +270,42 @@ def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
     if key not in _CACHE:
         _CACHE[key] = Fixtures(spark, sf_dir)
     return _CACHE[key]
+
+
+def stage_media_tree(spark: SparkSession, fx: Fixtures) -> str:
+    """Land every fixture file as a real file (its bytes are the document
+    text) plus the conversion trackers, below a scratch root; returns the
+    root URI prefix under which '/lib/...' paths live. Input staging only."""
+    import os
+    import uuid
+
+    from .session import ensure_checkpoint_dir
+
+    if getattr(fx, "_tree", None):
+        return fx._tree
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    root = f"{base}/mediacat-tree/{uuid.uuid4().hex}"
+    local_root = root[len("file:") :] if root.startswith("file:") else root
+
+    fx.table("documents").createOrReplaceTempView("documents")
+    fx.media_names.createOrReplaceTempView("media_names")
+    files = spark.sql("SELECT concat(dir,'/',stem,ext) AS path, text AS body FROM media_names")
+    trackers = fx.trackers.selectExpr("concat(backup_path, '.out') AS path", "concat(output_path, '\\n') AS body")
+    payload = files.unionByName(trackers)
+
+    def write(it):
+        import pandas as pd
+
+        n = 0
+        for pdf in it:
+            for p, body in zip(pdf["path"], pdf["body"]):
+                target = local_root + p
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8") as fh:
+                    fh.write(body)
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    payload.mapInPandas(write, "n long").collect()
+    fx._tree = root
+    return root

@@ -798,3 +798,32 @@ SELECT path, sha256, sha1, file_size, mtime_ticks,
 FROM nl
 """,
 )
+
+
+# ------------------------------------------------------------ directories
+add(
+    "empty_directories",
+    ["media_dirs", "media_files"],
+    """
+, fd AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS d FROM media_files),
+dd AS (SELECT DISTINCT dir FROM media_dirs WHERE starts_with(dir, '/lib/'))
+SELECT dir, CAST(length(dir) - length(replace(dir, '/', '')) AS INTEGER) AS depth FROM dd
+WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.d = dd.dir OR starts_with(fd.d, dd.dir || '/'))
+ORDER BY depth DESC, dir
+""",
+)
+
+
+# ------------------------------------------------------------ sources, sinks, streaming
+add("listed_files", ["media_files"], "SELECT path, CAST(strlen(mn.text) AS BIGINT) AS file_size FROM media_files mf JOIN media_names mn ON mn.doc_id = mf.doc_id")
+add("hashed_files", ["media_files"], "SELECT path, sha256, sha1 FROM media_files")
+add("trackers_from_disk", ["trackers"], "SELECT backup_path, output_path FROM trackers")
+ORACLE["ledger_roundtrip"] = ORACLE["index_ledger"]
+ORACLE["trash_set_roundtrip"] = ORACLE["trash_sync_set"]
+ORACLE["stream_index_ledger"] = ORACLE["index_ledger"]
+add(
+    "archive_roundtrip",
+    _IMPORT_VIEWS,
+    _import_ctes() + "SELECT path, dest, created, regexp_extract(dest, '^(.*)/', 1) AS date_dir FROM plan WHERE outcome = 'Imported'",
+)
+add("plan_roundtrip", ["backup_listing", "trackers"], _UNDO_CTES + "SELECT base, action, path, target, counted FROM plan")
