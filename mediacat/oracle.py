@@ -691,10 +691,10 @@ plan AS (
     WHERE NOT g.derived AND g."primary" IS NOT NULL AND bk.path <> g."primary"
   UNION ALL SELECT base, 'delete', "primary" || '.out', NULL, true FROM g
     WHERE NOT derived AND "primary" IS NOT NULL AND "primary" || '.out' IN (SELECT path FROM backup_listing)
-  UNION ALL SELECT g.base, 'delete', trim(t.output_path), NULL, true FROM g JOIN trackers t ON t.backup_path = g."primary"
+  UNION ALL SELECT g.base, 'delete', regexp_replace(t.output_path, '^\\s+|\\s+$', '', 'g'), NULL, true FROM g JOIN trackers t ON t.backup_path = g."primary"
     WHERE NOT g.derived AND g."primary" || '.out' IN (SELECT path FROM backup_listing)
-     AND trim(t.output_path) IN (SELECT path FROM backup_listing)
-     AND lower(trim(t.output_path)) NOT IN (SELECT gkey FROM g)
+     AND regexp_replace(t.output_path, '^\\s+|\\s+$', '', 'g') IN (SELECT path FROM backup_listing)
+     AND lower(regexp_replace(t.output_path, '^\\s+|\\s+$', '', 'g')) NOT IN (SELECT gkey FROM g)
   UNION ALL SELECT base, 'delete', o, NULL, true FROM (
     SELECT base, regexp_extract(base, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('base'))} || '.mp4' AS o FROM g
     WHERE NOT derived AND "primary" IS NOT NULL AND "primary" || '.out' NOT IN (SELECT path FROM backup_listing)

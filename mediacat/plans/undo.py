@@ -118,7 +118,7 @@ def undo_run(listing: DataFrame, trackers: DataFrame) -> UndoResult:
     parts.append(rows(with_tracker, "delete", F.col("tracker"), F.lit(None).cast("string"), True))
     group_keys = g.select(F.col("gkey").alias("_okey"))
     tracked = (
-        with_tracker.join(trackers.select(F.col("backup_path").alias("primary"), F.trim(F.col("output_path")).alias("output")), "primary")
+        with_tracker.join(trackers.select(F.col("backup_path").alias("primary"), F.regexp_replace(F.col("output_path"), r"^\s+|\s+\z", "").alias("output")), "primary")
         .join(files.select(F.col("path").alias("output")), "output", "left_semi")
         .join(group_keys, F.lower(F.col("output")) == F.col("_okey"), "left_anti")
     )
