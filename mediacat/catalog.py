@@ -552,3 +552,56 @@ def stream_index_ledger(spark, sf_dir):
     start_ledger(fx.ledger, ledger_root)
     stream_index(spark, listing_dir + "/in/*", ledger_root, led.table_hasher(_hashes(fx)))
     return SN.read_ledger(spark, ledger_root)
+
+
+# ------------------------------------------------------------ ledger merges, report
+from .operators.summary import skipped_extensions  # noqa: E402
+
+
+@register("skipped_extensions")
+def skipped_extensions_q(spark, sf_dir):
+    """AGG-2: unsupported extensions (case-folded) and their file counts."""
+    df = N.with_names(_listing(fixtures(spark, sf_dir)))
+    return skipped_extensions(df)
+
+
+def _computed(fx):
+    """Listing rows with freshly computed hashes (size/mtime from the listing)."""
+    return fx.media_files.select("path", "sha256", "sha1", "file_size", "mtime_ticks", F.lit(False).alias("is_processed"))
+
+
+@register("ledger_insert_or_ignore")
+def ledger_insert_or_ignore(spark, sf_dir):
+    """MUT-1: add listing rows for unknown paths; an existing path wins."""
+    fx = fixtures(spark, sf_dir)
+    return led.insert_or_ignore(fx.ledger, _computed(fx))
+
+
+@register("ledger_update_hashes")
+def ledger_update_hashes(spark, sf_dir):
+    """MUT-2: set hashes, size and mtime from the listing and reset the processed flag."""
+    fx = fixtures(spark, sf_dir)
+    return led.update_hashes(fx.ledger, _computed(fx))
+
+
+@register("ledger_update_metadata")
+def ledger_update_metadata(spark, sf_dir):
+    """MUT-3: set sha1, size and mtime; keep sha256 and the processed flag."""
+    fx = fixtures(spark, sf_dir)
+    return led.update_metadata(fx.ledger, _computed(fx))
+
+
+@register("ledger_set_processed")
+def ledger_set_processed(spark, sf_dir):
+    """MUT-4: flag the ledger rows of verified files."""
+    fx = fixtures(spark, sf_dir)
+    return led.set_processed(fx.ledger, parse_verdict_lines(fx.verdict_lines).filter("ok").select(
+        F.concat(F.lit(LIB_ROOT), F.substring("path", len(MEDIA_ROOT) + 1, 1 << 30)).alias("path")))
+
+
+@register("ledger_delete_trashed")
+def ledger_delete_trashed(spark, sf_dir):
+    """MUT-5: drop ledger rows whose content is in the trash set."""
+    fx = fixtures(spark, sf_dir)
+    gone = flag_member(fx.ledger.select("path", "sha1"), fx.trash, "sha1", "sha1", "t").filter("t")
+    return led.delete_by_path(fx.ledger, gone)

@@ -827,3 +827,57 @@ add(
     _import_ctes() + "SELECT path, dest, created, regexp_extract(dest, '^(.*)/', 1) AS date_dir FROM plan WHERE outcome = 'Imported'",
 )
 add("plan_roundtrip", ["backup_listing", "trackers"], _UNDO_CTES + "SELECT base, action, path, target, counted FROM plan")
+
+
+# ------------------------------------------------------------ ledger merges, report
+add(
+    "skipped_extensions",
+    ["media_files"],
+    f"""
+SELECT lower({ext('path')}) AS extension, count(*) AS files,
+ CASE WHEN lower({ext('path')}) = '' THEN '(no extension)' ELSE lower({ext('path')}) END AS label
+FROM media_files WHERE NOT ({supported('path')}) GROUP BY lower({ext('path')})
+""",
+)
+add(
+    "ledger_insert_or_ignore",
+    ["media_files", "ledger"],
+    """
+SELECT * FROM ledger UNION ALL
+SELECT path, sha256, sha1, file_size, mtime_ticks, false FROM media_files WHERE path NOT IN (SELECT path FROM ledger)
+""",
+)
+add(
+    "ledger_update_hashes",
+    ["media_files", "ledger"],
+    """
+SELECT l.path, coalesce(f.sha256, l.sha256) AS sha256, coalesce(f.sha1, l.sha1) AS sha1,
+ coalesce(f.file_size, l.file_size) AS file_size, coalesce(f.mtime_ticks, l.mtime_ticks) AS mtime_ticks,
+ CASE WHEN f.path IS NULL THEN l.is_processed ELSE false END AS is_processed
+FROM ledger l LEFT JOIN media_files f ON f.path = l.path
+""",
+)
+add(
+    "ledger_update_metadata",
+    ["media_files", "ledger"],
+    """
+SELECT l.path, l.sha256, coalesce(f.sha1, l.sha1) AS sha1,
+ coalesce(f.file_size, l.file_size) AS file_size, coalesce(f.mtime_ticks, l.mtime_ticks) AS mtime_ticks, l.is_processed
+FROM ledger l LEFT JOIN media_files f ON f.path = l.path
+""",
+)
+add(
+    "ledger_set_processed",
+    ["ledger", "verdict_lines"],
+    _VERDICT_CTE
+    + """
+SELECT path, sha256, sha1, file_size, mtime_ticks,
+ is_processed OR path IN (SELECT '/lib' || substr(path, 7) FROM verd WHERE ok) AS is_processed
+FROM ledger
+""",
+)
+add(
+    "ledger_delete_trashed",
+    ["ledger", "trash"],
+    "SELECT * FROM ledger WHERE sha1 NOT IN (SELECT sha1 FROM trash)",
+)
