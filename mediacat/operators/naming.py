@@ -48,7 +48,9 @@ def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "dest
     ``existing`` holds the names already present (column ``path``).
     """
     req = materialize(requests.select(F.col(order_col).alias("_id"), F.col(name_col).alias("_name")))
-    ex = materialize(existing.select(F.col("path").alias("_name")).distinct())
+    if req.isEmpty():
+        return requests.withColumn("final_" + name_col, F.lit(None).cast("string"))
+    ex = existing.select(F.col("path").alias("_name")).distinct()
 
     # rank requests per name; existing rows sort first so a running count
     # of them says whether the name is already taken
