@@ -605,3 +605,13 @@ def ledger_delete_trashed(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     gone = flag_member(fx.ledger.select("path", "sha1"), fx.trash, "sha1", "sha1", "t").filter("t")
     return led.delete_by_path(fx.ledger, gone)
+
+
+@register("process_first_round")
+def process_first_round(spark, sf_dir):
+    """PLN-3: the first round of the clean-up plan (rule list applied once)."""
+    fx = fixtures(spark, sf_dir)
+    return process_run(
+        _listing(fx), fx.media_meta, _probe(fx), ProcessOptions(max_rounds=1),
+        ledger=fx.ledger, trash=fx.trash, hasher=led.table_hasher(_hashes(fx)),
+    ).plan

@@ -411,10 +411,14 @@ add("import_tags", ["media_files", "media_meta"], import_tags_sql())
 
 
 # ------------------------------------------------------------ import
-def unique_names_sql(req: str, existing: str) -> str:
+def unique_names_sql(req: str, existing: str, prefix: str = "") -> str:
     """CTE text (leading comma) computing un(path, dest, final_dest) by brute
     force: enumerate candidate suffixes per name and take the j-th free."""
     nm = "regexp_extract(dest, '([^/]*)$', 1)"
+    return _unique_names_body(req, existing, nm).replace("_u", prefix + "_u").replace("\nun AS", "\n" + prefix + "un AS")
+
+
+def _unique_names_body(req: str, existing: str, nm: str) -> str:
     return f"""
 , _ureq AS (SELECT path, dest, row_number() OVER (PARTITION BY dest ORDER BY path) AS rnk FROM {req}),
 _uex AS (SELECT DISTINCT path FROM {existing}),
@@ -881,3 +885,111 @@ add(
     ["ledger", "trash"],
     "SELECT * FROM ledger WHERE sha1 NOT IN (SELECT sha1 FROM trash)",
 )
+
+
+# ------------------------------------------------------------ process, first round
+def _process_round1_sql() -> str:
+    exts = [e for e0 in N.LIVE_IMAGE_EXTENSIONS for e in (e0, e0.upper())]
+    n = len(exts)
+    cand_list = ",".join(f"{{'prio': {i}, 'e': '{e}', 'h': false}}" for i, e in enumerate(exts)) + "," + ",".join(
+        f"{{'prio': {n + i}, 'e': '{e}', 'h': true}}" for i, e in enumerate(exts)
+    )
+    st = _stem_sql(name_sql("v.path"))
+    e = ext("s.path")
+    return (
+        """
+, lp AS (SELECT path, lower(path) AS lpath FROM media_files),
+mem AS (SELECT path, lpath AS dest FROM lp WHERE lpath IN (SELECT lpath FROM lp GROUP BY lpath HAVING count(*) > 1)),
+exl AS (SELECT lpath AS path FROM lp)
+"""
+        + unique_names_sql("mem", "exl", "cc")
+        + f"""
+, ren AS (
+  SELECT path, regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))} || '_' ||
+   regexp_extract({_stem_sql(name_sql('final_dest'))}, '_([1-9][0-9]*)$', 1) ||
+   regexp_extract({name_sql('path')}, '(\\.[^.]+)$', 1) AS new_path
+  FROM ccun),
+lst AS (
+  SELECT coalesce(r.new_path, f.path) AS path, f.path AS origin, f.file_size, f.mtime_ticks, f.sha256 AS fsha256,
+   f.sha1 AS fsha1, f.duration_s, f.audio_codec
+  FROM media_files f LEFT JOIN ren r ON r.path = f.path),
+idx AS (
+  SELECT x.path, CASE WHEN l.path IS NOT NULL AND x.file_size = l.file_size AND x.mtime_ticks = l.mtime_ticks
+                      THEN l.sha1 ELSE x.fsha1 END AS sha1,
+   CASE WHEN l.path IS NULL THEN 'Inserted'
+        WHEN (CASE WHEN x.file_size = l.file_size AND x.mtime_ticks = l.mtime_ticks THEN l.sha256 ELSE x.fsha256 END) <> l.sha256 THEN 'Updated'
+        WHEN x.file_size <> l.file_size OR x.mtime_ticks <> l.mtime_ticks THEN CASE WHEN l.is_processed THEN 'Unchanged' ELSE 'Updated' END
+        ELSE 'Unchanged' END AS status,
+   CASE WHEN l.path IS NULL THEN false
+        WHEN (CASE WHEN x.file_size = l.file_size AND x.mtime_ticks = l.mtime_ticks THEN l.sha256 ELSE x.fsha256 END) <> l.sha256 THEN false
+        ELSE l.is_processed END AS was_processed
+  FROM lst x LEFT JOIN ledger l ON l.path = x.path WHERE {supported('x.path')}),
+mt AS (SELECT path AS mpath, {meta_columns()} FROM media_meta),
+s AS (
+  SELECT x.path, x.origin, x.duration_s, x.audio_codec, i.status, i.was_processed,
+   i.sha1 IN (SELECT sha1 FROM trash) AS in_trash,
+   m.meta_ok, m.validate_errors, m.meta_ext, m.content_id, m.dng_newer
+  FROM lst x LEFT JOIN idx i ON i.path = x.path LEFT JOIN mt m ON m.mpath = x.origin),
+v AS (SELECT path FROM s WHERE lower({ext('path')}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)}),
+cands AS (
+  SELECT v.path, x.prio,
+   regexp_extract(v.path, '^(.*)/', 1) || '/' ||
+   CASE WHEN x.h THEN (CASE WHEN regexp_matches({st}, '(?i)_hevc$') THEN regexp_replace({st}, '(?i)_hevc$', '') END)
+        ELSE {st} END || x.e AS companion
+  FROM v, (SELECT unnest([{cand_list}], recursive := true)) x),
+comp AS (
+  SELECT c.path, arg_min(c.companion, c.prio) AS companion FROM cands c WHERE c.companion IN (SELECT path FROM lst) GROUP BY c.path),
+d AS (
+  SELECT s.*, c.companion, cm.content_id AS companion_content_id, {e} AS ext,
+   {mime_target_sql('s.path', 's.meta_ext')} AS mime_target,
+   substr(s.path, 1, length(s.path) - length({e})) || lower({e}) AS case_target,
+   lower({e}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)} AS live,
+   CASE WHEN lower({e}) IN {_lst(N.REMUX_EXTENSIONS)} THEN 'remux'
+        WHEN lower({e}) IN {_lst(N.REENCODE_EXTENSIONS)} THEN 'reencode'
+        WHEN lower({e}) IN {_lst(N.REENCODE_AUDIO_EXTENSIONS)} AND starts_with(lower(coalesce(s.audio_codec,'')), 'pcm') THEN 'reencode_audio' END AS conv
+  FROM s LEFT JOIN comp c ON c.path = s.path
+  LEFT JOIN s cm ON cm.path = c.companion),
+r1 AS (
+  SELECT *,
+   CASE WHEN NOT (lower(ext) IN {SUPPORTED}) THEN 'ignored'
+        WHEN coalesce(in_trash, false) THEN 'trashed'
+        WHEN status = 'Unchanged' AND coalesce(was_processed, false) THEN 'skipped'
+        WHEN NOT coalesce(meta_ok, false) THEN 'no_metadata'
+        WHEN validate_errors > 0 THEN 'invalid'
+        WHEN mime_target IS NOT NULL THEN 'mime'
+        WHEN regexp_matches(ext, '\\p{{Ll}}') AND regexp_matches(ext, '\\p{{Lu}}') THEN 'case'
+        WHEN live AND duration_s IS NULL THEN 'no_duration'
+        WHEN live AND duration_s <= 1.0 THEN 'short_clip'
+        WHEN live AND companion IS NOT NULL AND duration_s < 4.0 AND coalesce(content_id,'') <> ''
+             AND coalesce(companion_content_id,'') <> '' AND content_id = companion_content_id THEN 'live_photo'
+        WHEN conv IS NOT NULL THEN conv
+        ELSE 'success' END AS rule
+  FROM d),
+convreq AS (SELECT path, substr(path, 1, length(path) - length(ext)) || '.mp4' AS dest FROM r1 WHERE rule IN ('remux','reencode','reencode_audio')),
+convex AS (SELECT path FROM lst WHERE path NOT IN (SELECT path FROM convreq))
+"""
+        + unique_names_sql("convreq", "convex", "cv")
+        + f"""
+, waves AS (
+  SELECT path, CAST(row_number() OVER (PARTITION BY lower(regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))})
+                                      ORDER BY path) - 1 AS BIGINT) AS wave
+  FROM lst WHERE {supported('path')})
+SELECT 1 AS round, r1.path, r1.origin,
+ CASE WHEN rule IN ('trashed','short_clip','live_photo') THEN 'delete' WHEN rule IN ('mime','case') THEN 'rename'
+      WHEN rule IN ('remux','reencode','reencode_audio') THEN 'convert' ELSE 'none' END AS action,
+ CASE WHEN rule = 'mime' THEN mime_target WHEN rule = 'case' THEN case_target
+      WHEN rule IN ('remux','reencode','reencode_audio') THEN cvun.final_dest END AS target,
+ CASE WHEN rule = 'ignored' THEN 'Ignored' WHEN rule IN ('trashed','short_clip','live_photo') THEN 'Deleted'
+      WHEN rule = 'skipped' THEN 'Skipped' WHEN rule IN ('no_metadata','no_duration') THEN 'Failed'
+      WHEN rule = 'invalid' THEN 'Invalid' WHEN rule IN ('mime','case','remux','reencode','reencode_audio') THEN 'Reprocess'
+      ELSE 'Success' END AS outcome,
+ CASE WHEN rule <> 'success' THEN rule
+      WHEN lower(ext) = '.dng' AND coalesce(dng_newer, false) THEN 'dng_newer'
+      WHEN live AND companion IS NOT NULL AND duration_s >= 4.0 THEN 'long_live_video' END AS reason,
+ coalesce(w.wave, 0) AS wave
+FROM r1 LEFT JOIN cvun ON cvun.path = r1.path LEFT JOIN waves w ON w.path = r1.path
+"""
+    )
+
+
+add("process_first_round", ["media_files", "media_meta", "ledger", "trash"], _process_round1_sql())

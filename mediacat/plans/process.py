@@ -198,7 +198,16 @@ def process_run(
     next_ledger = None
     with_ledger = ledger is not None
     if with_ledger:
-        idx = index_run(listing.select("path", "file_size", "mtime_ticks"), ledger, hasher)
+        # a renamed file's bytes are still at its origin path when the plan is made
+        origin_of = listing.select(F.col("path").alias("_np"), F.col("origin").alias("_op"))
+
+        def hash_by_origin(todo: DataFrame) -> DataFrame:
+            t = todo.join(origin_of, todo["path"] == origin_of["_np"], "left")
+            t = t.withColumn("_keep", F.col("path")).withColumn("path", F.coalesce(F.col("_op"), F.col("path")))
+            h = hasher(t.drop("_np", "_op"))
+            return h.withColumn("path", F.col("_keep")).drop("_keep")
+
+        idx = index_run(listing.select("path", "file_size", "mtime_ticks"), ledger, hash_by_origin)
         status = idx.outcomes.select("path", "status", "was_processed")
         hashes = idx.ledger.select("path", "sha1")
         state = state.join(status, "path", "left").join(hashes, "path", "left")
@@ -215,7 +224,8 @@ def process_run(
 
     listing_paths = materialize(listing.select("path"))
     comp_meta = state.select(F.col("path").alias("companion"), F.col("content_id").alias("companion_content_id"))
-    waves = stem_waves(listing_paths)
+    # stem conflicts are split after the case renames (on the renamed listing)
+    waves = stem_waves(listing_paths).join(listing.select("path", "origin"), "path").select("origin", "wave")
 
     rounds = []
     for rnd in range(1, opts.max_rounds + 1):
@@ -271,7 +281,7 @@ def process_run(
     plan = rounds[0]
     for r in rounds[1:]:
         plan = plan.unionByName(r)
-    plan = plan.join(waves.withColumnRenamed("path", "origin"), "origin", "left")
+    plan = plan.join(waves, "origin", "left")
     plan = plan.select("round", "path", "origin", "action", "target", "outcome", "reason", F.coalesce("wave", F.lit(0)).alias("wave"))
 
     if with_ledger:
