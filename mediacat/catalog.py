@@ -468,7 +468,7 @@ def empty_directories_q(spark, sf_dir):
 from .fixtures import stage_media_tree  # noqa: E402
 from .session import scratch_path  # noqa: E402
 from .sinks import snapshots as SN  # noqa: E402
-from .sources.files import file_hasher, list_files, read_trackers  # noqa: E402
+from .sources.files import hash_files, list_files, read_trackers  # noqa: E402
 from .streaming.stream_index import start_ledger, stream_index  # noqa: E402
 
 
@@ -490,7 +490,7 @@ def hashed_files(spark, sf_dir):
     """SRC-2: SHA-256 and SHA-1 of every landed file, streamed on the executors."""
     fx = fixtures(spark, sf_dir)
     root, listing = _tree_listing(spark, fx)
-    return file_hasher(root)(listing.select("path"))
+    return hash_files(listing.select("path"), root)
 
 
 @register("trackers_from_disk")

@@ -14,15 +14,27 @@ from pyspark.sql import functions as F
 
 from ..schemas import LEDGER_COLUMNS
 
-Hasher = Callable[[DataFrame], DataFrame]
+# A hasher adds ``c_sha256`` / ``c_sha1`` (lowercase hex; null where the row
+# does not need hashing or the file is unreadable) to the rows it is given,
+# hashing only where the boolean ``need`` column is true. It is applied to
+# the output of the single ledger join, so the ledger is read and shuffled
+# once and no branch of the plan is computed twice.
+Hasher = Callable[[DataFrame, Column], DataFrame]
 
 
 def table_hasher(hashes: DataFrame) -> Hasher:
-    """Hasher backed by an already computed (path, sha256, sha1) table."""
-    h = hashes.select("path", "sha256", "sha1")
-
-    def run(todo: DataFrame) -> DataFrame:
-        return todo.join(h, "path", "left")
+    """Hasher backed by an already computed (path, sha256, sha1) table. The
+    input is already partitioned by path (it comes out of the ledger join),
+    so only the hash table is shuffled for this join."""
+    h = hashes.select("path", F.col("sha256").alias("_t256"), F.col("sha1").alias("_t1"))
+
+    def run(df: DataFrame, need: Column) -> DataFrame:
+        j = df.withColumn("_need", need).join(h, "path", "left")
+        return (
+            j.withColumn("c_sha256", F.when(F.col("_need"), F.col("_t256")))
+            .withColumn("c_sha1", F.when(F.col("_need"), F.col("_t1")))
+            .drop("_t256", "_t1", "_need")
+        )
 
     return run
 
@@ -49,10 +61,13 @@ def resolve_hashes(files: DataFrame, ledger: DataFrame, hasher: Hasher, rehash:
     Returns the listing columns, the ``l_*`` ledger columns and sha256/sha1.
     """
     joined = files.join(_prefixed(ledger), "path", "left")
-    reuse = reuse_condition(rehash)
-    kept = joined.filter(reuse).withColumn("sha256", F.col("l_sha256")).withColumn("sha1", F.col("l_sha1"))
-    todo = hasher(joined.filter(~reuse | reuse.isNull()))
-    return kept.unionByName(todo.select(*kept.columns))
+    reuse = F.coalesce(reuse_condition(rehash), F.lit(False))
+    hashed = hasher(joined.withColumn("_reuse", reuse), ~F.col("_reuse"))
+    return (
+        hashed.withColumn("sha256", F.when(F.col("_reuse"), F.col("l_sha256")).otherwise(F.col("c_sha256")))
+        .withColumn("sha1", F.when(F.col("_reuse"), F.col("l_sha1")).otherwise(F.col("c_sha1")))
+        .drop("_reuse", "c_sha256", "c_sha1")
+    )
 
 
 def insert_or_ignore(ledger: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 One full outer join of listing and ledger on ``path`` feeds both products:
 the per-file outcome (Inserted / Updated / Unchanged / Ignored / Failed)
-and the next ledger snapshot. Only rows whose size or mtime changed (or all
-rows with ``rehash``) are handed to the hasher, so unchanged files are
-never read.
+and the next ledger snapshot; the ledger is read and shuffled once. Only
+rows whose size or mtime changed (or all rows with ``rehash``) are hashed,
+so unchanged files are never read.
 """
 
 from __future__ import annotations
@@ -35,14 +35,13 @@ def _resolved(files: DataFrame, ledger: DataFrame, hasher: Hasher, rehash: bool)
     )
     j = listed.join(_prefixed(ledger), "path", "full_outer")
     is_listed = F.col("listed").isNotNull()
-    reuse = is_listed & reuse_condition(rehash)
-    kept = (
-        j.filter(~is_listed | reuse)
-        .withColumn("sha256", F.col("l_sha256"))
-        .withColumn("sha1", F.col("l_sha1"))
+    j = j.withColumn("_reuse", ~is_listed | F.coalesce(reuse_condition(rehash), F.lit(False)))
+    hashed = hasher(j, ~F.col("_reuse"))
+    return (
+        hashed.withColumn("sha256", F.when(F.col("_reuse"), F.col("l_sha256")).otherwise(F.col("c_sha256")))
+        .withColumn("sha1", F.when(F.col("_reuse"), F.col("l_sha1")).otherwise(F.col("c_sha1")))
+        .drop("_reuse", "c_sha256", "c_sha1")
     )
-    todo = hasher(j.filter(is_listed & ~F.coalesce(reuse, F.lit(False))))
-    return kept.unionByName(todo.select(*kept.columns))
 
 
 def index_run(

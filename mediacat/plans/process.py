@@ -201,11 +201,11 @@ def process_run(
         # a renamed file's bytes are still at its origin path when the plan is made
         origin_of = listing.select(F.col("path").alias("_np"), F.col("origin").alias("_op"))
 
-        def hash_by_origin(todo: DataFrame) -> DataFrame:
-            t = todo.join(origin_of, todo["path"] == origin_of["_np"], "left")
+        def hash_by_origin(df: DataFrame, need) -> DataFrame:
+            t = df.withColumn("_hneed", need).join(origin_of, df["path"] == origin_of["_np"], "left")
             t = t.withColumn("_keep", F.col("path")).withColumn("path", F.coalesce(F.col("_op"), F.col("path")))
-            h = hasher(t.drop("_np", "_op"))
-            return h.withColumn("path", F.col("_keep")).drop("_keep")
+            h = hasher(t.drop("_np", "_op"), F.col("_hneed"))
+            return h.withColumn("path", F.col("_keep")).drop("_keep", "_hneed")
 
         idx = index_run(listing.select("path", "file_size", "mtime_ticks"), ledger, hash_by_origin)
         status = idx.outcomes.select("path", "status", "was_processed")

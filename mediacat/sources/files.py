@@ -38,6 +38,7 @@ def list_files(spark: SparkSession, root: str, strip_prefix: str | None = None)
 
 
 def _hash_batches(batches: Iterator[pd.DataFrame], prefix: str) -> Iterator[pd.DataFrame]:
+    """Adds c_sha256 / c_sha1 for rows whose ``_need`` flag is set."""
     import hashlib
     from urllib.parse import quote
 
@@ -45,7 +46,11 @@ def _hash_batches(batches: Iterator[pd.DataFrame], prefix: str) -> Iterator[pd.D
 
     for pdf in batches:
         sha256s, sha1s = [], []
-        for p in pdf["path"]:
+        for p, need in zip(pdf["path"], pdf["_need"]):
+            if not need or p is None:
+                sha256s.append(None)
+                sha1s.append(None)
+                continue
             uri = prefix + p
             try:
                 if uri.startswith("file:") or "://" not in uri:
@@ -69,19 +74,19 @@ def _hash_batches(batches: Iterator[pd.DataFrame], prefix: str) -> Iterator[pd.D
                 # unreadable: the caller reports Failed, never Invalid
                 sha256s.append(None)
                 sha1s.append(None)
-        yield pdf.assign(sha256=sha256s, sha1=sha1s)
+        yield pdf.drop(columns=["_need"]).assign(c_sha256=sha256s, c_sha1=sha1s)
 
 
 def file_hasher(prefix: str = ""):
-    """SRC-2 as a hasher for :func:`mediacat.operators.ledger.resolve_hashes`:
-    adds sha256 and sha1 (lowercase hex, null when unreadable) to the rows it
-    is given, reading ``prefix + path``."""
+    """SRC-2 as a hasher (see :data:`mediacat.operators.ledger.Hasher`):
+    streams ``prefix + path`` through both digests where ``need`` is true;
+    other rows pass through untouched (no file is opened for them)."""
 
-    def run(todo: DataFrame) -> DataFrame:
-        fields = [f for f in todo.columns if f not in ("sha256", "sha1")]
-        src = todo.select(*fields)
+    def run(df: DataFrame, need) -> DataFrame:
+        src = df.withColumn("_need", need)
         schema = T.StructType(
-            list(src.schema.fields) + [T.StructField("sha256", T.StringType()), T.StructField("sha1", T.StringType())]
+            [f for f in src.schema.fields if f.name != "_need"]
+            + [T.StructField("c_sha256", T.StringType()), T.StructField("c_sha1", T.StringType())]
         )
         return src.mapInPandas(lambda it: _hash_batches(it, prefix), schema)
 
@@ -90,7 +95,8 @@ def file_hasher(prefix: str = ""):
 
 def hash_files(files: DataFrame, prefix: str = "") -> DataFrame:
     """SRC-2: path -> path, sha256, sha1 for every row."""
-    return file_hasher(prefix)(files.select("path"))
+    out = file_hasher(prefix)(files.select("path"), F.lit(True))
+    return out.select("path", F.col("c_sha256").alias("sha256"), F.col("c_sha1").alias("sha1"))
 
 
 def hash_contents(df: DataFrame, content: str = "content") -> DataFrame:
