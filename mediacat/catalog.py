@@ -474,7 +474,8 @@ from .streaming.stream_index import start_ledger, stream_index  # noqa: E402
 
 def _tree_listing(spark, fx):
     root = stage_media_tree(spark, fx)
-    return root, list_files(spark, root + LIB_ROOT, strip_prefix=root).filter(~F.col("path").endswith(".out"))
+    local = root[len("file:") :] if root.startswith("file:") else root
+    return root, list_files(spark, root + LIB_ROOT, strip_prefix=local).filter(~F.col("path").endswith(".out"))
 
 
 @register("listed_files")

@@ -1,7 +1,6 @@
 """File listing and content hashing (SRC-1, SRC-2), tracker files (SRC-8).
 
-The listing reads only file metadata: the ``content`` column of the
-binaryFile source is pruned, so no byte is read. Hashing is a separate
+The listing reads only file metadata (no byte of content). Hashing is a separate
 executor-side step over the rows that need it (after the ledger join), so
 unchanged files are never opened. Each task streams its files through
 SHA-256 and SHA-1 in one pass with 80 KiB reads via ``pyarrow.fs``, which
@@ -22,13 +21,93 @@ TICKS_AT_UNIX_EPOCH = 621355968000000000  # 100-ns ticks from 0001-01-01 to 1970
 READ_CHUNK = 80 * 1024
 
 
-def list_files(spark: SparkSession, root: str, strip_prefix: str | None = None) -> DataFrame:
-    """SRC-1: every file below ``root`` (recursive) -> path, file_size,
-    mtime_ticks (microsecond precision, as 100-ns ticks). With
-    ``strip_prefix`` the path is made relative to that URI prefix.
+def _fs_and_path(uri: str):
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        local = uri[len("file:") :] if uri.startswith("file:") else uri
+        return fs.LocalFileSystem(), "/" + local.lstrip("/")
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
+def _entries(root: str, recursive: bool):
+    from pyarrow import fs
+
+    filesystem, base = _fs_and_path(root)
+    infos = filesystem.get_file_info(fs.FileSelector(base, recursive=recursive, allow_not_found=True))
+    for info in infos:
+        yield info
+
+
+def _ticks(info) -> int | None:
+    ns = info.mtime_ns
+    return None if ns is None else ns // 100 + TICKS_AT_UNIX_EPOCH
+
+
+def list_files(spark: SparkSession, root: str, strip_prefix: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """SRC-1: every file below ``root`` (recursive, empty and hidden files
+    included) -> path, file_size, mtime_ticks (100-ns ticks, exact).
+
+    One task lists the root's direct children; the sub-directories are then
+    walked in parallel by executor tasks through ``pyarrow.fs`` (local, HDFS
+    and object stores). File scans are not used for the listing because
+    they skip zero-length files, which matter here (empty backups). With
+    ``strip_prefix`` paths are made relative to that prefix."""
+    import pandas as pd
+
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out_schema = "path string, file_size long, mtime_ticks long, is_dir boolean"
+    root_local = root[len("file:") :] if root.startswith("file:") else root
+
+    def name(info_path: str) -> str:
+        # pyarrow paths are scheme-less; re-anchor them on the caller's root
+        _, base = _fs_and_path(root)
+        rel = info_path[len(base) :] if info_path.startswith(base) else info_path
+        return root_local.rstrip("/") + "/" + rel.lstrip("/")
+
+    def top(it):
+        from pyarrow import fs
+
+        for _ in it:
+            rows = []
+            for info in _entries(root, recursive=False):
+                is_dir = info.type == fs.FileType.Directory
+                rows.append((name(info.path), None if is_dir else info.size, None if is_dir else _ticks(info), is_dir))
+            yield pd.DataFrame(rows, columns=["path", "file_size", "mtime_ticks", "is_dir"])
+
+    def walk(it):
+        from pyarrow import fs
+
+        for pdf in it:
+            rows = []
+            for d in pdf["path"]:
+                _, dbase = _fs_and_path(d)
+                for info in _entries(d, recursive=True):
+                    if info.type == fs.FileType.File:
+                        rel = info.path[len(dbase) :].lstrip("/")
+                        rows.append((d.rstrip("/") + "/" + rel, info.size, _ticks(info), False))
+            yield pd.DataFrame(rows, columns=["path", "file_size", "mtime_ticks", "is_dir"])
+
+    seed = spark.range(1).select(F.lit(root).alias("path"))
+    level1 = seed.mapInPandas(top, out_schema)
+    files_top = level1.filter(~F.col("is_dir"))
+    dirs = level1.filter(F.col("is_dir")).select("path").repartition(n)
+    files_deep = dirs.mapInPandas(walk, out_schema)
+    df = files_top.unionByName(files_deep).drop("is_dir")
+    if strip_prefix is not None:
+        sp = strip_prefix[len("file:") :] if strip_prefix.startswith("file:") else strip_prefix
+        df = df.withColumn(
+            "path", F.when(F.col("path").startswith(sp), F.substring("path", len(sp) + 1, 1 << 30)).otherwise(F.col("path"))
+        )
+    return df
+
 
-    Spark skips names starting with '_' or '.', unlike a plain directory
-    walk; callers needing those pass their own listing DataFrame."""
+def list_files_scan(spark: SparkSession, root: str, strip_prefix: str | None = None) -> DataFrame:
+    """SRC-1 through Spark's binaryFile source (content pruned). Faster to set
+    up, but Spark skips zero-length files and names starting with '_' or
+    '.', so it only fits libraries where those do not matter."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.col("path")
     if strip_prefix is not None:
@@ -116,6 +195,8 @@ def read_trackers(spark: SparkSession, root: str, strip_prefix: str | None = Non
     )
     # file_path is a URI: spaces etc. are percent-encoded ('+' stays literal)
     fp = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    if strip_prefix is not None and not strip_prefix.startswith("file:"):
+        fp = F.regexp_replace(fp, r"^file:", "")
     if strip_prefix is not None:
         fp = F.when(fp.startswith(strip_prefix), F.substring(fp, len(strip_prefix) + 1, 1 << 30)).otherwise(fp)
     return df.select(
