@@ -993,3 +993,156 @@ FROM r1 LEFT JOIN cvun ON cvun.path = r1.path LEFT JOIN waves w ON w.path = r1.p
 
 
 add("process_first_round", ["media_files", "media_meta", "ledger", "trash"], _process_round1_sql())
+
+
+# ------------------------------------------------------------ process, all rounds
+def _process_rounds_sql(max_rounds: int = 6) -> str:
+    """Unrolled fixpoint: round k decides on state st{k}; rows that re-enter
+    form st{k+1} with the modelled attributes of a renamed/converted file."""
+    exts = [e for e0 in N.LIVE_IMAGE_EXTENSIONS for e in (e0, e0.upper())]
+    n = len(exts)
+    cand_list = ",".join(f"{{'prio': {i}, 'e': '{e}', 'h': false}}" for i, e in enumerate(exts)) + "," + ",".join(
+        f"{{'prio': {n + i}, 'e': '{e}', 'h': true}}" for i, e in enumerate(exts)
+    )
+    base = _process_round1_sql()
+    head = base[: base.index("\n, waves AS (")]
+    # round-1 state (already computed as s / d / r1 in the first-round SQL) is rebuilt per round below
+    out = head.replace(
+        "\nv AS (SELECT path FROM s WHERE", "\nst1 AS (SELECT path, origin, duration_s, audio_codec, coalesce(in_trash, false) AS in_trash, "
+        "(status = 'Unchanged' AND coalesce(was_processed, false)) AS skip, meta_ok, validate_errors, meta_ext, content_id, dng_newer FROM s),\n"
+        "v AS (SELECT path FROM s WHERE",
+    )
+    # the first-round SQL decides round 1 from s; rounds >= 2 use the same rule list on st{k}
+    out += f"""
+, dec1 AS (
+  SELECT 1 AS round, r1.path, r1.origin, r1.duration_s, r1.audio_codec, r1.meta_ok, r1.validate_errors, r1.meta_ext,
+   r1.content_id, r1.dng_newer, r1.rule, r1.live, r1.ext, r1.companion,
+   CASE WHEN rule = 'mime' THEN mime_target WHEN rule = 'case' THEN case_target
+        WHEN rule IN ('remux','reencode','reencode_audio') THEN cvun.final_dest END AS target
+  FROM r1 LEFT JOIN cvun ON cvun.path = r1.path)
+"""
+    st = _stem_sql(name_sql("v.path"))
+    for k in range(2, max_rounds + 1):
+        e = ext("s.path")
+        out += f"""
+, st{k} AS (
+  SELECT target AS path, origin, duration_s,
+   CASE WHEN rule IN ('remux','reencode','reencode_audio') AND rule <> 'remux' THEN 'aac' ELSE audio_codec END AS audio_codec,
+   false AS in_trash, false AS skip, meta_ok,
+   CASE WHEN rule IN ('remux','reencode','reencode_audio') THEN 0 ELSE validate_errors END AS validate_errors,
+   CASE WHEN rule IN ('remux','reencode','reencode_audio') THEN 'mp4' ELSE meta_ext END AS meta_ext,
+   content_id,
+   CASE WHEN rule IN ('remux','reencode','reencode_audio') THEN false ELSE dng_newer END AS dng_newer
+  FROM dec{k - 1} WHERE rule IN ('mime','case','remux','reencode','reencode_audio')),
+v{k} AS (SELECT path FROM st{k} WHERE lower({ext('path')}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)}),
+cands{k} AS (
+  SELECT v.path, x.prio,
+   regexp_extract(v.path, '^(.*)/', 1) || '/' ||
+   CASE WHEN x.h THEN (CASE WHEN regexp_matches({st}, '(?i)_hevc$') THEN regexp_replace({st}, '(?i)_hevc$', '') END)
+        ELSE {st} END || x.e AS companion
+  FROM v{k} v, (SELECT unnest([{cand_list}], recursive := true)) x),
+comp{k} AS (SELECT path, arg_min(companion, prio) AS companion FROM cands{k} WHERE companion IN (SELECT path FROM lst) GROUP BY path),
+d{k} AS (
+  SELECT s.*, c.companion, cm.content_id AS companion_content_id, {e} AS ext,
+   {mime_target_sql('s.path', 's.meta_ext')} AS mime_target,
+   substr(s.path, 1, length(s.path) - length({e})) || lower({e}) AS case_target,
+   lower({e}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)} AS live,
+   CASE WHEN lower({e}) IN {_lst(N.REMUX_EXTENSIONS)} THEN 'remux'
+        WHEN lower({e}) IN {_lst(N.REENCODE_EXTENSIONS)} THEN 'reencode'
+        WHEN lower({e}) IN {_lst(N.REENCODE_AUDIO_EXTENSIONS)} AND starts_with(lower(coalesce(s.audio_codec,'')), 'pcm') THEN 'reencode_audio' END AS conv
+  FROM st{k} s LEFT JOIN comp{k} c ON c.path = s.path LEFT JOIN st1 cm ON cm.path = c.companion),
+q{k} AS (
+  SELECT *,
+   CASE WHEN NOT (lower(ext) IN {SUPPORTED}) THEN 'ignored'
+        WHEN in_trash THEN 'trashed'
+        WHEN skip THEN 'skipped'
+        WHEN NOT coalesce(meta_ok, false) THEN 'no_metadata'
+        WHEN validate_errors > 0 THEN 'invalid'
+        WHEN mime_target IS NOT NULL THEN 'mime'
+        WHEN regexp_matches(ext, '\\p{{Ll}}') AND regexp_matches(ext, '\\p{{Lu}}') THEN 'case'
+        WHEN live AND duration_s IS NULL THEN 'no_duration'
+        WHEN live AND duration_s <= 1.0 THEN 'short_clip'
+        WHEN live AND companion IS NOT NULL AND duration_s < 4.0 AND coalesce(content_id,'') <> ''
+             AND coalesce(companion_content_id,'') <> '' AND content_id = companion_content_id THEN 'live_photo'
+        WHEN conv IS NOT NULL THEN conv
+        ELSE 'success' END AS rule
+  FROM d{k}),
+creq{k} AS (SELECT path, substr(path, 1, length(path) - length(ext)) || '.mp4' AS dest FROM q{k} WHERE rule IN ('remux','reencode','reencode_audio')),
+cex{k} AS (SELECT path FROM lst WHERE path NOT IN (SELECT path FROM creq{k}))
+""" + unique_names_sql(f"creq{k}", f"cex{k}", f"c{k}") + f"""
+, dec{k} AS (
+  SELECT {k} AS round, q.path, q.origin, q.duration_s, q.audio_codec, q.meta_ok, q.validate_errors, q.meta_ext,
+   q.content_id, q.dng_newer, q.rule, q.live, q.ext, q.companion,
+   CASE WHEN rule = 'mime' THEN mime_target WHEN rule = 'case' THEN case_target
+        WHEN rule IN ('remux','reencode','reencode_audio') THEN u.final_dest END AS target
+  FROM q{k} q LEFT JOIN c{k}un u ON u.path = q.path)
+"""
+    rounds = " UNION ALL ".join(f"SELECT * FROM dec{k}" for k in range(1, max_rounds + 1))
+    out += f"""
+, alld AS ({rounds}),
+waves AS (
+  SELECT origin, CAST(row_number() OVER (PARTITION BY lower(regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))})
+                                        ORDER BY path) - 1 AS BIGINT) AS wave
+  FROM lst WHERE {supported('path')}),
+plan AS (
+  SELECT round, a.path, a.origin,
+   CASE WHEN rule IN ('trashed','short_clip','live_photo') THEN 'delete' WHEN rule IN ('mime','case') THEN 'rename'
+        WHEN rule IN ('remux','reencode','reencode_audio') THEN 'convert' ELSE 'none' END AS action,
+   target,
+   CASE WHEN rule = 'ignored' THEN 'Ignored' WHEN rule IN ('trashed','short_clip','live_photo') THEN 'Deleted'
+        WHEN rule = 'skipped' THEN 'Skipped' WHEN rule IN ('no_metadata','no_duration') THEN 'Failed'
+        WHEN rule = 'invalid' THEN 'Invalid' WHEN rule IN ('mime','case','remux','reencode','reencode_audio') THEN 'Reprocess'
+        ELSE 'Success' END AS outcome,
+   CASE WHEN rule <> 'success' THEN rule
+        WHEN lower(ext) = '.dng' AND coalesce(dng_newer, false) THEN 'dng_newer'
+        WHEN live AND companion IS NOT NULL AND duration_s >= 4.0 THEN 'long_live_video' END AS reason,
+   coalesce(w.wave, 0) AS wave
+  FROM alld a LEFT JOIN waves w ON w.origin = a.origin)
+"""
+    return out
+
+
+_PROC_VIEWS = ["media_files", "media_meta", "ledger", "trash"]
+add("process_plan", _PROC_VIEWS, _process_rounds_sql() + "SELECT * FROM plan")
+
+_PROC_FINAL = """
+, fin AS (SELECT * FROM plan WHERE outcome <> 'Reprocess'),
+touched AS (SELECT DISTINCT origin FROM plan WHERE outcome = 'Reprocess'),
+fin2 AS (
+  SELECT f.*, CASE WHEN t.origin IS NOT NULL AND f.outcome = 'Success' THEN 'Modified' ELSE f.outcome END AS o2
+  FROM fin f LEFT JOIN touched t ON t.origin = f.origin)
+"""
+add(
+    "process_summary",
+    _PROC_VIEWS,
+    _process_rounds_sql()
+    + _PROC_FINAL
+    + """
+SELECT count(*) AS total, count_if(o2 = 'Success') AS n_success, count_if(o2 = 'Modified') AS n_modified,
+ count_if(o2 = 'Reprocess') AS n_reprocess, count_if(o2 = 'Deleted') AS n_deleted, count_if(o2 = 'Skipped') AS n_skipped,
+ count_if(o2 = 'Invalid') AS n_invalid, count_if(o2 = 'Ignored') AS n_ignored, count_if(o2 = 'Failed') AS n_failed,
+ CASE WHEN count_if(o2 = 'Invalid') > 0 OR count_if(o2 = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+FROM fin2
+""",
+)
+add(
+    "process_ledger",
+    _PROC_VIEWS,
+    _process_rounds_sql()
+    + _PROC_FINAL
+    + f"""
+, nl AS (
+  SELECT x.path,
+   CASE WHEN l.path IS NOT NULL AND x.file_size = l.file_size AND x.mtime_ticks = l.mtime_ticks THEN l.sha256 ELSE x.fsha256 END AS sha256,
+   CASE WHEN l.path IS NOT NULL AND x.file_size = l.file_size AND x.mtime_ticks = l.mtime_ticks THEN l.sha1 ELSE x.fsha1 END AS sha1,
+   x.file_size, x.mtime_ticks,
+   CASE WHEN l.path IS NULL THEN false
+        WHEN (CASE WHEN x.file_size = l.file_size AND x.mtime_ticks = l.mtime_ticks THEN l.sha256 ELSE x.fsha256 END) <> l.sha256 THEN false
+        ELSE l.is_processed END AS is_processed
+  FROM lst x LEFT JOIN ledger l ON l.path = x.path WHERE {supported('x.path')}
+  UNION ALL SELECT * FROM ledger WHERE path NOT IN (SELECT path FROM lst WHERE {supported('path')}))
+SELECT path, sha256, sha1, file_size, mtime_ticks,
+ is_processed OR path IN (SELECT path FROM fin WHERE outcome = 'Success') AS is_processed
+FROM nl WHERE path NOT IN (SELECT path FROM fin WHERE outcome = 'Deleted' AND reason = 'trashed')
+""",
+)
