@@ -62,3 +62,18 @@ def destination(date: Column, name: Column, fmt: str = DEFAULT_DATE_FORMAT, outp
     d = F.coalesce(date, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
     prefix = outpath.rstrip("/") + "/" if outpath else ""
     return F.concat(F.lit(prefix), F.date_format(d, fmt), F.lit("/"), name)
+
+
+def check_date_only_format(spark, fmt: str) -> None:
+    """COL-16 option check: the destination pattern must not depend on the
+    time of day (same output at 08:00:00 and 20:30:45), else ValueError."""
+    a, b = (
+        spark.range(1)
+        .select(
+            F.date_format(F.lit("2000-01-02 08:00:00").cast("timestamp_ntz"), fmt).alias("a"),
+            F.date_format(F.lit("2000-01-02 20:30:45").cast("timestamp_ntz"), fmt).alias("b"),
+        )
+        .first()
+    )
+    if a != b:
+        raise ValueError(f"date format {fmt!r} must be date-only")

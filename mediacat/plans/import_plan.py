@@ -61,6 +61,7 @@ def import_run(
     """Build the import plan. ``files``: path, file_size, mtime_ticks;
     ``metadata_docs``: path, meta_json; ``existing``: archive paths (path)."""
     spark = files.sparkSession
+    TG.check_date_only_format(spark, opts.date_format)
     listing = files.select("path", "file_size", "mtime_ticks").withColumn("ext", N.ext_of(N.name_of(F.col("path"))))
     supported = listing.filter(N.is_supported(F.col("ext")))
     ignored = listing.filter(~N.is_supported(F.col("ext"))).select(

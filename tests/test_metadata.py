@@ -90,3 +90,12 @@ def test_checksum_to_hex(spark):
     df = spark.createDataFrame(rows, "c string").select(checksum_to_hex(F.col("c")).alias("h"))
     got = [r.h for r in df.collect()]
     assert got == ["ab" * 20, None, None, None, None, None, None, "ab" * 20]
+
+
+def test_date_only_format(spark):
+    from mediacat.functions.tags import check_date_only_format
+
+    check_date_only_format(spark, "yyyy/MM/dd")
+    check_date_only_format(spark, "yyyy/MM")
+    with pytest.raises(ValueError):
+        check_date_only_format(spark, "yyyy/MM/dd/HH")
