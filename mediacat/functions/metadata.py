@@ -71,7 +71,8 @@ def _nonempty(c: Column) -> Column:
 def parse_metadata(docs: DataFrame, json_col: str = "meta_json") -> DataFrame:
     """SRC-4: typed columns for every key plus ``meta_ok`` (false when the
     document is empty or not a JSON object)."""
-    raw = F.regexp_replace(F.col(json_col), r"^[\s\[]+|[\s\]]+\z", "")
+    # the tool's output is trimmed of spaces, CR, LF and the array brackets
+    raw = F.regexp_replace(F.col(json_col), r"^[ \n\r\[\]]+|[ \n\r\[\]]+\z", "")
     parsed = F.from_json(F.when(raw != "", raw), METADATA_SCHEMA)
     out = docs.withColumn("_meta", parsed)
     cols = [F.col(c) for c in docs.columns if c != json_col]

@@ -247,7 +247,7 @@ META_DATE_STRING_SQL = """CASE
 
 
 def meta_columns(doc: str = "meta_json") -> str:
-    j = f"regexp_replace({doc}, '^[\\s\\[]+|[\\s\\]]+$', '', 'g')"
+    j = f"regexp_replace({doc}, '^[ \\n\\r\\[\\]]+|[ \\n\\r\\[\\]]+$', '', 'g')"
     errors, warnings = validation_sql("validate")
     dng = "dngv"
     cols = [
