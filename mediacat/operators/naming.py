@@ -72,6 +72,12 @@ def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "dest
     )
     need = ranked.filter(F.col("_j") >= 1)
     keep = ranked.filter(F.col("_j") < 1).withColumn("_final", F.col("_name"))
+    if need.isEmpty():
+        # no name is contested: every request keeps its name
+        finals = keep.select("_id", "_final")
+        return requests.join(
+            finals.withColumnRenamed("_id", order_col).withColumnRenamed("_final", "final_" + name_col), order_col, "left"
+        )
 
     # taken suffixes of the names that need one
     taken_names = ex.unionByName(req.select("_name")).distinct()

@@ -126,3 +126,43 @@ def test_undo_scenarios(spark):
     assert ("restore", "/d/p.png.bak") in plan  # p.png does not exist: not derived
     s = res.summary.first()
     assert (s.restored, s.failed, s.run_status) == (4, 1, 2)
+
+
+def test_import_scenarios(spark):
+    from mediacat.operators.ledger import table_hasher
+    from mediacat.plans.import_plan import ImportOptions, import_run
+
+    files = spark.createDataFrame(
+        [("/s/a/IMG_20200101_101010.jpg", 1, 1), ("/s/b/IMG_20200101_101010.jpg", 2, 2), ("/s/c/copy.jpg", 3, 3),
+         ("/s/d/undated.png", 4, 4), ("/s/e/bad.jpg", 5, 5), ("/s/notes.txt", 6, 6), ("/s/f/seen.jpg", 7, 7)],
+        "path string, file_size long, mtime_ticks long",
+    )
+    hashes = spark.createDataFrame(
+        [("/s/a/IMG_20200101_101010.jpg", "h1", "s1"), ("/s/b/IMG_20200101_101010.jpg", "h2", "s2"),
+         ("/s/c/copy.jpg", "h1", "s1"), ("/s/d/undated.png", "h4", "s4"), ("/s/e/bad.jpg", "h5", "s5"),
+         ("/s/f/seen.jpg", "h7", "s7")],
+        "path string, sha256 string, sha1 string",
+    )
+    docs = spark.createDataFrame(
+        [("/s/a/IMG_20200101_101010.jpg", '{"File:FileTypeExtension":"jpg"}'),
+         ("/s/b/IMG_20200101_101010.jpg", '{"File:FileTypeExtension":"jpg"}'),
+         ("/s/c/copy.jpg", '{"File:FileTypeExtension":"jpg"}'),
+         ("/s/d/undated.png", '{"File:FileTypeExtension":"png"}'),
+         ("/s/e/bad.jpg", '{"ExifTool:Validate":"1 Error"}'),
+         ("/s/f/seen.jpg", '{}')],
+        "path string, meta_json string",
+    )
+    ledger = spark.createDataFrame([("/old/x.jpg", "h7", "s7", 1, 1, False)], LEDGER_SCHEMA)
+    empty = spark.createDataFrame([], "sha1 string, original_file_name string")
+    res = import_run(files, docs, table_hasher(hashes), ImportOptions(as_of_year=2024, tag_root="/s", tags="t1"),
+                     import_ledger=ledger, trash=empty, existing=spark.createDataFrame([], "path string"))
+    got = {r.path: (r.outcome, r.dest) for r in res.plan.collect()}
+    assert got["/s/a/IMG_20200101_101010.jpg"] == ("Imported", "2020/01/01/IMG_20200101_101010.jpg")
+    assert got["/s/b/IMG_20200101_101010.jpg"] == ("Imported", "2020/01/01/IMG_20200101_101010_1.jpg")
+    assert got["/s/c/copy.jpg"][0] == "Skipped"  # same content as an earlier file of this run
+    assert got["/s/d/undated.png"] == ("Imported", "0001/01/01/undated.png")
+    assert got["/s/e/bad.jpg"][0] == "Invalid"
+    assert got["/s/notes.txt"][0] == "Ignored"
+    assert got["/s/f/seen.jpg"][0] == "Skipped"  # content already in the import ledger
+    led = {r.path for r in res.ledger.collect()}
+    assert "/s/a/IMG_20200101_101010.jpg" in led and "/old/x.jpg" in led and "/s/c/copy.jpg" not in led
