@@ -616,3 +616,12 @@ def process_first_round(spark, sf_dir):
         _listing(fx), fx.media_meta, _probe(fx), ProcessOptions(max_rounds=1),
         ledger=fx.ledger, trash=fx.trash, hasher=led.table_hasher(_hashes(fx)),
     ).plan
+
+
+@register("trash_rebuilt")
+def trash_rebuilt(spark, sf_dir):
+    """MUT-7 + PLN-7: clear the trash set, then rebuild it from the feed."""
+    from .plans.trash_sync import clear_trash
+
+    fx = fixtures(spark, sf_dir)
+    return trash_sync(fx.trash_pages, clear_trash(fx.trash)).trash

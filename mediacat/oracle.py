@@ -1146,3 +1146,4 @@ SELECT path, sha256, sha1, file_size, mtime_ticks,
 FROM nl WHERE path NOT IN (SELECT path FROM fin WHERE outcome = 'Deleted' AND reason = 'trashed')
 """,
 )
+add("trash_rebuilt", ["trash_pages", "trash"], _TRASH_CTES + "SELECT sha1, original_file_name FROM firsts")
