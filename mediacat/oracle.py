@@ -121,10 +121,10 @@ add(
  UNION ALL SELECT 'Ignored' FROM f WHERE NOT ({supported('path')})
 )
 SELECT count(*) AS total,
- count_if(status = 'Inserted') AS n_inserted, count_if(status = 'Updated') AS n_updated,
- count_if(status = 'Unchanged') AS n_unchanged, count_if(status = 'Ignored') AS n_ignored,
- count_if(status = 'Failed') AS n_failed,
- CASE WHEN count_if(status = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+ CAST(count_if(status = 'Inserted') AS BIGINT) AS n_inserted, CAST(count_if(status = 'Updated') AS BIGINT) AS n_updated,
+ CAST(count_if(status = 'Unchanged') AS BIGINT) AS n_unchanged, CAST(count_if(status = 'Ignored') AS BIGINT) AS n_ignored,
+ CAST(count_if(status = 'Failed') AS BIGINT) AS n_failed,
+ CASE WHEN CAST(count_if(status = 'Failed') AS BIGINT) > 0 THEN 2 ELSE 0 END AS run_status
 FROM allrows
 """,
 )
@@ -528,11 +528,11 @@ add(
     _IMPORT_VIEWS,
     _import_ctes()
     + """
-SELECT count(*) AS total, count_if(outcome = 'Imported') AS n_imported, count_if(outcome = 'Ignored') AS n_ignored,
- count_if(outcome = 'Skipped') AS n_skipped, count_if(outcome = 'SkippedBySkipDb') AS n_skipped_by_skip_db,
- count_if(outcome = 'TrashedUpstream') AS n_trashed_upstream, count_if(outcome = 'Invalid') AS n_invalid,
- count_if(outcome = 'Failed') AS n_failed,
- CASE WHEN count_if(outcome = 'Invalid') > 0 OR count_if(outcome = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+SELECT count(*) AS total, CAST(count_if(outcome = 'Imported') AS BIGINT) AS n_imported, CAST(count_if(outcome = 'Ignored') AS BIGINT) AS n_ignored,
+ CAST(count_if(outcome = 'Skipped') AS BIGINT) AS n_skipped, CAST(count_if(outcome = 'SkippedBySkipDb') AS BIGINT) AS n_skipped_by_skip_db,
+ CAST(count_if(outcome = 'TrashedUpstream') AS BIGINT) AS n_trashed_upstream, CAST(count_if(outcome = 'Invalid') AS BIGINT) AS n_invalid,
+ CAST(count_if(outcome = 'Failed') AS BIGINT) AS n_failed,
+ CASE WHEN CAST(count_if(outcome = 'Invalid') AS BIGINT) > 0 OR CAST(count_if(outcome = 'Failed') AS BIGINT) > 0 THEN 2 ELSE 0 END AS run_status
 FROM plan
 """,
 )
@@ -711,8 +711,8 @@ add(
     ["backup_listing", "trackers"],
     _UNDO_CTES
     + """
-SELECT count_if(action = 'restore' AND counted) AS restored, count_if(action = 'delete' AND counted) AS deleted,
- count_if(action = 'fail') AS failed, CASE WHEN count_if(action = 'fail') > 0 THEN 2 ELSE 0 END AS run_status
+SELECT CAST(count_if(action = 'restore' AND counted) AS BIGINT) AS restored, CAST(count_if(action = 'delete' AND counted) AS BIGINT) AS deleted,
+ CAST(count_if(action = 'fail') AS BIGINT) AS failed, CASE WHEN CAST(count_if(action = 'fail') AS BIGINT) > 0 THEN 2 ELSE 0 END AS run_status
 FROM plan
 """,
 )
@@ -782,10 +782,10 @@ add(
     ["media_files", "ledger", "verdict_lines"],
     _VERIFY_CTES
     + """
-SELECT count(*) AS total, count_if(outcome = 'Verified') AS n_verified, count_if(outcome = 'Skipped') AS n_skipped,
- count_if(outcome = 'Invalid') AS n_invalid, count_if(outcome = 'Ignored') AS n_ignored,
- count_if(outcome = 'Failed') AS n_failed,
- CASE WHEN count_if(outcome = 'Invalid') > 0 OR count_if(outcome = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+SELECT count(*) AS total, CAST(count_if(outcome = 'Verified') AS BIGINT) AS n_verified, CAST(count_if(outcome = 'Skipped') AS BIGINT) AS n_skipped,
+ CAST(count_if(outcome = 'Invalid') AS BIGINT) AS n_invalid, CAST(count_if(outcome = 'Ignored') AS BIGINT) AS n_ignored,
+ CAST(count_if(outcome = 'Failed') AS BIGINT) AS n_failed,
+ CASE WHEN CAST(count_if(outcome = 'Invalid') AS BIGINT) > 0 OR CAST(count_if(outcome = 'Failed') AS BIGINT) > 0 THEN 2 ELSE 0 END AS run_status
 FROM outc
 """,
 )
@@ -1118,10 +1118,10 @@ add(
     _process_rounds_sql()
     + _PROC_FINAL
     + """
-SELECT count(*) AS total, count_if(o2 = 'Success') AS n_success, count_if(o2 = 'Modified') AS n_modified,
- count_if(o2 = 'Reprocess') AS n_reprocess, count_if(o2 = 'Deleted') AS n_deleted, count_if(o2 = 'Skipped') AS n_skipped,
- count_if(o2 = 'Invalid') AS n_invalid, count_if(o2 = 'Ignored') AS n_ignored, count_if(o2 = 'Failed') AS n_failed,
- CASE WHEN count_if(o2 = 'Invalid') > 0 OR count_if(o2 = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+SELECT count(*) AS total, CAST(count_if(o2 = 'Success') AS BIGINT) AS n_success, CAST(count_if(o2 = 'Modified') AS BIGINT) AS n_modified,
+ CAST(count_if(o2 = 'Reprocess') AS BIGINT) AS n_reprocess, CAST(count_if(o2 = 'Deleted') AS BIGINT) AS n_deleted, CAST(count_if(o2 = 'Skipped') AS BIGINT) AS n_skipped,
+ CAST(count_if(o2 = 'Invalid') AS BIGINT) AS n_invalid, CAST(count_if(o2 = 'Ignored') AS BIGINT) AS n_ignored, CAST(count_if(o2 = 'Failed') AS BIGINT) AS n_failed,
+ CASE WHEN CAST(count_if(o2 = 'Invalid') AS BIGINT) > 0 OR CAST(count_if(o2 = 'Failed') AS BIGINT) > 0 THEN 2 ELSE 0 END AS run_status
 FROM fin2
 """,
 )
