@@ -262,11 +262,13 @@ class Fixtures:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-_CACHE: dict[tuple[int, str], Fixtures] = {}
+_CACHE: dict[tuple[str, str], Fixtures] = {}
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
-    key = (id(spark), sf_dir.rstrip("/"))
+    # keyed by the running application: a stopped session's staged tables
+    # are never handed to a new one
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _CACHE:
         _CACHE[key] = Fixtures(spark, sf_dir)
     return _CACHE[key]
