@@ -361,16 +361,11 @@ def process_plan(spark, sf_dir):
 
 
 @register("process_summary")
-def process_summary(spark, sf_dir):
-    """AGG-1 over the final outcome of every file of the process plan."""
-    plan = _process(spark, sf_dir).plan
-    final = plan.filter(F.col("outcome") != "Reprocess")
-    # a file that was renamed or converted counts as modified
-    touched = plan.filter(F.col("outcome") == "Reprocess").select("origin").distinct().withColumn("_m", F.lit(True))
-    final = final.join(touched, "origin", "left").withColumn(
-        "outcome", F.when(F.col("_m") & (F.col("outcome") == "Success"), F.lit("Modified")).otherwise(F.col("outcome"))
-    )
-    return run_summary(final, "process", "outcome")
+def process_summary_q(spark, sf_dir):
+    """AGG-1 over the process plan, counted per plan row like the command."""
+    from .plans.process import process_summary
+
+    return process_summary(_process(spark, sf_dir).plan)
 
 
 @register("process_ledger")

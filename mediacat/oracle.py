@@ -1116,13 +1116,14 @@ add(
     "process_summary",
     _PROC_VIEWS,
     _process_rounds_sql()
-    + _PROC_FINAL
     + """
-SELECT count(*) AS total, CAST(count_if(o2 = 'Success') AS BIGINT) AS n_success, CAST(count_if(o2 = 'Modified') AS BIGINT) AS n_modified,
- CAST(count_if(o2 = 'Reprocess') AS BIGINT) AS n_reprocess, CAST(count_if(o2 = 'Deleted') AS BIGINT) AS n_deleted, CAST(count_if(o2 = 'Skipped') AS BIGINT) AS n_skipped,
- CAST(count_if(o2 = 'Invalid') AS BIGINT) AS n_invalid, CAST(count_if(o2 = 'Ignored') AS BIGINT) AS n_ignored, CAST(count_if(o2 = 'Failed') AS BIGINT) AS n_failed,
- CASE WHEN CAST(count_if(o2 = 'Invalid') AS BIGINT) > 0 OR CAST(count_if(o2 = 'Failed') AS BIGINT) > 0 THEN 2 ELSE 0 END AS run_status
-FROM fin2
+SELECT CAST(count(DISTINCT origin) AS BIGINT) AS total, CAST(count_if(outcome = 'Success') AS BIGINT) AS n_success,
+ CAST(count_if(outcome IN ('Reprocess', 'Modified')) AS BIGINT) AS n_modified,
+ CAST(count_if(outcome = 'Deleted') AS BIGINT) AS n_deleted, CAST(count_if(outcome = 'Skipped') AS BIGINT) AS n_skipped,
+ CAST(count_if(outcome = 'Invalid') AS BIGINT) AS n_invalid, CAST(count_if(outcome = 'Ignored') AS BIGINT) AS n_ignored,
+ CAST(count_if(outcome = 'Failed') AS BIGINT) AS n_failed,
+ CASE WHEN count_if(outcome = 'Invalid') > 0 OR count_if(outcome = 'Failed') > 0 THEN 2 ELSE 0 END AS run_status
+FROM plan
 """,
 )
 add(

@@ -295,3 +295,25 @@ def process_run(
             (F.col("is_processed") | F.coalesce(F.col("_done"), F.lit(False))).alias("is_processed"),
         )
     return ProcessResult(plan=plan, renames=renames, ledger=next_ledger)
+
+
+def process_summary(plan: DataFrame) -> DataFrame:
+    """AGG-1 for process, counted like the command does: per plan row (a
+    file renamed and then converted is modified twice), Reprocess and
+    Modified together as ``n_modified``; ``total`` is the number of listed
+    files. Status 2 when anything is invalid or failed."""
+    from ..operators.summary import RUN_PARTIAL, RUN_SUCCESS
+
+    o = F.col("outcome")
+    s = plan.agg(
+        F.count_distinct("origin").alias("total"),
+        F.count_if(o == "Success").alias("n_success"),
+        F.count_if(o.isin("Reprocess", "Modified")).alias("n_modified"),
+        F.count_if(o == "Deleted").alias("n_deleted"),
+        F.count_if(o == "Skipped").alias("n_skipped"),
+        F.count_if(o == "Invalid").alias("n_invalid"),
+        F.count_if(o == "Ignored").alias("n_ignored"),
+        F.count_if(o == "Failed").alias("n_failed"),
+    )
+    bad = (F.col("n_invalid") > 0) | (F.col("n_failed") > 0)
+    return s.withColumn("run_status", F.when(bad, F.lit(RUN_PARTIAL)).otherwise(F.lit(RUN_SUCCESS)))
