@@ -1,10 +1,11 @@
 """Hash-set membership (JN-2..4).
 
 The build side is reduced to its distinct keys first, so the join never
-multiplies rows. Whether it is broadcast is decided by Catalyst/AQE from
-the measured size of that distinct-key side (no unconditional hint); a
-hot key on the probe side (many copies of one file) is split by AQE's skew
-join handling.
+multiplies rows. The probe side may have a hot key (many copies of one
+file share a hash): :func:`mediacat.operators.skew.skew_safe_join` attaches
+the flags of the most frequent keys map-side (a broadcast of at most
+``MAX_HOT_KEYS`` rows) and spreads those rows over the shuffle join that
+serves every other key.
 """
 
 from __future__ import annotations
@@ -12,12 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import skew_safe_join
 
-def flag_member(df: DataFrame, members: DataFrame, key: str, member_key: str, flag: str) -> DataFrame:
-    """Add boolean ``flag``: ``df[key]`` occurs in ``members[member_key]``."""
-    keys = members.select(F.col(member_key).alias("_mk")).where(F.col("_mk").isNotNull()).distinct()
+
+def flag_member(
+    df: DataFrame, members: DataFrame, key: str, member_key: str, flag: str, unique: str | None = None
+) -> DataFrame:
+    """Add boolean ``flag``: ``df[key]`` occurs in ``members[member_key]``.
+    ``unique`` names a per-row unique column of ``df`` (default ``path``)."""
+    keys = members.select(F.col(member_key).alias(key)).where(F.col(key).isNotNull()).distinct()
     keys = keys.withColumn(flag, F.lit(True))
-    out = df.join(keys, df[key] == keys["_mk"], "left").drop("_mk")
+    if unique is None and "path" in df.columns:
+        unique = "path"
+    out = skew_safe_join(df, keys, key, "left", unique=unique)
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 

@@ -38,6 +38,7 @@ from ..functions import metadata as M
 from ..functions import names as N
 from ..operators.groups import case_conflicts, live_photo_pairs, stem_waves
 from ..operators.materialize import materialize
+from ..operators.membership import flag_member
 from ..operators.naming import unique_names
 from ..operators.ranking import group_ordinal
 from ..schemas import LEDGER_COLUMNS
@@ -214,8 +215,7 @@ def process_run(
         skip = (F.col("status") == "Unchanged") & F.coalesce(F.col("was_processed"), F.lit(False)) & F.lit(not opts.reprocess)
         state = state.withColumn("skip", skip)
         if trash is not None:
-            tset = trash.select("sha1").distinct().withColumn("in_trash", F.lit(True))
-            state = state.join(tset, "sha1", "left")
+            state = flag_member(state, trash, "sha1", "sha1", "in_trash")
         else:
             state = state.withColumn("in_trash", F.lit(False))
     else:

@@ -13,7 +13,8 @@ and for a non-mp4 base - the same-stem ``.mp4`` (JN-8), unless that output
 is itself a group base. A group without a non-empty backup fails.
 
 Everything is joins and aggregates keyed by the case-folded base; group
-members are never collected into one row.
+members are never collected into one row, and a base with a huge number of
+backups is spread by the skew-safe join.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators.ranking import group_ordinal
+from ..operators.skew import skew_safe_join
 from ..operators.summary import RUN_PARTIAL, RUN_SUCCESS
 
 
@@ -105,11 +107,19 @@ def undo_run(listing: DataFrame, trackers: DataFrame) -> UndoResult:
 
     parts = [
         rows(derived, "delete", F.col("base"), F.lit(None).cast("string"), True),
-        rows(derived.join(b, "gkey"), "delete", F.col("path"), F.lit(None).cast("string"), True),
+        rows(skew_safe_join(b, derived.select("gkey", "base"), "gkey", "inner", unique="path"), "delete", F.col("path"), F.lit(None).cast("string"), True),
         rows(failed, "fail", F.lit(None).cast("string"), F.lit(None).cast("string"), True),
         rows(ok.filter(F.col("base_exists")), "delete_current", F.col("base"), F.lit(None).cast("string"), False),
         rows(ok, "restore", F.col("primary"), F.col("base"), True),
-        rows(ok.join(b, "gkey").filter(F.col("path") != F.col("primary")), "delete", F.col("path"), F.lit(None).cast("string"), True),
+        rows(
+            skew_safe_join(b, ok.select("gkey", "base", "primary"), "gkey", "inner", unique="path").filter(
+                F.col("path") != F.col("primary")
+            ),
+            "delete",
+            F.col("path"),
+            F.lit(None).cast("string"),
+            True,
+        ),
     ]
 
     # JN-8: tracker of the primary backup and the output it names

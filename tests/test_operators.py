@@ -86,3 +86,21 @@ def test_empty_directories(spark):
     files = spark.createDataFrame([("/r/k/f.jpg",), ("/r/top.jpg",)], "path string")
     got = [(r.dir, r.depth) for r in empty_directories(dirs, files, "/r").collect()]
     assert got == [("/r/a/b/c", 4), ("/r/a/b", 3), ("/r/k/l", 3), ("/r/a", 2), ("/r/m", 2)]
+
+
+def test_skew_safe_join_matches_plain_join(spark):
+    from mediacat.operators.skew import skew_safe_join
+
+    rows = [(f"p{i}", "hot" if i % 3 == 0 else (None if i % 17 == 0 else f"k{i % 50}")) for i in range(2000)]
+    big = spark.createDataFrame(rows, "path string, k string")
+    small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), ("zz", 4)], "k string, v int")
+    unmatched_hot = spark.createDataFrame([("k1", 2)], "k string, v int")
+    for how in ("left", "inner"):
+        got = skew_safe_join(big, small, "k", how, unique="path", max_hot=4)
+        ref = big.join(small, "k", how).select("path", "k", "v")
+        assert sorted(map(tuple, got.select("path", "k", "v").collect()), key=str) == sorted(
+            map(tuple, ref.collect()), key=str
+        )
+    # a hot key without a partner keeps its rows (left) and is spread, not lost
+    got = skew_safe_join(big, unmatched_hot, "k", "left", unique="path", max_hot=4)
+    assert got.count() == 2000 and got.filter("k = 'hot' AND v IS NULL").count() == 667
