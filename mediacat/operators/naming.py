@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.names import dir_of, name_of
 from .materialize import materialize
 from .ranking import group_ordinal, group_running_sums
+from .skew import skew_safe_join
 
 SUFFIXED_STEM = r"^(.*)_([1-9][0-9]{0,17})\z"
 
@@ -94,7 +95,13 @@ def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "dest
         .select("_hd", "_d", "_s", "_e", "_k")
     )
     key = ["_hd", "_d", "_s", "_e"]
-    taken = taken.join(need.select(*key).distinct(), key, "left_semi")
+    # one name may have very many taken suffixes: a skew-safe semi join on
+    # the composite name key
+    kk = F.concat_ws("\u0000", F.col("_hd").cast("string"), "_d", "_s", "_e")
+    wanted = need.select(kk.alias("_kk")).distinct()
+    taken = taken.withColumn("_kk", kk)
+    taken = skew_safe_join(taken, wanted, "_kk", "inner", unique=F.concat_ws("\u0000", "_kk", F.col("_k").cast("string")))
+    taken = taken.drop("_kk")
     taken = group_ordinal(taken, key, [F.col("_k")], name="_krank").withColumn("_gap", F.col("_k") - F.col("_krank"))
 
     merged = need.select(*key, F.col("_j").alias("_v"), F.lit(0).alias("_kind"), "_id", "_name", "_j").unionByName(

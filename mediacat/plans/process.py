@@ -41,6 +41,7 @@ from ..operators.materialize import materialize
 from ..operators.membership import flag_member
 from ..operators.naming import unique_names
 from ..operators.ranking import group_ordinal
+from ..operators.skew import skew_safe_join
 from ..schemas import LEDGER_COLUMNS
 from .index import index_run
 
@@ -92,9 +93,10 @@ def next_backup_names(paths: DataFrame, listing: DataFrame) -> DataFrame:
         .filter(parts["is_backup"])
         .select(parts["base"].alias("path"), parts["backup_key"].alias("k"))
         .filter(F.col("k").isNotNull())
-        .join(want, "path", "left_semi")
         .distinct()
     )
+    # one file may have very many numbered backups: skew-safe semi join
+    taken = skew_safe_join(taken, want, "path", "inner", unique=F.concat_ws("#", "path", F.col("k").cast("string")))
     plain = taken.filter(F.col("k") == 0).select("path").withColumn("bak_taken", F.lit(True))
     numbered = group_ordinal(taken.filter(F.col("k") > 0), ["path"], [F.col("k")], name="_r")
     run = numbered.groupBy("path").agg(F.count_if(F.col("k") == F.col("_r")).alias("_run"))

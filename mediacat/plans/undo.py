@@ -57,7 +57,7 @@ def backup_groups(listing: DataFrame) -> DataFrame:
     stats = b.groupBy("gkey").agg(
         F.count(F.lit(1)).alias("n_backups"), F.max(F.col("file_size") > 0).alias("has_nonempty")
     )
-    return ranked.join(stats, "gkey").select(
+    return skew_safe_join(ranked, stats, "gkey", "inner", unique="path").select(
         "gkey", "base", "path", "backup_key", "file_size", "position", "n_backups", "has_nonempty"
     )
 
