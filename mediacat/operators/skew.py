@@ -1,8 +1,8 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
 ``big`` is joined with ``small`` (at most one row per key) on ``key``. The
-``max_hot`` most frequent keys of ``big`` are found with a partial
-aggregate and a top-k (at most ``max_hot`` rows: a broadcast bounded by a
+``max_hot`` most frequent keys of ``big`` are estimated from a seeded
+sample with a top-k (at most ``max_hot`` rows: a broadcast bounded by a
 parameter, not by the data). Their ``small`` rows (again at most
 ``max_hot``) are broadcast and attached map-side; those big rows then get a
 join key made from a per-row unique column, so the shuffle join that serves
@@ -16,12 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 256
+HOT_SAMPLE = 0.01
 _HOT_TAG = "\u0000hot\u0000"
 
 
-def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
-    """The ``max_hot`` most frequent non-null values of ``key`` (column ``key``)."""
-    counts = big.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS, fraction: float | None = HOT_SAMPLE) -> DataFrame:
+    """The ``max_hot`` most frequent non-null values of ``key``, estimated
+    from a seeded sample (a key holding a noticeable share of the rows is
+    always in it). The sample only picks which keys are spread; every row
+    is still joined, so results do not depend on it."""
+    src = big.select(key).where(F.col(key).isNotNull())
+    if fraction is not None and fraction < 1.0:
+        src = src.sample(fraction=fraction, seed=17)
+    counts = src.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return counts.orderBy(F.col("_n").desc(), F.col(key)).limit(max_hot).select(key)
 
 
@@ -32,6 +39,7 @@ def skew_safe_join(
     how: str = "left",
     unique: Column | str | None = None,
     max_hot: int = MAX_HOT_KEYS,
+    fraction: float | None = HOT_SAMPLE,
 ) -> DataFrame:
     """``big`` joined (``left`` or ``inner``) with ``small`` on ``key``;
     ``small`` must hold at most one row per key. ``unique`` is a per-row
@@ -39,7 +47,7 @@ def skew_safe_join(
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     cols = [c for c in small.columns if c != key]
-    hot = F.broadcast(hot_keys(big, key, max_hot))
+    hot = F.broadcast(hot_keys(big, key, max_hot, fraction))
     # every hot key (matched in small or not), with its small row if any:
     # small is filtered map-side by the broadcast list, both sides stay tiny
     matched_hot = small.join(hot, key, "left_semi").withColumn("_sm", F.lit(True))

@@ -96,11 +96,19 @@ def test_skew_safe_join_matches_plain_join(spark):
     small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), ("zz", 4)], "k string, v int")
     unmatched_hot = spark.createDataFrame([("k1", 2)], "k string, v int")
     for how in ("left", "inner"):
-        got = skew_safe_join(big, small, "k", how, unique="path", max_hot=4)
+        got = skew_safe_join(big, small, "k", how, unique="path", max_hot=4, fraction=None)
         ref = big.join(small, "k", how).select("path", "k", "v")
         assert sorted(map(tuple, got.select("path", "k", "v").collect()), key=str) == sorted(
             map(tuple, ref.collect()), key=str
         )
     # a hot key without a partner keeps its rows (left) and is spread, not lost
-    got = skew_safe_join(big, unmatched_hot, "k", "left", unique="path", max_hot=4)
+    got = skew_safe_join(big, unmatched_hot, "k", "left", unique="path", max_hot=4, fraction=0.2)
     assert got.count() == 2000 and got.filter("k = 'hot' AND v IS NULL").count() == 667
+
+
+def test_hot_key_found_from_sample(spark):
+    from mediacat.operators.skew import hot_keys
+
+    rows = [("hot" if i % 3 == 0 else f"k{i}",) for i in range(30000)]
+    df = spark.createDataFrame(rows, "k string")
+    assert [r.k for r in hot_keys(df, "k", max_hot=1).collect()] == ["hot"]
