@@ -475,7 +475,7 @@ def _tree_listing(spark, fx):
 
 @register("listed_files")
 def listed_files(spark, sf_dir):
-    """SRC-1: recursive listing of a landed library (metadata only, content pruned)."""
+    """SRC-1: recursive listing of a landed library (metadata only, no content read)."""
     fx = fixtures(spark, sf_dir)
     _, listing = _tree_listing(spark, fx)
     return listing.select("path", "file_size")
