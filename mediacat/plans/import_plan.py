@@ -144,6 +144,11 @@ def import_run(
         new_tags = F.concat(new_tags, F.array(*[F.lit(t) for t in explicit]))
     imported = imported.withColumn("applied_tags", F.when(writable, new_tags).otherwise(F.array().cast("array<string>")))
 
+    # dates and destinations are computed once: the rows feed the naming
+    # step, the plan and the ledger
+    imported = materialize(
+        imported.select("path", "file_size", "mtime_ticks", "sha256", "sha1", "date", "dest", "applied_tags")
+    )
     existing_df = existing if existing is not None else spark.createDataFrame([], "path string")
     imported = unique_names(imported, existing_df, "dest", "path")
 
