@@ -11,10 +11,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import AS_OF_YEAR, fixtures
+from .fixtures import AS_OF_YEAR, LIB_ROOT, MEDIA_ROOT, fixtures, stage_media_tree
+from .functions import dates as D
+from .functions import metadata as M
+from .functions import names as N
+from .functions import tags as TG
 from .operators import ledger as led
-from .operators.summary import run_summary
+from .operators.directories import empty_directories
+from .operators.groups import case_conflicts, live_photo_pairs, stem_waves
+from .operators.membership import flag_member
+from .operators.naming import unique_names
+from .operators.ranking import first_in_group
+from .operators.summary import run_summary, skipped_extensions
+from .plans.import_plan import ImportOptions, import_run
 from .plans.index import index_run
+from .plans.process import ProcessOptions, next_backup_names, process_run
+from .plans.trash_sync import trash_sync, visited_pages
+from .plans.undo import backup_groups, group_table, undo_run
+from .plans.verify import container_path, verify_run
+from .session import scratch_path
+from .sinks import snapshots as SN
+from .sources.files import hash_files, list_files, read_trackers
+from .sources.trash_feed import parse_feed_pages
+from .sources.verdicts import parse_verdict_lines
+from .streaming.stream_index import start_ledger, stream_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,11 +86,6 @@ def index_mark_processed_outcomes(spark, sf_dir):
 
 
 # ------------------------------------------------------------ column jobs
-from .functions import dates as D  # noqa: E402
-from .functions import metadata as M  # noqa: E402
-from .functions import names as N  # noqa: E402
-from .functions import tags as TG  # noqa: E402
-from .fixtures import LIB_ROOT  # noqa: E402
 
 
 @register("media_names")
@@ -173,10 +188,6 @@ def import_tags(spark, sf_dir):
 
 
 # ------------------------------------------------------------ import
-from .operators.membership import flag_member  # noqa: E402
-from .operators.naming import unique_names  # noqa: E402
-from .operators.ranking import first_in_group  # noqa: E402
-from .plans.import_plan import ImportOptions, import_run  # noqa: E402
 
 
 def _import(spark, sf_dir):
@@ -250,8 +261,6 @@ def unique_destinations(spark, sf_dir):
 
 
 # ------------------------------------------------------------ trash feed
-from .plans.trash_sync import trash_sync, visited_pages  # noqa: E402
-from .sources.trash_feed import parse_feed_pages  # noqa: E402
 
 
 def _landed_pages(fx) -> DataFrame:
@@ -305,8 +314,6 @@ def trash_sync_totals(spark, sf_dir):
 
 
 # ------------------------------------------------------------ process
-from .operators.groups import case_conflicts, live_photo_pairs, stem_waves  # noqa: E402
-from .plans.process import ProcessOptions, next_backup_names, process_run  # noqa: E402
 
 
 def _probe(fx) -> DataFrame:
@@ -375,7 +382,6 @@ def process_ledger(spark, sf_dir):
 
 
 # ------------------------------------------------------------ undo
-from .plans.undo import backup_groups, group_table, undo_run  # noqa: E402
 
 
 @register("backup_groups")
@@ -405,9 +411,6 @@ def undo_summary(spark, sf_dir):
 
 
 # ------------------------------------------------------------ verify
-from .fixtures import MEDIA_ROOT  # noqa: E402
-from .plans.verify import container_path, verify_run  # noqa: E402
-from .sources.verdicts import parse_verdict_lines  # noqa: E402
 
 
 def _verify(spark, sf_dir):
@@ -449,7 +452,6 @@ def verify_ledger(spark, sf_dir):
 
 
 # ------------------------------------------------------------ directories
-from .operators.directories import empty_directories  # noqa: E402
 
 
 @register("empty_directories")
@@ -460,11 +462,6 @@ def empty_directories_q(spark, sf_dir):
 
 
 # ------------------------------------------------------------ sources, sinks, streaming
-from .fixtures import stage_media_tree  # noqa: E402
-from .session import scratch_path  # noqa: E402
-from .sinks import snapshots as SN  # noqa: E402
-from .sources.files import hash_files, list_files, read_trackers  # noqa: E402
-from .streaming.stream_index import start_ledger, stream_index  # noqa: E402
 
 
 def _tree_listing(spark, fx):
@@ -551,7 +548,6 @@ def stream_index_ledger(spark, sf_dir):
 
 
 # ------------------------------------------------------------ ledger merges, report
-from .operators.summary import skipped_extensions  # noqa: E402
 
 
 @register("skipped_extensions")
