@@ -41,14 +41,24 @@ def _join_name(has_dir: Column, d: Column, stem: Column, k: Column, ext: Column)
     return F.when(has_dir, F.concat(d, F.lit("/"), nm)).otherwise(nm)
 
 
-def unique_names(requests: DataFrame, existing: DataFrame, name_col: str = "dest", order_col: str = "path") -> DataFrame:
+def unique_names(
+    requests: DataFrame,
+    existing: DataFrame,
+    name_col: str = "dest",
+    order_col: str = "path",
+    cut_input: bool = True,
+) -> DataFrame:
     """Add ``final_<name_col>`` to ``requests``: the requested name when free,
     else the smallest free suffixed name, distinct across all requests.
 
     ``order_col`` must be unique per request; it decides who keeps a name.
     ``existing`` holds the names already present (column ``path``).
+    ``cut_input=False`` skips materialising the requests when the caller
+    passes a table that is already materialised.
     """
-    req = materialize(requests.select(F.col(order_col).alias("_id"), F.col(name_col).alias("_name")))
+    req = requests.select(F.col(order_col).alias("_id"), F.col(name_col).alias("_name"))
+    if cut_input:
+        req = materialize(req)
     if req.isEmpty():
         return requests.withColumn("final_" + name_col, F.lit(None).cast("string"))
     ex = existing.select(F.col("path").alias("_name")).distinct()

@@ -247,7 +247,9 @@ def process_run(
         existing = listing_paths
         if not opts.skip_backup:
             existing = existing.join(conv.select("path"), "path", "left_anti")
-        conv = unique_names(conv, existing, "dest", "path").select("path", F.col("final_dest").alias("convert_target"))
+        conv = unique_names(conv, existing, "dest", "path", cut_input=False).select(
+            "path", F.col("final_dest").alias("convert_target")
+        )
         decided = decided.join(conv, "path", "left")
         target = (
             F.when(F.col("rule") == "mime", F.col("mime_target"))
@@ -264,7 +266,8 @@ def process_run(
         if again.count() == 0:
             break
         converted = F.col("action") == "convert"
-        state = materialize(
+        # read straight from this round's materialised decisions
+        state = (
             again.select(
                 F.col("target").alias("path"),
                 "origin",
