@@ -278,7 +278,6 @@ def stage_media_tree(spark: SparkSession, fx: Fixtures) -> str:
     """Land every fixture file as a real file (its bytes are the document
     text) plus the conversion trackers, below a scratch root; returns the
     root URI prefix under which '/lib/...' paths live. Input staging only."""
-    import os
     import uuid
 
     from .session import ensure_checkpoint_dir
@@ -287,7 +286,6 @@ def stage_media_tree(spark: SparkSession, fx: Fixtures) -> str:
         return fx._tree
     base = ensure_checkpoint_dir(spark).rstrip("/")
     root = f"{base}/mediacat-tree/{uuid.uuid4().hex}"
-    local_root = root[len("file:") :] if root.startswith("file:") else root
 
     fx.table("documents").createOrReplaceTempView("documents")
     fx.media_names.createOrReplaceTempView("media_names")
@@ -298,13 +296,16 @@ def stage_media_tree(spark: SparkSession, fx: Fixtures) -> str:
     def write(it):
         import pandas as pd
 
+        from .sources.files import _fs_and_path
+
+        filesystem, base_path = _fs_and_path(root)
         n = 0
         for pdf in it:
             for p, body in zip(pdf["path"], pdf["body"]):
-                target = local_root + p
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "w", encoding="utf-8") as fh:
-                    fh.write(body)
+                target = base_path.rstrip("/") + p
+                filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with filesystem.open_output_stream(target) as out:
+                    out.write(body.encode("utf-8"))
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
