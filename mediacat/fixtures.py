@@ -309,6 +309,6 @@ def stage_media_tree(spark: SparkSession, fx: Fixtures) -> str:
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
-    payload.mapInPandas(write, "n long").collect()
+    payload.mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
     fx._tree = root
     return root
