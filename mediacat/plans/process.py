@@ -263,7 +263,7 @@ def process_run(
         )
         rounds.append(decided)
         again = decided.filter(F.col("outcome") == "Reprocess")
-        if again.count() == 0:
+        if again.isEmpty():
             break
         converted = F.col("action") == "convert"
         # read straight from this round's materialised decisions

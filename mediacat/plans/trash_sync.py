@@ -55,7 +55,7 @@ def visited_pages(items: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
     jump = materialize(jump)
     reached = materialize(pt.filter(F.col("page") == 1).select("page"))
-    size = reached.count()
+    size = reached.count()  # one number per round: the "did it grow" flag
     for _ in range(max_rounds):
         step = reached.join(jump, "page").filter(F.col("to").isNotNull()).select(F.col("to").alias("page"))
         grown = materialize(reached.unionByName(step).distinct())
