@@ -150,7 +150,7 @@ def import_run(
         imported.select("path", "file_size", "mtime_ticks", "sha256", "sha1", "date", "dest", "applied_tags")
     )
     existing_df = existing if existing is not None else spark.createDataFrame([], "path string")
-    imported = unique_names(imported, existing_df, "dest", "path")
+    imported = unique_names(imported, existing_df, "dest", "path", cut_input=False)
 
     plan_imported = imported.select(
         "path",
