@@ -69,7 +69,7 @@ def index_outcomes(spark, sf_dir):
 
 @register("index_ledger")
 def index_ledger(spark, sf_dir):
-    """PLN-1 + MUT-1..3: next ledger snapshot after an index run."""
+    """PLN-1: next ledger snapshot (inserts, hash updates and metadata updates in one merge)."""
     return _index(spark, sf_dir).ledger
 
 
@@ -219,7 +219,7 @@ def import_summary(spark, sf_dir):
 
 @register("import_ledger_next")
 def import_ledger_next(spark, sf_dir):
-    """PLN-2 + MUT-1/2: import ledger after the run (keyed by source path)."""
+    """PLN-2: import ledger after the run, keyed by source path (new sources inserted, known ones updated)."""
     return _import(spark, sf_dir).ledger
 
 
