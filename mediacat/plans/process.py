@@ -18,8 +18,9 @@ reference):
 
 Renamed and converted files re-enter (PLN-4) until no row changes; the rule
 chain bounds this to a few rounds (mime rename -> case rename -> convert ->
-settle), independent of the data. Every round is checkpointed; the only
-driver-side value is the "anything re-entered" count. Same-stem files get
+settle), independent of the data. Every round's decisions are written as a
+table under the checkpoint directory; the driver only reads emptiness flags
+("anything re-entered", "any convert target to name"). Same-stem files get
 a ``wave`` (WIN-2): the order in which the plan must be executed.
 
 What a converted file will look like is modelled, not probed: same
