@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 256
 HOT_SAMPLE = 0.01
-_HOT_TAG = "\u0000hot\u0000"
 
 
 def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS, fraction: float | None = HOT_SAMPLE) -> DataFrame:
@@ -57,13 +56,19 @@ def skew_safe_join(
     u = F.xxhash64(*[F.col(c) for c in big.columns]) if unique is None else (F.col(unique) if isinstance(unique, str) else unique)
     x = big.join(F.broadcast(small_hot), big[key] == F.col("_hk"), "left")
     spread = F.col("_hk").isNotNull() | big[key].isNull()
-    # hot rows (and rows without a key) get a join key that matches nothing
-    # and hashes evenly
-    x = x.withColumn("_jk", F.when(spread, F.concat(F.lit(_HOT_TAG), u.cast("string"))).otherwise(F.col(key).cast("string")))
+    # hot rows (and rows without a key) get a per-row join key that hashes
+    # evenly; the ``_js`` flag, false on the small side, keeps them from ever
+    # matching a real key
+    x = x.withColumn("_js", spread).withColumn(
+        "_jk", F.when(spread, u.cast("string")).otherwise(F.col(key).cast("string"))
+    )
     cold = small.select(
-        F.col(key).cast("string").alias("_jk"), F.lit(True).alias("_cm"), *[F.col(c).alias("_c_" + c) for c in cols]
+        F.lit(False).alias("_js"),
+        F.col(key).cast("string").alias("_jk"),
+        F.lit(True).alias("_cm"),
+        *[F.col(c).alias("_c_" + c) for c in cols],
     )
-    x = x.join(cold, "_jk", "left")
+    x = x.join(cold, ["_js", "_jk"], "left")
     matched = F.coalesce(F.col("_hm"), F.col("_cm"), F.lit(False))
     if how == "inner":
         x = x.filter(matched)
