@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from .fixtures import AS_OF_YEAR, duckdb_with
+from .functions import dates as DT
 from .functions import names as N
 
 ORACLE: dict[str, str] = {}
@@ -131,8 +132,6 @@ FROM allrows
 
 
 # ------------------------------------------------------------ column jobs
-from .functions import dates as DT  # noqa: E402
-from .functions import metadata as MD  # noqa: E402
 
 
 def q(s: str) -> str:
