@@ -50,15 +50,7 @@ def group_running_sums(
     local = ranged
     for i in range(len(names)):
         local = local.withColumn(f"_rs_l{i}", F.sum(f"_rs_v{i}").over(w))
-    # totals of each (key, partition) piece and, per key, what came before
-    pieces = local.groupBy(*keys, "_rs_pid").agg(*[F.sum(f"_rs_v{i}").alias(f"_rs_t{i}") for i in range(len(names))])
-    before = Window.partitionBy(*keys).orderBy("_rs_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces
-    for i in range(len(names)):
-        offsets = offsets.withColumn(f"_rs_o{i}", F.sum(f"_rs_t{i}").over(before))
-    offsets = offsets.filter(F.col("_rs_o0").isNotNull()).select(
-        *keys, "_rs_pid", *[f"_rs_o{i}" for i in range(len(names))]
-    )
+    offsets = boundary_offsets(local, keys, len(names))
     out = local.join(F.broadcast(offsets), [*keys, "_rs_pid"], "left")
     for i, nm in enumerate(names):
         total = F.col(f"_rs_l{i}") + F.coalesce(F.col(f"_rs_o{i}"), F.lit(0).cast("long"))
@@ -69,6 +61,18 @@ def group_running_sums(
     return out.drop(*drop)
 
 
+def boundary_offsets(local: DataFrame, keys: list[str], n_values: int) -> DataFrame:
+    """Per (key, partition) piece, the totals of the same key in earlier
+    partitions, kept only where non-empty: at most one row per partition,
+    since only a partition's first key can continue from before."""
+    pieces = local.groupBy(*keys, "_rs_pid").agg(*[F.sum(f"_rs_v{i}").alias(f"_rs_t{i}") for i in range(n_values)])
+    before = Window.partitionBy(*keys).orderBy("_rs_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces
+    for i in range(n_values):
+        offsets = offsets.withColumn(f"_rs_o{i}", F.sum(f"_rs_t{i}").over(before))
+    return offsets.filter(F.col("_rs_o0").isNotNull()).select(*keys, "_rs_pid", *[f"_rs_o{i}" for i in range(n_values)])
+
+
 def group_running_sum(
     df: DataFrame,
     keys: list[str],

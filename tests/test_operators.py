@@ -112,3 +112,16 @@ def test_hot_key_found_from_sample(spark):
     rows = [("hot" if i % 3 == 0 else f"k{i}",) for i in range(30000)]
     df = spark.createDataFrame(rows, "k string")
     assert [r.k for r in hot_keys(df, "k", max_hot=1).collect()] == ["hot"]
+
+
+def test_ranking_broadcast_is_bounded_by_partitions(spark):
+    from mediacat.operators.ranking import boundary_offsets
+
+    rows = [("hot" if i % 2 == 0 else f"k{i % 300}", f"p{i:06d}") for i in range(20000)]
+    df = spark.createDataFrame(rows, "k string, p string").withColumn("_rs_v0", F.lit(1).cast("long"))
+    n = 12
+    ranged = df.repartitionByRange(n, "k", "p").withColumn("_rs_pid", F.spark_partition_id())
+    offsets = boundary_offsets(ranged, ["k"], 1)
+    got = offsets.collect()
+    assert 0 < len(got) <= n
+    assert sum(1 for r in got if r.k == "hot") >= 2  # the hot key continues over several partitions
