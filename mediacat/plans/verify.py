@@ -64,7 +64,8 @@ def verify_run(
     next_ledger = None
     if ledger is not None:
         idx = index_run(cand, ledger, hasher)
-        cand = cand.join(idx.outcomes.select("path", "status", "was_processed"), "path", "left")
+        # the index outcomes already carry every candidate (no re-join)
+        cand = idx.outcomes.select("path", "status", "was_processed")
         skipped_flag = (F.col("status") == "Unchanged") & F.coalesce(F.col("was_processed"), F.lit(False)) & F.lit(not reprocess)
         skipped = cand.filter(skipped_flag).select("path", F.lit("Skipped").alias("outcome"))
         cand = pending(cand, reprocess)
