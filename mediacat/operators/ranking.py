@@ -4,12 +4,14 @@
 key to one task; when one key holds a third of all rows that task holds a
 third of the data. Here rows are instead range-partitioned on
 ``(key, order)``: the sampler splits a hot key over as many partitions as
-its size needs. Each partition computes local running sums per key; the
-only cross-partition information is, for each partition, the total of its
-*first* key in the partitions before it. At most one key per partition can
-continue from an earlier partition, so that offset table has at most
-``num_partitions`` rows: its broadcast is bounded by construction, not by
-the data.
+its size needs. The ranged rows are *written once* together with the number
+of the range piece they fell into, so everything that follows agrees on the
+pieces: a range exchange planned twice samples its bounds twice and the two
+need not match. Each piece computes local running sums per key; the only
+cross-piece information is the total of the same key in earlier pieces. At
+most one key per piece can continue from an earlier piece, so that offset
+table has at most ``num_partitions`` rows: its broadcast is bounded by
+construction, not by the data.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -32,45 +36,55 @@ def group_running_sums(
 ) -> DataFrame:
     """For every ``name -> value`` add ``name`` = sum of ``value`` over the
     rows of the same ``keys`` group that sort before this row by ``order``
-    (and the row itself when ``inclusive``). ``order`` must make the rows of
-    a group distinct.
+    (and the row itself when ``inclusive``). No ``keys``: one running sum
+    over the whole table. Rows of a group that tie in ``order`` are taken in
+    the order they were written.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order)
     key_cols = _cols(keys)
     names = list(values)
-    ranged = df
-    for i, nm in enumerate(names):
-        ranged = ranged.withColumn(f"_rs_v{i}", values[nm].cast("long"))
-    ranged = ranged.repartitionByRange(n, *key_cols, *order_cols).withColumn("_rs_pid", F.spark_partition_id())
-    w = Window.partitionBy(*key_cols, F.col("_rs_pid")).orderBy(*order_cols).rowsBetween(
+    ranged = df.withColumns({f"_rs_v{i}": values[nm].cast("long") for i, nm in enumerate(names)})
+    ordered = ranged.withColumn("_rs_ord", F.struct(*order_cols))
+    ranged = ordered.repartitionByRange(n, *key_cols, "_rs_ord").withColumn("_rs_pid", F.spark_partition_id())
+    ranged = materialize(ranged.withColumn("_rs_row", F.monotonically_increasing_id()))
+    w = Window.partitionBy(*key_cols, "_rs_pid").orderBy("_rs_ord", "_rs_row").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = ranged
-    for i in range(len(names)):
-        local = local.withColumn(f"_rs_l{i}", F.sum(f"_rs_v{i}").over(w))
-    offsets = boundary_offsets(local, keys, len(names))
-    out = local.join(F.broadcast(offsets), [*keys, "_rs_pid"], "left")
+    local = ranged.withColumns({f"_rs_l{i}": F.sum(f"_rs_v{i}").over(w) for i in range(len(names))})
+    offsets = boundary_offsets(ranged, keys, len(names)).withColumnsRenamed({k: f"_rs_k{i}" for i, k in enumerate(keys)})
+    on = F.col("_rs_pid") == F.col("_rs_opid")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_rs_k{i}"))
+    out = local.join(F.broadcast(offsets), on, "left")
     for i, nm in enumerate(names):
         total = F.col(f"_rs_l{i}") + F.coalesce(F.col(f"_rs_o{i}"), F.lit(0).cast("long"))
         if not inclusive:
             total = total - F.col(f"_rs_v{i}")
         out = out.withColumn(nm, total)
-    drop = ["_rs_pid"] + [f"_rs_{p}{i}" for p in "vlo" for i in range(len(names))]
-    return out.drop(*drop)
+    return out.drop(*[c for c in out.columns if c.startswith("_rs_")])
+
 
+def boundary_offsets(ranged: DataFrame, keys: list[str], n_values: int) -> DataFrame:
+    """Per (key, piece), the totals of the same key in earlier pieces, kept
+    only where there are any: at most one row per piece when there are
+    ``keys`` (only a piece's first key can continue from before), and one
+    row per piece without them.
 
-def boundary_offsets(local: DataFrame, keys: list[str], n_values: int) -> DataFrame:
-    """Per (key, partition) piece, the totals of the same key in earlier
-    partitions, kept only where non-empty: at most one row per partition,
-    since only a partition's first key can continue from before."""
-    pieces = local.groupBy(*keys, "_rs_pid").agg(*[F.sum(f"_rs_v{i}").alias(f"_rs_t{i}") for i in range(n_values)])
+    Only the first and the last key of a piece can meet another piece, so
+    keys that lie wholly inside one piece are dropped before the window.
+    """
+    pieces = ranged.groupBy(*keys, "_rs_pid").agg(*[F.sum(f"_rs_v{i}").alias(f"_rs_t{i}") for i in range(n_values)])
+    if keys:
+        edge = F.struct(*keys)
+        ends = ranged.groupBy("_rs_pid").agg(F.min(edge).alias("_rs_lo"), F.max(edge).alias("_rs_hi"))
+        pieces = pieces.join(F.broadcast(ends), "_rs_pid").where((edge == F.col("_rs_lo")) | (edge == F.col("_rs_hi")))
     before = Window.partitionBy(*keys).orderBy("_rs_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces
-    for i in range(n_values):
-        offsets = offsets.withColumn(f"_rs_o{i}", F.sum(f"_rs_t{i}").over(before))
-    return offsets.filter(F.col("_rs_o0").isNotNull()).select(*keys, "_rs_pid", *[f"_rs_o{i}" for i in range(n_values)])
+    offsets = pieces.withColumns({f"_rs_o{i}": F.sum(f"_rs_t{i}").over(before) for i in range(n_values)})
+    return offsets.where(F.col("_rs_o0").isNotNull()).select(
+        *keys, F.col("_rs_pid").alias("_rs_opid"), *[f"_rs_o{i}" for i in range(n_values)]
+    )
 
 
 def group_running_sum(

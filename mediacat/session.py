@@ -8,6 +8,7 @@ configuration (shuffle partitions, checkpoint directory, AQE flags) wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,9 +44,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "media
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a fresh scratch folder is
-    created and registered.
+    ``spark.checkpoint.dir`` names the folder that driver and executors
+    share and is used as is. Only a ``local`` master, whose tasks all run in
+    the driver's own process, may go without it: a fresh scratch folder is
+    then made and registered. Anywhere else an unset folder is an error,
+    because each executor would write to a disk the others cannot see.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="mediacat-ckpt-", dir="/tmp")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="mediacat-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

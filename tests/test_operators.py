@@ -125,3 +125,40 @@ def test_ranking_broadcast_is_bounded_by_partitions(spark):
     got = offsets.collect()
     assert 0 < len(got) <= n
     assert sum(1 for r in got if r.k == "hot") >= 2  # the hot key continues over several partitions
+
+
+def test_ordinals_of_many_rows_with_extra_columns(spark):
+    """Large enough that the range sampler really samples, with columns the
+    ranking does not use, and the result written out before it is compared."""
+    from mediacat.operators.materialize import materialize
+
+    n = 240_000
+    df = spark.range(n, numPartitions=7).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.pmod(F.xxhash64("id"), F.lit(40)))).alias("k"),
+        F.sha1(F.col("id").cast("string")).alias("p"),
+        F.md5(F.col("id").cast("string")).alias("extra"),
+        (F.col("id") % 11).alias("v"),
+    )
+    got = materialize(group_running_sums(df, ["k"], [F.col("p")], {"ord": F.lit(1), "run": F.col("v")}, num_partitions=16))
+    w = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ref = df.select("p", F.row_number().over(w).alias("ord2"), F.sum("v").over(w).alias("run2"))
+    assert got.count() == n and set(got.columns) == {"k", "p", "extra", "v", "ord", "run"}
+    assert got.join(ref, "p").where("ord = ord2 AND run = run2").count() == n
+    whole = materialize(group_ordinal(df, [], [F.col("p")], num_partitions=16))
+    ref = df.select("p", F.row_number().over(Window.orderBy("p")).alias("ord2"))
+    assert whole.join(ref, "p").where("ordinal = ord2").count() == n
+
+
+def test_unique_names_stay_distinct_at_size(spark):
+    from mediacat.operators.materialize import materialize
+
+    n = 200_000
+    req = spark.range(n, numPartitions=5).select(
+        F.format_string("s%07d", F.col("id")).alias("path"),
+        F.concat(F.lit("/o/"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.pmod(F.xxhash64("id"), F.lit(60000)).cast("string")), F.lit(".jpg")).alias("dest"),
+        F.md5(F.col("id").cast("string")).alias("extra"),
+    )
+    ex = spark.range(20_000).select(F.concat(F.lit("/o/"), F.pmod(F.xxhash64("id"), F.lit(60000)).cast("string"), F.lit("_1.jpg")).alias("path"))
+    got = materialize(unique_names(req, ex))
+    assert got.count() == n and got.select("final_dest").distinct().count() == n
+    assert got.join(ex.withColumnRenamed("path", "final_dest"), "final_dest", "left_semi").count() == 0
