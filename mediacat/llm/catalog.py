@@ -17,6 +17,7 @@ from .mixing import REST, mixing_order
 from .quality_rules import quality_verdicts
 from .secret_scan import secret_spans
 from .sharding import shard_documents
+from .substring_dedup import repeated_passages
 from .url_filter import DEFAULT_VERDICT, GLOB_RULES, HOST_RULES, url_verdicts
 from .warc import warc_round_trip
 
@@ -34,6 +35,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), [*HOST_RULES, *GLOB_RULES], DEFAULT_VERDICT)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that repeats across documents, with its cluster."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and the place."""
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -84,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op3_decontaminate, op4_secret_scan, op5_minhash_dedup, op6_warc, op7_sharding, op8_mixing,
+        op1_url_filter, op2_substring_dedup, op3_decontaminate, op4_secret_scan, op5_minhash_dedup, op6_warc, op7_sharding, op8_mixing,
         op9_language_id, op10_quality_rules, pipeline,
     )
 }

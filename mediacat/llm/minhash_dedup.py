@@ -106,7 +106,7 @@ def with_sets(docs: DataFrame, text_col: str, shingle: int, keep: list[str]) ->
     return map_texts(docs, text_col, StructType([StructField("_set", ArrayType(LongType()))]), run, keep)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose full sets are ``percent`` similar. The
     sets of ``b`` travel with the pairs; that of ``a``, which many pairs may
     share, is joined last, where a skewed key can be split."""
@@ -119,7 +119,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
-def _rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a`` < ``b``) of ``wanted`` (``_id``, ``_comp``) in different
     components whose sets may be ``percent`` similar, none left out.
 
@@ -184,7 +184,7 @@ def near_duplicates(
     sets = source.join(used, "_id", "left_semi")
     sets = with_sets(sets, "_body", shingle, ["_id"]).withColumn("_sum", F.xxhash64("_set"))
     sets = materialize(sets.where(F.size("_set") > 0).dropDuplicates(["_id", "_sum"]).drop("_sum"))
-    links = materialize(_verified(pairs, sets, percent))
+    links = materialize(verified(pairs, sets, percent))
     roots = components(links)
 
     # buckets whose members, their smallest aside, are not all connected yet
@@ -192,7 +192,7 @@ def near_duplicates(
     placed = crowd.join(roots, F.col("b") == F.col("node"), "left").select("_key", "b", comp.alias("_comp"))
     open_keys = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
     wanted = materialize(placed.join(open_keys, "_key", "left_semi").select(F.col("b").alias("_id"), "_comp").distinct())
-    more = _verified(_rare_token_pairs(sets, wanted, percent), sets, percent)
+    more = verified(rare_token_pairs(sets, wanted, percent), sets, percent)
 
     # an id with several sets belongs to the class of each
     reps = classes.where("_copies > 1").select("_d1", "_d2", "_n", "_rep")
