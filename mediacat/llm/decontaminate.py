@@ -57,16 +57,16 @@ def embed(hashes: np.ndarray, starts: np.ndarray, size: int, repeat: int) -> np.
     steps = 2 * size
     rng = np.random.default_rng([size, repeat])
     sampled = np.sort(rng.choice(steps, SAMPLED[size], replace=False)) if size > 1 else np.array([0])
-    bits = mix(hashes * _SEED + np.uint64(repeat + 1))  # bit j of a word: does step j move on from it?
-    at, end = starts.copy(), starts + size
+    # bit j of a word: does step j move on from it?
+    bits = np.zeros(len(hashes) + steps, np.uint16)
+    bits[: len(hashes)] = mix(hashes * _SEED + np.uint64(repeat + 1)).astype(np.uint16)
+    read = np.append(hashes, np.zeros(steps, np.uint64))
+    at, end = starts.astype(np.intp), starts + size
     key = np.full(len(starts), repeat * 1000 + size, np.uint64)
-    last = len(hashes) - 1
     for j in range(int(sampled[-1]) + 1):
-        inside = at < end
-        here = np.minimum(at, last)
         if j in sampled:
-            key = mix(key * np.uint64(0xD1342543DE82EF95) + np.where(inside, hashes[here], np.uint64(0)))
-        at += (inside & ((bits[here] >> np.uint64(j)) & np.uint64(1) > 0)).astype(at.dtype)
+            key = mix(key * np.uint64(0xD1342543DE82EF95) + np.where(at < end, read[at], np.uint64(0)))
+        at += (bits[at] >> np.uint16(j)) & np.uint16(1)
     return key
 
 
@@ -187,23 +187,32 @@ def hits(index: Index, block: Block) -> Iterator[tuple[int, int, int, int, int]]
         i = int(item[part[0]])
         word, edits = index.items[i], index.max_edits(i)
         width = len(word) + 2 * edits
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[int, tuple[int, int]] = {}
+        own = np.unique(word)
         # at a time as many places as keep the table of an alignment small
         for lo in range(0, len(part), max(1, _CELLS // (width + 1))):
             some = part[lo : lo + max(1, _CELLS // (width + 1))]
-            place = (start[some] - edits)[:, None] + np.arange(width)
-            inside = (place >= at[row[some]][:, None]) & (place < at[row[some] + 1][:, None])
-            region = np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(0))
-            distance, end = alignments(word, region)
+            region = _region(hashes, at, row[some], start[some] - edits, width)
+            # all but ``edits`` of the item's words have to stand there
+            known = own[np.minimum(np.searchsorted(own, region), len(own) - 1)] == region
+            likely = np.flatnonzero(known.sum(axis=1) >= len(word) - edits)
+            distance, end = alignments(word, region[likely])
             for k in np.flatnonzero(distance <= edits):
-                first = max(0, end[k] - len(word) - edits)
-                back, size = alignments(word[::-1], region[k : k + 1, first : end[k]][:, ::-1], free_start=False)
-                base = start[some[k]] - edits - at[row[some[k]]]
-                found = (int(distance[k]), int(base + end[k] - size[0]), int(base + end[k]))
-                r = int(row[some[k]])
+                r = int(row[some[likely[k]]])
+                found = int(distance[k]), int(start[some[likely[k]]] - edits + end[k])
                 best[r] = min(best.get(r, found), found)
-        for r, (d, first, end) in best.items():
-            yield r, i, d, first, end
+        for r, (d, end) in best.items():
+            # backwards from its end, the place begins where the same distance is reached
+            back = _region(hashes, at, np.array([r]), np.array([end - len(word) - edits]), len(word) + edits)
+            _, size = alignments(word[::-1], back[:, ::-1], free_start=False)
+            yield r, i, d, end - int(size[0]) - int(at[r]), end - int(at[r])
+
+
+def _region(hashes: np.ndarray, at: np.ndarray, row: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """For each place the ``width`` words from ``first`` on; 0 where the text has none."""
+    place = first[:, None] + np.arange(width)
+    inside = (place >= at[row][:, None]) & (place < at[row + 1][:, None])
+    return np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(0))
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:

@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from .tables import numbered, original
 from .textblocks import Block, blocks, map_texts, row_of
 
 FEATURES = 1 << 15
-#: most texts of a language that weigh the bit classifiers (those of least hash)
+#: expected number of a language's texts in the sample that weighs the bit classifiers
 WEIGHING_TEXTS = 500
+SEED = 9
 AMBIGUOUS_BELOW = 0.6
 UNKNOWN = "und"
 
@@ -108,12 +110,13 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
     """Learn from the rows of ``texts`` with a non-null ``lang_col``.
 
     The driver gets one count for each language and cell (``FEATURES`` cells
-    at most for each) and, for the bits' weights, sums over up to
-    ``WEIGHING_TEXTS`` texts of each language. No labelled row at all gives a
+    at most for each) and, for the bits' weights, sums over a seeded sample of
+    about ``WEIGHING_TEXTS`` texts of each language. No labelled row at all gives a
     model without languages, which predicts only ``und``.
     """
     rows = texts.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_body"))
-    # the cells' counts of each row's language, summed up within a task first
+    # the cells' counts of each row's language, summed up within a task first;
+    # one more cell counts its texts
     schema = StructType([StructField("_lang", StringType()), StructField("_cells", ArrayType(LongType())), StructField("_counts", ArrayType(LongType()))])
 
     def count(batches):
@@ -125,8 +128,8 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
                 of = row_of(offsets)
                 here = langs[b.lo : b.hi]
                 for lang in set(here):
-                    own = cells[(here == lang)[of]]
-                    sums[lang] = sums.get(lang, 0) + np.bincount(own, minlength=FEATURES)
+                    own = here == lang
+                    sums[lang] = sums.get(lang, 0) + np.append(np.bincount(cells[own[of]], minlength=FEATURES), own.sum())
         for lang, total in sums.items():
             cells = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([cells], pa.list_(pa.int64())), pa.array([total[cells]], pa.list_(pa.int64()))], names=schema.names)
@@ -137,8 +140,9 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
     languages = sorted(table["_lang"].unique())
     code = codewords(len(languages))
     index = {x: i for i, x in enumerate(languages)}
-    total = np.zeros((len(languages), FEATURES))
+    total = np.zeros((len(languages), FEATURES + 1))
     total[table["_lang"].map(index).to_numpy(dtype=int), table["cell"].to_numpy(dtype=int)] = table["n"].to_numpy(dtype=float)
+    total, texts_of = total[:, :-1], dict(zip(languages, total[:, -1], strict=True))
     share = (total + 0.5) / (total + 0.5).sum(axis=1, keepdims=True) if len(languages) else total
     odds = np.zeros((code.shape[1], FEATURES))
     for b in range(code.shape[1]):
@@ -146,15 +150,15 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
     scale = np.maximum(np.abs(odds @ share.T).mean(axis=1, keepdims=True), 1e-9) if len(languages) else 1.0
     model = Model(languages, code, (odds / scale).astype(np.float32), np.ones(code.shape))
     if code.shape[1]:
-        model.weight = _weights(model, rows)
+        model.weight = _weights(model, rows, texts_of)
     return model
 
 
-def _weights(model: Model, rows: DataFrame) -> np.ndarray:
+def _weights(model: Model, rows: DataFrame, texts_of: dict[str, float]) -> np.ndarray:
     """For each language the share of its texts that each bit's classifier
-    gets right, over a bounded sample of them, normalised to sum to 1."""
-    bound = WEIGHING_TEXTS * len(model.languages)
-    sample = rows.orderBy(F.xxhash64("_body", "_lang")).limit(bound)
+    gets right, over the sample of them, normalised to sum to 1."""
+    shares = F.create_map(*[x for lang, n in texts_of.items() for x in (F.lit(lang), F.lit(min(1.0, WEIGHING_TEXTS / n)))])
+    sample = rows.where(F.rand(SEED) < shares[F.col("_lang")])
     schema = StructType([StructField("_lang", StringType()), StructField("_right", ArrayType(LongType()))])
     index = {x: i for i, x in enumerate(model.languages)}
 
@@ -187,31 +191,33 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     ``AMBIGUOUS_BELOW``). A text without a letter of any script, empty and
     null ones too, is ``und`` with a score of 0. Only the text is looked at."""
     fields = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("second_lang", StringType()), StructField("ambiguous", BooleanType())])
-    names = np.array(model.languages, object)
+    labels = np.array(model.languages, object)
 
     def run(texts: pa.Array) -> list[pa.Array]:
         best, second, score = [], [], []
         for b in blocks(texts):
-            if len(names) < 2:
-                best += [names[0] if len(names) else UNKNOWN] * b.rows
+            if len(labels) < 2:
+                best += [labels[0] if len(labels) else UNKNOWN] * b.rows
                 second += [None] * b.rows
-                score += [float(len(names))] * b.rows
+                score += [float(len(labels))] * b.rows
                 continue
             d = model.distances(model.margins(b))
             order = np.argsort(d, axis=1, kind="stable")
             near = np.take_along_axis(d, order[:, :2], axis=1)
-            best += list(names[order[:, 0]])
-            second += list(names[order[:, 1]])
+            best += list(labels[order[:, 0]])
+            second += list(labels[order[:, 1]])
             score += list(near[:, 1] / np.maximum(near.sum(axis=1), 1e-300))
         return [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array([s < AMBIGUOUS_BELOW for s in score], pa.bool_())]
 
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in fields.names]
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*kept, letters.alias("_letters"), F.when(letters, F.col(text_col)).alias("_body"))
-    out = map_texts(source, "_body", fields, run, keep=[*kept, "_letters"])
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in fields.fieldNames()]
+    rows, names = numbered(docs.select(*kept, F.col(text_col).alias("_body")))
+    body = names.pop("_body")
+    letters = F.coalesce(F.col(body).rlike(r"\p{L}"), F.lit(False))
+    source = rows.select(*names.values(), letters.alias("_letters"), F.when(letters, F.col(body)).alias("_body"))
+    out = map_texts(source, "_body", fields, run, keep=[*names.values(), "_letters"])
     known = F.col("_letters")
     return out.select(
-        *kept,
+        *original(names),
         F.when(known, F.col("lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
         F.when(known, F.col("score")).otherwise(F.lit(0.0)).alias("score"),
         F.when(known, F.col("second_lang")).alias("second_lang"),

@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.materialize import materialize
 from .components import components
+from .tables import numbered, original
 from .textblocks import SPACES, Block, blocks, combined, map_texts, mix, row_of, windows, words
 
 TABLES = 8
@@ -230,15 +231,16 @@ def without_near_duplicates(
     """One document of each group of :func:`near_duplicates` (the one of the
     smallest id), with all its columns. Rows that share the kept id are cut
     to one, the smallest by a hash of its columns; rows without an id stay."""
-    found = near_duplicates(docs, shingle, percent, id_col, text_col)
-    dropped = materialize(found.where("NOT kept").select(F.col(id_col).alias("_gone")).distinct())
-    left = docs.join(dropped, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = materialize(found.where(f"kept AND `{id_col}` IS NOT NULL").groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col(id_col).alias("_rid")))
-    if again.isEmpty():
-        return left
-    single = left.join(again, F.col(id_col) == F.col("_rid"), "left_anti")
-    order = F.xxhash64(*[F.col(c) for c in docs.columns])
-    repeated = left.join(again, F.col(id_col) == F.col("_rid"), "left_semi").withColumn("_row", order)
-    first = repeated.groupBy(F.col(id_col).alias("_rid")).agg(F.min("_row").alias("_first"))
-    one = repeated.join(first, (F.col(id_col) == F.col("_rid")) & (F.col("_row") == F.col("_first"))).dropDuplicates([id_col])
-    return single.unionByName(one.select(*docs.columns))
+    rows, names = numbered(docs)
+    key = F.col(names[id_col])
+    found = materialize(near_duplicates(docs, shingle, percent, id_col, text_col).select(F.col(id_col).alias("_found"), "kept").where("_found IS NOT NULL"))
+    dropped = found.where("NOT kept").select("_found").distinct()
+    left = rows.join(dropped, key == F.col("_found"), "left_anti")
+    again = materialize(found.where("kept").groupBy("_found").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_found"))
+    if not again.isEmpty():
+        single = left.join(again, key == F.col("_found"), "left_anti")
+        repeated = left.join(again, key == F.col("_found"), "left_semi").withColumn("_row", F.xxhash64(*names.values()))
+        first = repeated.groupBy(key.alias("_found")).agg(F.min("_row").alias("_first"))
+        one = repeated.join(first, (key == F.col("_found")) & (F.col("_row") == F.col("_first"))).dropDuplicates([names[id_col]])
+        left = single.unionByName(one.select(*names.values()))
+    return left.select(*original(names))

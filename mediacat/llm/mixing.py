@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize
 from ..operators.ranking import group_ordinal, group_running_sums
+from .tables import numbered, original
 
 MAX_PERIOD = 10_000
 BLOCK_BYTES = 1 << 16
@@ -122,16 +123,17 @@ def mixed(
     :func:`mixing_order`. Slots are found on a narrow table; the texts are
     shuffled to their slots and then sorted. Rows equal in every column are
     interchangeable and stand next to each other."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row"))
-    rows = docs.withColumn("_mix_key", key)
+    rows, names = numbered(docs)
+    text = F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))
+    key = F.struct(F.col(names[id_col]).alias("id"), F.xxhash64(*names.values()).alias("row"))
+    rows = rows.withColumn("_mix_key", key)
     narrow = rows.select(
         F.col("_mix_key").alias("_key"),
-        stream_of(F.col(source_col).cast("string"), _checked(weights)).alias("_stream"),
+        stream_of(F.col(names[source_col]).cast("string"), _checked(weights)).alias("_stream"),
         (F.octet_length(text).cast("long") + 1).alias("_mass"),
     )
     narrow = narrow.groupBy("_key", "_stream").agg(F.sum("_mass").alias("_mass"))
     places = materialize(_slots(narrow, weights, block_bytes).select(F.col("_key").alias("_place"), "slot", "_before"))
     places = places.withColumnsRenamed({"slot": "_slot"})
     same = F.col("_mix_key.id").eqNullSafe(F.col("_place.id")) & (F.col("_mix_key.row") == F.col("_place.row"))
-    return rows.join(places, same).orderBy("_slot", "_before").select(*docs.columns)
+    return rows.join(places, same).orderBy("_slot", "_before").select(*original(names))

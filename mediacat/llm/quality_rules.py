@@ -4,7 +4,7 @@ Each text is measured once (words, symbols, repeated lines and windows). A
 document that fails a base rule goes in any case. The failures of all rules
 are summed by host (pre-aggregated before the shuffle), each host's failure
 rate is shrunk towards the mean of all hosts with a beta prior fitted to the
-hosts by the method of moments, and the host verdict is joined back: in a
+hosts' own spread, and the host verdict is joined back: in a
 distrusted host a document also has to pass the strict rules, elsewhere
 failing one of these is forgiven. A document that passes every rule is kept
 whatever its host.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.materialize import materialize
-from .tables import lookup
+from .tables import lookup, numbered, original
 from .textblocks import SPACES, Block, blocks, combined, map_texts, mix, row_of, span_hashes, windows, word_spans
 
 SYMBOLS = np.zeros(256, bool)
@@ -120,25 +120,28 @@ def host_verdicts(measured: DataFrame, policy: HostPolicy) -> DataFrame:
     """One row per host (column ``_host``): documents ``_n``, failing ones
     ``_failed``, shrunk rate ``host_rate``, verdict ``host_distrusted``.
 
-    The prior beta(a, b) has the hosts' mean rate m, and a + b follows from
-    the spread of the rates beyond what sampling gives: with s documents in
-    a host on (harmonic) average, var = m(1-m)/(a+b+1) + m(1-m)/s about. A
-    spread no larger than sampling's makes the prior overwhelm the hosts; a
-    single host has no spread and so keeps the mean, its own rate.
+    The prior beta(a, b) has the mean rate of all documents, and a + b is
+    1 / rho - 1 for the share rho of the variance that lies between hosts,
+    estimated from the mean squares between and within hosts (the ANOVA
+    estimator for unequal sizes). Without a spread beyond what sampling gives,
+    with one host, or with one document in every host, the prior overwhelms
+    the hosts and all have the mean.
     """
     failed = (base_failed() | strict_failed(policy)).cast("long")
     hosts = measured.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"), F.sum(failed).alias("_failed"))
     hosts = materialize(hosts)
-    rate = F.col("_failed") / F.col("_n")
     prior = hosts.agg(
-        (F.sum("_failed") / F.sum("_n")).alias("_m"),
-        F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("_var"),
-        F.avg(1 / F.col("_n")).alias("_inv"),
+        F.count(F.lit(1)).alias("k"), F.sum("_n").cast("double").alias("n"), F.sum("_failed").cast("double").alias("x"),
+        F.sum(F.col("_n").cast("double") ** 2).alias("n2"), F.sum(F.col("_failed").cast("double") ** 2 / F.col("_n")).alias("x2"),
+    ).where("n > 0")
+    prior = prior.selectExpr(
+        "x / n AS _m",
+        "CASE WHEN k > 1 AND n > k THEN (x2 - x * x / n) / (k - 1) ELSE 0D END AS between",
+        "CASE WHEN k > 1 AND n > k THEN (x - x2) / (n - k) ELSE 1D END AS within",
+        "CASE WHEN k > 1 THEN (n - n2 / n) / (k - 1) ELSE 1D END AS size",
     )
-    spread = F.col("_m") * (1 - F.col("_m"))
-    excess = F.greatest(F.col("_var") - spread * F.col("_inv"), F.lit(1e-6))
-    strength = F.greatest(spread / excess - 1, F.lit(1.0))
-    prior = prior.select("_m", strength.alias("_strength"))
+    prior = prior.withColumn("_rho", F.expr("coalesce(try_divide(between - within, between + (size - 1) * within), 0D)"))
+    prior = prior.select("_m", (1 / F.least(F.greatest("_rho", F.lit(1e-6)), F.lit(0.5)) - 1).alias("_strength"))
     # the prior is one row, an aggregate without keys
     shrunk = (F.col("_failed") + F.col("_m") * F.col("_strength")) / (F.col("_n") + F.col("_strength"))
     return hosts.join(F.broadcast(prior)).select(
@@ -175,9 +178,9 @@ def keep_good(
     columns. The texts are measured twice (for the hosts, then for the rows)
     so that no text is shuffled and no row is looked up by an id that may
     repeat or be null."""
-    narrow = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_body"))
-    measured = with_measures(narrow, "_body", keep=["_host"])
-    hosts = materialize(host_verdicts(measured, policy)).select("_host", "host_distrusted").withColumnRenamed("host_distrusted", "_distrusted")
-    rows = with_measures(docs.withColumn("_host", F.col(host_col)).withColumn("_body", F.col(text_col)), "_body", keep=[*docs.columns, "_host"])
-    joined = lookup(rows, hosts, ["_host"])
-    return joined.where(~base_failed() & ~(F.col("_distrusted") & strict_failed(policy))).select(*docs.columns)
+    rows, names = numbered(docs)
+    rows = rows.select("*", F.col(names[host_col]).alias("_host"), F.col(names[text_col]).alias("_body"))
+    measured = with_measures(rows, "_body", keep=["_host"])
+    hosts = materialize(host_verdicts(measured, policy)).select("_host", "host_distrusted")
+    joined = lookup(with_measures(rows, "_body", keep=[*names.values(), "_host"]), hosts, ["_host"])
+    return joined.where(~base_failed() & ~(F.col("host_distrusted") & strict_failed(policy))).select(*original(names))

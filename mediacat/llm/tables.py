@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A lookup table of at most this many rows is sent to all executors.
@@ -29,3 +29,14 @@ def lookup(big: DataFrame, table: DataFrame, keys: list[str], salts: int = 16, h
     renamed = renamed.withColumn("_ls", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return salted.join(renamed, on & (F.col("_salt") == F.col("_ls")), how).drop("_salt", "_ls", *drop)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed to ``c0``, ``c1``, ..., so that none
+    clashes with an operator's own, and the new name of each column."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+
+def original(names: dict[str, str]) -> list[Column]:
+    """The columns of a :func:`numbered` table under their names again."""
+    return [F.col(new).alias(old) for old, new in names.items()]
