@@ -19,6 +19,7 @@ from .functions import tags as TG
 from .operators import ledger as led
 from .operators.directories import empty_directories
 from .operators.groups import case_conflicts, live_photo_pairs, stem_waves
+from .operators.materialize import materialize
 from .operators.membership import flag_member
 from .operators.naming import unique_names
 from .operators.ranking import first_in_group
@@ -28,10 +29,10 @@ from .plans.index import index_run
 from .plans.process import ProcessOptions, next_backup_names, process_run
 from .plans.trash_sync import trash_sync, visited_pages
 from .plans.undo import backup_groups, group_table, undo_run
-from .plans.verify import container_path, verify_run
+from .plans.verify import container_path, pending, verify_run
 from .session import scratch_path
 from .sinks import snapshots as SN
-from .sources.files import hash_files, list_files, read_trackers
+from .sources.files import file_hasher, hash_files, list_files, read_trackers
 from .sources.trash_feed import parse_feed_pages
 from .sources.verdicts import parse_verdict_lines
 from .streaming.stream_index import start_ledger, stream_index
@@ -190,13 +191,13 @@ def import_tags(spark, sf_dir):
 # ------------------------------------------------------------ import
 
 
-def _import(spark, sf_dir):
+def _import(spark, sf_dir, hasher=None):
     fx = fixtures(spark, sf_dir)
     opts = ImportOptions(as_of_year=AS_OF_YEAR, date_path=True, tag_root=LIB_ROOT, tags=EXPLICIT_TAGS)
     return import_run(
         _listing(fx),
         fx.media_meta,
-        led.table_hasher(_hashes(fx)),
+        hasher(spark, fx) if hasher else led.table_hasher(_hashes(fx)),
         opts,
         import_ledger=fx.import_ledger,
         skip_ledger=fx.skip_ledger,
@@ -413,11 +414,10 @@ def undo_summary(spark, sf_dir):
 # ------------------------------------------------------------ verify
 
 
-def _verify(spark, sf_dir):
+def _verify(spark, sf_dir, hasher=None):
     fx = fixtures(spark, sf_dir)
-    return verify_run(
-        _listing(fx), fx.verdict_lines, LIB_ROOT, MEDIA_ROOT, ledger=fx.ledger, hasher=led.table_hasher(_hashes(fx))
-    )
+    hasher = hasher(spark, fx) if hasher else led.table_hasher(_hashes(fx))
+    return verify_run(_listing(fx), fx.verdict_lines, LIB_ROOT, MEDIA_ROOT, ledger=fx.ledger, hasher=hasher)
 
 
 @register("verdicts")
@@ -467,7 +467,7 @@ def empty_directories_q(spark, sf_dir):
 def _tree_listing(spark, fx):
     root = stage_media_tree(spark, fx)
     local = root[len("file:") :] if root.startswith("file:") else root
-    return root, list_files(spark, root + LIB_ROOT, strip_prefix=local).filter(~F.col("path").endswith(".out"))
+    return root, list_files(spark, root + LIB_ROOT, strip_prefix=local)
 
 
 @register("listed_files")
@@ -530,6 +530,103 @@ def plan_roundtrip(spark, sf_dir):
     return SN.read_snapshot(spark, root).select("base", "action", "path", "target", "counted")
 
 
+def _staged_hasher(spark, fx):
+    return file_hasher(stage_media_tree(spark, fx))
+
+
+@register("index_outcomes_hashed")
+def index_outcomes_hashed(spark, sf_dir):
+    """PLN-1 + SRC-2: index outcomes with the files' own bytes hashed."""
+    fx = fixtures(spark, sf_dir)
+    return index_run(_listing(fx), fx.ledger, _staged_hasher(spark, fx)).outcomes
+
+
+@register("index_ledger_hashed")
+def index_ledger_hashed(spark, sf_dir):
+    """PLN-1 + SRC-2: the next ledger with the files' own bytes hashed, ticks exact."""
+    fx = fixtures(spark, sf_dir)
+    return index_run(_listing(fx), fx.ledger, _staged_hasher(spark, fx)).ledger
+
+
+@register("import_plan_hashed")
+def import_plan_hashed(spark, sf_dir):
+    """PLN-2 + SRC-2: the import plan with the files' own bytes hashed."""
+    return _import(spark, sf_dir, _staged_hasher).plan
+
+
+@register("verify_ledger_hashed")
+def verify_ledger_hashed(spark, sf_dir):
+    """PLN-6 + SRC-2: the verify ledger with the files' own bytes hashed."""
+    return _verify(spark, sf_dir, _staged_hasher).ledger
+
+
+@register("resolved_hashes")
+def resolved_hashes(spark, sf_dir):
+    """JN-1: stored hashes reused where size and mtime are unchanged, the others computed."""
+    fx = fixtures(spark, sf_dir)
+    return led.resolve_hashes(_listing(fx), fx.ledger, led.table_hasher(_hashes(fx))).select("path", "sha256", "sha1")
+
+
+@register("verify_pending")
+def verify_pending(spark, sf_dir):
+    """FLT-4: indexed files that still need verifying."""
+    return pending(_index(spark, sf_dir).outcomes, reprocess=False).select("path", "status")
+
+
+@register("destinations")
+def destinations(spark, sf_dir):
+    """COL-16: the archive path of every file with a date in its path."""
+    dated = materialize(D.with_dates(_listing(fixtures(spark, sf_dir)), AS_OF_YEAR).select("path", "created_date"))
+    return dated.filter(F.col("created_date").isNotNull()).select("path", TG.destination(F.col("created_date"), N.name_of(F.col("path")), TG.DEFAULT_DATE_FORMAT, "").alias("dest"))
+
+
+@register("names_with_line_breaks")
+def names_with_line_breaks(spark, sf_dir):
+    """FLT-1: directory, name, extension and stem of paths with a line break in each part."""
+    broken = F.regexp_replace("path", "([aeiou])", "$1\n")
+    return N.with_names(_listing(fixtures(spark, sf_dir)).select(broken.alias("path")))
+
+
+@register("metadata_malformed")
+def metadata_malformed(spark, sf_dir):
+    """SRC-4: documents cut short, wrapped, or no JSON at all are not ok."""
+    doc, kind = F.col("meta_json"), F.length("path") % 4
+    docs = fixtures(spark, sf_dir).media_meta.select(
+        "path",
+        F.when(kind == 0, F.expr("substring(meta_json, 1, length(meta_json) - 3)"))
+        .when(kind == 1, F.concat(F.lit("garbage "), doc))
+        .when(kind == 2, F.concat(F.lit("[\n"), doc, F.lit("\n]\n")))
+        .otherwise(doc)
+        .alias("meta_json"),
+    )
+    return M.with_metadata(docs).select("path", "meta_ok", "meta_ext")
+
+
+def _with_empty_page(spark, sf_dir):
+    items = fixtures(spark, sf_dir).trash_pages
+    gone = F.col("page") == 2
+    return items.select(*[c if c in ("page", "next_page") else F.when(~gone, F.col(c)).alias(c) for c in items.columns])
+
+
+@register("trash_pages_to_empty")
+def trash_pages_to_empty(spark, sf_dir):
+    """SRC-5 + PLN-7: the walk over the feed ends at a page without items."""
+    return visited_pages(_with_empty_page(spark, sf_dir))
+
+
+@register("stream_index_two_runs")
+def stream_index_two_runs(spark, sf_dir):
+    """STR-1: two streams in turn, each with a checkpoint of its own, over one ledger."""
+    fx = fixtures(spark, sf_dir)
+    listing_dir, ledger_root = scratch_path(spark, "listing-runs"), scratch_path(spark, "runs-ledger")
+    listing = fx.media_files.select("path", "file_size", "mtime_ticks", (F.col("doc_id") % 2).alias("part"))
+    start_ledger(fx.ledger, ledger_root)
+    for i in range(2):
+        listing.filter(F.col("part") == i).drop("part").write.parquet(f"{listing_dir}/{i}/in")
+        stream_index(spark, f"{listing_dir}/{i}/in", ledger_root, led.table_hasher(_hashes(fx)))
+    return SN.read_ledger(spark, ledger_root)
+
+
 @register("stream_index_ledger")
 def stream_index_ledger(spark, sf_dir):
     """STR-1: listing files arriving as a stream, indexed batch by batch into

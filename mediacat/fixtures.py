@@ -305,7 +305,7 @@ def stage_media_tree(spark: SparkSession, fx: Fixtures) -> str:
                 target = base_path.rstrip("/") + p
                 filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 with filesystem.open_output_stream(target) as out:
-                    out.write(body.encode("utf-8"))
+                    out.write((body or "").encode("utf-8"))
                 n += 1
         yield pd.DataFrame({"n": [n]})
 

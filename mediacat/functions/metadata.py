@@ -69,12 +69,15 @@ def _nonempty(c: Column) -> Column:
 
 
 def parse_metadata(docs: DataFrame, json_col: str = "meta_json") -> DataFrame:
-    """SRC-4: typed columns for every key plus ``meta_ok`` (false when the
-    document is empty or not a JSON object)."""
+    """SRC-4: typed columns for every key plus ``meta_ok`` (false, with all
+    keys null, when the document is empty, malformed, cut short or not a JSON
+    object)."""
     # the tool's output is trimmed of spaces, CR, LF and the array brackets
     raw = F.regexp_replace(F.col(json_col), r"^[ \n\r\[\]]+|[ \n\r\[\]]+\z", "")
-    parsed = F.from_json(F.when(raw != "", raw), METADATA_SCHEMA)
+    schema = T.StructType([*METADATA_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(F.when(raw.startswith("{"), raw), schema, {"columnNameOfCorruptRecord": "_broken"})
     out = docs.withColumn("_meta", parsed)
+    out = out.withColumn("_meta", F.when(F.col("_meta._broken").isNull(), F.col("_meta")))
     cols = [F.col(c) for c in docs.columns if c != json_col]
     cols.append(F.col("_meta").isNotNull().alias("meta_ok"))
     for k in METADATA_KEYS:

@@ -30,8 +30,8 @@ VIDEO_OUTPUT_EXTENSION = ".mp4"
 _EXT_ALTERNATION = "|".join(e[1:] for e in SUPPORTED_EXTENSIONS)
 # name = base + one or more trailing supported extensions (never the part
 # before the first dot); lazy base so the extension run is the longest.
-COMPOUND_EXT_REGEX = r"^(.*?)((?:\.(?i:" + _EXT_ALTERNATION + r"))+)\z"
-COMPOUND_EXT_REGEX_DUCKDB = r"^(.*?)((?:\.(?:" + _EXT_ALTERNATION + r"))+)$"
+COMPOUND_EXT_REGEX = r"(?s)^(.*?)((?:\.(?i:" + _EXT_ALTERNATION + r"))+)\z"
+COMPOUND_EXT_REGEX_DUCKDB = r"(?s)^(.*?)((?:\.(?:" + _EXT_ALTERNATION + r"))+)$"
 
 
 def _c(col) -> Column:
@@ -40,7 +40,7 @@ def _c(col) -> Column:
 
 def dir_of(path) -> Column:
     """Directory part: everything before the last '/' ('' when there is none)."""
-    return F.regexp_extract(_c(path), r"^(.*)/", 1)
+    return F.regexp_extract(_c(path), r"(?s)^(.*)/", 1)
 
 
 def name_of(path) -> Column:
@@ -57,7 +57,7 @@ def ext_of(name) -> Column:
 def stem_of(name) -> Column:
     """File name without its extension (text before the last dot)."""
     n = _c(name)
-    return F.when(n.contains("."), F.regexp_extract(n, r"^(.*)\.[^.]*\z", 1)).otherwise(n)
+    return F.when(n.contains("."), F.regexp_extract(n, r"(?s)^(.*)\.[^.]*\z", 1)).otherwise(n)
 
 
 def with_names(df, path: str = "path"):

@@ -31,7 +31,7 @@ def path_tags(path, root: str) -> Column:
     ``root``; a file directly in root has no tags."""
     p = _c(path)
     r = root.rstrip("/")
-    d = F.regexp_extract(p, r"^(.*)/", 1)
+    d = F.regexp_extract(p, r"(?s)^(.*)/", 1)
     rel = F.when(d.startswith(r + "/"), F.substring(d, len(r) + 2, 1 << 30)).otherwise(F.lit(""))
     parts = F.transform(F.split(rel, "/"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
     return F.filter(parts, lambda x: x != "")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LEDGER_COLUMNS
+from .materialize import materialize
 
 # A hasher adds ``c_sha256`` / ``c_sha1`` (lowercase hex; null where the row
 # does not need hashing or the file is unreadable) to the rows it is given,
@@ -58,16 +59,19 @@ def resolve_hashes(files: DataFrame, ledger: DataFrame, hasher: Hasher, rehash:
     hashes where size and mtime are unchanged; only the other rows are handed
     to ``hasher`` (so unchanged files are never read).
 
-    Returns the listing columns, the ``l_*`` ledger columns and sha256/sha1.
+    Returns the listing columns, the ``l_*`` ledger columns and sha256/sha1 as
+    a written table, so that operators that read it several times do not hash
+    again.
     """
     joined = files.join(_prefixed(ledger), "path", "left")
     reuse = F.coalesce(reuse_condition(rehash), F.lit(False))
     hashed = hasher(joined.withColumn("_reuse", reuse), ~F.col("_reuse"))
-    return (
+    resolved = (
         hashed.withColumn("sha256", F.when(F.col("_reuse"), F.col("l_sha256")).otherwise(F.col("c_sha256")))
         .withColumn("sha1", F.when(F.col("_reuse"), F.col("l_sha1")).otherwise(F.col("c_sha1")))
         .drop("_reuse", "c_sha256", "c_sha1")
     )
+    return materialize(resolved)
 
 
 def insert_or_ignore(ledger: DataFrame, rows: DataFrame) -> DataFrame:

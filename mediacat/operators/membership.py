@@ -29,6 +29,24 @@ def flag_member(
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def flag_members(
+    df: DataFrame, key: str, sets: dict[str, tuple[DataFrame | None, str]], unique: str
+) -> DataFrame:
+    """Add a boolean for each entry ``flag: (members, column)`` of ``sets``:
+    ``df[key]`` occurs in the set (False where there is none). All sets are
+    joined at once, so the rows are shuffled and their hot keys measured
+    once, whatever the number of sets."""
+    given = {flag: x for flag, x in sets.items() if x[0] is not None}
+    if given:
+        tagged = None
+        for flag, (members, column) in given.items():
+            one = members.select(F.col(column).alias(key), *[F.lit(flag == f).alias(f) for f in given]).where(F.col(key).isNotNull())
+            tagged = one if tagged is None else tagged.unionByName(one)
+        flags = tagged.groupBy(key).agg(*[F.max(f).alias(f) for f in given])
+        df = skew_safe_join(df, flags, key, "left", unique=unique)
+    return df.withColumns({f: F.coalesce(F.col(f), F.lit(False)) if f in given else F.lit(False) for f in sets})
+
+
 def match_trash(files: DataFrame, trash: DataFrame) -> DataFrame:
     """JN-2: sha1 in the trash set."""
     return flag_member(files, trash, "sha1", "sha1", "in_trash")

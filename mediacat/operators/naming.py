@@ -24,7 +24,7 @@ from .materialize import materialize
 from .ranking import group_ordinal, group_running_sums
 from .skew import skew_safe_join
 
-SUFFIXED_STEM = r"^(.*)_([1-9][0-9]{0,17})\z"
+SUFFIXED_STEM = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"
 
 
 def _split(path: Column) -> tuple[Column, Column, Column, Column]:
@@ -32,7 +32,7 @@ def _split(path: Column) -> tuple[Column, Column, Column, Column]:
     end, '' when the name ends with a dot (the stem then drops that dot)."""
     name = name_of(path)
     ext = F.regexp_extract(name, r"(\.[^.]+)\z", 1)
-    stem = F.when(name.contains("."), F.regexp_extract(name, r"^(.*)\.[^.]*\z", 1)).otherwise(name)
+    stem = F.when(name.contains("."), F.regexp_extract(name, r"(?s)^(.*)\.[^.]*\z", 1)).otherwise(name)
     return path.contains("/"), dir_of(path), stem, ext
 
 

@@ -495,10 +495,16 @@ s AS (
         WHEN f.sha256 IN (SELECT sha256 FROM skip_ledger) THEN 'SkippedBySkipDb'
         WHEN f.sha256 IN (SELECT sha256 FROM import_ledger) THEN 'Skipped'
         WHEN NOT coalesce(m.meta_ok, false) THEN 'Failed'
-        WHEN m.validate_errors > 0 THEN 'Invalid' ELSE 'Imported' END AS o1
+        WHEN m.validate_errors > 0 THEN 'Invalid' ELSE 'Imported' END AS o1,
+   CASE WHEN f.sha1 IN (SELECT sha1 FROM trash) THEN 'trash'
+        WHEN f.sha256 IN (SELECT sha256 FROM skip_ledger) THEN 'skip_ledger'
+        WHEN f.sha256 IN (SELECT sha256 FROM import_ledger) THEN 'import_ledger'
+        WHEN NOT coalesce(m.meta_ok, false) THEN 'no_metadata'
+        WHEN m.validate_errors > 0 THEN 'validation_errors:' || CAST(m.validate_errors AS VARCHAR) END AS r1
   FROM f LEFT JOIN m ON f.path = m.path),
 s2 AS (
-  SELECT *, CASE WHEN o1 = 'Imported' AND path <> min(path) OVER (PARTITION BY sha256, o1) THEN 'Skipped' ELSE o1 END AS outcome
+  SELECT *, CASE WHEN o1 = 'Imported' AND path <> min(path) OVER (PARTITION BY sha256, o1) THEN 'Skipped' ELSE o1 END AS outcome,
+   CASE WHEN o1 = 'Imported' AND path <> min(path) OVER (PARTITION BY sha256, o1) THEN 'duplicate' ELSE r1 END AS reason
   FROM s),
 imp AS (
   SELECT path, sha256, sha1, file_size, mtime_ticks, meta_ext,
@@ -510,13 +516,13 @@ imp2 AS (
   FROM imp)
 {unique_names_sql('imp2', 'existing_dest')}
 , plan AS (
-  SELECT i.path, 'Imported' AS outcome, u.final_dest AS dest, {tfmt('i.dt')} AS created,
+  SELECT i.path, 'Imported' AS outcome, NULL AS reason, u.final_dest AS dest, {tfmt('i.dt')} AS created,
    CAST(to_json(list_sort(i.applied)) AS VARCHAR) AS tags
   FROM imp2 i JOIN un u ON u.path = i.path
   UNION ALL
-  SELECT path, outcome, NULL, NULL, NULL FROM s2 WHERE outcome <> 'Imported'
+  SELECT path, outcome, reason, NULL, NULL, NULL FROM s2 WHERE outcome <> 'Imported'
   UNION ALL
-  SELECT path, 'Ignored', NULL, NULL, NULL FROM media_files WHERE NOT ({supported('path')}))
+  SELECT path, 'Ignored', 'extension', NULL, NULL, NULL FROM media_files WHERE NOT ({supported('path')}))
 """
 
 
@@ -556,7 +562,8 @@ add(
 
 _TRASH_CTES = f"""
 , pt AS (
-  SELECT page, min(next_page) AS next_page FROM trash_pages GROUP BY page),
+  SELECT page, CASE WHEN bool_or(id IS NOT NULL OR checksum IS NOT NULL OR original_file_name IS NOT NULL) THEN min(next_page) END AS next_page
+  FROM trash_pages GROUP BY page),
 pt2 AS (
   SELECT page, next_page,
    CASE WHEN TRY_CAST(next_page AS INTEGER) > page THEN CAST(TRY_CAST(next_page AS INTEGER) AS BIGINT) END AS nxt
@@ -769,10 +776,11 @@ _VERIFY_CTES = (
 mapped AS (SELECT path, {_container_sql('path')} AS cpath FROM cand),
 outc AS (
   SELECT m.path, CASE WHEN m.cpath IS NULL THEN 'Failed' WHEN v.path IS NULL THEN 'Failed'
-                      WHEN NOT v.ok THEN 'Invalid' ELSE 'Verified' END AS outcome
+                      WHEN NOT v.ok THEN 'Invalid' ELSE 'Verified' END AS outcome,
+   CASE WHEN m.cpath IS NOT NULL AND NOT v.ok THEN v.error END AS error
   FROM mapped m LEFT JOIN verd v ON v.path = m.cpath
-  UNION ALL SELECT path, 'Skipped' FROM o WHERE status = 'Unchanged' AND coalesce(was_processed, false)
-  UNION ALL SELECT path, 'Ignored' FROM f WHERE NOT ({supported('path')}))
+  UNION ALL SELECT path, 'Skipped', NULL FROM o WHERE status = 'Unchanged' AND coalesce(was_processed, false)
+  UNION ALL SELECT path, 'Ignored', NULL FROM f WHERE NOT ({supported('path')}))
 """
 )
 add("verify_outcomes", ["media_files", "ledger", "verdict_lines"], _VERIFY_CTES + "SELECT * FROM outc")
@@ -818,8 +826,80 @@ ORDER BY depth DESC, dir
 
 
 # ------------------------------------------------------------ sources, sinks, streaming
-add("listed_files", ["media_files"], "SELECT path, CAST(strlen(mn.text) AS BIGINT) AS file_size FROM media_files mf JOIN media_names mn ON mn.doc_id = mf.doc_id")
-add("hashed_files", ["media_files"], "SELECT path, sha256, sha1 FROM media_files")
+add(
+    "listed_files",
+    ["media_files", "trackers"],
+    "SELECT path, CAST(strlen(mn.text) AS BIGINT) AS file_size FROM media_files mf JOIN media_names mn ON mn.doc_id = mf.doc_id "
+    "UNION ALL SELECT backup_path || '.out', CAST(strlen(output_path) + 1 AS BIGINT) FROM trackers",
+)
+add(
+    "hashed_files",
+    ["media_files", "trackers"],
+    "SELECT path, sha256, sha1 FROM media_files "
+    "UNION ALL SELECT backup_path || '.out', sha256(output_path || chr(10)), sha1(output_path || chr(10)) FROM trackers",
+)
+ORACLE["index_outcomes_hashed"] = ORACLE["index_outcomes"]
+ORACLE["index_ledger_hashed"] = ORACLE["index_ledger"]
+ORACLE["import_plan_hashed"] = ORACLE["import_plan"]
+ORACLE["verify_ledger_hashed"] = ORACLE["verify_ledger"]
+ORACLE["stream_index_two_runs"] = ORACLE["index_ledger"]
+add(
+    "resolved_hashes",
+    ["media_files", "ledger"],
+    """
+SELECT f.path, CASE WHEN f.file_size = l.file_size AND f.mtime_ticks = l.mtime_ticks THEN l.sha256 ELSE f.sha256 END AS sha256,
+ CASE WHEN f.file_size = l.file_size AND f.mtime_ticks = l.mtime_ticks THEN l.sha1 ELSE f.sha1 END AS sha1
+FROM media_files f LEFT JOIN ledger l ON l.path = f.path
+""",
+)
+add(
+    "verify_pending",
+    ["media_files", "ledger"],
+    _index_ctes()
+    + f"SELECT path, status FROM o WHERE NOT (status = 'Unchanged' AND coalesce(was_processed, false)) "
+    f"UNION ALL SELECT path, 'Ignored' FROM media_files WHERE NOT ({supported('path')})",
+)
+add(
+    "destinations",
+    ["media_files"],
+    f"""
+SELECT path, strftime(created_ts, '%Y/%m/%d') || '/' || regexp_extract(path, '([^/]*)$', 1) AS dest
+FROM (SELECT path, {date_columns('path')} FROM media_files) x WHERE created_ts IS NOT NULL
+""",
+)
+_BROKEN = "regexp_replace(path, '([aeiou])', E'\\\\1\\n', 'g')"
+add(
+    "names_with_line_breaks",
+    ["media_files"],
+    f"""
+SELECT path, CASE WHEN contains(path, '/') THEN array_to_string(string_split(path, '/')[:-2], '/') ELSE '' END AS dir,
+ string_split(path, '/')[-1] AS name, e AS ext, lower(e) AS ext_lower,
+ CASE WHEN contains(string_split(path, '/')[-1], '.') THEN array_to_string(string_split(string_split(path, '/')[-1], '.')[:-2], '.')
+      ELSE string_split(path, '/')[-1] END AS stem
+FROM (SELECT *, CASE WHEN contains(n, '.') AND string_split(n, '.')[-1] <> '' THEN '.' || string_split(n, '.')[-1] ELSE '' END AS e
+      FROM (SELECT path, string_split(path, '/')[-1] AS n FROM (SELECT {_BROKEN} AS path FROM media_files) a) b) c
+""",
+)
+add(
+    "metadata_malformed",
+    ["media_meta"],
+    f"""
+SELECT path, meta_ok, CASE WHEN meta_ok THEN meta_ext END AS meta_ext FROM (
+ SELECT path, {meta_columns("CASE WHEN json_valid(d) THEN d ELSE 'null' END")} FROM (
+  SELECT path, CASE length(path) % 4 WHEN 0 THEN substr(meta_json, 1, length(meta_json) - 3) WHEN 1 THEN 'garbage ' || meta_json
+   WHEN 2 THEN meta_json ELSE meta_json END AS d FROM media_meta) a) b
+""",
+)
+add(
+    "trash_pages_to_empty",
+    ["trash_pages"],
+    """
+, tpe AS (SELECT page, next_page, CASE WHEN page <> 2 THEN id END AS id, CASE WHEN page <> 2 THEN checksum END AS checksum,
+ CASE WHEN page <> 2 THEN original_file_name END AS original_file_name, CASE WHEN page <> 2 THEN is_trashed END AS is_trashed FROM trash_pages)
+"""
+    + _TRASH_CTES.replace("trash_pages", "tpe")
+    + "SELECT page FROM chain",
+)
 add("trackers_from_disk", ["trackers"], "SELECT backup_path, output_path FROM trackers")
 ORACLE["ledger_roundtrip"] = ORACLE["index_ledger"]
 ORACLE["trash_set_roundtrip"] = ORACLE["trash_sync_set"]

@@ -24,7 +24,7 @@ from ..functions import names as N
 from ..functions import tags as TG
 from ..operators.ledger import Hasher, resolve_hashes
 from ..operators.materialize import materialize
-from ..operators.membership import flag_member
+from ..operators.membership import flag_members
 from ..operators.naming import unique_names
 from ..operators.ranking import first_in_group
 from ..schemas import LEDGER_COLUMNS
@@ -43,7 +43,7 @@ class ImportOptions:
 
 @dataclass
 class ImportResult:
-    plan: DataFrame  # path, outcome, dest, created, tags
+    plan: DataFrame  # path, outcome, reason, dest, created, tags
     ledger: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
@@ -67,6 +67,7 @@ def import_run(
     ignored = listing.filter(~N.is_supported(F.col("ext"))).select(
         "path",
         F.lit("Ignored").alias("outcome"),
+        F.lit("extension").alias("reason"),
         F.lit(None).cast("string").alias("dest"),
         F.lit(None).cast("string").alias("created"),
         F.lit(None).cast("string").alias("tags"),
@@ -81,18 +82,9 @@ def import_run(
         for c in LEDGER_COLUMNS[1:]:
             s = s.withColumn("l_" + c, F.lit(None))
 
-    if trash is not None:
-        s = flag_member(s, trash, "sha1", "sha1", "in_trash")
-    else:
-        s = s.withColumn("in_trash", F.lit(False))
-    if skip_ledger is not None:
-        s = flag_member(s, skip_ledger, "sha256", "sha256", "in_skip")
-    else:
-        s = s.withColumn("in_skip", F.lit(False))
-    if import_ledger is not None:
-        s = flag_member(s, import_ledger, "sha256", "sha256", "in_ledger")
-    else:
-        s = s.withColumn("in_ledger", F.lit(False))
+    # one membership join for each hash column: the sha256 sets share theirs
+    s = flag_members(s, "sha1", {"in_trash": (trash, "sha1")}, unique="path")
+    s = flag_members(s, "sha256", {"in_skip": (skip_ledger, "sha256"), "in_ledger": (import_ledger, "sha256")}, unique="path")
 
     meta = M.with_metadata(metadata_docs).select(
         "path", "meta_ok", "meta_ext", "meta_date_string", "meta_date", "validate_errors", "subjects"
@@ -108,11 +100,21 @@ def import_run(
         .when(F.col("validate_errors") > 0, "Invalid")
         .otherwise("Imported")
     )
+    # why a file is not imported: what could not be read, which set holds
+    # its content, how many validation errors it has
+    reason = (
+        F.when(hashing & F.col("sha256").isNull(), "unreadable")
+        .when(F.col("in_trash"), "trash")
+        .when(F.col("in_skip"), "skip_ledger")
+        .when(F.col("in_ledger"), "import_ledger")
+        .when(~F.coalesce(F.col("meta_ok"), F.lit(False)), "no_metadata")
+        .when(F.col("validate_errors") > 0, F.concat(F.lit("validation_errors:"), F.col("validate_errors").cast("string")))
+    )
     # the decision table feeds the plan, the destinations and the ledger:
     # materialise its narrow projection once
     s = materialize(
-        s.withColumn("outcome", pre).select(
-            "path", "file_size", "mtime_ticks", "sha256", "sha1", "outcome", "meta_ext", "meta_date_string", "meta_date"
+        s.withColumn("outcome", pre).withColumn("reason", reason).select(
+            "path", "file_size", "mtime_ticks", "sha256", "sha1", "outcome", "reason", "meta_ext", "meta_date_string", "meta_date"
         )
     )
 
@@ -121,8 +123,11 @@ def import_run(
         cand = s.filter(F.col("outcome") == "Imported")
         cand = first_in_group(cand, ["sha256"], "path", "first_copy")
         rest = s.filter(F.col("outcome") != "Imported").withColumn("first_copy", F.lit(True))
-        s = cand.unionByName(rest).withColumn(
-            "outcome", F.when(~F.col("first_copy"), F.lit("Skipped")).otherwise(F.col("outcome"))
+        s = cand.unionByName(rest).withColumns(
+            {
+                "outcome": F.when(~F.col("first_copy"), F.lit("Skipped")).otherwise(F.col("outcome")),
+                "reason": F.when(~F.col("first_copy"), F.lit("duplicate")).otherwise(F.col("reason")),
+            }
         )
 
     imported = s.filter(F.col("outcome") == "Imported")
@@ -155,6 +160,7 @@ def import_run(
     plan_imported = imported.select(
         "path",
         F.lit("Imported").alias("outcome"),
+        F.lit(None).cast("string").alias("reason"),
         F.col("final_dest").alias("dest"),
         D.format_date(F.coalesce(F.col("date"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))).alias("created"),
         F.to_json(F.array_sort(F.col("applied_tags"))).alias("tags"),
@@ -162,6 +168,7 @@ def import_run(
     plan_other = s.filter(F.col("outcome") != "Imported").select(
         "path",
         "outcome",
+        "reason",
         F.lit(None).cast("string").alias("dest"),
         F.lit(None).cast("string").alias("created"),
         F.lit(None).cast("string").alias("tags"),

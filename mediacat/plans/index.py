@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import ext_of, is_supported, name_of
 from ..operators.ledger import Hasher, _prefixed, reuse_condition
+from ..operators.materialize import materialize
 from ..schemas import LEDGER_COLUMNS
 
 INDEX_OUTCOMES = ["Inserted", "Updated", "Unchanged", "Ignored", "Failed"]
@@ -47,7 +48,8 @@ def _resolved(files: DataFrame, ledger: DataFrame, hasher: Hasher, rehash: bool)
 def index_run(
     files: DataFrame, ledger: DataFrame, hasher: Hasher, mark_processed: bool = False, rehash: bool = False
 ) -> IndexResult:
-    r = _resolved(files, ledger, hasher, rehash)
+    # outcomes and ledger share the resolved rows: each file is hashed once
+    r = materialize(_resolved(files, ledger, hasher, rehash))
     listed = F.col("listed").isNotNull()
     known = F.col("l_sha256").isNotNull()
     failed = F.col("sha256").isNull()

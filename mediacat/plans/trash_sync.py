@@ -34,8 +34,11 @@ class TrashSyncResult:
 
 
 def page_table(items: DataFrame) -> DataFrame:
-    """page, nxt (next page to request or null), stop ('end' | 'bad' | null)."""
-    pages = items.groupBy("page").agg(F.min("next_page").alias("next_page"))
+    """page, nxt (next page to request or null), stop ('end' | 'bad' | null).
+    A page without items ends the feed whatever next page it names."""
+    item = F.col("id").isNotNull() | F.col("checksum").isNotNull() | F.col("original_file_name").isNotNull()
+    pages = items.groupBy("page").agg(F.min("next_page").alias("next_page"), F.max(item).alias("some"))
+    pages = pages.withColumn("next_page", F.when(F.col("some"), F.col("next_page")))
     n = F.col("next_page").try_cast("int").cast("long")
     ok = n.isNotNull() & (n > F.col("page"))
     return pages.select(
@@ -45,7 +48,7 @@ def page_table(items: DataFrame) -> DataFrame:
     )
 
 
-def visited_pages(items: DataFrame, max_rounds: int = 64) -> DataFrame:
+def visited_pages(items: DataFrame) -> DataFrame:
     """Pages on the chain that starts at page 1 (only pages that exist)."""
     pt = materialize(page_table(items))
     present = pt.select(F.col("page").alias("p"))
@@ -56,7 +59,7 @@ def visited_pages(items: DataFrame, max_rounds: int = 64) -> DataFrame:
     jump = materialize(jump)
     reached = materialize(pt.filter(F.col("page") == 1).select("page"))
     size = reached.count()  # one number per round: the "did it grow" flag
-    for _ in range(max_rounds):
+    while True:
         step = reached.join(jump, "page").filter(F.col("to").isNotNull()).select(F.col("to").alias("page"))
         grown = materialize(reached.unionByName(step).distinct())
         new_size = grown.count()

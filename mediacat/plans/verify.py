@@ -4,7 +4,8 @@ for.
 Unsupported -> Ignored; (with a verify ledger) unchanged and already
 verified, no ``reprocess`` -> Skipped (FLT-4); a path with CR/LF or outside
 the mounted root -> Failed (FLT-5); otherwise the verdict for the mapped
-container path (JN-6): none -> Failed, not ok -> Invalid, ok -> Verified.
+container path (JN-6): none -> Failed, not ok -> Invalid with the decoder's
+error (Failed where the file is gone by now), ok -> Verified.
 Verified files are marked in the verify ledger (MUT-4).
 """
 
@@ -17,13 +18,14 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators.ledger import Hasher, set_processed
+from ..operators.materialize import materialize
 from ..sources.verdicts import parse_verdict_lines
 from .index import index_run
 
 
 @dataclass
 class VerifyResult:
-    outcomes: DataFrame  # path, outcome, container_path, error
+    outcomes: DataFrame  # path, outcome, error
     ledger: DataFrame | None
 
 
@@ -54,38 +56,41 @@ def verify_run(
     ledger: DataFrame | None = None,
     hasher: Hasher | None = None,
     reprocess: bool = False,
+    still_there: DataFrame | None = None,
 ) -> VerifyResult:
-    """``files``: path, file_size, mtime_ticks of the existing files;
-    ``verdict_lines``: line_no, line."""
+    """``files``: path, file_size, mtime_ticks of the files to verify;
+    ``verdict_lines``: line_no, line; ``still_there``: the paths (``path``)
+    that exist after the decoder ran, all of ``files`` by default."""
     f = files.select("path", "file_size", "mtime_ticks")
     supported = N.is_supported(N.ext_of(N.name_of(F.col("path"))))
-    ignored = f.filter(~supported).select("path", F.lit("Ignored").alias("outcome"))
-    cand = f.filter(supported)
     next_ledger = None
     if ledger is not None:
-        idx = index_run(cand, ledger, hasher)
-        # the index outcomes already carry every candidate (no re-join)
-        cand = idx.outcomes.select("path", "status", "was_processed")
-        skipped_flag = (F.col("status") == "Unchanged") & F.coalesce(F.col("was_processed"), F.lit(False)) & F.lit(not reprocess)
-        skipped = cand.filter(skipped_flag).select("path", F.lit("Skipped").alias("outcome"))
-        cand = pending(cand, reprocess)
-        failed_hash = cand.filter(F.col("status") == "Failed").select("path", F.lit("Failed").alias("outcome"))
-        cand = cand.filter(F.col("status") != "Failed")
+        # the index run resolves every listed file once; its outcomes carry
+        # the unsupported ones as Ignored
+        idx = index_run(f, ledger, hasher)
+        rows = idx.outcomes.select("path", "status", "was_processed")
     else:
-        skipped = failed_hash = None
-    cand = cand.withColumn("container_path", container_path("path", root, mount))
-    unmapped = cand.filter(F.col("container_path").isNull()).select("path", F.lit("Failed").alias("outcome"))
-    mapped = cand.filter(F.col("container_path").isNotNull())
+        rows = f.select("path", F.when(~supported, "Ignored").alias("status"), F.lit(False).alias("was_processed"))
     verdicts = parse_verdict_lines(verdict_lines).withColumnRenamed("path", "container_path")
-    judged = mapped.join(verdicts, "container_path", "left").select(
-        "path",
-        F.when(F.col("ok").isNull(), F.lit("Failed"))
-        .when(~F.col("ok"), F.lit("Invalid"))
-        .otherwise(F.lit("Verified"))
-        .alias("outcome"),
+    rows = rows.withColumn("container_path", container_path("path", root, mount))
+    rows = rows.join(verdicts, "container_path", "left")
+    if still_there is not None:
+        rows = rows.join(still_there.select("path", F.lit(True).alias("_there")).distinct(), "path", "left")
+        gone = F.col("_there").isNull()
+    else:
+        gone = F.lit(False)
+    done = (F.col("status") == "Unchanged") & F.coalesce(F.col("was_processed"), F.lit(False)) & F.lit(not reprocess)
+    outcome = (
+        F.when(F.col("status") == "Ignored", "Ignored")
+        .when(F.coalesce(done, F.lit(False)), "Skipped")
+        .when(F.col("status") == "Failed", "Failed")
+        .when(F.col("container_path").isNull() | F.col("ok").isNull(), "Failed")
+        .when(F.col("ok"), "Verified")
+        .when(gone, "Failed")
+        .otherwise("Invalid")
     )
-    outcomes = judged.unionByName(unmapped).unionByName(ignored)
-    if skipped is not None:
-        outcomes = outcomes.unionByName(skipped).unionByName(failed_hash)
+    error = F.when(outcome == "Invalid", F.col("error"))
+    outcomes = materialize(rows.select("path", outcome.alias("outcome"), error.alias("error")))
+    if ledger is not None:
         next_ledger = set_processed(idx.ledger, outcomes.filter(F.col("outcome") == "Verified").select("path"))
     return VerifyResult(outcomes=outcomes, ledger=next_ledger)

@@ -2,7 +2,7 @@
 
 A table is a directory of immutable versions ``<root>/v=<n>``; a write
 lands a whole new version and then the ``_CURRENT`` pointer file is
-replaced, so a reader never sees a half-written snapshot and a job never
+replaced by one overwriting rename, so there is always a pointer, a reader never sees a half-written snapshot and a job never
 overwrites the path it is reading. Old versions stay until pruned.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.materialize import materialize
 from ..schemas import LEDGER, LEDGER_COLUMNS, TRASH, assert_columns
 
 POINTER = "_CURRENT"
@@ -23,33 +24,51 @@ def _jvm_fs(spark: SparkSession, root: str):
     return jvm, path.getFileSystem(conf), path
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
+def _pointer(spark: SparkSession, root: str) -> list[str]:
+    """The pointer's lines: the current version and the tag it was written
+    with, if any; empty without a table."""
     jvm, fs, base = _jvm_fs(spark, root)
     ptr = jvm.org.apache.hadoop.fs.Path(base, POINTER)
     if not fs.exists(ptr):
-        return None
+        return []
     stream = fs.open(ptr)
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-        return int(reader.readLine().strip())
+        lines = []
+        while (line := reader.readLine()) is not None:
+            lines.append(line.strip())
+        return lines
     finally:
         stream.close()
 
 
-def _set_version(spark: SparkSession, root: str, version: int) -> None:
+def current_version(spark: SparkSession, root: str) -> int | None:
+    lines = _pointer(spark, root)
+    return int(lines[0]) if lines else None
+
+
+def current_tag(spark: SparkSession, root: str) -> str | None:
+    """The tag of the current version: what the writer said it holds."""
+    lines = _pointer(spark, root)
+    return lines[1] if len(lines) > 1 else None
+
+
+def _set_version(spark: SparkSession, root: str, version: int, tag: str | None) -> None:
     jvm, fs, base = _jvm_fs(spark, root)
     tmp = jvm.org.apache.hadoop.fs.Path(base, f"{POINTER}.{version}.tmp")
     out = fs.create(tmp, True)
-    out.write(bytearray(f"{version}\n".encode()))
+    out.write(bytearray((f"{version}\n" + (f"{tag}\n" if tag else "")).encode()))
     out.close()
     ptr = jvm.org.apache.hadoop.fs.Path(base, POINTER)
-    if fs.exists(ptr):
-        fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(ptr), options)
 
 
 def write_snapshot(
-    df: DataFrame, root: str, partition_by: list[str] | None = None, version: int | None = None
+    df: DataFrame, root: str, partition_by: list[str] | None = None, version: int | None = None, tag: str | None = None
 ) -> int:
     """Write ``df`` as the next version (or the given one) of the table at
     ``root`` and point readers at it; returns the version. A version
@@ -62,7 +81,7 @@ def write_snapshot(
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{root.rstrip('/')}/v={version}")
-    _set_version(spark, root, version)
+    _set_version(spark, root, version, tag)
     return version
 
 
@@ -102,11 +121,20 @@ def read_trash_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return df.select("sha1", "original_file_name")
 
 
+ARCHIVE_ROWS = 2_000_000  # rows of one archive file, and of one task, at most
+
+
 def write_archive(imported: DataFrame, root: str) -> int:
-    """SNK-3: imported rows land partitioned by their date directory
-    (``date_dir`` = destination without the file name)."""
-    df = imported.withColumn("date_dir", F.regexp_extract(F.col("dest"), r"^(.*)/", 1))
-    return write_snapshot(df, root, ["date_dir"])
+    """SNK-3: imported rows, with the source's modification time, hashes and
+    the applied tags where they have them, land partitioned by their date
+    directory (``date_dir`` = destination without the file name). Rows are
+    dealt by directory first, a directory of very many rows over several
+    tasks, so a directory gets few files and no task gets one whole."""
+    df = imported.withColumn("date_dir", F.regexp_extract(F.col("dest"), r"(?s)^(.*)/", 1))
+    df = materialize(df)
+    parts = df.groupBy("date_dir").agg(F.ceil(F.count(F.lit(1)) / ARCHIVE_ROWS).alias("_parts"))
+    df = df.join(parts, "date_dir").withColumn("_part", F.pmod(F.xxhash64("dest"), F.col("_parts")))
+    return write_snapshot(df.repartition("date_dir", "_part").drop("_parts", "_part"), root, ["date_dir"])
 
 
 def with_sequence(plan: DataFrame, order: list[str]) -> DataFrame:

@@ -10,92 +10,81 @@ binaryFile ``content`` column stops at 2 GiB).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.materialize import materialize
+
 TICKS_AT_UNIX_EPOCH = 621355968000000000  # 100-ns ticks from 0001-01-01 to 1970-01-01
 READ_CHUNK = 80 * 1024
 
 
 def _fs_and_path(uri: str):
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
     if uri.startswith("file:") or "://" not in uri:
         local = uri[len("file:") :] if uri.startswith("file:") else uri
         return fs.LocalFileSystem(), "/" + local.lstrip("/")
     return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
 
 
-def _entries(root: str, recursive: bool):
-    from pyarrow import fs
-
-    filesystem, base = _fs_and_path(root)
-    infos = filesystem.get_file_info(fs.FileSelector(base, recursive=recursive, allow_not_found=True))
-    for info in infos:
-        yield info
-
-
 def _ticks(info) -> int | None:
     ns = info.mtime_ns
     return None if ns is None else ns // 100 + TICKS_AT_UNIX_EPOCH
 
 
-def list_files(spark: SparkSession, root: str, strip_prefix: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """SRC-1: every file below ``root`` (recursive, empty and hidden files
-    included) -> path, file_size, mtime_ticks (100-ns ticks, exact).
+LISTING_FRAME = 10_000  # directory entries handed to Spark at a time
+_ENTRY = pa.schema([("path", pa.string()), ("file_size", pa.int64()), ("mtime_ticks", pa.int64()), ("is_dir", pa.bool_())])
 
-    One task lists the root's direct children; the sub-directories are then
-    walked in parallel by executor tasks through ``pyarrow.fs`` (local, HDFS
-    and object stores). File scans are not used for the listing because
-    they skip zero-length files, which matter here (empty backups). With
-    ``strip_prefix`` paths are made relative to that prefix."""
-    import pandas as pd
 
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out_schema = "path string, file_size long, mtime_ticks long, is_dir boolean"
-    root_local = root[len("file:") :] if root.startswith("file:") else root
+def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The direct children of each directory, in frames of bounded size."""
+    for batch in batches:
+        for directory in batch.column(0).to_pylist():
+            filesystem, base = _fs_and_path(directory)
+            rows = []
+            for info in filesystem.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+                is_dir = info.type == fs.FileType.Directory
+                path = directory.rstrip("/") + "/" + info.path[len(base.rstrip("/")) :].lstrip("/")
+                rows.append((path, None if is_dir else info.size, None if is_dir else _ticks(info), is_dir))
+                if len(rows) == LISTING_FRAME:
+                    yield _entry_batch(rows)
+                    rows = []
+            if rows:
+                yield _entry_batch(rows)
 
-    def name(info_path: str) -> str:
-        # pyarrow paths are scheme-less; re-anchor them on the caller's root
-        _, base = _fs_and_path(root)
-        rel = info_path[len(base) :] if info_path.startswith(base) else info_path
-        return root_local.rstrip("/") + "/" + rel.lstrip("/")
 
-    def top(it):
-        from pyarrow import fs
+def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENTRY.types)], schema=_ENTRY)
 
-        for _ in it:
-            rows = []
-            for info in _entries(root, recursive=False):
-                is_dir = info.type == fs.FileType.Directory
-                rows.append((name(info.path), None if is_dir else info.size, None if is_dir else _ticks(info), is_dir))
-            yield pd.DataFrame(rows, columns=["path", "file_size", "mtime_ticks", "is_dir"])
 
-    def walk(it):
-        from pyarrow import fs
+def list_files(spark: SparkSession, root: str, strip_prefix: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """SRC-1: every file below ``root`` (recursive, empty and hidden files
+    included) -> path, file_size, mtime_ticks (100-ns ticks, exact).
 
-        for pdf in it:
-            rows = []
-            for d in pdf["path"]:
-                _, dbase = _fs_and_path(d)
-                for info in _entries(d, recursive=True):
-                    if info.type == fs.FileType.File:
-                        rel = info.path[len(dbase) :].lstrip("/")
-                        rows.append((d.rstrip("/") + "/" + rel, info.size, _ticks(info), False))
-            yield pd.DataFrame(rows, columns=["path", "file_size", "mtime_ticks", "is_dir"])
-
-    seed = spark.range(1).select(F.lit(root).alias("path"))
-    level1 = seed.mapInPandas(top, out_schema)
-    files_top = level1.filter(~F.col("is_dir"))
-    dirs = level1.filter(F.col("is_dir")).select("path").repartition(n)
-    files_deep = dirs.mapInPandas(walk, out_schema)
-    df = files_top.unionByName(files_deep).drop("is_dir")
+    The tree is listed level by level: the directories found on one level
+    are spread over the executors, each lists its own children through
+    ``pyarrow.fs`` (local, HDFS and object stores), and the level is written
+    as a table. A deep or lopsided tree is thus never walked by one task; as
+    many rounds as the tree is deep. File scans are not used for the listing
+    because they skip zero-length files, which matter here (empty backups).
+    With ``strip_prefix`` paths are made relative to that prefix."""
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root_local = root[len("file:") :] if root.startswith("file:") else root
+    frontier = spark.range(1).select(F.lit(root_local.rstrip("/") or "/").alias("path"))
+    df = None
+    while True:
+        level = materialize(frontier.mapInArrow(_list_directories, "path string, file_size long, mtime_ticks long, is_dir boolean"))
+        files = level.filter(~F.col("is_dir")).drop("is_dir")
+        df = files if df is None else df.unionByName(files)
+        frontier = level.filter("is_dir").select("path").repartition(n)
+        if level.filter("is_dir").isEmpty():
+            break
     if strip_prefix is not None:
         sp = strip_prefix[len("file:") :] if strip_prefix.startswith("file:") else strip_prefix
         df = df.withColumn(
@@ -116,58 +105,46 @@ def list_files_scan(spark: SparkSession, root: str, strip_prefix: str | None = N
     return df.select(path.alias("path"), F.col("length").alias("file_size"), ticks.alias("mtime_ticks"))
 
 
-def _hash_batches(batches: Iterator[pd.DataFrame], prefix: str) -> Iterator[pd.DataFrame]:
-    """Adds c_sha256 / c_sha1 for rows whose ``_need`` flag is set."""
-    import hashlib
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    for pdf in batches:
-        sha256s, sha1s = [], []
-        for p, need in zip(pdf["path"], pdf["_need"]):
-            if not need or p is None:
-                sha256s.append(None)
-                sha1s.append(None)
-                continue
-            uri = prefix + p
-            try:
-                if uri.startswith("file:") or "://" not in uri:
-                    # local path (Spark prints local files as file:/...)
-                    local = uri[len("file:") :] if uri.startswith("file:") else uri
-                    local = "/" + local.lstrip("/")
-                    filesystem = fs.LocalFileSystem()
-                else:
-                    filesystem, local = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
-                h256, h1 = hashlib.sha256(), hashlib.sha1()
-                with filesystem.open_input_stream(local) as stream:
-                    while True:
-                        chunk = stream.read(READ_CHUNK)
-                        if not chunk:
-                            break
-                        h256.update(chunk)
-                        h1.update(chunk)
-                sha256s.append(h256.hexdigest())
-                sha1s.append(h1.hexdigest())
-            except (OSError, ValueError):
-                # unreadable: the caller reports Failed, never Invalid
-                sha256s.append(None)
-                sha1s.append(None)
-        yield pdf.drop(columns=["_need"]).assign(c_sha256=sha256s, c_sha1=sha1s)
+def _digests(uri: str) -> tuple[str, str] | tuple[None, None]:
+    """SHA-256 and SHA-1 of a file's bytes in one pass; nulls where it cannot
+    be read (the caller reports Failed, never Invalid)."""
+    h256, h1 = hashlib.sha256(), hashlib.sha1()
+    try:
+        filesystem, local = _fs_and_path(uri)
+        with filesystem.open_input_stream(local, compression=None) as stream:
+            while chunk := stream.read(READ_CHUNK):
+                h256.update(chunk)
+                h1.update(chunk)
+    except (OSError, ValueError):
+        return None, None
+    return h256.hexdigest(), h1.hexdigest()
 
 
 def file_hasher(prefix: str = ""):
     """SRC-2 as a hasher (see :data:`mediacat.operators.ledger.Hasher`):
-    streams ``prefix + path`` through both digests where ``need`` is true;
-    other rows pass through untouched (no file is opened for them)."""
+    streams ``prefix + path`` through both digests where ``need`` is true.
+
+    The rows are written once; only those with ``need`` go to Python, as
+    Arrow batches whose other columns pass through bit by bit (a null never
+    turns a long into a double), spread evenly over the tasks. The rest
+    never leaves the JVM and no file of theirs is opened."""
 
     def run(df: DataFrame, need) -> DataFrame:
-        src = df.withColumn("_need", need)
-        schema = T.StructType(
-            [f for f in src.schema.fields if f.name != "_need"]
-            + [T.StructField("c_sha256", T.StringType()), T.StructField("c_sha1", T.StringType())]
-        )
-        return src.mapInPandas(lambda it: _hash_batches(it, prefix), schema)
+        rows = materialize(df.withColumn("_need", F.coalesce(need, F.lit(False))))
+        at = df.columns.index("path")
+        digests = [T.StructField("c_sha256", T.StringType()), T.StructField("c_sha1", T.StringType())]
+        schema = T.StructType([*rows.drop("_need").schema.fields, *digests])
+
+        def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = [(None, None) if p is None else _digests(prefix + p) for p in batch.column(at).to_pylist()]
+                new = [pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hashed = rows.filter("_need").drop("_need").repartition(n).mapInArrow(hash_batches, schema)
+        known = rows.filter("NOT _need").drop("_need")
+        return hashed.unionByName(known.withColumns({f.name: F.lit(None).cast("string") for f in digests}))
 
     return run
 

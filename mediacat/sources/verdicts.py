@@ -34,7 +34,13 @@ def parse_verdict_lines(lines: DataFrame, line_no: str = "line_no", text: str =
 
 
 def read_verdict_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Read a decoder output file; the line number is the position in the file."""
-    raw = spark.read.text(path).select(F.col("value").alias("line"))
-    numbered = raw.withColumn("line_no", F.monotonically_increasing_id())
-    return parse_verdict_lines(numbered)
+    """Read the decoder's output: one file, or a folder of files whose names
+    sort in the order of their runs. A line's place is (file, offset of the
+    split it lies in, position within the split), so a later file's verdict
+    wins over an earlier one's in whatever order the files are scanned."""
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("offset"),
+        F.monotonically_increasing_id().alias("position"),
+    )
+    return parse_verdict_lines(spark.read.text(path).select(place.alias("line_no"), F.col("value").alias("line")))

@@ -1,11 +1,12 @@
 """STR-1 incremental index over a stream of listing files.
 
 Each micro-batch of newly arrived listing rows goes through the index run
-(PLN-1) against the current ledger version and lands the next version,
-numbered ``batch_id + 1`` (version 0 is the starting ledger). The state
-lives in the ledger itself, so there is no watermark; a replayed batch
-whose version is already current is skipped, and a replayed batch against
-the ledger it produced would report every file Unchanged.
+(PLN-1) against the current ledger version and lands the next version. The
+state lives in the ledger itself, so there is no watermark. Each version is
+tagged with the stream that wrote it (the id that Spark keeps in the
+stream's checkpoint) and its batch, so a batch that is replayed after its
+version became current is known by its tag and skipped; how many versions
+the ledger has, and who wrote them, does not matter.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.index import index_run
 from ..schemas import FILES
 from ..session import scratch_path
-from ..sinks.snapshots import current_version, read_ledger, write_ledger, write_snapshot
+from ..sinks.snapshots import current_tag, current_version, read_ledger, write_ledger, write_snapshot
 
 
 def stream_index(
@@ -35,20 +36,22 @@ def stream_index(
         .parquet(listing_dir)
     )
 
+    checkpoint = checkpoint_location or scratch_path(spark, "stream-index-ckpt")
+
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        target = batch_id + 1
-        cur = current_version(spark, ledger_root)
-        if cur is not None and cur >= target:
+        metadata = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata")
+        tag = f"{metadata.first()['id']} {batch_id}"
+        if current_tag(spark, ledger_root) == tag:
             return  # replay of a committed batch
-        ledger = read_ledger(spark, ledger_root)
-        result = index_run(batch, ledger, hasher, mark_processed=mark_processed)
+        result = index_run(batch, read_ledger(spark, ledger_root), hasher, mark_processed=mark_processed)
+        target = current_version(spark, ledger_root) + 1
         if outcomes_root is not None:
-            write_snapshot(result.outcomes, outcomes_root, version=target)
-        write_snapshot(result.ledger, ledger_root, version=target)
+            write_snapshot(result.outcomes, outcomes_root, version=target, tag=tag)
+        write_snapshot(result.ledger, ledger_root, version=target, tag=tag)
 
     query = (
         source.writeStream.foreachBatch(each_batch)
-        .option("checkpointLocation", checkpoint_location or scratch_path(spark, "stream-index-ckpt"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
