@@ -26,7 +26,7 @@ from .operators.ranking import first_in_group
 from .operators.summary import run_summary, skipped_extensions
 from .plans.import_plan import ImportOptions, import_run
 from .plans.index import index_run
-from .plans.process import ProcessOptions, next_backup_names, process_run
+from .plans.process import ProcessOptions, next_backup_names, process_decisions, process_run
 from .plans.trash_sync import trash_sync, visited_pages
 from .plans.undo import backup_groups, group_table, undo_run
 from .plans.verify import container_path, pending, verify_run
@@ -698,12 +698,17 @@ def ledger_delete_trashed(spark, sf_dir):
 
 @register("process_first_round")
 def process_first_round(spark, sf_dir):
-    """PLN-3: the first round of the clean-up plan (rule list applied once)."""
+    """PLN-3: the rule list applied once: every file's rule and the name it asks for."""
     fx = fixtures(spark, sf_dir)
-    return process_run(
-        _listing(fx), fx.media_meta, _probe(fx), ProcessOptions(max_rounds=1),
-        ledger=fx.ledger, trash=fx.trash, hasher=led.table_hasher(_hashes(fx)),
-    ).plan
+    return process_decisions(
+        _listing(fx), fx.media_meta, _probe(fx), ledger=fx.ledger, trash=fx.trash, hasher=led.table_hasher(_hashes(fx))
+    )
+
+
+@register("process_listing")
+def process_listing(spark, sf_dir):
+    """PLN-3: every file's name once the clean-up plan is carried out."""
+    return _process(spark, sf_dir).listing
 
 
 @register("trash_rebuilt")

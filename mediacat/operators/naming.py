@@ -41,6 +41,19 @@ def _join_name(has_dir: Column, d: Column, stem: Column, k: Column, ext: Column)
     return F.when(has_dir, F.concat(d, F.lit("/"), nm)).otherwise(nm)
 
 
+def _near(existing: DataFrame, req: DataFrame) -> DataFrame:
+    """The existing names that can matter to the requests: those asked for,
+    and those that are a requested name with a suffix. The rest of a large
+    archive is filtered away by one join on names."""
+    has_dir, d, stem, ext = _split(F.col("_name"))
+    root = F.regexp_extract(stem, SUFFIXED_STEM, 1)
+    nm = F.concat(root, ext)
+    plain = F.when(has_dir, F.concat(d, F.lit("/"), nm)).otherwise(nm)
+    both = existing.select("_name", F.explode(F.array("_name", F.when(stem.rlike(SUFFIXED_STEM), plain))).alias("_asked"))
+    wanted = req.select(F.col("_name").alias("_asked")).distinct()
+    return both.filter(F.col("_asked").isNotNull()).join(wanted, "_asked", "left_semi").select("_name").distinct()
+
+
 def unique_names(
     requests: DataFrame,
     existing: DataFrame,
@@ -61,7 +74,7 @@ def unique_names(
         req = materialize(req)
     if req.isEmpty():
         return requests.withColumn("final_" + name_col, F.lit(None).cast("string"))
-    ex = existing.select(F.col("path").alias("_name")).distinct()
+    ex = _near(existing.select(F.col("path").alias("_name")).distinct(), req)
 
     # rank requests per name; existing rows sort first so a running count
     # of them says whether the name is already taken

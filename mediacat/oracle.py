@@ -966,15 +966,9 @@ add(
 )
 
 
-# ------------------------------------------------------------ process, first round
-def _process_round1_sql() -> str:
-    exts = [e for e0 in N.LIVE_IMAGE_EXTENSIONS for e in (e0, e0.upper())]
-    n = len(exts)
-    cand_list = ",".join(f"{{'prio': {i}, 'e': '{e}', 'h': false}}" for i, e in enumerate(exts)) + "," + ",".join(
-        f"{{'prio': {n + i}, 'e': '{e}', 'h': true}}" for i, e in enumerate(exts)
-    )
-    st = _stem_sql(name_sql("v.path"))
-    e = ext("s.path")
+# ------------------------------------------------------------ process
+def _process_head() -> str:
+    """The listing after the case renames, the index run, and what round 1 decides on."""
     return (
         """
 , lp AS (SELECT path, lower(path) AS lpath FROM media_files),
@@ -1009,118 +1003,41 @@ s AS (
    i.sha1 IN (SELECT sha1 FROM trash) AS in_trash,
    m.meta_ok, m.validate_errors, m.meta_ext, m.content_id, m.dng_newer
   FROM lst x LEFT JOIN idx i ON i.path = x.path LEFT JOIN mt m ON m.mpath = x.origin),
-v AS (SELECT path FROM s WHERE lower({ext('path')}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)}),
-cands AS (
-  SELECT v.path, x.prio,
-   regexp_extract(v.path, '^(.*)/', 1) || '/' ||
-   CASE WHEN x.h THEN (CASE WHEN regexp_matches({st}, '(?i)_hevc$') THEN regexp_replace({st}, '(?i)_hevc$', '') END)
-        ELSE {st} END || x.e AS companion
-  FROM v, (SELECT unnest([{cand_list}], recursive := true)) x),
-comp AS (
-  SELECT c.path, arg_min(c.companion, c.prio) AS companion FROM cands c WHERE c.companion IN (SELECT path FROM lst) GROUP BY c.path),
-d AS (
-  SELECT s.*, c.companion, cm.content_id AS companion_content_id, {e} AS ext,
-   {mime_target_sql('s.path', 's.meta_ext')} AS mime_target,
-   substr(s.path, 1, length(s.path) - length({e})) || lower({e}) AS case_target,
-   lower({e}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)} AS live,
-   CASE WHEN lower({e}) IN {_lst(N.REMUX_EXTENSIONS)} THEN 'remux'
-        WHEN lower({e}) IN {_lst(N.REENCODE_EXTENSIONS)} THEN 'reencode'
-        WHEN lower({e}) IN {_lst(N.REENCODE_AUDIO_EXTENSIONS)} AND starts_with(lower(coalesce(s.audio_codec,'')), 'pcm') THEN 'reencode_audio' END AS conv
-  FROM s LEFT JOIN comp c ON c.path = s.path
-  LEFT JOIN s cm ON cm.path = c.companion),
-r1 AS (
-  SELECT *,
-   CASE WHEN NOT (lower(ext) IN {SUPPORTED}) THEN 'ignored'
-        WHEN coalesce(in_trash, false) THEN 'trashed'
-        WHEN status = 'Unchanged' AND coalesce(was_processed, false) THEN 'skipped'
-        WHEN NOT coalesce(meta_ok, false) THEN 'no_metadata'
-        WHEN validate_errors > 0 THEN 'invalid'
-        WHEN mime_target IS NOT NULL THEN 'mime'
-        WHEN regexp_matches(ext, '\\p{{Ll}}') AND regexp_matches(ext, '\\p{{Lu}}') THEN 'case'
-        WHEN live AND duration_s IS NULL THEN 'no_duration'
-        WHEN live AND duration_s <= 1.0 THEN 'short_clip'
-        WHEN live AND companion IS NOT NULL AND duration_s < 4.0 AND coalesce(content_id,'') <> ''
-             AND coalesce(companion_content_id,'') <> '' AND content_id = companion_content_id THEN 'live_photo'
-        WHEN conv IS NOT NULL THEN conv
-        ELSE 'success' END AS rule
-  FROM d),
-convreq AS (SELECT path, substr(path, 1, length(path) - length(ext)) || '.mp4' AS dest FROM r1 WHERE rule IN ('remux','reencode','reencode_audio')),
-convex AS (SELECT path FROM lst WHERE path NOT IN (SELECT path FROM convreq))
-"""
-        + unique_names_sql("convreq", "convex", "cv")
-        + f"""
-, waves AS (
-  SELECT path, CAST(row_number() OVER (PARTITION BY lower(regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))})
-                                      ORDER BY path) - 1 AS BIGINT) AS wave
+st1 AS (
+  SELECT path, origin, duration_s, audio_codec, coalesce(in_trash, false) AS in_trash,
+   coalesce(status = 'Unchanged' AND was_processed, false) AS skip, meta_ok, validate_errors, meta_ext, content_id, dng_newer
+  FROM s),
+cur1 AS (SELECT path, origin, content_id FROM s),
+waves AS (
+  SELECT path, origin, CAST(row_number() OVER (PARTITION BY lower(regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))})
+                                              ORDER BY path) - 1 AS BIGINT) AS wave
   FROM lst WHERE {supported('path')})
-SELECT 1 AS round, r1.path, r1.origin,
- CASE WHEN rule IN ('trashed','short_clip','live_photo') THEN 'delete' WHEN rule IN ('mime','case') THEN 'rename'
-      WHEN rule IN ('remux','reencode','reencode_audio') THEN 'convert' ELSE 'none' END AS action,
- CASE WHEN rule = 'mime' THEN mime_target WHEN rule = 'case' THEN case_target
-      WHEN rule IN ('remux','reencode','reencode_audio') THEN cvun.final_dest END AS target,
- CASE WHEN rule = 'ignored' THEN 'Ignored' WHEN rule IN ('trashed','short_clip','live_photo') THEN 'Deleted'
-      WHEN rule = 'skipped' THEN 'Skipped' WHEN rule IN ('no_metadata','no_duration') THEN 'Failed'
-      WHEN rule = 'invalid' THEN 'Invalid' WHEN rule IN ('mime','case','remux','reencode','reencode_audio') THEN 'Reprocess'
-      ELSE 'Success' END AS outcome,
- CASE WHEN rule <> 'success' THEN rule
-      WHEN lower(ext) = '.dng' AND coalesce(dng_newer, false) THEN 'dng_newer'
-      WHEN live AND companion IS NOT NULL AND duration_s >= 4.0 THEN 'long_live_video' END AS reason,
- coalesce(w.wave, 0) AS wave
-FROM r1 LEFT JOIN cvun ON cvun.path = r1.path LEFT JOIN waves w ON w.path = r1.path
 """
     )
 
 
-add("process_first_round", ["media_files", "media_meta", "ledger", "trash"], _process_round1_sql())
+_MOVES = "('mime','case')"
+_CONVERTS = "('remux','reencode','reencode_audio')"
 
 
-# ------------------------------------------------------------ process, all rounds
-def _process_rounds_sql(max_rounds: int = 6) -> str:
-    """Unrolled fixpoint: round k decides on state st{k}; rows that re-enter
-    form st{k+1} with the modelled attributes of a renamed/converted file."""
+def _decide_sql(k: int) -> str:
+    """q{k}: the first rule that fits each file of st{k}, looking at the files of cur{k}."""
     exts = [e for e0 in N.LIVE_IMAGE_EXTENSIONS for e in (e0, e0.upper())]
     n = len(exts)
     cand_list = ",".join(f"{{'prio': {i}, 'e': '{e}', 'h': false}}" for i, e in enumerate(exts)) + "," + ",".join(
         f"{{'prio': {n + i}, 'e': '{e}', 'h': true}}" for i, e in enumerate(exts)
     )
-    base = _process_round1_sql()
-    head = base[: base.index("\n, waves AS (")]
-    # round-1 state (already computed as s / d / r1 in the first-round SQL) is rebuilt per round below
-    out = head.replace(
-        "\nv AS (SELECT path FROM s WHERE", "\nst1 AS (SELECT path, origin, duration_s, audio_codec, coalesce(in_trash, false) AS in_trash, "
-        "(status = 'Unchanged' AND coalesce(was_processed, false)) AS skip, meta_ok, validate_errors, meta_ext, content_id, dng_newer FROM s),\n"
-        "v AS (SELECT path FROM s WHERE",
-    )
-    # the first-round SQL decides round 1 from s; rounds >= 2 use the same rule list on st{k}
-    out += f"""
-, dec1 AS (
-  SELECT 1 AS round, r1.path, r1.origin, r1.duration_s, r1.audio_codec, r1.meta_ok, r1.validate_errors, r1.meta_ext,
-   r1.content_id, r1.dng_newer, r1.rule, r1.live, r1.ext, r1.companion,
-   CASE WHEN rule = 'mime' THEN mime_target WHEN rule = 'case' THEN case_target
-        WHEN rule IN ('remux','reencode','reencode_audio') THEN cvun.final_dest END AS target
-  FROM r1 LEFT JOIN cvun ON cvun.path = r1.path)
-"""
     st = _stem_sql(name_sql("v.path"))
-    for k in range(2, max_rounds + 1):
-        e = ext("s.path")
-        out += f"""
-, st{k} AS (
-  SELECT target AS path, origin, duration_s,
-   CASE WHEN rule IN ('remux','reencode','reencode_audio') AND rule <> 'remux' THEN 'aac' ELSE audio_codec END AS audio_codec,
-   false AS in_trash, false AS skip, meta_ok,
-   CASE WHEN rule IN ('remux','reencode','reencode_audio') THEN 0 ELSE validate_errors END AS validate_errors,
-   CASE WHEN rule IN ('remux','reencode','reencode_audio') THEN 'mp4' ELSE meta_ext END AS meta_ext,
-   content_id,
-   CASE WHEN rule IN ('remux','reencode','reencode_audio') THEN false ELSE dng_newer END AS dng_newer
-  FROM dec{k - 1} WHERE rule IN ('mime','case','remux','reencode','reencode_audio')),
-v{k} AS (SELECT path FROM st{k} WHERE lower({ext('path')}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)}),
+    e = ext("s.path")
+    return f"""
+, v{k} AS (SELECT path FROM st{k} WHERE lower({ext('path')}) IN {_lst(N.LIVE_VIDEO_EXTENSIONS)}),
 cands{k} AS (
   SELECT v.path, x.prio,
    regexp_extract(v.path, '^(.*)/', 1) || '/' ||
    CASE WHEN x.h THEN (CASE WHEN regexp_matches({st}, '(?i)_hevc$') THEN regexp_replace({st}, '(?i)_hevc$', '') END)
         ELSE {st} END || x.e AS companion
   FROM v{k} v, (SELECT unnest([{cand_list}], recursive := true)) x),
-comp{k} AS (SELECT path, arg_min(companion, prio) AS companion FROM cands{k} WHERE companion IN (SELECT path FROM lst) GROUP BY path),
+comp{k} AS (SELECT path, arg_min(companion, prio) AS companion FROM cands{k} WHERE companion IN (SELECT path FROM cur{k}) GROUP BY path),
 d{k} AS (
   SELECT s.*, c.companion, cm.content_id AS companion_content_id, {e} AS ext,
    {mime_target_sql('s.path', 's.meta_ext')} AS mime_target,
@@ -1129,8 +1046,8 @@ d{k} AS (
    CASE WHEN lower({e}) IN {_lst(N.REMUX_EXTENSIONS)} THEN 'remux'
         WHEN lower({e}) IN {_lst(N.REENCODE_EXTENSIONS)} THEN 'reencode'
         WHEN lower({e}) IN {_lst(N.REENCODE_AUDIO_EXTENSIONS)} AND starts_with(lower(coalesce(s.audio_codec,'')), 'pcm') THEN 'reencode_audio' END AS conv
-  FROM st{k} s LEFT JOIN comp{k} c ON c.path = s.path LEFT JOIN st1 cm ON cm.path = c.companion),
-q{k} AS (
+  FROM st{k} s LEFT JOIN comp{k} c ON c.path = s.path LEFT JOIN cur{k} cm ON cm.path = c.companion),
+r{k} AS (
   SELECT *,
    CASE WHEN NOT (lower(ext) IN {SUPPORTED}) THEN 'ignored'
         WHEN in_trash THEN 'trashed'
@@ -1146,43 +1063,106 @@ q{k} AS (
         WHEN conv IS NOT NULL THEN conv
         ELSE 'success' END AS rule
   FROM d{k}),
-creq{k} AS (SELECT path, substr(path, 1, length(path) - length(ext)) || '.mp4' AS dest FROM q{k} WHERE rule IN ('remux','reencode','reencode_audio')),
-cex{k} AS (SELECT path FROM lst WHERE path NOT IN (SELECT path FROM creq{k}))
-""" + unique_names_sql(f"creq{k}", f"cex{k}", f"c{k}") + f"""
-, dec{k} AS (
-  SELECT {k} AS round, q.path, q.origin, q.duration_s, q.audio_codec, q.meta_ok, q.validate_errors, q.meta_ext,
-   q.content_id, q.dng_newer, q.rule, q.live, q.ext, q.companion,
-   CASE WHEN rule = 'mime' THEN mime_target WHEN rule = 'case' THEN case_target
-        WHEN rule IN ('remux','reencode','reencode_audio') THEN u.final_dest END AS target
-  FROM q{k} q LEFT JOIN c{k}un u ON u.path = q.path)
-"""
-    rounds = " UNION ALL ".join(f"SELECT * FROM dec{k}" for k in range(1, max_rounds + 1))
-    out += f"""
-, alld AS ({rounds}),
-waves AS (
-  SELECT origin, CAST(row_number() OVER (PARTITION BY lower(regexp_extract(path, '^(.*)/', 1) || '/' || {_stem_sql(name_sql('path'))})
-                                        ORDER BY path) - 1 AS BIGINT) AS wave
-  FROM lst WHERE {supported('path')}),
-plan AS (
-  SELECT round, a.path, a.origin,
-   CASE WHEN rule IN ('trashed','short_clip','live_photo') THEN 'delete' WHEN rule IN ('mime','case') THEN 'rename'
-        WHEN rule IN ('remux','reencode','reencode_audio') THEN 'convert' ELSE 'none' END AS action,
-   target,
+q{k} AS (
+  SELECT *, CASE WHEN rule = 'mime' THEN mime_target WHEN rule = 'case' THEN case_target
+                 WHEN rule IN {_CONVERTS} THEN substr(path, 1, length(path) - length(ext)) || '.mp4' END AS asked,
+   CASE WHEN rule IN ('trashed','short_clip','live_photo') THEN 'delete' WHEN rule IN {_MOVES} THEN 'rename'
+        WHEN rule IN {_CONVERTS} THEN 'convert' ELSE 'none' END AS action,
    CASE WHEN rule = 'ignored' THEN 'Ignored' WHEN rule IN ('trashed','short_clip','live_photo') THEN 'Deleted'
         WHEN rule = 'skipped' THEN 'Skipped' WHEN rule IN ('no_metadata','no_duration') THEN 'Failed'
-        WHEN rule = 'invalid' THEN 'Invalid' WHEN rule IN ('mime','case','remux','reencode','reencode_audio') THEN 'Reprocess'
+        WHEN rule = 'invalid' THEN 'Invalid' WHEN rule IN {_MOVES} OR rule IN {_CONVERTS} THEN 'Reprocess'
         ELSE 'Success' END AS outcome,
    CASE WHEN rule <> 'success' THEN rule
         WHEN lower(ext) = '.dng' AND coalesce(dng_newer, false) THEN 'dng_newer'
-        WHEN live AND companion IS NOT NULL AND duration_s >= 4.0 THEN 'long_live_video' END AS reason,
-   coalesce(w.wave, 0) AS wave
-  FROM alld a LEFT JOIN waves w ON w.origin = a.origin)
+        WHEN live AND companion IS NOT NULL AND duration_s >= 4.0 THEN 'long_live_video' END AS reason
+  FROM r{k})
 """
-    return out
+
+
+add(
+    "process_first_round",
+    ["media_files", "media_meta", "ledger", "trash"],
+    _process_head()
+    + _decide_sql(1)
+    + """
+SELECT q.path, q.origin, action, asked AS target, outcome, reason, coalesce(w.wave, 0) AS wave
+FROM q1 q LEFT JOIN waves w ON w.origin = q.origin
+""",
+)
+
+
+def _round_sql(k: int) -> str:
+    """Round k: who moves, who waits, who is in the way; then st{k+1} and cur{k+1}."""
+    return (
+        _decide_sql(k)
+        + f"""
+, rn{k} AS (
+  SELECT path, asked, regexp_replace(asked, '\\.[^./]+$', '') AS base,
+   path = min(path) OVER (PARTITION BY asked) AND asked NOT IN (SELECT path FROM q{k} WHERE action = 'rename') AS free
+  FROM q{k} WHERE action = 'rename'),
+go{k} AS (
+  SELECT path, free OR (NOT bool_or(free) OVER (PARTITION BY base) AND path = min(path) OVER (PARTITION BY base)) AS go FROM rn{k}),
+act{k} AS (SELECT q.* FROM q{k} q LEFT JOIN go{k} g ON g.path = q.path WHERE coalesce(g.go, true)),
+dis{k} AS (
+  SELECT * FROM cur{k} WHERE path IN (SELECT asked FROM act{k} WHERE action = 'rename')
+   AND path NOT IN (SELECT path FROM act{k} WHERE action IN ('rename', 'convert', 'delete'))),
+bq{k} AS (SELECT path FROM dis{k} UNION SELECT path FROM act{k} WHERE action = 'convert'),
+bn{k} AS (
+  SELECT path, arg_min(name, n) AS backup FROM (
+   SELECT b.path, t.n, b.path || '.bak' || CASE WHEN t.n = 0 THEN '' ELSE CAST(t.n AS VARCHAR) END AS name FROM bq{k} b, range(0, 40) t(n)) x
+  WHERE name NOT IN (SELECT path FROM cur{k}) GROUP BY path),
+creq{k} AS (SELECT path, asked AS dest FROM act{k} WHERE action = 'convert'),
+cex{k} AS (
+  SELECT path FROM cur{k} WHERE path NOT IN (SELECT path FROM creq{k}) UNION ALL SELECT asked FROM act{k} WHERE action = 'rename')
+"""
+        + unique_names_sql(f"creq{k}", f"cex{k}", f"c{k}")
+        + f"""
+, done{k} AS (
+  SELECT a.*, coalesce(u.final_dest, a.asked) AS target, CASE WHEN a.action = 'convert' THEN b.backup END AS backup
+  FROM act{k} a LEFT JOIN c{k}un u ON u.path = a.path LEFT JOIN bn{k} b ON b.path = a.path),
+st{k + 1} AS (
+  SELECT target AS path, origin, duration_s, CASE WHEN rule IN ('reencode','reencode_audio') THEN 'aac' ELSE audio_codec END AS audio_codec,
+   false AS in_trash, false AS skip, meta_ok, CASE WHEN action = 'convert' THEN 0 ELSE validate_errors END AS validate_errors,
+   CASE WHEN action = 'convert' THEN 'mp4' ELSE meta_ext END AS meta_ext, content_id,
+   CASE WHEN action = 'convert' THEN false ELSE dng_newer END AS dng_newer
+  FROM done{k} WHERE outcome = 'Reprocess'
+  UNION ALL
+  SELECT path, origin, duration_s, audio_codec, in_trash, skip, meta_ok, validate_errors, meta_ext, content_id, dng_newer
+  FROM st{k} WHERE path IN (SELECT path FROM go{k} WHERE NOT go) AND path NOT IN (SELECT path FROM dis{k})),
+cur{k + 1} AS (
+  SELECT path, origin, content_id FROM cur{k}
+  WHERE path NOT IN (SELECT path FROM done{k} WHERE action IN ('rename', 'convert', 'delete')) AND path NOT IN (SELECT path FROM dis{k})
+  UNION ALL SELECT target, origin, content_id FROM done{k} WHERE outcome = 'Reprocess'
+  UNION ALL SELECT b.backup, d.origin, NULL FROM dis{k} d JOIN bn{k} b ON b.path = d.path
+  UNION ALL SELECT backup, origin, NULL FROM done{k} WHERE backup IS NOT NULL
+  UNION ALL SELECT backup || '.out', origin, NULL FROM done{k} WHERE backup IS NOT NULL),
+rows{k} AS (
+  SELECT {k} AS round, path, origin, action, target, backup, backup || '.out' AS tracker, outcome, reason FROM done{k}
+  UNION ALL SELECT {k}, d.path, d.origin, 'backup', b.backup, NULL, NULL, 'Displaced', 'displaced' FROM dis{k} d JOIN bn{k} b ON b.path = d.path)
+"""
+    )
+
+
+PROCESS_ROUNDS = 6  # rounds that the registered inputs need, at most
+
+
+def _process_rounds_sql() -> str:
+    """The rounds unrolled: the state that one leaves is what the next decides on."""
+    rounds = " UNION ALL ".join(f"SELECT * FROM rows{k}" for k in range(1, PROCESS_ROUNDS + 1))
+    return (
+        _process_head()
+        + "".join(_round_sql(k) for k in range(1, PROCESS_ROUNDS + 1))
+        + f"""
+, plan AS (
+  SELECT a.round, a.path, a.origin, a.action, a.target, a.backup, a.tracker, a.outcome, a.reason, coalesce(w.wave, 0) AS wave
+  FROM ({rounds}) a LEFT JOIN waves w ON w.origin = a.origin)
+"""
+    )
 
 
 _PROC_VIEWS = ["media_files", "media_meta", "ledger", "trash"]
 add("process_plan", _PROC_VIEWS, _process_rounds_sql() + "SELECT * FROM plan")
+add("process_listing", _PROC_VIEWS, _process_rounds_sql() + f"SELECT path, origin FROM cur{PROCESS_ROUNDS + 1}")
 
 _PROC_FINAL = """
 , fin AS (SELECT * FROM plan WHERE outcome <> 'Reprocess'),

@@ -16,12 +16,24 @@ reference):
    ``<stem>.mp4`` (free name), Reprocess
 9. otherwise Success (warnings: newer DNG, long video with a companion)
 
-Renamed and converted files re-enter (PLN-4) until no row changes; the rule
-chain bounds this to a few rounds (mime rename -> case rename -> convert ->
-settle), independent of the data. Every round's decisions are written as a
-table under the checkpoint directory; the driver only reads emptiness flags
-("anything re-entered", "any convert target to name"). Same-stem files get
-a ``wave`` (WIN-2): the order in which the plan must be executed.
+Renamed and converted files re-enter (PLN-4) until nothing does; there is no
+cap on the rounds, and a state that comes back raises an error. Rounds share
+a *current listing*: a round's moves take names out of it and put names in,
+so no two files ever get one name.
+
+* Of several files that ask for one name, and of a file that asks for the
+  name of another file about to move, one waits for the next round. Where
+  all wait for each other, the first by path goes.
+* A move onto a name that another file still holds displaces that file: it
+  gets a ``backup`` row (``X.bak``, ``X.bak1``, ...; with ``skip_backup`` a
+  ``delete`` row), so undo knows of it.
+* A convert target is made unique against the current listing; the source
+  becomes a backup, and ``tracker`` names the file that ties the two together.
+
+Every round's decisions are written as a table under the checkpoint
+directory; the driver only reads emptiness flags and a fingerprint of the
+files that re-enter. Same-stem files get a ``wave`` (WIN-2): the order in
+which the plan must be executed.
 
 What a converted file will look like is modelled, not probed: same
 duration and content id, container mp4, audio aac after a re-encode and
@@ -50,6 +62,7 @@ from .index import index_run
 SHORT_VIDEO_SECONDS = 1.0
 LIVE_VIDEO_SECONDS = 4.0
 BACKUP_SUFFIX = ".bak"
+TRACKER_SUFFIX = ".out"
 # --------------------------------------------------------------------------
 
 STATE_COLUMNS = [
@@ -72,12 +85,12 @@ class ProcessOptions:
     reprocess: bool = False
     short_video_seconds: float = SHORT_VIDEO_SECONDS
     skip_backup: bool = False
-    max_rounds: int = 8
 
 
 @dataclass
 class ProcessResult:
-    plan: DataFrame  # round, path, origin, action, target, outcome, reason, wave
+    plan: DataFrame  # round, path, origin, action, target, backup, tracker, outcome, reason, wave
+    listing: DataFrame  # path, origin of every file once the plan is carried out
     renames: DataFrame  # case-conflict renames (path, new_path)
     ledger: DataFrame | None
 
@@ -172,18 +185,16 @@ def _decide(state: DataFrame, listing: DataFrame, companions_meta: DataFrame, op
     return s.withColumn("action", action).withColumn("outcome", outcome).withColumn("reason", reason)
 
 
-def process_run(
-    files: DataFrame,
-    metadata_docs: DataFrame,
-    probe: DataFrame,
-    opts: ProcessOptions | None = None,
-    ledger: DataFrame | None = None,
-    trash: DataFrame | None = None,
-    hasher=None,
-) -> ProcessResult:
-    """``files``: path, file_size, mtime_ticks; ``metadata_docs``: path,
-    meta_json; ``probe``: path, duration_s, audio_codec."""
-    opts = opts or ProcessOptions()
+@dataclass
+class _Start:
+    renames: DataFrame
+    listing: DataFrame  # path, origin, file_size, mtime_ticks, after the case renames
+    state: DataFrame
+    waves: DataFrame
+    ledger: DataFrame | None  # the index run's
+
+
+def _start(files, metadata_docs, probe, opts, ledger, trash, hasher) -> _Start:
     # WIN-1: case conflicts are renamed before anything else
     renames = materialize(case_conflicts(files))
     listing = files.join(renames, "path", "left").select(
@@ -199,9 +210,8 @@ def process_run(
         probe.select(F.col("path").alias("origin"), "duration_s", "audio_codec"), "origin", "left"
     )
 
-    next_ledger = None
-    with_ledger = ledger is not None
-    if with_ledger:
+    indexed = None
+    if ledger is not None:
         # a renamed file's bytes are still at its origin path when the plan is made
         origin_of = listing.select(F.col("path").alias("_np"), F.col("origin").alias("_op"))
 
@@ -213,7 +223,8 @@ def process_run(
 
         idx = index_run(listing.select("path", "file_size", "mtime_ticks"), ledger, hash_by_origin)
         status = idx.outcomes.select("path", "status", "was_processed")
-        hashes = idx.ledger.select("path", "sha1")
+        indexed = idx.ledger
+        hashes = indexed.select("path", "sha1")
         state = state.join(status, "path", "left").join(hashes, "path", "left")
         skip = (F.col("status") == "Unchanged") & F.coalesce(F.col("was_processed"), F.lit(False)) & F.lit(not opts.reprocess)
         state = state.withColumn("skip", skip)
@@ -225,82 +236,164 @@ def process_run(
         state = state.withColumn("skip", F.lit(False)).withColumn("in_trash", F.lit(False))
     state = materialize(state.select(*STATE_COLUMNS))
 
-    listing_paths = materialize(listing.select("path"))
-    comp_meta = state.select(F.col("path").alias("companion"), F.col("content_id").alias("companion_content_id"))
     # stem conflicts are split after the case renames (on the renamed listing)
-    waves = stem_waves(listing_paths).join(listing.select("path", "origin"), "path").select("origin", "wave")
-
-    rounds = []
-    for rnd in range(1, opts.max_rounds + 1):
-        decided = materialize(
-            _decide(state, listing_paths, comp_meta, opts, with_ledger).select(
-                *STATE_COLUMNS, "ext", "rule", "action", "outcome", "reason", "mime_target", "case_target"
-            )
-        )
-        # convert targets: <stem>.mp4 made unique against the listing; with
-        # backups on, an .mp4 source moves away first and frees its name
-        conv = decided.filter(F.col("action") == "convert").select(
-            "path",
-            F.concat(
-                F.expr("substring(path, 1, length(path) - length(ext))"), F.lit(N.VIDEO_OUTPUT_EXTENSION)
-            ).alias("dest"),
+    waves = stem_waves(listing.select("path")).join(listing.select("path", "origin"), "path").select("origin", "wave")
+    return _Start(renames, listing, state, waves, indexed)
+
+
+DECIDED = [*STATE_COLUMNS, "ext", "rule", "action", "outcome", "reason", "target"]
+
+
+def _with_requests(decided: DataFrame) -> DataFrame:
+    """``target``: the name a rename or convert asks for."""
+    stem = F.expr("substring(path, 1, length(path) - length(ext))")
+    target = (
+        F.when(F.col("rule") == "mime", F.col("mime_target"))
+        .when(F.col("rule") == "case", F.col("case_target"))
+        .when(F.col("action") == "convert", F.concat(stem, F.lit(N.VIDEO_OUTPUT_EXTENSION)))
+    )
+    return decided.withColumn("target", target).select(*DECIDED)
+
+
+def process_decisions(
+    files: DataFrame, metadata_docs: DataFrame, probe: DataFrame, opts: ProcessOptions | None = None,
+    ledger: DataFrame | None = None, trash: DataFrame | None = None, hasher=None,
+) -> DataFrame:
+    """PLN-3, the rule list alone: for every file the first rule that fits,
+    with the name it asks for. Arguments as for :func:`process_run`."""
+    opts = opts or ProcessOptions()
+    start = _start(files, metadata_docs, probe, opts, ledger, trash, hasher)
+    listing = materialize(start.listing.select("path"))
+    content = start.state.select(F.col("path").alias("companion"), F.col("content_id").alias("companion_content_id"))
+    decided = _with_requests(_decide(start.state, listing, content, opts, ledger is not None)).join(start.waves, "origin", "left")
+    return decided.select("path", "origin", "action", "target", "outcome", "reason", F.coalesce("wave", F.lit(0)).alias("wave"))
+
+
+def _settle_renames(renames: DataFrame) -> DataFrame:
+    """``renames`` (path, target) with ``go``: whether the file moves in this
+    round. See the module's notes on who waits."""
+    firsts = renames.groupBy("target").agg(F.min("path").alias("path")).withColumn("_first", F.lit(True))
+    movers = renames.select(F.col("path").alias("target"), F.lit(True).alias("_held"))
+    r = renames.join(firsts, ["target", "path"], "left").join(movers, "target", "left")
+    free = F.col("_first").isNotNull() & F.col("_held").isNull()
+    r = materialize(r.select("path", "target", free.alias("_free"), F.regexp_replace("target", r"\.[^./]+\z", "").alias("_base")))
+    groups = r.groupBy("_base").agg(F.max("_free").alias("_any"), F.min("path").alias("_least"))
+    go = F.col("_free") | (~F.col("_any") & (F.col("path") == F.col("_least")))
+    return r.join(groups, "_base").select("path", go.alias("go"))
+
+
+def _fingerprint(state: DataFrame) -> tuple:
+    low = F.xxhash64("path", "origin").bitwiseAND(F.lit((1 << 40) - 1))
+    return tuple(state.agg(F.count(F.lit(1)), F.coalesce(F.sum(low), F.lit(0))).first())
+
+
+def process_run(
+    files: DataFrame,
+    metadata_docs: DataFrame,
+    probe: DataFrame,
+    opts: ProcessOptions | None = None,
+    ledger: DataFrame | None = None,
+    trash: DataFrame | None = None,
+    hasher=None,
+) -> ProcessResult:
+    """``files``: path, file_size, mtime_ticks; ``metadata_docs``: path,
+    meta_json; ``probe``: path, duration_s, audio_codec."""
+    opts = opts or ProcessOptions()
+    start = _start(files, metadata_docs, probe, opts, ledger, trash, hasher)
+    state = start.state
+    current = materialize(state.select("path", "origin", "content_id"))
+    none = F.lit(None).cast("string")
+
+    rounds: list[DataFrame] = []
+    seen: set[tuple] = set()
+    while not rounds or not state.isEmpty():
+        mark = _fingerprint(state)
+        if rounds and mark in seen:
+            raise RuntimeError(f"the files to process come back unchanged after {len(rounds)} rounds")
+        seen.add(mark)
+        listing = current.select("path")
+        content = current.select(F.col("path").alias("companion"), F.col("content_id").alias("companion_content_id"))
+        decided = materialize(_with_requests(_decide(state, listing, content, opts, ledger is not None)))
+        renames = decided.filter(F.col("action") == "rename").select("path", "target")
+        decided = materialize(decided.join(_settle_renames(renames), "path", "left"))
+        waiting = decided.filter(~F.coalesce(F.col("go"), F.lit(True)))
+        acting = decided.filter(F.coalesce(F.col("go"), F.lit(True)))
+        moved = acting.filter(F.col("action") == "rename")
+        converts = acting.filter(F.col("action") == "convert")
+
+        # names that become free, files that are in the way, backup names
+        freed = acting.filter(F.col("action").isin("rename", "convert", "delete")).select("path")
+        held = current.join(moved.select(F.col("target").alias("path")), "path", "left_semi")
+        displaced = materialize(held.join(freed, "path", "left_anti"))
+        to_back_up = displaced.select("path") if opts.skip_backup else displaced.select("path").unionByName(converts.select("path"))
+        backups = materialize(next_backup_names(to_back_up, listing))
+
+        # convert targets are unique; with backups on, an .mp4 source frees its own name first
+        taken = listing if opts.skip_backup else listing.join(converts.select("path"), "path", "left_anti")
+        taken = taken.unionByName(moved.select(F.col("target").alias("path")))
+        named = unique_names(converts.select("path", F.col("target").alias("dest")), taken, "dest", "path", cut_input=False)
+        acting = acting.join(named.select("path", "final_dest"), "path", "left")
+        if opts.skip_backup:
+            acting = acting.withColumn("backup", none)
+        else:
+            source = backups.select("path", F.col("backup_path").alias("backup"), F.lit("convert").alias("action"))
+            acting = acting.join(source, ["path", "action"], "left")
+        acting = acting.withColumn("target", F.coalesce("final_dest", "target"))
+        acting = acting.withColumn("tracker", F.concat("backup", F.lit(TRACKER_SUFFIX)))
+        number = len(rounds) + 1
+        rows = acting.select(F.lit(number).alias("round"), *STATE_COLUMNS, "rule", "action", "target", "backup", "tracker", "outcome", "reason")
+        acting = materialize(rows)
+        out_of_the_way = displaced.join(backups, "path").select(
+            F.lit(number).alias("round"), "path", "origin", F.lit("delete" if opts.skip_backup else "backup").alias("action"),
+            (none if opts.skip_backup else F.col("backup_path")).alias("target"), none.alias("backup"), none.alias("tracker"),
+            F.lit("Displaced").alias("outcome"), F.lit("displaced").alias("reason"),
         )
-        existing = listing_paths
+        rounds.append(acting.select("round", "path", "origin", "action", "target", "backup", "tracker", "outcome", "reason").unionByName(out_of_the_way))
+
+        again = acting.filter(F.col("outcome") == "Reprocess")
+        gone = freed.unionByName(displaced.select("path"))
+        current = current.join(gone, "path", "left_anti").unionByName(again.select(F.col("target").alias("path"), "origin", "content_id"))
         if not opts.skip_backup:
-            existing = existing.join(conv.select("path"), "path", "left_anti")
-        conv = unique_names(conv, existing, "dest", "path", cut_input=False).select(
-            "path", F.col("final_dest").alias("convert_target")
-        )
-        decided = decided.join(conv, "path", "left")
-        target = (
-            F.when(F.col("rule") == "mime", F.col("mime_target"))
-            .when(F.col("rule") == "case", F.col("case_target"))
-            .when(F.col("action") == "convert", F.col("convert_target"))
-        )
-        decided = materialize(
-            decided.withColumn("target", target).select(
-                F.lit(rnd).alias("round"), *STATE_COLUMNS, "ext", "rule", "action", "target", "outcome", "reason"
-            )
-        )
-        rounds.append(decided)
-        again = decided.filter(F.col("outcome") == "Reprocess")
-        if again.isEmpty():
-            break
+            kept = displaced.join(backups, "path").select(F.col("backup_path").alias("path"), "origin", none.alias("content_id"))
+            sources = again.filter(F.col("backup").isNotNull())
+            for name in ("backup", "tracker"):
+                kept = kept.unionByName(sources.select(F.col(name).alias("path"), "origin", none.alias("content_id")))
+            current = current.unionByName(kept)
+        current = materialize(current)
+
         converted = F.col("action") == "convert"
-        # read straight from this round's materialised decisions
-        state = (
-            again.select(
-                F.col("target").alias("path"),
-                "origin",
-                F.lit(False).alias("in_trash"),
-                F.lit(False).alias("skip"),
-                "meta_ok",
-                F.when(converted, F.lit(0)).otherwise(F.col("validate_errors")).alias("validate_errors"),
-                F.when(converted, F.lit("mp4")).otherwise(F.col("meta_ext")).alias("meta_ext"),
-                "content_id",
-                F.when(converted, F.lit(False)).otherwise(F.col("dng_newer")).alias("dng_newer"),
-                "duration_s",
-                F.when(converted & (F.col("rule") != "remux"), F.lit("aac")).otherwise(F.col("audio_codec")).alias("audio_codec"),
-            )
+        renewed = again.select(
+            F.col("target").alias("path"),
+            "origin",
+            F.lit(False).alias("in_trash"),
+            F.lit(False).alias("skip"),
+            "meta_ok",
+            F.when(converted, F.lit(0)).otherwise(F.col("validate_errors")).alias("validate_errors"),
+            F.when(converted, F.lit("mp4")).otherwise(F.col("meta_ext")).alias("meta_ext"),
+            "content_id",
+            F.when(converted, F.lit(False)).otherwise(F.col("dng_newer")).alias("dng_newer"),
+            "duration_s",
+            F.when(converted & (F.col("rule") != "remux"), F.lit("aac")).otherwise(F.col("audio_codec")).alias("audio_codec"),
         )
+        still = waiting.join(displaced.select("path"), "path", "left_anti").select(*STATE_COLUMNS)
+        state = materialize(renewed.unionByName(still))
 
     plan = rounds[0]
     for r in rounds[1:]:
         plan = plan.unionByName(r)
-    plan = plan.join(waves, "origin", "left")
-    plan = plan.select("round", "path", "origin", "action", "target", "outcome", "reason", F.coalesce("wave", F.lit(0)).alias("wave"))
+    plan = plan.join(start.waves, "origin", "left").withColumn("wave", F.coalesce("wave", F.lit(0)))
+    plan = plan.select("round", "path", "origin", "action", "target", "backup", "tracker", "outcome", "reason", "wave")
 
-    if with_ledger:
-        base = idx.ledger
+    next_ledger = None
+    if start.ledger is not None:
         final = plan.filter(F.col("outcome") != "Reprocess")
         deleted = final.filter((F.col("outcome") == "Deleted") & (F.col("reason") == "trashed")).select("path")
-        done = final.filter(F.col("outcome") == "Success").select("path").withColumn("_done", F.lit(True))
-        kept = base.join(deleted, "path", "left_anti").join(done, "path", "left")
-        next_ledger = kept.select(
+        done = final.filter(F.col("outcome") == "Success").select("path").distinct().withColumn("_done", F.lit(True))
+        next_ledger = start.ledger.join(deleted, "path", "left_anti").join(done, "path", "left").select(
             *[c for c in LEDGER_COLUMNS if c != "is_processed"],
             (F.col("is_processed") | F.coalesce(F.col("_done"), F.lit(False))).alias("is_processed"),
         )
-    return ProcessResult(plan=plan, renames=renames, ledger=next_ledger)
+    return ProcessResult(plan=plan, renames=start.renames, ledger=next_ledger, listing=current.select("path", "origin"))
 
 
 def process_summary(plan: DataFrame) -> DataFrame:
