@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.materialize import materialize
 from .components import components
-from .tables import numbered, original
+from .tables import BITMAP_BITS, bitmap_of, in_bitmap, numbered, original
 from .textblocks import SPACES, Block, blocks, combined, map_texts, mix, row_of, windows, words
 
 TABLES = 8
@@ -94,17 +95,44 @@ def with_signatures(docs: DataFrame, text_col: str, shingle: int, keep: list[str
     return map_texts(docs, text_col, fields, run, keep)
 
 
-def with_sets(docs: DataFrame, text_col: str, shingle: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``_set``, the texts' shingle hashes, added."""
+def table_keys(classes: DataFrame, bitmap: Broadcast | None = None) -> DataFrame:
+    """A row (``_key``, ``_id``) for each table and row of ``classes``
+    (``_id``, ``_halves``); with ``bitmap`` only those whose key may be in it."""
+    schema = StructType([StructField("_key", LongType()), classes.schema["_id"]])
 
-    def run(texts: pa.Array) -> list[pa.Array]:
-        parts = []
-        for b in blocks(texts):
-            value, at = shingle_sets(b, shingle)
-            parts.append(_long_lists(value, at))
-        return [pa.chunked_array(parts, pa.list_(pa.int64())).combine_chunks() if parts else pa.array([], pa.list_(pa.int64()))]
+    def run(batches):
+        for batch in batches:
+            halves = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, 2 * TABLES)
+            for t in range(TABLES**2):
+                i, j = divmod(t, TABLES)
+                keys = mix(mix(halves[:, i] + np.uint64(t)) * np.uint64(0xD1342543DE82EF95) + halves[:, TABLES + j])
+                rows = np.arange(len(keys)) if bitmap is None else np.flatnonzero(in_bitmap(bitmap, keys))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows].view(np.int64)), batch.column(0).take(pa.array(rows))], names=schema.names)
+
+    return classes.select("_id", "_halves").mapInArrow(run, schema)
+
+
+def sets_of(source: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
+    """``_id`` and ``_set``, the shingle hashes, of the texts whose id is in
+    ``used`` (a written table of distinct ids); equal sets of an id once."""
+    schema = StructType([source.schema["_id"], StructField("_set", ArrayType(LongType()))])
+    bitmap = bitmap_of(used.select(F.xxhash64("_id").alias("_h")), "_h")
 
-    return map_texts(docs, text_col, StructType([StructField("_set", ArrayType(LongType()))]), run, keep)
+    def run(batches):
+        for batch in batches:
+            some = np.flatnonzero(in_bitmap(bitmap, batch.column(2).to_numpy()))
+            batch = batch.take(pa.array(some))
+            for b in blocks(batch.column(1)):
+                sets = _long_lists(*shingle_sets(b, shingle))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[b.lo : b.hi], sets], names=schema.names)
+
+    hashed = source.select("_id", "_body", F.xxhash64("_id").alias("_h"))
+    if used.limit(BITMAP_BITS // 4 + 1).count() > BITMAP_BITS // 4:
+        # so many ids fill the bitmap: rather shuffle the texts than the sets of all
+        hashed = hashed.join(used, "_id", "left_semi")
+    sets = hashed.mapInArrow(run, schema).join(used, "_id", "left_semi").withColumn("_sum", F.xxhash64("_set"))
+    return sets.where(F.size("_set") > 0).dropDuplicates(["_id", "_sum"]).drop("_sum")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,6 +177,18 @@ def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFr
     return x.join(y, on).select(F.col("_idx").alias("a"), F.col("_idy").alias("b")).distinct()
 
 
+def links_within_buckets(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links among the members ``b`` of a bucket ``_key`` (its smallest one
+    aside) that do not all lie in one component of ``roots`` yet; None if all
+    buckets are settled."""
+    placed = crowd.join(roots, F.col("b") == F.col("node"), "left").select("_key", "b", F.coalesce("root", "b").alias("_comp"))
+    unsettled = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
+    wanted = materialize(placed.join(unsettled, "_key", "left_semi").select(F.col("b").alias("_id"), "_comp").distinct())
+    if wanted.isEmpty():
+        return None
+    return verified(rare_token_pairs(sets, wanted, percent), sets, percent)
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -172,35 +212,30 @@ def near_duplicates(
     classes = members.groupBy("_d1", "_d2", "_n").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_halves").alias("_halves"))
     classes = materialize(classes)
 
-    keys = F.array(*[F.xxhash64(F.lit(i * TABLES + j), F.col("_halves")[i], F.col("_halves")[TABLES + j]) for i in range(TABLES) for j in range(TABLES)])
-    keyed = classes.select(F.col("_rep").alias("_id"), F.explode(keys).alias("_key"))
-    buckets = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_id").alias("a"), F.max("_id").alias("b"))
+    classes = classes.withColumnRenamed("_rep", "_id")
+    buckets = table_keys(classes).groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_id").alias("a"), F.max("_id").alias("b"))
     buckets = materialize(buckets.where("_m > 1 AND a < b"))
     # the members of buckets of three and more, without the smallest
-    crowd = keyed.join(buckets.where("_m > 2").select("_key", "a"), "_key").where("_id <> a")
+    big = buckets.where("_m > 2").select("_key", "a")
+    crowd = table_keys(classes, bitmap_of(big, "_key")).join(big, "_key").where("_id <> a")
     crowd = materialize(crowd.select("_key", "a", F.col("_id").alias("b")))
     pairs = materialize(buckets.where("_m = 2").select("a", "b").union(crowd.select("a", "b")).distinct())
-
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = source.join(used, "_id", "left_semi")
-    sets = with_sets(sets, "_body", shingle, ["_id"]).withColumn("_sum", F.xxhash64("_set"))
-    sets = materialize(sets.where(F.size("_set") > 0).dropDuplicates(["_id", "_sum"]).drop("_sum"))
+    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    sets = materialize(sets_of(source, used, shingle))
     links = materialize(verified(pairs, sets, percent))
     roots = components(links)
 
-    # buckets whose members, their smallest aside, are not all connected yet
-    comp = F.coalesce("root", "b")
-    placed = crowd.join(roots, F.col("b") == F.col("node"), "left").select("_key", "b", comp.alias("_comp"))
-    open_keys = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
-    wanted = materialize(placed.join(open_keys, "_key", "left_semi").select(F.col("b").alias("_id"), "_comp").distinct())
-    more = verified(rare_token_pairs(sets, wanted, percent), sets, percent)
+    more = links_within_buckets(crowd, roots, sets, percent)
 
     # an id with several sets belongs to the class of each
-    reps = classes.where("_copies > 1").select("_d1", "_d2", "_n", "_rep")
-    named = _with_rep(members.drop("_halves"), reps)
-    several = named.groupBy("_id").agg(F.min("_rep").alias("_lo"), F.max("_rep").alias("_hi")).where("_lo < _hi").select("_id")
-    same_id = named.join(several, "_id", "left_semi").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(same_id))
+    reps = classes.where("_copies > 1").select("_d1", "_d2", "_n", F.col("_id").alias("_rep"))
+    if not members.groupBy("_id").count().where("count > 1").isEmpty():
+        named = _with_rep(members.drop("_halves"), reps)
+        several = named.groupBy("_id").agg(F.min("_rep").alias("_lo"), F.max("_rep").alias("_hi")).where("_lo < _hi").select("_id")
+        same_id = named.join(several, "_id", "left_semi").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
+        more = same_id if more is None else more.union(same_id)
+    if more is not None:
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     # classes with copies take their root along; a lone document looks it up itself
     reps = reps.join(roots, F.col("_rep") == F.col("node"), "left").select("_d1", "_d2", "_n", F.coalesce("root", "_rep").alias("_rep"))

@@ -1,7 +1,9 @@
-"""Joins with small and with skewed sides, shared by the operators."""
+"""Joins with small and with skewed sides, and bitmaps of keys, shared by the operators."""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,26 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def original(names: dict[str, str]) -> list[Column]:
     """The columns of a :func:`numbered` table under their names again."""
     return [F.col(new).alias(old) for old, new in names.items()]
+
+
+#: bits of a bitmap, whatever the data (8 MB)
+BITMAP_BITS = 1 << 26
+
+
+def bitmap_of(keys: DataFrame, column: str) -> Broadcast:
+    """``BITMAP_BITS`` bits with those of the 64-bit keys set, on all
+    executors. It tells rows that cannot meet a key before they are shuffled
+    to an exact join; the more keys there are, the fewer it tells. At most
+    one long for each 64 bits comes to the driver."""
+    place = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("p")
+    longs = keys.select(place).selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
+    rows = longs.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS >> 6, np.int64)
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def in_bitmap(bitmap: Broadcast, keys: np.ndarray) -> np.ndarray:
+    """Whether the bits of 64-bit keys are set."""
+    place = (keys.view(np.uint64) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    return (bitmap.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
