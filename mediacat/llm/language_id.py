@@ -136,12 +136,15 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
 
     partial = rows.mapInArrow(count, schema).select("_lang", F.explode(F.arrays_zip("_cells", "_counts")).alias("_c"))
     counts = partial.groupBy("_lang", F.col("_c._cells").alias("cell")).agg(F.sum("_c._counts").alias("n"))
-    table = counts.toPandas()
-    languages = sorted(table["_lang"].unique())
+    table = counts.toArrow()
+    languages = sorted(table["_lang"].unique().to_pylist())
     code = codewords(len(languages))
     index = {x: i for i, x in enumerate(languages)}
     total = np.zeros((len(languages), FEATURES + 1))
-    total[table["_lang"].map(index).to_numpy(dtype=int), table["cell"].to_numpy(dtype=int)] = table["n"].to_numpy(dtype=float)
+    names = table["_lang"].combine_chunks().dictionary_encode()
+    rows_of = np.array([index[x] for x in names.dictionary.to_pylist()], np.int64)
+    if len(table):
+        total[rows_of[names.indices.to_numpy()], table["cell"].to_numpy()] = table["n"].to_numpy()
     total, texts_of = total[:, :-1], dict(zip(languages, total[:, -1], strict=True))
     share = (total + 0.5) / (total + 0.5).sum(axis=1, keepdims=True) if len(languages) else total
     odds = np.zeros((code.shape[1], FEATURES))
