@@ -32,6 +32,14 @@ def test_subject_normalisation(spark):
     assert got["5"].subjects == ["a"]  # tool output wrapped in [...]
 
 
+def test_malformed_documents_are_not_ok(spark):
+    whole = '{"File:FileTypeExtension":"JPG","EXIF:CreateDate":"2010:01:02 03:04:05"}'
+    docs = [whole, "[" + whole + "]", whole[:-1], whole[:-9], "garbage", "", "  ", None, "17", '"text"', "[]", "{}"]
+    got = _meta(spark, docs)
+    assert [got[str(i)].meta_ok for i in range(len(docs))] == [True, True] + [False] * 9 + [True]
+    assert all(got[str(i)].meta_ext is None and got[str(i)].meta_date is None for i in range(2, 11))
+
+
 def test_date_priority(spark):
     docs = [
         {"EXIF:DateTimeOriginal": "2001:01:01 00:00:00", "EXIF:CreateDate": "2002:01:01 00:00:00"},
@@ -56,15 +64,14 @@ def test_date_priority(spark):
 @pytest.mark.parametrize(
     "verdict,errors,warnings",
     [
-        ("2 Errors, 3 Warnings", 2, 3),
-        ("12 Warnings (9 minor)", 0, 12),
-        ("4 Warnings (all minor)", 0, 4),
+        *[(f"{e} Error{'s' * (e > 1)}, {w} Warning{'s' * (w > 1)}", e, w) for e in (1, 7, 30) for w in (1, 8, 41)],
+        ("6 Warnings (2 minor)", 0, 6),
+        ("5 Errors", 5, 0),
+        ("9 warnings", 0, 9),
         ("OK", 0, 0),
         ("", 0, 0),
         (None, 0, 0),
-        ("1 Error", 1, 0),
-        ("garbage, -2 Errors", 0, 0),
-        ("3 errors", 3, 0),
+        ("none -4 Errors", 0, 0),
     ],
 )
 def test_validation_counts(spark, verdict, errors, warnings):
@@ -75,7 +82,10 @@ def test_validation_counts(spark, verdict, errors, warnings):
 
 @pytest.mark.parametrize(
     "version,newer",
-    [("1.4", False), ("1.4.0.0", False), ("1.5", True), ("1.5.0.0", True), ("2.0", True), ("1.", False), (".", False), ("abc.def", False), ("", False), (None, False), ("1", False)],
+    [
+        *[(f"{major}.{minor}{tail}", (major, minor) > (1, 4)) for major in (0, 1, 2, 10) for minor in (0, 4, 5, 40) for tail in ("", ".7", ".0.3")],
+        *[(text, False) for text in ("", "1", "2", "9.", ".9", "x.9", "9.x", "-2.0", None)],
+    ],
 )
 def test_dng_newer(spark, version, newer):
     assert spark.range(1).select(M.is_dng_newer(F.lit(version).cast("string")).alias("n")).first().n is newer

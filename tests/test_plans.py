@@ -166,3 +166,83 @@ def test_import_scenarios(spark):
     assert got["/s/f/seen.jpg"][0] == "Skipped"  # content already in the import ledger
     led = {r.path for r in res.ledger.collect()}
     assert "/s/a/IMG_20200101_101010.jpg" in led and "/old/x.jpg" in led and "/s/c/copy.jpg" not in led
+
+
+def _process(spark, files, **options):
+    """files: path -> (file type, duration, audio codec)."""
+    from mediacat.plans.process import ProcessOptions, process_run
+
+    listing = spark.createDataFrame([(p, 1, 1) for p in files], "path string, file_size long, mtime_ticks long")
+    docs = [(p, '{"File:FileTypeExtension":"%s"}' % x[0] if x[0] else "{}") for p, x in files.items()]
+    meta = spark.createDataFrame(docs, "path string, meta_json string")
+    probe = spark.createDataFrame([(p, x[1], x[2]) for p, x in files.items()], "path string, duration_s double, audio_codec string")
+    result = process_run(listing, meta, probe, ProcessOptions(**options))
+    return result.plan.collect(), {r.path: r.origin for r in result.listing.collect()}, result.listing.count()
+
+
+def test_process_gives_no_two_files_one_name(spark):
+    files = {
+        "/l/a.avi": ("AVI", 9.0, "mp3"), "/l/a.Mkv": ("MKV", 9.0, "aac"),  # both become a.mp4
+        "/l/c.jpg": ("png", None, None), "/l/c.png": ("png", None, None),  # c.jpg asks for a held name
+        "/l/d.gif": ("png", None, None), "/l/d.jpg": ("png", None, None), "/l/d.tif": ("png", None, None),  # three ask for d.png
+        "/l/s.jpg": ("png", None, None), "/l/s.png": ("jpg", None, None),  # each asks for the other's name
+        "/l/v.mp4": ("mp4", 60.0, "pcm_s16le"), "/l/v.mp4.bak": (None, None, None), "/l/v.mp4.bak1": (None, None, None),
+        "/l/ok.jpg": ("jpg", None, None), "/l/notes.txt": (None, None, None),
+    }
+    plan, final, rows = _process(spark, files)
+    assert rows == len(final)  # every name once
+    assert set(files) <= set(final.values())  # every file is somewhere
+    displaced = {r.path: r.target for r in plan if r.action == "backup"}
+    held, taken = set(files), []
+    for rnd in sorted({r.round for r in plan}):
+        now = [r for r in plan if r.round == rnd]
+        moves = [r for r in now if r.action in ("rename", "convert")]
+        leaving = {r.path for r in moves} | {r.path for r in now if r.action in ("delete", "backup")}
+        for r in moves:
+            assert r.target not in held or r.target in leaving, r
+            taken.append(r.target)
+        held = (held - leaving) | {r.target for r in now if r.target} | {r.backup for r in now if r.backup} | {r.tracker for r in now if r.tracker}
+        assert len([r.target for r in moves]) == len({r.target for r in moves})
+    assert held == set(final)
+    assert displaced["/l/c.png"] == "/l/c.png.bak" and "/l/s.png" in displaced
+    assert final["/l/c.png"] == "/l/c.jpg" and final["/l/c.png.bak"] == "/l/c.png"
+    assert sorted(final[p] for p in final if p.startswith("/l/d.png")) == ["/l/d.gif", "/l/d.jpg", "/l/d.tif"]
+    converted = {r.origin: (r.target, r.backup, r.tracker) for r in plan if r.action == "convert"}
+    assert converted["/l/v.mp4"] == ("/l/v.mp4", "/l/v.mp4.bak2", "/l/v.mp4.bak2.out")
+    assert {t for o, (t, _, _) in converted.items() if o.startswith("/l/a.")} == {"/l/a.mp4", "/l/a_1.mp4"}
+
+
+def test_process_without_backups_deletes_what_is_in_the_way(spark):
+    files = {"/l/c.jpg": ("png", None, None), "/l/c.png": ("png", None, None), "/l/b.avi": ("AVI", 9.0, "mp3")}
+    plan, final, rows = _process(spark, files, skip_backup=True)
+    assert final == {"/l/c.png": "/l/c.jpg", "/l/b.mp4": "/l/b.avi"} and rows == 2
+    assert [(r.path, r.action, r.reason) for r in plan if r.outcome == "Displaced"] == [("/l/c.png", "delete", "displaced")]
+    assert all(r.backup is None and r.tracker is None for r in plan)
+
+
+def test_feed_ends_at_an_empty_page(spark):
+    from mediacat.plans.trash_sync import trash_sync
+
+    items = [(1, "2", "a", "c", "x"), (2, "3", None, None, None), (3, None, "b", "d", "y")]
+    feed = spark.createDataFrame([(*r, True) for r in items], "page long, next_page string, id string, checksum string, original_file_name string, is_trashed boolean")
+    result = trash_sync(feed, spark.createDataFrame([], "sha1 string, original_file_name string"))
+    totals = result.totals.first()
+    assert totals.fetched == 1 and not totals.partial and {r.page for r in result.pages.collect()} == {1, 2}
+
+
+def test_verify_reports_errors_and_files_that_are_gone(spark):
+    from mediacat.plans.verify import verify_run
+
+    files = spark.createDataFrame([(f"/l/{n}.jpg", 1, 1) for n in "abcd"], "path string, file_size long, mtime_ticks long")
+    lines = [(i, '{"path":"/m/%s.jpg","ok":%s,"error":"e%s"}' % (n, str(n == "a").lower(), n)) for i, n in enumerate("abc")]
+    verdicts = spark.createDataFrame(lines, "line_no long, line string")
+    there = spark.createDataFrame([("/l/a.jpg",), ("/l/b.jpg",), ("/l/d.jpg",)], "path string")
+    got = {r.path: (r.outcome, r.error) for r in verify_run(files, verdicts, "/l", "/m", still_there=there).outcomes.collect()}
+    assert got == {"/l/a.jpg": ("Verified", None), "/l/b.jpg": ("Invalid", "eb"), "/l/c.jpg": ("Failed", None), "/l/d.jpg": ("Failed", None)}
+
+
+def test_names_keep_line_breaks(spark):
+    from mediacat.operators.groups import case_conflicts
+
+    files = spark.createDataFrame([("/l/a\nb/C.jpg",), ("/l/a\nb/c.JPG",)], "path string")
+    assert {r.new_path for r in case_conflicts(files).collect()} == {"/l/a\nb/C_1.jpg", "/l/a\nb/c_2.JPG"}
