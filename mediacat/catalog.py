@@ -404,6 +404,14 @@ def undo_plan(spark, sf_dir):
     return undo_run(fx.backup_listing, fx.trackers).plan
 
 
+@register("undo_plan_from_disk")
+def undo_plan_from_disk(spark, sf_dir):
+    """PLN-5 + SRC-8: the undo plan with the tracker files read from the library itself."""
+    fx = fixtures(spark, sf_dir)
+    root = stage_media_tree(spark, fx)
+    return undo_run(fx.backup_listing, read_trackers(spark, root + LIB_ROOT, strip_prefix=root)).plan
+
+
 @register("undo_summary")
 def undo_summary(spark, sf_dir):
     """AGG-1 for undo: restored, deleted, failed and run status."""
@@ -515,9 +523,22 @@ def trash_set_roundtrip(spark, sf_dir):
 def archive_roundtrip(spark, sf_dir):
     """SNK-3: imported files written to the archive partitioned by date directory."""
     root = scratch_path(spark, "archive")
-    plan = _import(spark, sf_dir).plan.filter(F.col("outcome") == "Imported").select("path", "dest", "created", "tags")
-    SN.write_archive(plan, root)
-    return SN.read_snapshot(spark, root).select("path", "dest", "created", "date_dir")
+    SN.write_archive(_import(spark, sf_dir).archive, root)
+    return SN.read_snapshot(spark, root).select(
+        "path", "dest", "created", "tags", "file_size", "mtime_ticks", "sha256", F.col("date_dir").cast("string").alias("date_dir")
+    )
+
+
+@register("archive_contents")
+def archive_contents(spark, sf_dir):
+    """SNK-3: the bytes of the imported files, copied to the archive and hashed there."""
+    fx = fixtures(spark, sf_dir)
+    source, target = stage_media_tree(spark, fx), scratch_path(spark, "archive-files")
+    copied = SN.copy_contents(_import(spark, sf_dir).archive, source, target)
+    landed = hash_files(copied.select(F.concat(F.lit("/"), "dest").alias("path")), target)
+    return copied.join(landed.select(F.substring("path", 2, 1 << 30).alias("dest"), F.col("sha256").alias("landed_sha256")), "dest").select(
+        "path", "dest", "copied_bytes", "landed_sha256"
+    )
 
 
 @register("plan_roundtrip")
@@ -527,7 +548,7 @@ def plan_roundtrip(spark, sf_dir):
     root = scratch_path(spark, "plan")
     plan = SN.with_sequence(undo_run(fx.backup_listing, fx.trackers).plan, ["base", "action", "path"])
     SN.write_plan(plan, root)
-    return SN.read_snapshot(spark, root).select("base", "action", "path", "target", "counted")
+    return SN.read_snapshot(spark, root).select("seq", "base", "action", "path", "target", "counted")
 
 
 def _staged_hasher(spark, fx):

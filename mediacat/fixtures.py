@@ -296,9 +296,9 @@ def stage_media_tree(spark: SparkSession, fx: Fixtures) -> str:
     def write(it):
         import pandas as pd
 
-        from .sources.files import _fs_and_path
+        from .sources.files import fs_and_path
 
-        filesystem, base_path = _fs_and_path(root)
+        filesystem, base_path = fs_and_path(root)
         n = 0
         for pdf in it:
             for p, body in zip(pdf["path"], pdf["body"]):

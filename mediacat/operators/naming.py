@@ -11,7 +11,9 @@ The j-th free K of a name is ``j + #{taken K with K - rank(K) < j}`` where
 Both the ranks and the counting are running sums inside groups
 (:mod:`mediacat.operators.ranking`), so no candidate list is generated and
 nothing is capped: the result is exact for any number of requests and any
-number of taken names, and a hot name is spread over many tasks.
+number of taken names, and a hot name is spread over many tasks. Taken
+suffixes of 19 digits and more are not looked at because none can be reached:
+an assigned K is at most the number of taken suffixes and requests.
 """
 
 from __future__ import annotations

@@ -712,6 +712,7 @@ plan AS (
     WHERE o IN (SELECT path FROM backup_listing) AND lower(o) NOT IN (SELECT gkey FROM g))
 """
 add("undo_plan", ["backup_listing", "trackers"], _UNDO_CTES + "SELECT * FROM plan")
+ORACLE["undo_plan_from_disk"] = ORACLE["undo_plan"]
 add(
     "undo_summary",
     ["backup_listing", "trackers"],
@@ -907,9 +908,18 @@ ORACLE["stream_index_ledger"] = ORACLE["index_ledger"]
 add(
     "archive_roundtrip",
     _IMPORT_VIEWS,
-    _import_ctes() + "SELECT path, dest, created, regexp_extract(dest, '^(.*)/', 1) AS date_dir FROM plan WHERE outcome = 'Imported'",
+    _import_ctes()
+    + "SELECT p.path, p.dest, p.created, p.tags, i.file_size, i.mtime_ticks, i.sha256, regexp_extract(p.dest, '^(.*)/', 1) AS date_dir "
+    "FROM plan p JOIN imp i ON i.path = p.path WHERE p.outcome = 'Imported'",
+)
+add(
+    "archive_contents",
+    [*_IMPORT_VIEWS, "media_names"],
+    _import_ctes()
+    + "SELECT p.path, p.dest, CAST(strlen(n.text) AS BIGINT) AS copied_bytes, mf.sha256 AS landed_sha256 FROM plan p "
+    "JOIN media_files mf ON mf.path = p.path JOIN media_names n ON n.doc_id = mf.doc_id WHERE p.outcome = 'Imported'",
 )
-add("plan_roundtrip", ["backup_listing", "trackers"], _UNDO_CTES + "SELECT base, action, path, target, counted FROM plan")
+add("plan_roundtrip", ["backup_listing", "trackers"], _UNDO_CTES + "SELECT row_number() OVER (ORDER BY base, action, path NULLS FIRST) AS seq, base, action, path, target, counted FROM plan")
 
 
 # ------------------------------------------------------------ ledger merges, report

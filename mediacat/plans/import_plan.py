@@ -13,7 +13,7 @@ ledger, keyed by *source* path with the source hashes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +45,9 @@ class ImportOptions:
 class ImportResult:
     plan: DataFrame  # path, outcome, reason, dest, created, tags
     ledger: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
+    # what the archive keeps of each imported file: path, dest, created, tags,
+    # file_size, mtime_ticks (the source's), sha256, sha1
+    archive: DataFrame | None = None
 
 
 def import_run(
@@ -188,4 +190,5 @@ def import_run(
             F.lit(False).alias("is_processed"),
         )
         next_ledger = import_ledger.select(*LEDGER_COLUMNS).join(rows.select("path"), "path", "left_anti").unionByName(rows)
-    return ImportResult(plan=plan, ledger=next_ledger)
+    archive = plan_imported.join(imported.select("path", "file_size", "mtime_ticks", "sha256", "sha1"), "path").drop("outcome", "reason")
+    return ImportResult(plan=plan, ledger=next_ledger, archive=archive)

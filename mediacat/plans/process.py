@@ -98,7 +98,7 @@ class ProcessResult:
 def next_backup_names(paths: DataFrame, listing: DataFrame) -> DataFrame:
     """WIN-6: for each path X the backup name ``X.bak`` when free, else the
     smallest free ``X.bakN`` (N >= 1). Exact for any number of existing
-    backups: the first free N is 1 + the length of the run 1, 2, ... of
+    backups (a number too large for a bigint cannot belong to the run): the first free N is 1 + the length of the run 1, 2, ... of
     taken numbers, found from each taken number's rank."""
     want = paths.select("path").distinct()
     parts = N.backup_parts(F.col("path"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators.materialize import materialize
 from ..operators.ranking import group_ordinal
 from ..operators.skew import skew_safe_join
 from ..operators.summary import RUN_PARTIAL, RUN_SUCCESS
@@ -91,68 +92,53 @@ def group_table(listing: DataFrame) -> DataFrame:
 def undo_run(listing: DataFrame, trackers: DataFrame) -> UndoResult:
     """``listing``: path, file_size of the library (backups included);
     ``trackers``: backup_path, output_path (content of ``<backup>.out``)."""
-    g = group_table(listing)
-    b = backup_rows(listing).select("gkey", "path")
-    files = listing.select("path")
-
-    def rows(df, action, path, target, counted):
-        return df.select(
-            "base", F.lit(action).alias("action"), path.alias("path"), target.alias("target"), F.lit(counted).alias("counted")
-        )
-
-    derived = g.filter(F.col("derived"))
-    plain = g.filter(~F.col("derived"))
-    ok = plain.filter(F.col("primary").isNotNull())
-    failed = plain.filter(F.col("primary").isNull())
-
-    parts = [
-        rows(derived, "delete", F.col("base"), F.lit(None).cast("string"), True),
-        rows(skew_safe_join(b, derived.select("gkey", "base"), "gkey", "inner", unique="path"), "delete", F.col("path"), F.lit(None).cast("string"), True),
-        rows(failed, "fail", F.lit(None).cast("string"), F.lit(None).cast("string"), True),
-        rows(ok.filter(F.col("base_exists")), "delete_current", F.col("base"), F.lit(None).cast("string"), False),
-        rows(ok, "restore", F.col("primary"), F.col("base"), True),
-        rows(
-            skew_safe_join(b, ok.select("gkey", "base", "primary"), "gkey", "inner", unique="path").filter(
-                F.col("path") != F.col("primary")
-            ),
-            "delete",
-            F.col("path"),
-            F.lit(None).cast("string"),
-            True,
-        ),
-    ]
-
-    # JN-8: tracker of the primary backup and the output it names
-    tracker_files = files.select(F.col("path").alias("tracker"))
-    with_tracker = ok.withColumn("tracker", F.concat(F.col("primary"), F.lit(".out"))).join(tracker_files, "tracker", "left_semi")
-    parts.append(rows(with_tracker, "delete", F.col("tracker"), F.lit(None).cast("string"), True))
-    group_keys = g.select(F.col("gkey").alias("_okey"))
-    tracked = (
-        with_tracker.join(trackers.select(F.col("backup_path").alias("primary"), F.regexp_replace(F.col("output_path"), r"^\s+|\s+\z", "").alias("output")), "primary")
-        .join(files.select(F.col("path").alias("output")), "output", "left_semi")
-        .join(group_keys, F.lower(F.col("output")) == F.col("_okey"), "left_anti")
+    # everything below reads the landed group table
+    g = materialize(group_table(listing))
+    none = F.lit(None).cast("string")
+    restored = ~F.col("derived") & F.col("primary").isNotNull()
+
+    def act(action, path, target=none, counted=True):
+        return F.struct(F.lit(action).alias("action"), path.alias("path"), target.alias("target"), F.lit(counted).alias("counted"))
+
+    # what follows from the group alone
+    actions = F.array(
+        F.when(F.col("derived"), act("delete", F.col("base"))),
+        F.when(~F.col("derived") & F.col("primary").isNull(), act("fail", none)),
+        F.when(restored & F.col("base_exists"), act("delete_current", F.col("base"), counted=False)),
+        F.when(restored, act("restore", F.col("primary"), F.col("base"))),
     )
-    parts.append(rows(tracked, "delete", F.col("output"), F.lit(None).cast("string"), True))
-
-    no_tracker = ok.withColumn("tracker", F.concat(F.col("primary"), F.lit(".out"))).join(tracker_files, "tracker", "left_anti")
-    guessed = (
-        no_tracker.filter(F.col("_ext") != N.VIDEO_OUTPUT_EXTENSION)
-        .withColumn(
-            "output",
-            F.concat(
-                F.when(F.col("base").contains("/"), F.concat(N.dir_of(F.col("base")), F.lit("/"))).otherwise(F.lit("")),
-                N.stem_of(N.name_of(F.col("base"))),
-                F.lit(N.VIDEO_OUTPUT_EXTENSION),
-            ),
-        )
-        .join(files.select(F.col("path").alias("output")), "output", "left_semi")
-        .join(group_keys, F.lower(F.col("output")) == F.col("_okey"), "left_anti")
+    group_rows = g.select("base", F.explode(F.filter(actions, lambda x: x.isNotNull())).alias("_a")).select("base", "_a.*")
+
+    # every backup of a derived group, and all but the restored one of the others
+    done = g.filter(F.col("derived") | F.col("primary").isNotNull()).select("gkey", "base", F.when(~F.col("derived"), F.col("primary")).alias("_kept"))
+    spent = skew_safe_join(backup_rows(listing).select("gkey", "path"), done, "gkey", "inner", unique="path")
+    spent = spent.filter(~F.col("path").eqNullSafe(F.col("_kept")))
+    spent = spent.select("base", F.lit("delete").alias("action"), "path", none.alias("target"), F.lit(True).alias("counted"))
+
+    # JN-8: the primary's tracker, the output that it names, and without a
+    # tracker the output it would have; one lookup of all names in the listing
+    outputs = trackers.select(F.col("backup_path").alias("primary"), F.regexp_replace(F.col("output_path"), r"^\s+|\s+\z", "").alias("_output"))
+    folder = F.when(F.col("base").contains("/"), F.concat(N.dir_of(F.col("base")), F.lit("/"))).otherwise(F.lit(""))
+    guess = F.when(
+        F.col("_ext") != N.VIDEO_OUTPUT_EXTENSION,
+        F.concat(folder, N.stem_of(N.name_of(F.col("base"))), F.lit(N.VIDEO_OUTPUT_EXTENSION)),
     )
-    parts.append(rows(guessed, "delete", F.col("output"), F.lit(None).cast("string"), True))
-
-    plan = parts[0]
-    for p in parts[1:]:
-        plan = plan.unionByName(p)
+    names = F.array(
+        F.struct(F.lit("tracker").alias("kind"), F.concat(F.col("primary"), F.lit(".out")).alias("path")),
+        F.struct(F.lit("tracked").alias("kind"), F.col("_output").alias("path")),
+        F.struct(F.lit("guessed").alias("kind"), guess.alias("path")),
+    )
+    asked = g.filter(restored).join(outputs, "primary", "left").select("base", F.explode(names).alias("_n")).select("base", "_n.*").distinct()
+    there = asked.filter(F.col("path").isNotNull()).join(listing.select("path"), "path", "left_semi")
+    own = g.select(F.col("gkey").alias("_okey"), F.lit(True).alias("_own"))
+    there = materialize(there.join(own, F.lower(F.col("path")) == F.col("_okey"), "left").select("base", "kind", "path", "_own"))
+    tracked = there.filter(F.col("kind") == "tracker").select("base", F.lit(True).alias("_tracked"))
+    extra = there.join(tracked, "base", "left").filter(
+        (F.col("kind") == "tracker")
+        | (F.col("_own").isNull() & ((F.col("kind") == "tracked") == F.col("_tracked").isNotNull()))
+    )
+    extra = extra.select("base", F.lit("delete").alias("action"), "path", none.alias("target"), F.lit(True).alias("counted"))
+    plan = group_rows.unionByName(spent).unionByName(extra)
 
     summary = plan.agg(
         F.count_if((F.col("action") == "restore") & F.col("counted")).cast("long").alias("restored"),

@@ -8,11 +8,17 @@ overwrites the path it is reading. Old versions stay until pruned.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize
+from ..operators.ranking import group_ordinal
 from ..schemas import LEDGER, LEDGER_COLUMNS, TRASH, assert_columns
+from ..sources.files import READ_CHUNK, fs_and_path
 
 POINTER = "_CURRENT"
 
@@ -137,10 +143,47 @@ def write_archive(imported: DataFrame, root: str) -> int:
     return write_snapshot(df.repartition("date_dir", "_part").drop("_parts", "_part"), root, ["date_dir"])
 
 
+def copy_contents(plan: DataFrame, source_prefix: str, archive_prefix: str) -> DataFrame:
+    """SNK-3: the bytes of the imported files. Each row's ``path`` (below
+    ``source_prefix``) is copied to its ``dest`` (below ``archive_prefix``)
+    by a task, in pieces, under a name of its own that is then renamed, so a
+    lost or repeated task never leaves half a file. Returns the written
+    table path, dest, copied_bytes, sha256 (nulls where a file could not be
+    read; the source's modification time is a column of the archive table)."""
+    schema = "path string, dest string, copied_bytes long, sha256 string"
+
+    def copy(batches):
+        for batch in batches:
+            rows = [(p, d, *_copy_file(source_prefix + p, archive_prefix.rstrip("/") + "/" + d.lstrip("/"))) for p, d in zip(*(c.to_pylist() for c in batch.columns))]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["path", "dest", "copied_bytes", "sha256"])
+
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(plan.select("path", "dest").repartition(n).mapInArrow(copy, schema))
+
+
+def _copy_file(source: str, target: str) -> tuple[int, str] | tuple[None, None]:
+    digest, size = hashlib.sha256(), 0
+    to, at = fs_and_path(target)
+    partial = f"{at}.{uuid.uuid4().hex}.part"
+    try:
+        origin, start = fs_and_path(source)
+        to.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with origin.open_input_stream(start, compression=None) as read, to.open_output_stream(partial, compression=None) as write:
+            while chunk := read.read(READ_CHUNK):
+                digest.update(chunk)
+                size += len(chunk)
+                write.write(chunk)
+    except (OSError, ValueError):
+        return None, None
+    to.move(partial, at)
+    return size, digest.hexdigest()
+
+
 def with_sequence(plan: DataFrame, order: list[str]) -> DataFrame:
-    """Execution order for a plan: a global sort (range-partitioned, so no
-    single task) then an increasing, not dense, sequence number."""
-    return plan.orderBy(*order).withColumn("seq", F.monotonically_increasing_id())
+    """Execution order for a plan: ``seq`` numbers its rows from 1 by
+    ``order``, without gaps (ranges of rows are numbered by different tasks)."""
+    return group_ordinal(plan, [], order, name="seq")
 
 
 def write_plan(plan: DataFrame, root: str) -> int:

@@ -26,7 +26,7 @@ TICKS_AT_UNIX_EPOCH = 621355968000000000  # 100-ns ticks from 0001-01-01 to 1970
 READ_CHUNK = 80 * 1024
 
 
-def _fs_and_path(uri: str):
+def fs_and_path(uri: str):
     if uri.startswith("file:") or "://" not in uri:
         local = uri[len("file:") :] if uri.startswith("file:") else uri
         return fs.LocalFileSystem(), "/" + local.lstrip("/")
@@ -46,7 +46,7 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """The direct children of each directory, in frames of bounded size."""
     for batch in batches:
         for directory in batch.column(0).to_pylist():
-            filesystem, base = _fs_and_path(directory)
+            filesystem, base = fs_and_path(directory)
             rows = []
             for info in filesystem.get_file_info(fs.FileSelector(base, allow_not_found=True)):
                 is_dir = info.type == fs.FileType.Directory
@@ -110,7 +110,7 @@ def _digests(uri: str) -> tuple[str, str] | tuple[None, None]:
     be read (the caller reports Failed, never Invalid)."""
     h256, h1 = hashlib.sha256(), hashlib.sha1()
     try:
-        filesystem, local = _fs_and_path(uri)
+        filesystem, local = fs_and_path(uri)
         with filesystem.open_input_stream(local, compression=None) as stream:
             while chunk := stream.read(READ_CHUNK):
                 h256.update(chunk)
