@@ -130,23 +130,29 @@ def host_verdicts(measured: DataFrame, policy: HostPolicy) -> DataFrame:
     failed = (base_failed() | strict_failed(policy)).cast("long")
     hosts = measured.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"), F.sum(failed).alias("_failed"))
     hosts = materialize(hosts)
-    prior = hosts.agg(
-        F.count(F.lit(1)).alias("k"), F.sum("_n").cast("double").alias("n"), F.sum("_failed").cast("double").alias("x"),
-        F.sum(F.col("_n").cast("double") ** 2).alias("n2"), F.sum(F.col("_failed").cast("double") ** 2 / F.col("_n")).alias("x2"),
-    ).where("n > 0")
-    prior = prior.selectExpr(
-        "x / n AS _m",
-        "CASE WHEN k > 1 AND n > k THEN (x2 - x * x / n) / (k - 1) ELSE 0D END AS between",
-        "CASE WHEN k > 1 AND n > k THEN (x - x2) / (n - k) ELSE 1D END AS within",
-        "CASE WHEN k > 1 THEN (n - n2 / n) / (k - 1) ELSE 1D END AS size",
-    )
-    prior = prior.withColumn("_rho", F.expr("coalesce(try_divide(between - within, between + (size - 1) * within), 0D)"))
-    prior = prior.select("_m", (1 / F.least(F.greatest("_rho", F.lit(1e-6)), F.lit(0.5)) - 1).alias("_strength"))
-    # the prior is one row, an aggregate without keys
-    shrunk = (F.col("_failed") + F.col("_m") * F.col("_strength")) / (F.col("_n") + F.col("_strength"))
-    return hosts.join(F.broadcast(prior)).select(
-        "_host", "_n", "_failed", shrunk.alias("host_rate"), (shrunk >= policy.max_rate).alias("host_distrusted")
-    )
+    # five sums over the hosts come to the driver
+    k, n, x, n2, x2 = hosts.agg(
+        F.count(F.lit(1)), F.sum(F.col("_n").cast("double")), F.sum(F.col("_failed").cast("double")),
+        F.sum(F.col("_n").cast("double") ** 2), F.sum(F.col("_failed").cast("double") ** 2 / F.col("_n")),
+    ).first()
+    mean, strength = beta_prior(k, n or 0.0, x or 0.0, n2 or 0.0, x2 or 0.0)
+    shrunk = (F.col("_failed") + mean * strength) / (F.col("_n") + strength)
+    return hosts.select("_host", "_n", "_failed", shrunk.alias("host_rate"), (shrunk >= policy.max_rate).alias("host_distrusted"))
+
+
+def beta_prior(k: int, n: float, x: float, n2: float, x2: float) -> tuple[float, float]:
+    """Mean and strength (a + b) from ``k`` hosts with ``n`` documents, ``x`` of
+    them failing, the sum ``n2`` of squared host sizes and the sum ``x2`` of
+    failures squared over host size."""
+    if not n:
+        return 0.0, 1.0
+    rho = 0.0
+    if 1 < k < n:
+        between = (x2 - x * x / n) / (k - 1)
+        within = (x - x2) / (n - k)
+        total = between + ((n - n2 / n) / (k - 1) - 1) * within
+        rho = (between - within) / total if total else 0.0
+    return x / n, 1 / min(max(rho, 1e-6), 0.5) - 1
 
 
 def quality_verdicts(
