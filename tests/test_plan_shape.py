@@ -6,12 +6,16 @@ from conftest import SF001
 
 
 def test_index_reads_ledger_once_and_prunes_columns(spark):
-    from mediacat.catalog import QUERIES
+    from mediacat.fixtures import fixtures
+    from mediacat.operators.ledger import table_hasher
+    from mediacat.plans.index import _resolved
 
+    fx = fixtures(spark, SF001)
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # plan as for large inputs
     try:
-        df = QUERIES["index_outcomes"](spark, SF001)
+        # the plan of the resolved rows, before they are landed
+        df = _resolved(fx.media_files, fx.ledger, table_hasher(fx.media_files.select("path", "sha256", "sha1")), False)
         text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
