@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import prose
+from llm.invented import prose
 from mediacat.llm import warc
 from mediacat.llm.catalog import MIX_WEIGHTS
 from mediacat.llm.mixing import REST, mixed, mixing_order, period_schedule

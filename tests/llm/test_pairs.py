@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import prose
+from llm.invented import prose
 from mediacat.llm.components import components
 from mediacat.llm.decontaminate import alignments, build_index, candidates, contaminations, without_contaminated
 from mediacat.llm.minhash_dedup import near_duplicates, without_near_duplicates

@@ -8,13 +8,13 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__
-from conftest import prose
+from llm.invented import prose
 from mediacat.llm.catalog import MIX_WEIGHTS, QUERIES
 from mediacat.llm.mixing import mixing_order
 from mediacat.session import scratch_path
-from test_files import brute_jump
-from test_pairs import brute_components, brute_distance, edited, norm
-from test_rows import brute_measures, brute_secrets, brute_verdict
+from llm.test_files import brute_jump
+from llm.test_pairs import brute_components, brute_distance, edited, norm
+from llm.test_rows import brute_measures, brute_secrets, brute_verdict
 
 SF = "/root/testdata/sf0.001"
 
