@@ -76,8 +76,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's measures and verdict."""
-    return quality_verdicts(table(spark, sf_dir, "documents"))
+    """Every document's measures and verdict; the host's rate to six digits."""
+    return quality_verdicts(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,4 +147,43 @@ ORACLE = {
             CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
         FROM firsts
     """,
+    "op10_quality_rules": r"""
+        WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+        words AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM docs),
+        tokens AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM words),
+        wins AS (
+            SELECT rid, i, a, lead(a, 1) OVER (PARTITION BY rid ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY rid ORDER BY i) AS c FROM tokens
+        ), repeated AS (
+            SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, a, b, c) AS times FROM wins WHERE c IS NOT NULL) x WHERE times > 1
+        ), covered AS (
+            SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM repeated) x GROUP BY rid
+        ), lines AS (
+            SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM docs
+        ), measured AS (
+            SELECT d.rid, d.doc_id, d.source, CAST(len(ws) AS BIGINT) AS n_words,
+                CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
+            FROM docs d JOIN words w ON w.rid = d.rid JOIN lines l ON l.rid = d.rid LEFT JOIN covered c ON c.rid = d.rid
+        ), judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS strict_failed
+            FROM measured
+        ), hosts AS (
+            SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(base_failed OR strict_failed) AS DOUBLE) AS x FROM judged GROUP BY source
+        ), sums AS (SELECT CAST(count(*) AS DOUBLE) AS k, sum(n) AS n, sum(x) AS x, sum(n * n) AS n2, sum(x * x / n) AS x2 FROM hosts),
+        squares AS (
+            SELECT *, (x2 - x * x / n) / nullif(k - 1, 0) AS between_hosts, (x - x2) / nullif(n - k, 0) AS within, (n - n2 / n) / nullif(k - 1, 0) AS size FROM sums
+        ), prior AS (
+            SELECT x / n AS mean,
+                1 / least(greatest(coalesce((between_hosts - within) / nullif(between_hosts + (size - 1) * within, 0), 0), 1e-6), 0.5) - 1 AS strength
+            FROM squares
+        ), rated AS (
+            SELECT source, (h.x + p.mean * p.strength) / (h.n + p.strength) AS rate FROM hosts h, prior p
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, strict_failed,
+            round(rate, 6) AS host_rate, rate >= 0.3 AS host_distrusted, NOT base_failed AND NOT (rate >= 0.3 AND strict_failed) AS kept
+        FROM judged j JOIN rated r ON r.source IS NOT DISTINCT FROM j.source
+    """,
 }
