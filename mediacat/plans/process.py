@@ -101,6 +101,8 @@ def next_backup_names(paths: DataFrame, listing: DataFrame) -> DataFrame:
     backups (a number too large for a bigint cannot belong to the run): the first free N is 1 + the length of the run 1, 2, ... of
     taken numbers, found from each taken number's rank."""
     want = paths.select("path").distinct()
+    if want.isEmpty():
+        return want.withColumn("backup_path", F.lit(None).cast("string"))
     parts = N.backup_parts(F.col("path"))
     taken = (
         listing.select("path")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.materialize import landing
 from ..plans.index import index_run
 from ..schemas import FILES
 from ..session import scratch_path
@@ -43,11 +44,12 @@ def stream_index(
         tag = f"{metadata.first()['id']} {batch_id}"
         if current_tag(spark, ledger_root) == tag:
             return  # replay of a committed batch
-        result = index_run(batch, read_ledger(spark, ledger_root), hasher, mark_processed=mark_processed)
-        target = current_version(spark, ledger_root) + 1
-        if outcomes_root is not None:
-            write_snapshot(result.outcomes, outcomes_root, version=target, tag=tag)
-        write_snapshot(result.ledger, ledger_root, version=target, tag=tag)
+        with landing(spark):
+            result = index_run(batch, read_ledger(spark, ledger_root), hasher, mark_processed=mark_processed)
+            target = current_version(spark, ledger_root) + 1
+            if outcomes_root is not None:
+                write_snapshot(result.outcomes, outcomes_root, version=target, tag=tag)
+            write_snapshot(result.ledger, ledger_root, version=target, tag=tag)
 
     query = (
         source.writeStream.foreachBatch(each_batch)

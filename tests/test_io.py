@@ -188,3 +188,14 @@ def test_replayed_batch_is_known_by_its_tag(spark):
     assert SN.write_snapshot(df, root, tag="stream-x 0") == 0 and SN.current_tag(spark, root) == "stream-x 0"
     assert SN.write_snapshot(df, root) == 1 and SN.current_tag(spark, root) is None
     assert not os.path.exists(root + "/_CURRENT.1.tmp")
+
+
+def test_landed_tables_go_with_their_scope(spark):
+    from mediacat.operators.materialize import landing, materialize
+
+    before = materialize(spark.range(3))
+    with landing(spark):
+        inside = materialize(spark.range(5))
+        path = inside.inputFiles()[0]
+        assert inside.count() == 5
+    assert before.count() == 3 and not os.path.exists(path.removeprefix("file://"))
