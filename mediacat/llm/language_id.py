@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from ..operators.materialize import materialize
 from .tables import numbered, original
 from .textblocks import Block, blocks, map_texts, row_of
 
 FEATURES = 1 << 15
+#: most labels that a model is made for; more are refused, as the counts of all come to the driver
+MAX_LANGUAGES = 400
 #: expected number of a language's texts in the sample that weighs the bit classifiers
 WEIGHING_TEXTS = 500
 SEED = 9
@@ -136,6 +139,9 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
 
     partial = rows.mapInArrow(count, schema).select("_lang", F.explode(F.arrays_zip("_cells", "_counts")).alias("_c"))
     counts = partial.groupBy("_lang", F.col("_c._cells").alias("cell")).agg(F.sum("_c._counts").alias("n"))
+    counts = materialize(counts)
+    if counts.where(F.col("cell") == FEATURES).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels: {lang_col} does not hold languages")
     table = counts.toArrow()
     languages = sorted(table["_lang"].unique().to_pylist())
     code = codewords(len(languages))

@@ -10,15 +10,19 @@ them, and a passage of 50 words holds a whole paragraph wherever it lies:
 Each paragraph has ``BANDS`` MinHash values over its five-word shingles, and
 each is a band of its own (one row), which makes the bands as sensitive as
 they can be: two paragraphs of similarity 0.8 miss each other in 4 % of
-cases, and a passage holds several paragraphs. Keys are counted first, and
-paragraphs without a key that occurs twice never leave their task: a bitmap
-of the repeated keys, of ``BITMAP_BITS`` bits whatever the data, tells most of
-them (more repeated keys let more rows pass; the join that follows is exact).
+cases. A band's key joins the value with the word pair at the paragraph's
+anchor, else the overlapping paragraphs of one text would all meet each
+other. Paragraphs that an edit at the anchor itself sets apart are not
+compared; their neighbours in the passage are. The texts are read three times
+so that little is shuffled. First the keys alone, to find those that occur
+twice: a bitmap of these, of fixed size whatever the data, lets few other
+paragraphs leave their task in the second reading (more repeated keys let
+more pass; all that follows is exact). The third gives the places.
 
 Equal paragraphs are one class. Classes that share a key with the least class
 of its bucket are compared with it on full shingle sets, members still apart
 by the exact prefix join of :mod:`.minhash_dedup`, and the links joined into
-components; the first occurrence in a component stays, the others go.
+components; a component's first document keeps its passage, the others lose it.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.materialize import materialize
 from .components import components
-from .minhash_dedup import rare_token_pairs, verified
+from .minhash_dedup import links_within_buckets, verified
+from .tables import bitmap_of, in_bitmap, lookup
 from .textblocks import LOWER, SPACES, Block, blocks, combined, mix, row_of, span_hashes, windows, word_spans
 
 MIN_WORDS = 24
 ANCHOR_WINDOW = 13
 SHINGLE = 5
 BANDS = 2
-BITMAP_BITS = 1 << 26
 
 _rng = np.random.default_rng(20230917)
 _A = _rng.integers(1, 2**62, BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,10 +77,11 @@ class Paragraphs:
         self.shingles = combined(words, np.arange(max(n - SHINGLE + 1, 0)), SHINGLE)
         self.keys = np.zeros((BANDS, len(self.first)), np.uint64)
         if len(self.first):
+            anchor = combined(words, self.first, 2)
             bounds = np.stack([self.first, self.end - SHINGLE + 1], axis=1).ravel()
             for b in range(BANDS):
                 value = np.append(mix(self.shingles * _A[b]), np.uint64(2**64 - 1))
-                self.keys[b] = mix(np.minimum.reduceat(value, bounds)[::2] + np.uint64(b))
+                self.keys[b] = mix(np.minimum.reduceat(value, bounds)[::2] + anchor * np.uint64(2 * b + 1))
 
 
 def _anchors(hashes: np.ndarray, pairs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,54 +102,87 @@ def _anchors(hashes: np.ndarray, pairs: np.ndarray, of: np.ndarray) -> tuple[np.
     return pairs[chosen[new]], row_of(starts)[new]
 
 
-def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """``BITMAP_BITS`` bits with those of the keys set, at most one long for
-    each 64 bits comes to the driver."""
-    place = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("p")
-    longs = keys.select(place).selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
-    rows = longs.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(BITMAP_BITS >> 6, np.int64)
-    out[rows["w"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Each key once, or twice if it occurs more often, ascending."""
+    keys = np.sort(keys)
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[1:] == keys[:-1]
+    return keys[~same | (same & np.append(True, ~same[:-1]))]
 
 
-def _in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = (keys & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-    return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+def _repeated_keys(source: DataFrame) -> DataFrame:
+    """The keys (``_key``) that two paragraphs or more have. Keys travel as
+    packed bytes, dealt into buckets by their own bits; a batch sends a key
+    at most twice, so a very common one stays small everywhere."""
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * tasks
 
-
-def _key_counts(source: DataFrame) -> DataFrame:
-    """Each key with its number of paragraphs, summed up within a block first."""
-    schema = StructType([StructField("_key", LongType()), StructField("_n", LongType())])
+    def pack(batches):
+        for batch in batches:
+            keys = [Paragraphs(b).keys.ravel() for b in blocks(batch.column(1))]
+            keys = _twice(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            bucket = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            packed = [keys[order[cuts[i] : cuts[i + 1]]].tobytes() for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packed, pa.binary())], names=["_bucket", "_keys"])
+
+    def unpack(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(bucket, []).append(np.frombuffer(packed.as_buffer(), np.uint64).copy())
+                size += len(held[bucket][-1])
+            if size > 1 << 23:
+                held = {k: [_twice(np.concatenate(v))] for k, v in held.items()}
+                size = 0
+        for parts in held.values():
+            keys = _twice(np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[1:][keys[1:] == keys[:-1]].view(np.int64))], names=["_key"])
+
+    packed = source.mapInArrow(pack, "_bucket long, _keys binary")
+    return packed.repartition(tasks, "_bucket").mapInArrow(unpack, "_key long")
+
+
+def _classes(source: DataFrame, bitmap) -> DataFrame:
+    """The classes of equal paragraphs that may have a repeated key: digest,
+    keys, number of paragraphs and the least and largest id."""
+    keys = [f"_k{b}" for b in range(BANDS)]
+    schema = StructType([source.schema["_id"], *[StructField(c, LongType()) for c in ("_digest", *keys)]])
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch.column(1)):
-                keys, n = np.unique(Paragraphs(b).keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=schema.names)
+                p = Paragraphs(b)
+                k = np.flatnonzero(np.any([in_bitmap(bitmap, x) for x in p.keys], axis=0))
+                ids = batch.column(0).take(pa.array(b.lo + p.text[k]))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c[k].view(np.int64)) for c in (p.digest, *p.keys)]], names=schema.names)
 
-    return source.mapInArrow(run, schema).groupBy("_key").agg(F.sum("_n").alias("_n"))
+    rows = source.mapInArrow(run, schema).groupBy("_digest")
+    return rows.agg(*[F.min(k).alias(k) for k in keys], F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
 
 
 def _occurrences(source: DataFrame, bitmap) -> DataFrame:
-    """The paragraphs that may have a repeated key, one row for each such key."""
-    numbers = ["_key", "_digest", "_para", "_first", "_end", "_start", "_stop"]
+    """The paragraphs whose digest may be in the bitmap, with their places."""
+    numbers = ["_digest", "paragraph", "first_word", "end_word", "start", "end"]
     schema = StructType([source.schema["_id"], *[StructField(c, LongType()) for c in numbers]])
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch.column(1)):
                 p = Paragraphs(b)
+                k = np.flatnonzero(in_bitmap(bitmap, p.digest))
                 points = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])
-                for keys in p.keys:
-                    k = np.flatnonzero(_in_bitmap(bitmap.value, keys))
-                    base = points[b.offsets[p.text[k]]]
-                    columns = (
-                        keys[k].view(np.int64), p.digest[k].view(np.int64), p.number[k], p.first[k] - np.searchsorted(p.starts, b.offsets[p.text[k]]),
-                        p.end[k] - np.searchsorted(p.starts, b.offsets[p.text[k]]), points[p.starts[p.first[k]]] - base, points[p.ends[p.end[k] - 1]] - base,
-                    )
-                    ids = batch.column(0).take(pa.array(b.lo + p.text[k]))
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c.astype(np.int64)) for c in columns]], names=schema.names)
+                head = b.offsets[p.text[k]]
+                word = np.searchsorted(p.starts, head)
+                columns = (
+                    p.digest[k].view(np.int64), p.number[k], p.first[k] - word, p.end[k] - word,
+                    points[p.starts[p.first[k]]] - points[head], points[p.ends[p.end[k] - 1]] - points[head],
+                )
+                ids = batch.column(0).take(pa.array(b.lo + p.text[k]))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c.astype(np.int64)) for c in columns]], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -158,7 +196,7 @@ def _shingle_sets(source: DataFrame, bitmap) -> DataFrame:
             for b in blocks(batch.column(1)):
                 p = Paragraphs(b)
                 _, k = np.unique(p.digest, return_index=True)
-                k = k[_in_bitmap(bitmap.value, p.digest[k])]
+                k = k[in_bitmap(bitmap, p.digest[k])]
                 sets = [np.unique(p.shingles[p.first[i] : p.end[i] - SHINGLE + 1]).view(np.int64) for i in k]
                 yield pa.RecordBatch.from_arrays([pa.array(p.digest[k].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
@@ -170,9 +208,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     like form: ``id_col``, ``paragraph`` (its number in the text), ``first_word``
     and ``end_word``, ``start`` and ``end`` (code points, ends exclusive),
     ``cluster_id`` (the smallest id of a document in its cluster),
-    ``copies`` (paragraphs in the cluster) and ``removed`` (all but the
-    cluster's first occurrence, by id and number). Paragraphs overlap; what
-    goes from a text is the union of its removed spans.
+    ``copies`` (paragraphs in the cluster) and ``removed`` (all but those of
+    the cluster's first document, by id). Paragraphs overlap; what goes from
+    a text is the union of its removed spans.
 
     Likeness is a Jaccard similarity of five-word shingles of ``percent`` per
     cent or more, directly or over other paragraphs; words are compared with
@@ -181,39 +219,30 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     not repeat each other; rows without an id are left out. An empty table
     gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    repeated = materialize(_key_counts(source).where("_n > 1").select("_key"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(repeated, "_key"))
-    found = materialize(_occurrences(source, bitmap).join(repeated, "_key"))
+    classes = materialize(_classes(source, bitmap_of(_repeated_keys(source), "_key")))
 
     # buckets of several classes; each class meets the bucket's least one
-    members = found.groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("_c")).select("_key", "_digest")
+    members = classes.select(F.explode(F.array(*[f"_k{b}" for b in range(BANDS)])).alias("_key"), "_digest")
     least = members.groupBy("_key").agg(F.min("_digest").alias("a"), F.max("_digest").alias("_top")).where("a < _top").drop("_top")
     crowd = materialize(members.join(least, "_key").where("_digest <> a").select("_key", "a", F.col("_digest").alias("b")))
     pairs = materialize(crowd.select("a", "b").distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    wanted_bits = spark.sparkContext.broadcast(_bitmap(used, "_id"))
-    sets = materialize(_shingle_sets(source, wanted_bits).join(used, "_id", "left_semi").dropDuplicates(["_id"]))
+    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    sets = materialize(_shingle_sets(source, bitmap_of(used, "_id")).join(used, "_id", "left_semi").dropDuplicates(["_id"]))
     links = materialize(verified(pairs, sets, percent))
     roots = components(links)
-    placed = crowd.join(roots, F.col("b") == F.col("node"), "left").select("_key", "b", F.coalesce("root", "b").alias("_comp"))
-    open_keys = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
-    wanted = materialize(placed.join(open_keys, "_key", "left_semi").select(F.col("b").alias("_id"), "_comp").distinct())
-    more = verified(rare_token_pairs(sets, wanted, percent), sets, percent)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    more = links_within_buckets(crowd, roots, sets, percent)
+    if more is not None:
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     # class -> cluster, then the cluster's extent; both tables hold one row per class
-    once = found.drop("_key").distinct()
-    classes = once.groupBy("_digest").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_id", "_para")).alias("_lo"), F.max("_id").alias("_hi"))
-    classes = classes.join(roots, F.col("_digest") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_digest"))
-    classes = materialize(classes.select("_digest", "_root", "_c", "_lo", "_hi"))
-    clusters = classes.groupBy("_root").agg(F.sum("_c").alias("copies"), F.min("_lo").alias("_first_at"), F.max("_hi").alias("_last"))
-    clusters = clusters.where(F.col("_first_at._id") < F.col("_last")).drop("_last")
-    verdicts = classes.select("_digest", "_root").join(clusters, "_root").drop("_root")
-    out = once.join(verdicts, "_digest")
+    rooted = classes.join(roots, F.col("_digest") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_digest"))
+    rooted = materialize(rooted.select("_digest", "_root", "_c", "_lo", "_hi"))
+    clusters = rooted.groupBy("_root").agg(F.sum("_c").alias("copies"), F.min("_lo").alias("cluster_id"), F.max("_hi").alias("_last"))
+    verdicts = rooted.select("_digest", "_root").join(clusters.where("cluster_id < _last").drop("_last"), "_root").drop("_root")
+    verdicts = materialize(verdicts)
+    out = lookup(_occurrences(source, bitmap_of(verdicts, "_digest")), verdicts, ["_digest"], how="inner")
     return out.select(
-        F.col("_id").alias(id_col), F.col("_para").alias("paragraph"), F.col("_first").alias("first_word"), F.col("_end").alias("end_word"),
-        F.col("_start").alias("start"), F.col("_stop").alias("end"), F.col("_first_at._id").alias("cluster_id"), "copies",
-        (F.struct("_id", "_para") != F.col("_first_at")).alias("removed"),
+        F.col("_id").alias(id_col), "paragraph", "first_word", "end_word", "start", "end", "cluster_id", "copies",
+        (F.col("_id") != F.col("cluster_id")).alias("removed"),
     )

@@ -177,6 +177,15 @@ def test_hosts_are_shrunk_and_decide(docs, rnd):
     assert keep_good(docs(rows).limit(0)).count() == 0
 
 
+def test_large_lookup_tables_are_salted_with_the_same_result(docs, rnd, monkeypatch):
+    from mediacat.llm import tables
+
+    frame = docs(quality_rows(rnd))
+    want = sorted(map(str, quality_verdicts(frame).collect()))
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, quality_verdicts(frame).collect())) == want
+
+
 LANGS = {"en": "the and of with that this from river mountain", "de": "der und das nicht eine straße über könig", "fr": "le les des une était forêt où garçon", "es": "el los una niño mañana corazón está que"}
 
 
@@ -218,6 +227,14 @@ def test_few_languages(docs, labels):
     assert predict(frame.limit(0), model).count() == 0
 
 
+def test_too_many_labels_are_refused(docs, monkeypatch):
+    from mediacat.llm import language_id
+
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        train(docs([(i, "text", f"l{i}", None) for i in range(3)]))
+
+
 def test_codewords_differ_in_many_bits():
     for n in range(2, 60):
         code = codewords(n)
