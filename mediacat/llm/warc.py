@@ -190,7 +190,6 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root)
         part, out, path, count = TaskContext.get().partitionId(), None, "", 0
-        names, paths = ["path", "records", "bytes"], []
 
         def closed():
             size = out.tell()
