@@ -52,9 +52,10 @@ def filename_vectors():
 
 def path_vectors():
     for day in DAYS:
-        for piece in (written(day, "-"), written(day, "_"), written(day, ""), written(day, "/"), written(day, chr(92))):
-            yield f"q/{piece}/n.jpg", stamp(day)
-            yield f"q/{piece}n.jpg" if "/" not in piece and chr(92) not in piece else f"q{piece}/n.jpg", None if "/" not in piece and chr(92) not in piece else None
+        for sep in ("-", "_", "", "/", chr(92)):
+            yield f"q/{written(day, sep)}/n.jpg", stamp(day)
+        for sep in ("-", "_", ""):
+            yield f"q/{written(day, sep)}n.jpg", None  # no separator after it
         yield f"q/{day[0]}/n.jpg", stamp((day[0], 1, 1))
     yield "q/2012/08/n.jpg", stamp((2012, 1, 1))
     yield "q/2030/n.jpg", None  # later than the year of the run
