@@ -27,6 +27,8 @@ components; a component's first document keeps its passage, the others lose it.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from ..operators.materialize import materialize
 from .components import components
 from .minhash_dedup import links_within_buckets, verified
-from .tables import bitmap_of, in_bitmap, lookup
+from .tables import bitmap_of, in_bitmap
 from .textblocks import LOWER, SPACES, Block, blocks, combined, mix, row_of, span_hashes, windows, word_spans
 
 MIN_WORDS = 24
@@ -51,37 +53,46 @@ _PLACE = (1 << 28) - 1
 
 
 class Paragraphs:
-    """The paragraphs of a block: text, first and end word, digest and keys."""
+    """The paragraphs of a block: text, number in it, first and end word; and,
+    made when they are asked for, digests, shingle hashes and keys."""
 
     def __init__(self, block: Block):
         self.starts, self.ends, at = word_spans(block, ~SPACES[block.data])
-        words = span_hashes(LOWER[block.data], self.starts, self.ends)
+        self.words = span_hashes(LOWER[block.data], self.starts, self.ends)
         pairs, of = windows(at, 2)
-        anchors, texts = _anchors(mix(combined(words, pairs, 2)), pairs, of)
+        anchors, texts = _anchors(mix(combined(self.words, pairs, 2)), pairs, of)
         stop = np.searchsorted(anchors, anchors + MIN_WORDS)
         inside = stop < len(anchors)
         inside[inside] = texts[stop[inside]] == texts[inside]
         self.first, self.end = anchors[inside], anchors[stop[inside]]
         self.text = texts[inside]
         self.number = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
-        # a polynomial hash of the words of each paragraph, from running sums
-        n = len(words)
-        up = np.full(n + 1, _ORDER, np.uint64)
-        up[:1] = 1
-        down = np.full(n + 1, pow(int(_ORDER), -1, 2**64), np.uint64)
-        down[:1] = 1
+
+    @cached_property
+    def digest(self) -> np.ndarray:
+        """A polynomial hash of the words of each paragraph, from running sums."""
+        n = len(self.words)
+        up, down = np.full(n + 1, _ORDER, np.uint64), np.full(n + 1, pow(int(_ORDER), -1, 2**64), np.uint64)
+        up[:1] = down[:1] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * up[:n], out=sums[1:])
-        self.digest = mix((sums[self.end] - sums[self.first]) * down[self.first] + (self.end - self.first).astype(np.uint64))
-        self.shingles = combined(words, np.arange(max(n - SHINGLE + 1, 0)), SHINGLE)
-        self.keys = np.zeros((BANDS, len(self.first)), np.uint64)
+        np.cumsum(self.words * up[:n], out=sums[1:])
+        return mix((sums[self.end] - sums[self.first]) * down[self.first] + (self.end - self.first).astype(np.uint64))
+
+    @cached_property
+    def shingles(self) -> np.ndarray:
+        return combined(self.words, np.arange(max(len(self.words) - SHINGLE + 1, 0)), SHINGLE)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        out = np.zeros((BANDS, len(self.first)), np.uint64)
         if len(self.first):
-            anchor = combined(words, self.first, 2)
+            anchor = combined(self.words, self.first, 2)
             bounds = np.stack([self.first, self.end - SHINGLE + 1], axis=1).ravel()
             for b in range(BANDS):
                 value = np.append(mix(self.shingles * _A[b]), np.uint64(2**64 - 1))
-                self.keys[b] = mix(np.minimum.reduceat(value, bounds)[::2] + anchor * np.uint64(2 * b + 1))
+                out[b] = mix(np.minimum.reduceat(value, bounds)[::2] + anchor * np.uint64(2 * b + 1))
+        return out
 
 
 def _anchors(hashes: np.ndarray, pairs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +252,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     clusters = rooted.groupBy("_root").agg(F.sum("_c").alias("copies"), F.min("_lo").alias("cluster_id"), F.max("_hi").alias("_last"))
     verdicts = rooted.select("_digest", "_root").join(clusters.where("cluster_id < _last").drop("_last"), "_root").drop("_root")
     verdicts = materialize(verdicts)
-    out = lookup(_occurrences(source, bitmap_of(verdicts, "_digest")), verdicts, ["_digest"], how="inner")
+    # an inner join of two shuffled sides: a passage that very many documents
+    # share is a skewed key of the first, which adaptive execution splits
+    out = _occurrences(source, bitmap_of(verdicts, "_digest")).join(verdicts, "_digest")
     return out.select(
         F.col("_id").alias(id_col), "paragraph", "first_word", "end_word", "start", "end", "cluster_id", "copies",
         (F.col("_id") != F.col("cluster_id")).alias("removed"),
