@@ -128,7 +128,7 @@ def sets_of(source: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[b.lo : b.hi], sets], names=schema.names)
 
     hashed = source.select("_id", "_body", F.xxhash64("_id").alias("_h"))
-    if used.limit(BITMAP_BITS // 4 + 1).count() > BITMAP_BITS // 4:
+    if used.count() > BITMAP_BITS // 4:
         # so many ids fill the bitmap: rather shuffle the texts than the sets of all
         hashed = hashed.join(used, "_id", "left_semi")
     sets = hashed.mapInArrow(run, schema).join(used, "_id", "left_semi").withColumn("_sum", F.xxhash64("_set"))

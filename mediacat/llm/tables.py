@@ -15,9 +15,9 @@ def lookup(big: DataFrame, table: DataFrame, keys: list[str], salts: int = 16, h
     """``big`` with the columns of ``table`` (a written table with one row for
     each key) joined on ``keys``; a null key meets a null key.
 
-    A table of at most ``BROADCAST_ROWS`` rows is broadcast: that many are
-    counted, no more. A larger one is shuffled; each of its rows goes to
-    ``salts`` places and a row of ``big`` to one of them, so that a key with
+    A table that is counted to have at most ``BROADCAST_ROWS`` rows is
+    broadcast. A larger one is shuffled; each of its rows goes to ``salts``
+    places and a row of ``big`` to one of them, so that a key with
     a third of all rows does not land in one task.
     """
     renamed = table.withColumnsRenamed({k: f"_lk{i}" for i, k in enumerate(keys)})
@@ -26,7 +26,7 @@ def lookup(big: DataFrame, table: DataFrame, keys: list[str], salts: int = 16, h
         same = F.col(k).eqNullSafe(F.col(f"_lk{i}"))
         on = same if on is None else on & same
     drop = [f"_lk{i}" for i in range(len(keys))]
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if table.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(renamed), on, how).drop(*drop)
     renamed = renamed.withColumn("_ls", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
