@@ -45,7 +45,7 @@ def landing(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scopes[:] = [x for x in _scopes if x is not made]  # scopes may nest
         jvm = spark.sparkContext._jvm
         for path in made:
             at = jvm.org.apache.hadoop.fs.Path(path)

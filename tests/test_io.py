@@ -197,5 +197,7 @@ def test_landed_tables_go_with_their_scope(spark):
     with landing(spark):
         inside = materialize(spark.range(5))
         path = inside.inputFiles()[0]
+        with landing(spark):
+            pass
         assert inside.count() == 5
     assert before.count() == 3 and not os.path.exists(path.removeprefix("file://"))
