@@ -1,9 +1,12 @@
 """Operator 2: passages that repeat across documents, by paragraph MinHash.
 
-Passages do not begin where lines do, so paragraphs are cut by content. Of
-every ``ANCHOR_WINDOW`` consecutive word pairs the one of the least hash is an
-anchor; a paragraph goes from an anchor to the first anchor at least
-``MIN_WORDS`` words on. Equal words give equal anchors whatever stands around
+Paragraphs are of two kinds. A text's own ones are its lines and its blocks
+(lines with no blank line between them) of ``MIN_WORDS`` words or more; a
+whole text without blank lines is a block only if none of its lines is that
+long. But passages do not begin where lines do, so paragraphs are also cut by
+content. Of every ``ANCHOR_WINDOW`` consecutive word pairs the one of the
+least hash is an anchor; a cut paragraph goes from an anchor to the first
+anchor at least ``MIN_WORDS`` words on. Equal words give equal anchors whatever stands around
 them, and a passage of 50 words holds a whole paragraph wherever it lies:
 12 pairs to its first anchor, 24 words, 12 more to the next.
 
@@ -64,8 +67,12 @@ class Paragraphs:
         stop = np.searchsorted(anchors, anchors + MIN_WORDS)
         inside = stop < len(anchors)
         inside[inside] = texts[stop[inside]] == texts[inside]
-        self.first, self.end = anchors[inside], anchors[stop[inside]]
-        self.text = texts[inside]
+        n = len(self.words) + 1
+        cut = anchors[inside] * n + anchors[stop[inside]]
+        first, end = _own_paragraphs(block, self.starts, self.ends, at)
+        spans = np.unique(np.concatenate([cut, first * n + end]))
+        self.first, self.end = spans // n, spans % n
+        self.text = row_of(at)[self.first]
         self.number = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
 
     @cached_property
@@ -95,6 +102,28 @@ class Paragraphs:
         return out
 
 
+def _own_paragraphs(block: Block, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of the lines and blocks of ``MIN_WORDS`` words or
+    more; a block that is one line comes twice."""
+    n, text = len(starts), row_of(at)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    feed = block.data == 10
+    feed |= (block.data == 13) & ~np.append(feed[1:], False)  # of CR LF only one counts
+    feeds = np.concatenate([[0], np.cumsum(feed)])
+    gap = feeds[starts[1:]] - feeds[ends[:-1]]
+    gap[text[1:] != text[:-1]] = 2
+    lines = np.flatnonzero(np.append(2, gap) > 0)
+    runs = np.flatnonzero(np.append(2, gap) > 1)
+    line_end, run_end = np.append(lines[1:], n), np.append(runs[1:], n)
+    long = line_end - lines >= MIN_WORDS
+    # a whole text that has long lines is no paragraph: its lines are
+    whole = (runs == at[text[runs]]) & (run_end == at[text[runs] + 1])
+    has_long = np.bincount(text[lines[long]], minlength=block.rows)[text[runs]] > 0
+    taken = (run_end - runs >= MIN_WORDS) & ~(whole & has_long)
+    return np.concatenate([lines[long], runs[taken]]), np.concatenate([line_end[long], run_end[taken]])
+
+
 def _anchors(hashes: np.ndarray, pairs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words at which an anchor stands, ascending, and their texts."""
     first, starts = windows(of, ANCHOR_WINDOW)
@@ -225,8 +254,11 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
 
     Likeness is a Jaccard similarity of five-word shingles of ``percent`` per
     cent or more, directly or over other paragraphs; words are compared with
-    A-Z lower-cased. Texts of fewer than ``MIN_WORDS`` words, empty and null
-    ones hold no paragraph. Rows that share an id are one document and do
+    A-Z lower-cased. A line or block that repeats as one is found from
+    ``MIN_WORDS`` words on, a passage that lies elsewhere surely from 50 on
+    (24 to 49: if it happens to hold a cut paragraph). What has fewer than
+    ``MIN_WORDS`` words is no paragraph, so short lines, and texts that are
+    that short, empty or null, give no rows. Rows that share an id are one document and do
     not repeat each other; rows without an id are left out. An empty table
     gives no rows; other columns are not read.
     """

@@ -117,6 +117,27 @@ def test_repeated_passages_are_found_wherever_they_lie(docs, rnd):
     assert repeated_passages(docs(rows).limit(0)).count() == 0
 
 
+def test_short_paragraphs_of_a_text_are_found(docs, rnd):
+    """Lines and hard-wrapped blocks of 24 words and more, in otherwise different texts."""
+    wrap = lambda words, n, feed: feed.join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    rows, want = [], {}
+    for n in range(24, 50):
+        body = prose(rnd, n)
+        line, feed = wrap(body, n, ""), rnd.choice(["\n", "\r\n", "\r"])
+        block = wrap(body, 9, feed)
+        forms = [feed.join([" ".join(prose(rnd, 30)), line, " ".join(prose(rnd, 7))]) for _ in range(2)]
+        forms += [(feed + " " + feed).join([" ".join(prose(rnd, 30)), block, " ".join(prose(rnd, 7))]), block]
+        for text in forms:
+            rows.append((len(rows), text, None, None))
+            want[len(rows) - 1] = (body, n)
+    got = repeated_passages(docs(rows)).collect()
+    for i, (body, n) in want.items():
+        found = [r for r in got if r.doc_id == i and r.end_word - r.first_word == n]
+        assert [rows[i][1][r.start : r.end].split() for r in found] == [body]
+        assert [(r.cluster_id, r.removed) for r in found] == [(i // 4 * 4, i % 4 > 0)]
+        assert found[0].copies >= 4  # cut paragraphs much like it count too
+
+
 def test_paragraphs_alike_but_not_equal_are_linked(docs, rnd):
     base = prose(rnd, 2000)
     rows = [(1, " ".join(base), None, None), (2, " ".join(w if i % 40 else "changed" for i, w in enumerate(base)), None, None)]
