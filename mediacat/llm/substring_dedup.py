@@ -10,13 +10,16 @@ anchor at least ``MIN_WORDS`` words on. Equal words give equal anchors whatever
 them, and a passage of 50 words holds a whole paragraph wherever it lies:
 12 pairs to its first anchor, 24 words, 12 more to the next.
 
-Each paragraph has ``BANDS`` MinHash values over its five-word shingles, and
-each is a band of its own (one row), which makes the bands as sensitive as
-they can be: two paragraphs of similarity 0.8 miss each other in 4 % of
-cases. A band's key joins the value with the word pair at the paragraph's
-anchor, else the overlapping paragraphs of one text would all meet each
-other. Paragraphs that an edit at the anchor itself sets apart are not
-compared; their neighbours in the passage are. The texts are read three times
+A text's own paragraphs have ``OWN_BANDS`` bands of two MinHash values over
+their five-word shingles: two of similarity 0.8 miss each other with a
+probability of (1 - 0.8**2)**6, 0.2 %, wherever they differ. Cut paragraphs
+are there for passages that repeat word for word. They have ``BANDS`` bands
+of one value, and a band's key joins it with the word pair at the anchor,
+else the overlapping paragraphs of one text would all meet each other. Cut
+paragraphs at different anchors are thus not compared, those at the same one
+miss each other at 0.8 in 4 % of cases, and one changed word can take a piece
+so short below 0.8: an edited stretch within a longer line or block that is
+not itself like another may stay. The texts are read three times
 so that little is shuffled. First the keys alone, to find those that occur
 twice: a bitmap of these, of fixed size whatever the data, lets few other
 paragraphs leave their task in the second reading (more repeated keys let
@@ -48,9 +51,10 @@ MIN_WORDS = 24
 ANCHOR_WINDOW = 13
 SHINGLE = 5
 BANDS = 2
+OWN_BANDS = 6
 
 _rng = np.random.default_rng(20230917)
-_A = _rng.integers(1, 2**62, BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_A = _rng.integers(1, 2**62, BANDS + 2 * OWN_BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = np.uint64(0xD1342543DE82EF95)
 _PLACE = (1 << 28) - 1
 
@@ -73,6 +77,8 @@ class Paragraphs:
         spans = np.unique(np.concatenate([cut, first * n + end]))
         self.first, self.end = spans // n, spans % n
         self.text = row_of(at)[self.first]
+        #: the kinds: bands x paragraphs, whether a paragraph has the band's key
+        self.has = np.repeat([np.isin(spans, cut), np.isin(spans, first * n + end)], [BANDS, OWN_BANDS], axis=0)
         self.number = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
 
     @cached_property
@@ -92,13 +98,20 @@ class Paragraphs:
 
     @cached_property
     def keys(self) -> np.ndarray:
-        out = np.zeros((BANDS, len(self.first)), np.uint64)
-        if len(self.first):
-            anchor = combined(self.words, self.first, 2)
-            bounds = np.stack([self.first, self.end - SHINGLE + 1], axis=1).ravel()
+        out = np.zeros(self.has.shape, np.uint64)
+
+        def least(which: np.ndarray, value: np.ndarray) -> np.ndarray:
+            bounds = np.stack([self.first[which], self.end[which] - SHINGLE + 1], axis=1).ravel()
+            return np.minimum.reduceat(np.append(value, np.uint64(2**64 - 1)), bounds)[::2]
+
+        if len(cut := np.flatnonzero(self.has[0])):
+            anchor = combined(self.words, self.first[cut], 2)
             for b in range(BANDS):
-                value = np.append(mix(self.shingles * _A[b]), np.uint64(2**64 - 1))
-                out[b] = mix(np.minimum.reduceat(value, bounds)[::2] + anchor * np.uint64(2 * b + 1))
+                out[b, cut] = mix(least(cut, mix(self.shingles * _A[b])) + anchor * np.uint64(2 * b + 1))
+        if len(own := np.flatnonzero(self.has[-1])):
+            for b in range(OWN_BANDS):
+                one, two = (least(own, mix(self.shingles * _A[BANDS + 2 * b + j])) for j in range(2))
+                out[BANDS + b, own] = mix(mix(one + np.uint64(b + 1)) * _ORDER + two)
         return out
 
 
@@ -159,7 +172,7 @@ def _repeated_keys(source: DataFrame) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            keys = [Paragraphs(b).keys.ravel() for b in blocks(batch.column(1))]
+            keys = [p.keys[p.has] for p in map(Paragraphs, blocks(batch.column(1)))]
             keys = _twice(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
             bucket = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -188,17 +201,21 @@ def _repeated_keys(source: DataFrame) -> DataFrame:
 
 def _classes(source: DataFrame, bitmap) -> DataFrame:
     """The classes of equal paragraphs that may have a repeated key: digest,
-    keys, number of paragraphs and the least and largest id."""
-    keys = [f"_k{b}" for b in range(BANDS)]
+    keys (null for bands of a kind that none of them is of), number of
+    paragraphs and the least and largest id."""
+    keys = [f"_k{b}" for b in range(BANDS + OWN_BANDS)]
     schema = StructType([source.schema["_id"], *[StructField(c, LongType()) for c in ("_digest", *keys)]])
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch.column(1)):
                 p = Paragraphs(b)
-                k = np.flatnonzero(np.any([in_bitmap(bitmap, x) for x in p.keys], axis=0))
+                maybe = np.zeros(p.has.shape, bool)
+                maybe[p.has] = in_bitmap(bitmap, p.keys[p.has])
+                k = np.flatnonzero(maybe.any(axis=0))
                 ids = batch.column(0).take(pa.array(b.lo + p.text[k]))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c[k].view(np.int64)) for c in (p.digest, *p.keys)]], names=schema.names)
+                found = [pa.array(c[k].view(np.int64), mask=~h[k]) for c, h in zip(p.keys, p.has, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(p.digest[k].view(np.int64)), *found], names=schema.names)
 
     rows = source.mapInArrow(run, schema).groupBy("_digest")
     return rows.agg(*[F.min(k).alias(k) for k in keys], F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
@@ -266,7 +283,8 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     classes = materialize(_classes(source, bitmap_of(_repeated_keys(source), "_key")))
 
     # buckets of several classes; each class meets the bucket's least one
-    members = classes.select(F.explode(F.array(*[f"_k{b}" for b in range(BANDS)])).alias("_key"), "_digest")
+    members = classes.select(F.explode(F.array(*[c for c in classes.columns if c.startswith("_k")])).alias("_key"), "_digest")
+    members = members.where("_key IS NOT NULL")
     least = members.groupBy("_key").agg(F.min("_digest").alias("a"), F.max("_digest").alias("_top")).where("a < _top").drop("_top")
     crowd = materialize(members.join(least, "_key").where("_digest <> a").select("_key", "a", F.col("_digest").alias("b")))
     pairs = materialize(crowd.select("a", "b").distinct())

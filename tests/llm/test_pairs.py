@@ -146,6 +146,25 @@ def test_paragraphs_alike_but_not_equal_are_linked(docs, rnd):
     assert clusters == {1} and any(r.removed for r in got)
 
 
+def test_short_edited_paragraphs_reach_recall(docs, rnd):
+    """Every pair of lines that brute force finds 0.8 alike, edits at either end or in the middle."""
+    rows, pairs = [], []
+    while len(pairs) < 300:
+        base = prose(rnd, rnd.randrange(26, 80))
+        like = list(base)
+        for _ in range(rnd.choice([1, 1, 2])):
+            like[rnd.choice([0, 1, len(base) // 2, -1, rnd.randrange(len(base))])] = f"changed{rnd.randrange(10**6)}"
+        a, b = shingle_set(" ".join(base), 5), shingle_set(" ".join(like), 5)
+        alike = 100 * len(a & b) >= 80 * len(a | b)
+        if alike or rnd.random() < 0.1:
+            for words in (base, like):
+                rows.append((len(rows), "\n".join([" ".join(prose(rnd, 30)), " ".join(words), " ".join(prose(rnd, 9))]), None, None))
+            pairs += [(len(rows) - 2, len(base))] if alike else []
+    whole = {(r.doc_id, r.end_word - r.first_word): (r.cluster_id, r.removed) for r in repeated_passages(docs(rows)).collect() if r.first_word == 30}
+    found = [i for i, n in pairs if whole.get((i, n)) == (i, False) and whole.get((i + 1, n)) == (i, True)]
+    assert len(found) >= 0.99 * len(pairs)
+
+
 def brute_distance(item, text):
     """Least edits of the item to a piece of the text, over words."""
     row = [0] * (len(text) + 1)
