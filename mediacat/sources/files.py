@@ -161,21 +161,31 @@ def hash_contents(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("sha256", F.sha2(F.col(content), 256)).withColumn("sha1", F.sha1(F.col(content)))
 
 
+def _text(uri: str) -> str:
+    """A file's whole text as UTF-8, malformed bytes replaced."""
+    filesystem, local = fs_and_path(uri)
+    with filesystem.open_input_stream(local, compression=None) as stream:
+        return stream.read().decode("utf-8", "replace")
+
+
 def read_trackers(spark: SparkSession, root: str, strip_prefix: str | None = None) -> DataFrame:
     """SRC-8: conversion trackers ``<backup>.out`` -> backup_path,
-    output_path (trimmed file text)."""
-    df = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.out")
-        .text(root)
-    )
-    # file_path is a URI: spaces etc. are percent-encoded ('+' stays literal)
-    fp = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    if strip_prefix is not None and not strip_prefix.startswith("file:"):
-        fp = F.regexp_replace(fp, r"^file:", "")
+    output_path (trimmed file text), hidden files and folders included. The
+    paths are those of :func:`list_files`, as file scans skip hidden names;
+    a tracker that cannot be read fails the job."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([_text(p) for p in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["path", "value"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = list_files(spark, root).select("path").where(F.col("path").endswith(".out"))
+    df = paths.repartition(n).mapInArrow(read, "path string, value string")
+    fp = F.col("path")
     if strip_prefix is not None:
-        fp = F.when(fp.startswith(strip_prefix), F.substring(fp, len(strip_prefix) + 1, 1 << 30)).otherwise(fp)
+        sp = strip_prefix[len("file:") :] if strip_prefix.startswith("file:") else strip_prefix
+        fp = F.when(fp.startswith(sp), F.substring(fp, len(sp) + 1, 1 << 30)).otherwise(fp)
     return df.select(
         F.regexp_replace(fp, r"\.out\z", "").alias("backup_path"),
         F.regexp_replace(F.col("value"), r"^\s+|\s+\z", "").alias("output_path"),

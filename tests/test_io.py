@@ -119,6 +119,18 @@ def test_read_trackers(spark):
     assert got == [("/v.avi.bak", "/o/v_1.mp4")]
 
 
+def test_hidden_trackers_are_read(spark):
+    root = tempfile.mkdtemp(prefix="mediacat-trackers-", dir="/tmp")
+    files = {"_MG_0001.mov.bak": "/o/_MG_0001.mp4", ".hid/a b+c%20.avi.bak": "/o/a b.mp4", "_d/.x.avi.bak": "/o/ü.mp4", "v.avi.bak": ""}
+    for rel, output in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
+        with open(f"{root}/{rel}.out", "w", encoding="utf-8") as fh:
+            fh.write(f" {output}\n")
+    for at in (root, "file:" + root):
+        got = {r.backup_path: r.output_path for r in read_trackers(spark, at, strip_prefix=root).collect()}
+        assert got == {f"/{rel}": output for rel, output in files.items()}
+
+
 def test_snapshots_are_versioned(spark):
     root = tempfile.mkdtemp(prefix="mediacat-snap-", dir="/tmp") + "/ledger"
     with pytest.raises(FileNotFoundError):
