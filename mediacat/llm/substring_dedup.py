@@ -267,7 +267,9 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     ``cluster_id`` (the smallest id of a document in its cluster),
     ``copies`` (paragraphs in the cluster) and ``removed`` (all but those of
     the cluster's first document, by id). Paragraphs overlap; what goes from
-    a text is the union of its removed spans.
+    a text is the union of its removed spans. Lines and blocks go whole. Of a
+    repeated passage that is neither, what lies between its first and last
+    anchor goes: up to 12 words at either end stay, although they repeat too.
 
     Likeness is a Jaccard similarity of five-word shingles of ``percent`` per
     cent or more, directly or over other paragraphs; words are compared with
