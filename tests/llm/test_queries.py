@@ -30,7 +30,7 @@ def documents(spark):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "decontamination", "mixing", "sharding"]
 
