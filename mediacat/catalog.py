@@ -23,7 +23,7 @@ from .operators.materialize import materialize
 from .operators.membership import flag_member
 from .operators.naming import unique_names
 from .operators.ranking import first_in_group
-from .operators.summary import run_summary, skipped_extensions
+from .operators.summary import observed_summary, run_summary, skipped_extensions
 from .plans.import_plan import ImportOptions, import_run
 from .plans.index import index_run
 from .plans.process import ProcessOptions, next_backup_names, process_decisions, process_run
@@ -32,9 +32,12 @@ from .plans.undo import backup_groups, group_table, undo_run
 from .plans.verify import container_path, pending, verify_run
 from .session import scratch_path
 from .sinks import snapshots as SN
+from .sinks.partitioned_ledger import merge_ledger, read_partitioned_ledger, write_partitioned_ledger
 from .sources.files import file_hasher, hash_files, list_files, read_trackers
+from .sources.listing_source import read_listing
 from .sources.trash_feed import parse_feed_pages
 from .sources.verdicts import parse_verdict_lines
+from .streaming.keyed_index import apply_changes, changes_of, keyed_index, ledger_after, read_log
 from .streaming.stream_index import start_ledger, stream_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,10 +425,12 @@ def undo_summary(spark, sf_dir):
 # ------------------------------------------------------------ verify
 
 
-def _verify(spark, sf_dir, hasher=None):
+def _verify(spark, sf_dir, hasher=None, listed_after=False):
     fx = fixtures(spark, sf_dir)
     hasher = hasher(spark, fx) if hasher else led.table_hasher(_hashes(fx))
-    return verify_run(_listing(fx), fx.verdict_lines, LIB_ROOT, MEDIA_ROOT, ledger=fx.ledger, hasher=hasher)
+    # every third group of files is gone when the decoder is done
+    after = fx.media_files.where("g % 3 <> 1").select("path") if listed_after else None
+    return verify_run(_listing(fx), fx.verdict_lines, LIB_ROOT, MEDIA_ROOT, ledger=fx.ledger, hasher=hasher, still_there=after)
 
 
 @register("verdicts")
@@ -459,6 +464,19 @@ def verify_ledger(spark, sf_dir):
     return _verify(spark, sf_dir).ledger
 
 
+@register("verify_outcomes_gone")
+def verify_outcomes_gone(spark, sf_dir):
+    """PLN-6 + JN-6 against a listing taken after the decoder's run: rejected
+    files that are gone by then Failed, they are not Invalid."""
+    return _verify(spark, sf_dir, listed_after=True).outcomes
+
+
+@register("verify_summary_gone")
+def verify_summary_gone(spark, sf_dir):
+    """AGG-1 for verify where files went during the run."""
+    return run_summary(_verify(spark, sf_dir, listed_after=True).outcomes, "verify", "outcome")
+
+
 # ------------------------------------------------------------ directories
 
 
@@ -491,7 +509,26 @@ def hashed_files(spark, sf_dir):
     """SRC-2: SHA-256 and SHA-1 of every landed file, streamed on the executors."""
     fx = fixtures(spark, sf_dir)
     root, listing = _tree_listing(spark, fx)
-    return hash_files(listing.select("path"), root)
+    return hash_files(listing.select("path", "file_size"), root)
+
+
+@register("listed_files_source")
+def listed_files_source(spark, sf_dir):
+    """SRC-1: the same listing through the ``file_listing`` data source."""
+    fx = fixtures(spark, sf_dir)
+    root = stage_media_tree(spark, fx)
+    local = root[len("file:") :] if root.startswith("file:") else root
+    return read_listing(spark, root + LIB_ROOT, strip_prefix=local).select("path", "file_size")
+
+
+@register("listed_files_pushed")
+def listed_files_pushed(spark, sf_dir):
+    """SRC-1: a folder's files of one extension, both pushed down to the listing."""
+    fx = fixtures(spark, sf_dir)
+    root = stage_media_tree(spark, fx)
+    local = root[len("file:") :] if root.startswith("file:") else root
+    listing = read_listing(spark, root + LIB_ROOT, strip_prefix=local)
+    return listing.where(F.col("path").startswith(LIB_ROOT + "/src1/") & F.col("path").endswith(".mov")).select("path", "file_size")
 
 
 @register("trackers_from_disk")
@@ -665,6 +702,32 @@ def stream_index_ledger(spark, sf_dir):
     return SN.read_ledger(spark, ledger_root)
 
 
+def _keyed_stream(spark, sf_dir):
+    """The listing as a stream of four files, indexed with state by path: (starting ledger, log)."""
+    fx = fixtures(spark, sf_dir)
+    listing_dir = scratch_path(spark, "listing-keyed")
+    listing = fx.media_files.select("path", "file_size", "mtime_ticks", (F.col("doc_id") % 4).alias("part"))
+    listing.write.partitionBy("part").parquet(listing_dir + "/staged")
+    log, checkpoint = scratch_path(spark, "keyed-log"), scratch_path(spark, "keyed-ckpt")
+    for i in range(4):
+        spark.read.parquet(f"{listing_dir}/staged/part={i}").write.parquet(f"{listing_dir}/in/batch-{i}")
+        if i % 2:  # two runs over one checkpoint, two files each
+            keyed_index(spark, listing_dir + "/in/*", fx.ledger, log, checkpoint, hashes=_hashes(fx))
+    return fx.ledger, read_log(spark, log)
+
+
+@register("stream_index_keyed")
+def stream_index_keyed(spark, sf_dir):
+    """STR-1 with state by path: the ledger after the stream."""
+    return ledger_after(*_keyed_stream(spark, sf_dir))
+
+
+@register("stream_index_keyed_outcomes")
+def stream_index_keyed_outcomes(spark, sf_dir):
+    """STR-1 with state by path: the outcomes that the stream logged."""
+    return _keyed_stream(spark, sf_dir)[1].select("path", "status", "was_processed")
+
+
 # ------------------------------------------------------------ ledger merges, report
 
 
@@ -701,12 +764,16 @@ def ledger_update_metadata(spark, sf_dir):
     return led.update_metadata(fx.ledger, _computed(fx))
 
 
+def _verified_paths(fx) -> DataFrame:
+    verified = parse_verdict_lines(fx.verdict_lines).filter("ok")
+    return verified.select(F.concat(F.lit(LIB_ROOT), F.substring("path", len(MEDIA_ROOT) + 1, 1 << 30)).alias("path"))
+
+
 @register("ledger_set_processed")
 def ledger_set_processed(spark, sf_dir):
     """MUT-4: flag the ledger rows of verified files."""
     fx = fixtures(spark, sf_dir)
-    return led.set_processed(fx.ledger, parse_verdict_lines(fx.verdict_lines).filter("ok").select(
-        F.concat(F.lit(LIB_ROOT), F.substring("path", len(MEDIA_ROOT) + 1, 1 << 30)).alias("path")))
+    return led.set_processed(fx.ledger, _verified_paths(fx))
 
 
 @register("ledger_delete_trashed")
@@ -717,6 +784,81 @@ def ledger_delete_trashed(spark, sf_dir):
     return led.delete_by_path(fx.ledger, gone)
 
 
+def _merged_in_part(spark, fx, changes, merge):
+    root = scratch_path(spark, "ledger-parts")
+    write_partitioned_ledger(fx.ledger, root, 32)
+    merge_ledger(spark, root, changes, merge)
+    return read_partitioned_ledger(spark, root)
+
+
+@register("ledger_insert_in_part")
+def ledger_insert_in_part(spark, sf_dir):
+    """MUT-1 + SNK-1 on a partitioned ledger: only the touched partitions are replaced."""
+    fx = fixtures(spark, sf_dir)
+    return _merged_in_part(spark, fx, _computed(fx), led.insert_or_ignore)
+
+
+@register("ledger_hashes_in_part")
+def ledger_hashes_in_part(spark, sf_dir):
+    """MUT-2 + SNK-1 on a partitioned ledger."""
+    fx = fixtures(spark, sf_dir)
+    return _merged_in_part(spark, fx, _computed(fx), led.update_hashes)
+
+
+@register("ledger_metadata_in_part")
+def ledger_metadata_in_part(spark, sf_dir):
+    """MUT-3 + SNK-1 on a partitioned ledger."""
+    fx = fixtures(spark, sf_dir)
+    return _merged_in_part(spark, fx, _computed(fx), led.update_metadata)
+
+
+@register("ledger_processed_in_part")
+def ledger_processed_in_part(spark, sf_dir):
+    """MUT-4 + SNK-1 on a partitioned ledger."""
+    fx = fixtures(spark, sf_dir)
+    return _merged_in_part(spark, fx, _verified_paths(fx), led.set_processed)
+
+
+@register("ledger_delete_in_part")
+def ledger_delete_in_part(spark, sf_dir):
+    """MUT-5 + SNK-1 on a partitioned ledger."""
+    fx = fixtures(spark, sf_dir)
+    gone = flag_member(fx.ledger.select("path", "sha1"), fx.trash, "sha1", "sha1", "t").filter("t")
+    return _merged_in_part(spark, fx, gone, led.delete_by_path)
+
+
+@register("stream_index_merged_in_part")
+def stream_index_merged_in_part(spark, sf_dir):
+    """STR-1 with state by path, its changes merged into a partitioned ledger."""
+    ledger, log = _keyed_stream(spark, sf_dir)
+    root = scratch_path(spark, "ledger-parts")
+    write_partitioned_ledger(ledger, root, 32)
+    merge_ledger(spark, root, changes_of(log), apply_changes)
+    return read_partitioned_ledger(spark, root)
+
+
+def _landed(spark, name):
+    return lambda df: SN.write_snapshot(df, scratch_path(spark, name))
+
+
+@register("index_summary_observed")
+def index_summary_observed(spark, sf_dir):
+    """AGG-1 over PLN-1, counted while the outcomes are written."""
+    return observed_summary(_index(spark, sf_dir).outcomes, "index", _landed(spark, "index-outcomes"), "status")
+
+
+@register("import_summary_observed")
+def import_summary_observed(spark, sf_dir):
+    """AGG-1 over PLN-2, counted while the plan is written."""
+    return observed_summary(_import(spark, sf_dir).plan, "import", _landed(spark, "import-plan"))
+
+
+@register("verify_summary_observed")
+def verify_summary_observed(spark, sf_dir):
+    """AGG-1 for verify, counted while the outcomes are written."""
+    return observed_summary(_verify(spark, sf_dir).outcomes, "verify", _landed(spark, "verify-outcomes"))
+
+
 @register("process_first_round")
 def process_first_round(spark, sf_dir):
     """PLN-3: the rule list applied once: every file's rule and the name it asks for."""

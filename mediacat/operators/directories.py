@@ -2,10 +2,11 @@
 
 A directory strictly below the root is removed when no file survives in
 it or in any descendant; the plan lists them deepest first, so a chain of
-empty directories goes child before parent. Every file contributes its
-ancestor directories (bounded by path depth, built with
-``transform(sequence(...))`` - no loop), the distinct occupied set is an
-aggregate, and the empty ones are an anti join.
+empty directories goes child before parent. The files' directories are
+made distinct first (partial aggregates, however many files one holds); each
+of these, not each file, then contributes its ancestors (bounded by path depth,
+built with ``transform(sequence(...))`` - no loop), and the empty ones are an
+anti join.
 """
 
 from __future__ import annotations
@@ -28,11 +29,8 @@ def empty_directories(dirs: DataFrame, files: DataFrame, root: str) -> DataFrame
     """``dirs``: dir (every directory below root); ``files``: path of the
     surviving files. Returns dir, depth ordered deepest first."""
     r = root.rstrip("/")
-    occupied = (
-        files.select(F.explode(ancestors(dir_of(F.col("path")))).alias("dir"))
-        .filter(F.col("dir").startswith(r + "/"))
-        .distinct()
-    )
+    holding = files.select(dir_of(F.col("path")).alias("dir")).distinct()
+    occupied = holding.select(F.explode(ancestors(F.col("dir"))).alias("dir")).filter(F.col("dir").startswith(r + "/")).distinct()
     below = dirs.select("dir").filter(F.col("dir").startswith(r + "/")).distinct()
     empty = below.join(occupied, "dir", "left_anti")
     depth = F.size(F.split(F.col("dir"), "/")) - 1

@@ -7,7 +7,9 @@ one task: only per-partition partial counts are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # --- fixed values: outcome names per command -----------------------------
@@ -36,10 +38,15 @@ def counter_name(outcome: str) -> str:
 
 def run_summary(outcomes: DataFrame, command: str, outcome_col: str = "outcome") -> DataFrame:
     """AGG-1: one row with the total, one counter per outcome and run_status."""
-    names = OUTCOMES[command]
-    aggs = [F.count(F.lit(1)).alias("total")]
-    aggs += [F.count_if(F.col(outcome_col) == o).alias(counter_name(o)) for o in names]
-    s = outcomes.agg(*aggs)
+    return _with_status(outcomes.agg(*_counters(command, outcome_col)), command)
+
+
+def _counters(command: str, outcome_col: str) -> list[Column]:
+    counts = [F.count_if(F.col(outcome_col) == o).alias(counter_name(o)) for o in OUTCOMES[command]]
+    return [F.count(F.lit(1)).alias("total"), *counts]
+
+
+def _with_status(s: DataFrame, command: str) -> DataFrame:
     bad = None
     for o in FAILING[command]:
         cond = F.col(counter_name(o)) > 0
@@ -47,6 +54,19 @@ def run_summary(outcomes: DataFrame, command: str, outcome_col: str = "outcome")
     return s.withColumn("run_status", F.when(bad, F.lit(RUN_PARTIAL)).otherwise(F.lit(RUN_SUCCESS)))
 
 
+def observed_summary(outcomes: DataFrame, command: str, write: Callable[[DataFrame], object], outcome_col: str = "outcome") -> DataFrame:
+    """AGG-1 from the run that writes the plan: ``write`` stores the rows it
+    is given (one action), which are counted on their way. Neither the plan nor
+    what it is made from, file hashes among it, is computed for the summary
+    again. The counts are those of :func:`run_summary`."""
+    seen = Observation()
+    write(outcomes.observe(seen, *_counters(command, outcome_col)))
+    row = {k: int(v) for k, v in seen.get.items()}
+    names = ["total", *[counter_name(o) for o in OUTCOMES[command]]]
+    spark = outcomes.sparkSession
+    return _with_status(spark.range(1).select(*[F.lit(row[n]).cast("long").alias(n) for n in names]), command)
+
+
 def skipped_extensions(files: DataFrame, ext_col: str = "ext") -> DataFrame:
     """AGG-2: unsupported extensions (case-folded) with their file counts,
     ordered ignoring case; '' is reported as '(no extension)'."""

@@ -844,6 +844,38 @@ ORACLE["index_ledger_hashed"] = ORACLE["index_ledger"]
 ORACLE["import_plan_hashed"] = ORACLE["import_plan"]
 ORACLE["verify_ledger_hashed"] = ORACLE["verify_ledger"]
 ORACLE["stream_index_two_runs"] = ORACLE["index_ledger"]
+ORACLE["stream_index_keyed"] = ORACLE["stream_index_merged_in_part"] = ORACLE["index_ledger"]
+ORACLE["stream_index_keyed_outcomes"] = ORACLE["index_outcomes"]
+ORACLE["listed_files_source"] = ORACLE["listed_files"]
+add(
+    "listed_files_pushed",
+    ["media_files"],
+    "SELECT path, CAST(strlen(mn.text) AS BIGINT) AS file_size FROM media_files mf JOIN media_names mn ON mn.doc_id = mf.doc_id "
+    "WHERE starts_with(path, '/lib/src1/') AND ends_with(path, '.mov')",
+)
+# a rejected file of these groups is gone when the decoder is done
+_GONE_CTES = _VERIFY_CTES + """
+, outg AS (
+  SELECT o.path, CASE WHEN o.outcome = 'Invalid' AND m.g % 3 = 1 THEN 'Failed' ELSE o.outcome END AS outcome,
+   CASE WHEN o.outcome = 'Invalid' AND m.g % 3 = 1 THEN NULL ELSE o.error END AS error
+  FROM outc o JOIN media_files m ON m.path = o.path)
+"""
+add("verify_outcomes_gone", ["media_files", "ledger", "verdict_lines"], _GONE_CTES + "SELECT * FROM outg")
+add(
+    "verify_summary_gone",
+    ["media_files", "ledger", "verdict_lines"],
+    _GONE_CTES
+    + """
+SELECT count(*) AS total, CAST(count_if(outcome = 'Verified') AS BIGINT) AS n_verified, CAST(count_if(outcome = 'Skipped') AS BIGINT) AS n_skipped,
+ CAST(count_if(outcome = 'Invalid') AS BIGINT) AS n_invalid, CAST(count_if(outcome = 'Ignored') AS BIGINT) AS n_ignored,
+ CAST(count_if(outcome = 'Failed') AS BIGINT) AS n_failed,
+ CASE WHEN count_if(outcome IN ('Invalid', 'Failed')) > 0 THEN 2 ELSE 0 END AS run_status
+FROM outg
+""",
+)
+ORACLE["index_summary_observed"] = ORACLE["index_summary"]
+ORACLE["import_summary_observed"] = ORACLE["import_summary"]
+ORACLE["verify_summary_observed"] = ORACLE["verify_summary"]
 add(
     "resolved_hashes",
     ["media_files", "ledger"],
@@ -976,6 +1008,12 @@ add(
 )
 
 
+for _whole, _part in (
+    ("insert_or_ignore", "insert"), ("update_hashes", "hashes"), ("update_metadata", "metadata"), ("set_processed", "processed"), ("delete_trashed", "delete")
+):
+    ORACLE[f"ledger_{_part}_in_part"] = ORACLE[f"ledger_{_whole}"]
+
+
 # ------------------------------------------------------------ process
 def _process_head() -> str:
     """The listing after the case renames, the index run, and what round 1 decides on."""

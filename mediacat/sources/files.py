@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.materialize import materialize
+from ..operators.ranking import group_running_sums
 
 TICKS_AT_UNIX_EPOCH = 621355968000000000  # 100-ns ticks from 0001-01-01 to 1970-01-01
 READ_CHUNK = 80 * 1024
@@ -93,19 +94,7 @@ def list_files(spark: SparkSession, root: str, strip_prefix: str | None = None,
     return df
 
 
-def list_files_scan(spark: SparkSession, root: str, strip_prefix: str | None = None) -> DataFrame:
-    """SRC-1 through Spark's binaryFile source (content pruned). Faster to set
-    up, but Spark skips zero-length files and names starting with '_' or
-    '.', so it only fits libraries where those do not matter."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.col("path")
-    if strip_prefix is not None:
-        path = F.when(path.startswith(strip_prefix), F.substring(path, len(strip_prefix) + 1, 1 << 30)).otherwise(path)
-    ticks = F.unix_micros(F.col("modificationTime")) * 10 + F.lit(TICKS_AT_UNIX_EPOCH)
-    return df.select(path.alias("path"), F.col("length").alias("file_size"), ticks.alias("mtime_ticks"))
-
-
-def _digests(uri: str) -> tuple[str, str] | tuple[None, None]:
+def file_digests(uri: str) -> tuple[str, str] | tuple[None, None]:
     """SHA-256 and SHA-1 of a file's bytes in one pass; nulls where it cannot
     be read (the caller reports Failed, never Invalid)."""
     h256, h1 = hashlib.sha256(), hashlib.sha1()
@@ -120,13 +109,33 @@ def _digests(uri: str) -> tuple[str, str] | tuple[None, None]:
     return h256.hexdigest(), h1.hexdigest()
 
 
+OPEN_COST = 64 * 1024  # bytes that opening a file counts for
+
+
+def dealt_by_bytes(files: DataFrame, n: int) -> DataFrame:
+    """``files`` in ``n`` partitions of about as many bytes to read
+    (``file_size``, and ``OPEN_COST`` for each file): the rows are laid out one
+    after the other by path, and each goes to the n-th part of the whole that
+    its middle falls into. A part is larger than its share by a file at most."""
+    cost = F.greatest(F.coalesce(F.col("file_size"), F.lit(0)), F.lit(0)).cast("long") + OPEN_COST
+    files = files.withColumn("_cost", cost)
+    total = files.agg(F.sum("_cost")).first()[0]
+    if total is None:
+        return files.drop("_cost")
+    laid = group_running_sums(files, [], ["path"], {"_to": F.col("_cost")})
+    middle = (F.col("_to") - F.col("_cost") / 2) / F.lit(total)
+    task = F.least(F.floor(middle * n), F.lit(n - 1)).cast("int")
+    return laid.withColumn("_task", task).repartitionById(n, "_task").drop("_task", "_cost", "_to")
+
+
 def file_hasher(prefix: str = ""):
     """SRC-2 as a hasher (see :data:`mediacat.operators.ledger.Hasher`):
     streams ``prefix + path`` through both digests where ``need`` is true.
 
     The rows are written once; only those with ``need`` go to Python, as
     Arrow batches whose other columns pass through bit by bit (a null never
-    turns a long into a double), spread evenly over the tasks. The rest
+    turns a long into a double), spread over the tasks by their bytes where
+    ``file_size`` tells them, else by their number. The rest
     never leaves the JVM and no file of theirs is opened."""
 
     def run(df: DataFrame, need) -> DataFrame:
@@ -137,12 +146,14 @@ def file_hasher(prefix: str = ""):
 
         def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = [(None, None) if p is None else _digests(prefix + p) for p in batch.column(at).to_pylist()]
+                pairs = [(None, None) if p is None else file_digests(prefix + p) for p in batch.column(at).to_pylist()]
                 new = [pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        hashed = rows.filter("_need").drop("_need").repartition(n).mapInArrow(hash_batches, schema)
+        todo = rows.filter("_need").drop("_need")
+        todo = dealt_by_bytes(todo, n) if "file_size" in df.columns else todo.repartition(n)
+        hashed = todo.mapInArrow(hash_batches, schema)
         known = rows.filter("NOT _need").drop("_need")
         return hashed.unionByName(known.withColumns({f.name: F.lit(None).cast("string") for f in digests}))
 
@@ -151,16 +162,11 @@ def file_hasher(prefix: str = ""):
 
 def hash_files(files: DataFrame, prefix: str = "") -> DataFrame:
     """SRC-2: path -> path, sha256, sha1 for every row."""
-    out = file_hasher(prefix)(files.select("path"), F.lit(True))
+    known = [c for c in ("path", "file_size") if c in files.columns]
+    out = file_hasher(prefix)(files.select(*known), F.lit(True))
     return out.select("path", F.col("c_sha256").alias("sha256"), F.col("c_sha1").alias("sha1"))
 
 
-def hash_contents(df: DataFrame, content: str = "content") -> DataFrame:
-    """SRC-2 native variant for rows that already carry their bytes (files
-    below 2 GiB read with binaryFile): both digests on the JVM."""
-    return df.withColumn("sha256", F.sha2(F.col(content), 256)).withColumn("sha1", F.sha1(F.col(content)))
-
-
 def _text(uri: str) -> str:
     """A file's whole text as UTF-8, malformed bytes replaced."""
     filesystem, local = fs_and_path(uri)
