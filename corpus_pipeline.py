@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mediacat.llm.catalog import MIX_WEIGHTS, SHARDS, table
 from mediacat.llm.decontaminate import without_contaminated
 from mediacat.llm.minhash_dedup import without_near_duplicates
-from mediacat.llm.mixing import mixed
+from mediacat.llm.mixing import mixed, source_weights
 from mediacat.llm.quality_rules import keep_good
 from mediacat.llm.sharding import shard_documents
 from mediacat.operators.materialize import materialize
@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    return mixed(docs, MIX_WEIGHTS)
+    return mixed(docs, source_weights(docs, MIX_WEIGHTS))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

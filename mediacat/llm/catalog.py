@@ -14,7 +14,7 @@ from .decontaminate import contaminations
 from .divergence import source_divergence
 from .language_id import language_of
 from .minhash_dedup import near_duplicates
-from .mixing import REST, mixing_order
+from .mixing import REST, mixing_order, source_weights
 from .phrases import collocations
 from .quality_rules import quality_verdicts
 from .secret_scan import secret_spans
@@ -24,7 +24,7 @@ from .substring_dedup import repeated_passages
 from .url_filter import DEFAULT_VERDICT, GLOB_RULES, HOST_RULES, url_verdicts
 from .warc import warc_round_trip
 
-#: parts of the mixture, of 100: the named sources and all others together
+#: parts of the mixture, of 100: the named sources, and all others in equal shares
 MIX_WEIGHTS = {"src0": 20, "src1": 15, "src2": 10, "src3": 10, REST: 45}
 SHARDS = 8
 
@@ -70,7 +70,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture of the sources."""
-    return mixing_order(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    documents = table(spark, sf_dir, "documents")
+    return mixing_order(documents, source_weights(documents, MIX_WEIGHTS))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

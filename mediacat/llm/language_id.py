@@ -109,15 +109,18 @@ class Model:
         return (np.exp(-agree) * self.weight[None, :, :]).sum(axis=2)
 
 
-def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = None) -> Model:
     """Learn from the rows of ``texts`` with a non-null ``lang_col``.
 
     The driver gets one count for each language and cell (``FEATURES`` cells
-    at most for each) and, for the bits' weights, sums over a seeded sample of
-    about ``WEIGHING_TEXTS`` texts of each language. No labelled row at all gives a
+    at most for each) and, for the bits' weights, sums over a sample of
+    about ``WEIGHING_TEXTS`` texts of each language, drawn by a seeded hash of text
+    and ``id_col`` (without one, copies of a text are drawn together), so that the
+    model does not depend on how the rows lie in files. No labelled row at all gives a
     model without languages, which predicts only ``und``.
     """
-    rows = texts.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_body"))
+    drawn_by = F.xxhash64(*[F.col(c) for c in (id_col, text_col) if c is not None], F.lit(SEED)).alias("_draw")
+    rows = texts.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_body"), drawn_by)
     # the cells' counts of each row's language, summed up within a task first;
     # one more cell counts its texts
     schema = StructType([StructField("_lang", StringType()), StructField("_cells", ArrayType(LongType())), StructField("_counts", ArrayType(LongType()))])
@@ -137,7 +140,7 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
             cells = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([cells], pa.list_(pa.int64())), pa.array([total[cells]], pa.list_(pa.int64()))], names=schema.names)
 
-    partial = rows.mapInArrow(count, schema).select("_lang", F.explode(F.arrays_zip("_cells", "_counts")).alias("_c"))
+    partial = rows.drop("_draw").mapInArrow(count, schema).select("_lang", F.explode(F.arrays_zip("_cells", "_counts")).alias("_c"))
     counts = partial.groupBy("_lang", F.col("_c._cells").alias("cell")).agg(F.sum("_c._counts").alias("n"))
     counts = materialize(counts)
     if counts.where(F.col("cell") == FEATURES).count() > MAX_LANGUAGES:
@@ -167,7 +170,8 @@ def _weights(model: Model, rows: DataFrame, texts_of: dict[str, float]) -> np.nd
     """For each language the share of its texts that each bit's classifier
     gets right, over the sample of them, normalised to sum to 1."""
     shares = F.create_map(*[x for lang, n in texts_of.items() for x in (F.lit(lang), F.lit(min(1.0, WEIGHING_TEXTS / n)))])
-    sample = rows.where(F.rand(SEED) < shares[F.col("_lang")])
+    place = F.pmod(F.col("_draw"), F.lit(1 << 40)) / float(1 << 40)
+    sample = rows.where(place < shares[F.col("_lang")]).drop("_draw")
     schema = StructType([StructField("_lang", StringType()), StructField("_right", ArrayType(LongType()))])
     index = {x: i for i, x in enumerate(model.languages)}
 
@@ -244,6 +248,6 @@ def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows; other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_doc"), F.col(lang_col).alias("_label"))
-    model = train(narrow.where(F.col("_id").isNotNull() & ~held_out(F.col("_id"))), "_doc", "_label")
+    model = train(narrow.where(F.col("_id").isNotNull() & ~held_out(F.col("_id"))), "_doc", "_label", "_id")
     out = predict(narrow, model, "_doc", keep=["_id"])
     return out.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "lang_pred", "score", "second_lang", "ambiguous")

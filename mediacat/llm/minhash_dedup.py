@@ -28,7 +28,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.materialize import materialize
 from .components import components
-from .tables import BITMAP_BITS, bitmap_of, in_bitmap, numbered, original
+from . import tables
+from .tables import bitmap_of, in_bitmap, numbered, original
 from .textblocks import SPACES, Block, blocks, combined, map_texts, mix, row_of, windows, words
 
 TABLES = 8
@@ -128,7 +129,7 @@ def sets_of(source: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[b.lo : b.hi], sets], names=schema.names)
 
     hashed = source.select("_id", "_body", F.xxhash64("_id").alias("_h"))
-    if used.count() > BITMAP_BITS // 4:
+    if used.count() > tables.MAX_BITS // 4:
         # so many ids fill the bitmap: rather shuffle the texts than the sets of all
         hashed = hashed.join(used, "_id", "left_semi")
     sets = hashed.mapInArrow(run, schema).join(used, "_id", "left_semi").withColumn("_sum", F.xxhash64("_set"))
@@ -260,6 +261,28 @@ def _with_rep(rows: DataFrame, reps: DataFrame, lone=None, salts: int = 16) -> D
     return joined.select("_id", F.col("_size").alias("_n"), F.coalesce("_rep", own).alias("_rep"))
 
 
+def _without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``ids`` (``_found``, distinct and
+    written). A few ids are broadcast, whatever else the rows carry. For more, a
+    bitmap of their hashes lets pass the rows that cannot meet one, and only
+    the others are shuffled to the exact join."""
+    same = F.col(key) == F.col("_found")
+    if ids.count() <= tables.BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), same, "left_anti")
+    bitmap = bitmap_of(ids.select(F.xxhash64("_found").alias("_h")), "_h")
+    hashed, columns = rows.withColumn("_h", F.xxhash64(key)), rows.columns
+
+    def passing(hit: bool):
+        def run(batches):
+            for batch in batches:
+                some = np.flatnonzero(in_bitmap(bitmap, batch.column(batch.num_columns - 1).to_numpy()) == hit)
+                yield batch.select(columns).take(pa.array(some))
+
+        return hashed.mapInArrow(run, rows.schema)
+
+    return passing(False).unionByName(passing(True).join(ids, same, "left_anti"))
+
+
 def without_near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -270,7 +293,7 @@ def without_near_duplicates(
     key = F.col(names[id_col])
     found = materialize(near_duplicates(docs, shingle, percent, id_col, text_col).select(F.col(id_col).alias("_found"), "kept").where("_found IS NOT NULL"))
     dropped = found.where("NOT kept").select("_found").distinct()
-    left = rows.join(dropped, key == F.col("_found"), "left_anti")
+    left = _without(rows, names[id_col], materialize(dropped))
     again = materialize(found.where("kept").groupBy("_found").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_found"))
     if not again.isEmpty():
         single = left.join(again, key == F.col("_found"), "left_anti")

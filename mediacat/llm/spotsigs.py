@@ -19,12 +19,13 @@ block, and the first text of a block also goes to the end of the block before.
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import rank_among
+
 # fixed values: the most frequent function words of four languages
 COMMON_WORDS = {
     "en": "the of and to a in is that it for was on with as be by this are at from or an he not have has his which but were".split(),
@@ -139,20 +140,6 @@ def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
     return F.when(large == 0, F.lit(1.0)).when(near & (small > 0), exact).otherwise(F.lit(0.0))
 
 
-def _block_of(ids: Column, bounds: list) -> Column:
-    """How many of the ascending ``bounds`` are not above the id, looked up in
-    two steps: among every ``w``-th bound, then in the run that it starts."""
-    if not bounds:
-        return F.lit(0)
-    w = math.isqrt(len(bounds) - 1) + 1
-    runs = [bounds[i : i + w] for i in range(0, len(bounds), w)]
-    heads = F.from_json(F.lit(json.dumps([r[0] for r in runs])), "array<bigint>")
-    nested = F.from_json(F.lit(json.dumps(runs)), "array<array<bigint>>")
-    run = F.size(F.filter(heads, lambda x: x <= ids))
-    inside = F.size(F.filter(F.get(nested, run - 1), lambda x: x <= ids))
-    return F.when(run > 0, (run - 1) * w + inside).otherwise(F.lit(0))
-
-
 def beside_next(docs: DataFrame, prepared, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A row for each document: ``_id``, ``_text`` (null: empty), the columns
     that ``prepared`` adds to such rows, and ``_next_text`` and ``_next_set`` with the
@@ -165,7 +152,7 @@ def beside_next(docs: DataFrame, prepared, id_col: str = "doc_id", text_col: str
     blocks = min(MAX_BLOCKS, n // block_rows + 1)
     shares = [i / blocks for i in range(1, blocks)]
     found = ids.agg(F.percentile_approx("_id", F.lit(shares), 4 * max(blocks, 2500)).alias("x")).first()["x"] if shares else None
-    block = _block_of(F.col("_id"), sorted(set(found or [])))
+    block = rank_among(F.col("_id"), sorted(set(found or [])))
 
     # the first text of each block, for the end of the block before: one row for each block
     firsts = ids.groupBy(block.alias("_at")).agg(F.min(F.struct("_id")).alias("_first"))

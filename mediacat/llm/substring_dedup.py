@@ -21,8 +21,8 @@ miss each other at 0.8 in 4 % of cases, and one changed word can take a piece
 so short below 0.8: an edited stretch within a longer line or block that is
 not itself like another may stay. The texts are read three times
 so that little is shuffled. First the keys alone, to find those that occur
-twice: a bitmap of these, of fixed size whatever the data, lets few other
-paragraphs leave their task in the second reading (more repeated keys let
+twice: a bitmap of these, sized by their number up to a limit, lets few other
+paragraphs leave their task in the second reading (very many repeated keys let
 more pass; all that follows is exact). The third gives the places.
 
 Equal paragraphs are one class. Classes that share a key with the least class
@@ -282,7 +282,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     gives no rows; other columns are not read.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    classes = materialize(_classes(source, bitmap_of(_repeated_keys(source), "_key")))
+    classes = materialize(_classes(source, bitmap_of(materialize(_repeated_keys(source)), "_key")))
 
     # buckets of several classes; each class meets the bucket's least one
     members = classes.select(F.explode(F.array(*[c for c in classes.columns if c.startswith("_k")])).alias("_key"), "_digest")

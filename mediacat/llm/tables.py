@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -44,24 +47,47 @@ def original(names: dict[str, str]) -> list[Column]:
     return [F.col(new).alias(old) for old, new in names.items()]
 
 
-#: bits of a bitmap, whatever the data (8 MB)
-BITMAP_BITS = 1 << 26
+def rank_among(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are not above the value, looked up
+    in two steps: among every ``w``-th bound, then in the run that it starts.
+    The bounds are two literals of the plan."""
+    if not bounds:
+        return F.lit(0)
+    w = math.isqrt(len(bounds) - 1) + 1
+    runs = [bounds[i : i + w] for i in range(0, len(bounds), w)]
+    heads = F.from_json(F.lit(json.dumps([r[0] for r in runs])), "array<bigint>")
+    nested = F.from_json(F.lit(json.dumps(runs)), "array<array<bigint>>")
+    run = F.size(F.filter(heads, lambda x: x <= value))
+    inside = F.size(F.filter(F.get(nested, run - 1), lambda x: x <= value))
+    return F.when(run > 0, (run - 1) * w + inside).otherwise(F.lit(0))
+
+
+#: bits of a bitmap for each key, and its least and largest size (64 MB)
+KEY_BITS = 16
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 
 
 def bitmap_of(keys: DataFrame, column: str) -> Broadcast:
-    """``BITMAP_BITS`` bits with those of the 64-bit keys set, on all
+    """A bitmap with the bits of the 64-bit keys of a written table set, on all
     executors. It tells rows that cannot meet a key before they are shuffled
-    to an exact join; the more keys there are, the fewer it tells. At most
+    to an exact join: all but one in ``KEY_BITS``, up to ``MAX_BITS`` /
+    ``KEY_BITS`` keys (33 million). Beyond, its size stays and it tells fewer: at
+    half a billion keys six rows in ten, and every row still meets its key. At most
     one long for each 64 bits comes to the driver."""
-    place = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("p")
+    bits = MIN_BITS
+    n = keys.count()
+    while bits < min(n * KEY_BITS, MAX_BITS):
+        bits *= 2
+    place = F.col(column).bitwiseAND(F.lit(bits - 1)).alias("p")
     longs = keys.select(place).selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit")
     rows = longs.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_BITS >> 6, np.int64)
+    out = np.zeros(max(bits >> 6, 1), np.int64)
     out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
     return keys.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
 def in_bitmap(bitmap: Broadcast, keys: np.ndarray) -> np.ndarray:
     """Whether the bits of 64-bit keys are set."""
-    place = (keys.view(np.uint64) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-    return (bitmap.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+    words = bitmap.value
+    place = (keys.view(np.uint64) & np.uint64(len(words) * 64 - 1)).astype(np.int64)
+    return (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0

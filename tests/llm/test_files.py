@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from llm.invented import prose
 from mediacat.llm import warc
 from mediacat.llm.catalog import MIX_WEIGHTS
-from mediacat.llm.mixing import REST, mixed, mixing_order, period_schedule
+from mediacat.llm.mixing import REST, mixed, mixing_order, period_schedule, source_weights
 from mediacat.llm.sharding import jump_shards, shard_documents
 from mediacat.llm.warc import WarcError, encode_record, read_records, warc_round_trip
 from mediacat.session import scratch_path
@@ -164,6 +164,42 @@ def test_mixing_keeps_to_the_weights(docs, rnd):
     assert mixing_order(docs(rows).limit(0), MIX_WEIGHTS).count() == 0
 
 
+def test_every_source_has_its_pace(docs, rnd):
+    """Slots are those of a plain earliest-deadline simulation, and each of
+    many sources is less than a block from its weight at every slot."""
+    rows = [(i, "w " * rnd.randrange(1, 90), "en", rnd.choice(["src0", "src1"] * 5 + [f"src{k}" for k in range(2, 20)] + [None])) for i in range(1500)]
+    weights = source_weights(docs(rows), MIX_WEIGHTS)
+    assert set(weights) == {*(f"src{k}" for k in range(20)), REST} and sum(weights.values()) == 17 * 100
+    got = mixing_order(docs(rows), weights, 200).collect()
+    slots = {(r.stream, r.block): r.slot for r in got}
+    total, got_so_far, want = sum(weights.values()), dict.fromkeys(weights, 0), {}
+    for slot in range(max(slots.values()) + 1):
+        due = []
+        for rank, (s, w) in enumerate(weights.items()):
+            k = got_so_far[s]
+            if k * total // w <= slot:
+                due.append((-(-(k + 1) * total // w), rank, s))
+        if due:
+            s = min(due)[2]
+            want[s, got_so_far[s]] = slot
+            got_so_far[s] += 1
+    assert slots.items() <= want.items()
+    for (s, block), slot in slots.items():
+        assert abs(block + 1 - weights[s] * (slot + 1) / total) < 1
+    few = source_weights(docs(rows), MIX_WEIGHTS, most=3)
+    assert set(few) == {"src0", "src1", "src2", "src3", "*", "*0", "*1", "*2"}
+    shared = mixing_order(docs(rows), few, 200).collect()
+    assert len(shared) == len(rows) and {r.stream for r in shared} == set(few)
+
+
+def test_mixed_texts_are_shuffled_once(docs, rnd):
+    rows = [(i, "word " * rnd.randrange(50), "en", rnd.choice(["src0", "src9", None])) for i in range(200)]
+    plan = mixed(docs(rows), MIX_WEIGHTS, 500)
+    text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
+    # the range exchange carries the texts; no other one, and no join of two large sides
+    assert text.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+
+
 def test_mixed_rows_come_in_that_order(docs, rnd, spark):
     rows = mix_rows(rnd)
     frame = docs(rows)

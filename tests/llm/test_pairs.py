@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm.invented import prose
@@ -79,6 +80,20 @@ def test_one_of_each_group_stays(docs, rnd):
     assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 2
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_many_dropped_ids_give_the_same_rows(docs, rnd, monkeypatch, bits):
+    """Above the broadcast bound a bitmap lets rows pass; a full one lets none pass without the join."""
+    from mediacat.llm import tables
+
+    base = [" ".join(prose(rnd, 60)) for _ in range(30)]
+    frame = docs([(i, base[i % 30], "en", "s") for i in range(120)] + [(None, "no id", "en", "s"), (500, None, "en", "s")])
+    want = sorted(map(str, without_near_duplicates(frame).collect()))
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tables, "MAX_BITS", bits)
+    monkeypatch.setattr(tables, "MIN_BITS", min(bits, tables.MIN_BITS))
+    assert sorted(map(str, without_near_duplicates(frame).collect())) == want and len(want) == 32
+
+
 def test_near_duplicates_of_empty_and_unlike_tables(docs):
     assert near_duplicates(docs([(1, "x", None, None)]).limit(0)).count() == 0
     got = near_duplicates(docs([(1, "a b c d e f", None, None), (2, "g h i j k l", None, None)])).collect()

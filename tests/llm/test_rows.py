@@ -12,6 +12,7 @@ from mediacat.llm.url_filter import GLOB_RULES, HOST_RULES, Automaton, Rule, url
 import fnmatch
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,38 @@ def test_language_of_held_out_rows(docs, rnd):
     assert by_id[None].lang_pred == "de" and not by_id[None].held_out and by_id[2004].lang_pred == "de"
 
 
+def test_the_layout_of_the_rows_changes_nothing(docs, rnd, monkeypatch):
+    from mediacat.llm import language_id
+
+    monkeypatch.setattr(language_id, "WEIGHING_TEXTS", 40)
+    rows = [(i, " ".join(rnd.choice(LANGS[list(LANGS)[i % 4]].split()) for _ in range(rnd.randrange(4, 30))), list(LANGS)[i % 4], None) for i in range(800)]
+    frame = docs(rows)
+    got = [sorted(map(tuple, language_of(frame.repartition(n)).collect())) for n in (1, 7, 50)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_decoding_matches_brute_force(docs, rnd):
+    from mediacat.llm.language_id import ngrams
+    from mediacat.llm.textblocks import blocks
+
+    rows = [(i, " ".join(rnd.choice(LANGS[list(LANGS)[i % 4]].split()) for _ in range(rnd.randrange(1, 30))), list(LANGS)[i % 4], None) for i in range(200)]
+    model = train(docs(rows))
+    texts = [r[1] for r in rows[:40]] + ["les der und", "x"]
+    (block,) = blocks(pa.array(texts))
+    cells, at = ngrams(block)
+    want = []
+    for k in range(len(texts)):
+        margins = [sum(float(model.odds[b][c]) for c in cells[at[k] : at[k + 1]]) / max(at[k + 1] - at[k], 1) for b in range(model.code.shape[1])]
+        loss = []
+        for row, weight in zip(model.code, model.weight, strict=True):
+            loss.append(sum(w * np.exp(-min(max(m * c, -30), 30)) for m, c, w in zip(margins, row, weight, strict=True)))
+        near = sorted(range(len(loss)), key=lambda i: loss[i])
+        want.append((model.languages[near[0]], model.languages[near[1]], loss[near[1]] / (loss[near[0]] + loss[near[1]])))
+    got = predict(docs([(k, t, None, None) for k, t in enumerate(texts)]), model, "text", ["doc_id"]).collect()
+    for r in got:
+        assert (r.lang_pred, r.second_lang) == want[r.doc_id][:2] and abs(r.score - want[r.doc_id][2]) < 1e-4
+
+
 def test_labels_of_held_out_rows_change_nothing(docs, rnd):
     rows = [(i, " ".join(rnd.choice(LANGS[["en", "de"][i % 2]].split()) for _ in range(20)), ["en", "de"][i % 2], None) for i in range(80)]
     other = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else lang, "elsewhere") for i, t, lang, _ in rows]
