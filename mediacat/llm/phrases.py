@@ -31,7 +31,7 @@ from .tables import lookup
 from .textblocks import LOWER, Block, blocks, mix, span_hashes, word_spans
 
 #: bytes of text of a shard (one text at least), and worth of text in a prefix range
-SHARD_BYTES = 10 << 20
+SHARD_BYTES = 3 << 20
 RANGE_BYTES = 4 << 20
 
 MAX_WORDS = 3
