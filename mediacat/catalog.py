@@ -368,7 +368,7 @@ def next_backup_names_q(spark, sf_dir):
 @register("process_plan")
 def process_plan(spark, sf_dir):
     """PLN-3 + PLN-4: the clean-up plan, iterated until no file re-enters."""
-    return _process(spark, sf_dir).plan
+    return _process(spark, sf_dir).plan.drop("step")
 
 
 @register("process_summary")

@@ -76,12 +76,14 @@ def companion_candidates(videos: DataFrame) -> DataFrame:
     ).filter(F.col("companion").isNotNull())
 
 
+def live_videos(files: DataFrame) -> DataFrame:
+    return files.select("path").filter(is_live_video(F.regexp_extract(name_of(F.col("path")), r"(\.[^./]+)\z", 1)))
+
+
 def live_photo_pairs(files: DataFrame, listing: DataFrame) -> DataFrame:
     """JN-5: live videos (mp4/mov) with the first existing companion image.
     Returns path, companion."""
-    videos = files.select("path").filter(is_live_video(F.regexp_extract(name_of(F.col("path")), r"(\.[^./]+)\z", 1)))
-    cands = companion_candidates(videos)
     existing = listing.select(F.col("path").alias("companion"))
-    hits = cands.join(existing, "companion", "left_semi")
+    hits = companion_candidates(live_videos(files)).join(existing, "companion", "left_semi")
     best = hits.groupBy("path").agg(F.min(F.struct("prio", "companion")).alias("b"))
     return best.select("path", F.col("b.companion").alias("companion"))

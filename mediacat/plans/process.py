@@ -18,12 +18,15 @@ reference):
 
 Renamed and converted files re-enter (PLN-4) until nothing does; there is no
 cap on the rounds, and a state that comes back raises an error. Rounds share
-a *current listing*: a round's moves take names out of it and put names in,
-so no two files ever get one name.
-
-* Of several files that ask for one name, and of a file that asks for the
-  name of another file about to move, one waits for the next round. Where
-  all wait for each other, the first by path goes.
+a *current listing*: the starting one and a small table of the names that moves
+have taken out of it and put in, so no two files ever get one name. After the
+first round only files that changed are looked at; the listing is never
+written anew.
+
+* Of several files that ask for one name, the first by path goes and the
+  others wait for the next round. A file that asks for the name of another file
+  about to move goes behind it in the same round (``step``), a whole chain at
+  once. Where all wait for each other, the first by path goes.
 * A move onto a name that another file still holds displaces that file: it
   gets a ``backup`` row (``X.bak``, ``X.bak1``, ...; with ``skip_backup`` a
   ``delete`` row), so undo knows of it.
@@ -49,12 +52,10 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions import names as N
-from ..operators.groups import case_conflicts, live_photo_pairs, stem_waves
+from ..operators.groups import case_conflicts, companion_candidates, live_videos, stem_waves
 from ..operators.materialize import materialize
 from ..operators.membership import flag_member
 from ..operators.naming import unique_names
-from ..operators.ranking import group_ordinal
-from ..operators.skew import skew_safe_join
 from ..schemas import LEDGER_COLUMNS
 from .index import index_run
 
@@ -89,7 +90,7 @@ class ProcessOptions:
 
 @dataclass
 class ProcessResult:
-    plan: DataFrame  # round, path, origin, action, target, backup, tracker, outcome, reason, wave
+    plan: DataFrame  # round, path, origin, action, target, backup, tracker, outcome, reason, wave, step
     listing: DataFrame  # path, origin of every file once the plan is carried out
     renames: DataFrame  # case-conflict renames (path, new_path)
     ledger: DataFrame | None
@@ -97,36 +98,86 @@ class ProcessResult:
 
 def next_backup_names(paths: DataFrame, listing: DataFrame) -> DataFrame:
     """WIN-6: for each path X the backup name ``X.bak`` when free, else the
-    smallest free ``X.bakN`` (N >= 1). Exact for any number of existing
-    backups (a number too large for a bigint cannot belong to the run): the first free N is 1 + the length of the run 1, 2, ... of
-    taken numbers, found from each taken number's rank."""
-    want = paths.select("path").distinct()
-    if want.isEmpty():
-        return want.withColumn("backup_path", F.lit(None).cast("string"))
+    smallest free ``X.bakN`` (N >= 1), for any number of existing backups.
+
+    The smallest free number is the least k + 1 that is not taken, over k = 0
+    and the taken numbers: an anti join on (path, number) and a minimum, so a
+    file of very many backups is spread by number. (A number too large for a
+    bigint cannot be next to the run.)"""
     parts = N.backup_parts(F.col("path"))
-    taken = (
-        listing.select("path")
-        .filter(parts["is_backup"])
-        .select(parts["base"].alias("path"), parts["backup_key"].alias("k"))
-        .filter(F.col("k").isNotNull())
-        .distinct()
-    )
-    # one file may have very many numbered backups: skew-safe semi join
-    taken = skew_safe_join(taken, want, "path", "inner", unique=F.concat_ws("#", "path", F.col("k").cast("string")))
-    plain = taken.filter(F.col("k") == 0).select("path").withColumn("bak_taken", F.lit(True))
-    numbered = group_ordinal(taken.filter(F.col("k") > 0), ["path"], [F.col("k")], name="_r")
-    run = numbered.groupBy("path").agg(F.count_if(F.col("k") == F.col("_r")).alias("_run"))
-    out = want.join(plain, "path", "left").join(run, "path", "left")
-    name = F.when(
-        F.col("bak_taken").isNull(), F.concat(F.col("path"), F.lit(BACKUP_SUFFIX))
-    ).otherwise(F.concat(F.col("path"), F.lit(BACKUP_SUFFIX), (F.coalesce(F.col("_run"), F.lit(0)) + 1).cast("string")))
-    return out.select("path", name.alias("backup_path"))
-
-
-def _decide(state: DataFrame, listing: DataFrame, companions_meta: DataFrame, opts: ProcessOptions, with_ledger: bool) -> DataFrame:
+    backups = listing.select("path").filter(parts["is_backup"]).select(parts["base"].alias("path"), parts["backup_key"].alias("k"))
+    return _next_backups(paths, backups.filter(F.col("k").isNotNull()))
+
+
+def _next_backups(paths: DataFrame, backups: DataFrame) -> DataFrame:
+    """``backups``: the existing ones as path (of the original) and k, 0 for a plain ``.bak``."""
+    want = paths.select("path").distinct()
+    taken = backups.join(want, "path", "left_semi").distinct()
+    tried = want.select("path", F.lit(-1).cast("long").alias("_k")).unionByName(taken.select("path", F.col("k").alias("_k")))
+    # -1: the plain name; it is followed by number 1 where it is taken
+    tried = tried.select("path", F.try_add("_k", F.lit(1).cast("long")).alias("k")).unionByName(want.select("path", F.lit(1).cast("long").alias("k")))
+    least = tried.join(taken, ["path", "k"], "left_anti").groupBy("path").agg(F.min("k").alias("k"))
+    number = F.when(F.col("k") == 0, F.lit("")).otherwise(F.col("k").cast("string"))
+    return least.select("path", F.concat("path", F.lit(BACKUP_SUFFIX), number).alias("backup_path"))
+
+
+@dataclass
+class _Names:
+    """The current listing: the landed one the run starts from and, of the names
+    that rounds have taken out or put in, the last state (``delta``, one row
+    for a path). A round asks for the names it needs and writes no listing."""
+
+    base: DataFrame  # path, origin, content_id
+    backups: DataFrame  # path, k of the base's backups
+    delta: DataFrame | None = None  # path, origin, content_id, present
+
+    def all(self) -> DataFrame:
+        if self.delta is None:
+            return self.base
+        return self.base.join(self.delta.select("path"), "path", "left_anti").unionByName(self.delta.where("present").drop("present"))
+
+    def among(self, paths: DataFrame) -> DataFrame:
+        """The current rows of the given paths (``path``, distinct)."""
+        found = self.base.join(paths, "path", "left_semi")
+        if self.delta is None:
+            return found
+        return found.join(self.delta.select("path"), "path", "left_anti").unionByName(
+            self.delta.where("present").drop("present").join(paths, "path", "left_semi")
+        )
+
+    def matching(self, asked: DataFrame, column: str) -> DataFrame:
+        """The rows of ``asked`` whose ``column`` is a current name, with its ``content_id``."""
+        named = self.base.select(F.col("path").alias(column), "content_id")
+        found = asked.join(named, column)
+        if self.delta is None:
+            return found
+        put = self.delta.where("present").select(F.col("path").alias(column), "content_id")
+        return found.join(self.delta.select(F.col("path").alias(column)), column, "left_anti").unionByName(asked.join(put, column))
+
+    def next_backups(self, paths: DataFrame) -> DataFrame:
+        if self.delta is None:
+            return _next_backups(paths, self.backups)
+        parts = N.backup_parts(F.col("path"))
+        moved = self.delta.filter(parts["is_backup"]).select(parts["base"].alias("path"), parts["backup_key"].alias("k"), "present").where("k IS NOT NULL")
+        kept = self.backups.join(moved.select("path", "k"), ["path", "k"], "left_anti")
+        return _next_backups(paths, kept.unionByName(moved.where("present").drop("present")))
+
+    def after(self, gone: DataFrame, put: DataFrame) -> _Names:
+        """With the paths ``gone`` taken out and then the rows ``put`` put in."""
+        none = F.lit(None).cast("string")
+        put = put.withColumn("present", F.lit(True))
+        out = gone.select("path").distinct().join(put.select("path"), "path", "left_anti")
+        rows = put.unionByName(out.select("path", none.alias("origin"), none.alias("content_id"), F.lit(False).alias("present")))
+        if self.delta is not None:
+            rows = rows.unionByName(self.delta.join(rows.select("path"), "path", "left_anti"))
+        return _Names(self.base, self.backups, materialize(rows))
+
+
+def _decide(state: DataFrame, names: _Names, opts: ProcessOptions, with_ledger: bool) -> DataFrame:
     s = state.withColumn("ext", N.ext_of(N.name_of(F.col("path"))))
-    pairs = live_photo_pairs(s.select("path"), listing)
-    s = s.join(pairs, "path", "left").join(companions_meta, "companion", "left")
+    images = names.matching(companion_candidates(live_videos(s)), "companion")
+    first = images.groupBy("path").agg(F.min(F.struct("prio", "companion", "content_id")).alias("_image"))
+    s = s.join(first, "path", "left").withColumns({"companion": F.col("_image.companion"), "companion_content_id": F.col("_image.content_id")})
     # stage the inputs of the rule list as plain columns (keeps generated
     # code small; each regex runs once per row)
     s = s.withColumns(
@@ -265,26 +316,77 @@ def process_decisions(
     with the name it asks for. Arguments as for :func:`process_run`."""
     opts = opts or ProcessOptions()
     start = _start(files, metadata_docs, probe, opts, ledger, trash, hasher)
-    listing = materialize(start.listing.select("path"))
-    content = start.state.select(F.col("path").alias("companion"), F.col("content_id").alias("companion_content_id"))
-    decided = _with_requests(_decide(start.state, listing, content, opts, ledger is not None)).join(start.waves, "origin", "left")
+    decided = _with_requests(_decide(start.state, _names(start.state), opts, ledger is not None)).join(start.waves, "origin", "left")
     return decided.select("path", "origin", "action", "target", "outcome", "reason", F.coalesce("wave", F.lit(0)).alias("wave"))
 
 
-def _settle_renames(renames: DataFrame) -> DataFrame:
-    """``renames`` (path, target) with ``go``: whether the file moves in this
-    round. See the module's notes on who waits."""
+def _names(state: DataFrame) -> _Names:
+    base = state.select("path", "origin", "content_id")
+    parts = N.backup_parts(F.col("path"))
+    backups = base.filter(parts["is_backup"]).select(parts["base"].alias("path"), parts["backup_key"].alias("k"))
+    return _Names(base, backups.where("k IS NOT NULL"))
+
+
+def settle_renames(renames: DataFrame) -> DataFrame:
+    """Which of ``renames`` (path, target) move in this round: a written table
+    path, go, step. See the module's notes on who waits.
+
+    A file whose target is held by another file that moves may move behind
+    it, and so on along the chain path -> target; the chains are followed by
+    pointer jumping, each round twice as far, so one of n files takes log2(n)
+    rounds. ``step`` is the file's place behind the end of its chain: a round's
+    moves are carried out by step. Files that lead into a circle wait."""
     firsts = renames.groupBy("target").agg(F.min("path").alias("path")).withColumn("_first", F.lit(True))
     movers = renames.select(F.col("path").alias("target"), F.lit(True).alias("_held"))
     r = renames.join(firsts, ["target", "path"], "left").join(movers, "target", "left")
-    free = F.col("_first").isNotNull() & F.col("_held").isNull()
-    r = materialize(r.select("path", "target", free.alias("_free"), F.regexp_replace("target", r"\.[^./]+\z", "").alias("_base")))
+    held = F.col("_held").isNotNull()
+    r = materialize(
+        r.select(
+            "path", F.col("_first").isNotNull().alias("ok"), F.when(held, F.col("target")).alias("behind"), held.cast("int").alias("step"),
+            F.regexp_replace("target", r"\.[^./]+\z", "").alias("_base"),
+        )
+    )
+    waiting, before = r.where("behind IS NOT NULL").count(), None
+    while waiting and waiting != before:
+        ahead = r.select(F.col("path").alias("behind"), F.col("ok").alias("_ok"), F.col("behind").alias("_behind"), F.col("step").alias("_step"))
+        j = r.join(ahead, "behind", "left")
+        ok, step = F.col("ok") & F.coalesce("_ok", F.lit(True)), F.col("step") + F.coalesce("_step", F.lit(0))
+        r = materialize(j.select("path", ok.alias("ok"), F.col("_behind").alias("behind"), step.alias("step"), "_base"))
+        waiting, before = r.where("behind IS NOT NULL").count(), waiting
+    r = r.withColumn("_free", F.col("ok") & F.col("behind").isNull())
     groups = r.groupBy("_base").agg(F.max("_free").alias("_any"), F.min("path").alias("_least"))
-    go = F.col("_free") | (~F.col("_any") & (F.col("path") == F.col("_least")))
-    return r.join(groups, "_base").select("path", go.alias("go"))
-
-
-def _fingerprint(state: DataFrame) -> tuple:
+    # where all wait for each other, the first by path goes
+    alone = ~F.col("_any") & (F.col("path") == F.col("_least"))
+    return materialize(r.join(groups, "_base").select("path", (F.col("_free") | alone).alias("go"), F.when(F.col("_free"), F.col("step")).otherwise(F.lit(0)).alias("step")))
+
+
+def _named_converts(converts: DataFrame, names: _Names, moved: DataFrame, opts: ProcessOptions) -> DataFrame:
+    """``path`` and ``final``: the free name each convert gets (WIN-3). Only
+    requests for a name that is taken, or asked for twice, are ranked."""
+    req = converts.select("path", F.col("target").alias("dest"))
+    own = converts.select("path")
+
+    def taken(present: DataFrame) -> DataFrame:
+        # with backups on, a source frees its own name first
+        return present if opts.skip_backup else present.join(own, "path", "left_anti")
+
+    targets = moved.select(F.col("target").alias("path"))
+    asked = req.select(F.col("dest").alias("path")).distinct()
+    held = taken(names.among(asked).select("path")).unionByName(targets).distinct()
+    counts = req.groupBy("dest").agg((F.count(F.lit(1)) > 1).alias("_several"))
+    marked = req.join(counts, "dest").join(held.select(F.col("path").alias("dest"), F.lit(True).alias("_held")), "dest", "left")
+    marked = materialize(marked.select("path", "dest", (F.col("_several") | F.col("_held").isNotNull()).alias("contested")))
+    plain = marked.where("NOT contested").select("path", F.col("dest").alias("final"))
+    contested = marked.where("contested").select("path", "dest")
+    if contested.isEmpty():
+        return plain
+    existing = taken(names.all().select("path")).unionByName(targets).unionByName(plain.select(F.col("final").alias("path")))
+    named = unique_names(contested, existing, "dest", "path", cut_input=False)
+    return plain.unionByName(named.select("path", F.col("final_dest").alias("final")))
+
+
+def _mark(state: DataFrame) -> tuple[int, int]:
+    """How many files are to be processed, and a fingerprint of them."""
     low = F.xxhash64("path", "origin").bitwiseAND(F.lit((1 << 40) - 1))
     return tuple(state.agg(F.count(F.lit(1)), F.coalesce(F.sum(low), F.lit(0))).first())
 
@@ -303,65 +405,75 @@ def process_run(
     opts = opts or ProcessOptions()
     start = _start(files, metadata_docs, probe, opts, ledger, trash, hasher)
     state = start.state
-    current = materialize(state.select("path", "origin", "content_id"))
+    names = _names(state)
     none = F.lit(None).cast("string")
+    no_names = state.select("path", "origin", "content_id").limit(0)
 
     rounds: list[DataFrame] = []
     seen: set[tuple] = set()
-    while not rounds or not state.isEmpty():
-        mark = _fingerprint(state)
-        if rounds and mark in seen:
+    mark = None
+    while not rounds or mark[0]:
+        if mark in seen:
             raise RuntimeError(f"the files to process come back unchanged after {len(rounds)} rounds")
         seen.add(mark)
-        listing = current.select("path")
-        content = current.select(F.col("path").alias("companion"), F.col("content_id").alias("companion_content_id"))
-        decided = materialize(_with_requests(_decide(state, listing, content, opts, ledger is not None)))
-        renames = decided.filter(F.col("action") == "rename").select("path", "target")
-        decided = materialize(decided.join(_settle_renames(renames), "path", "left"))
-        waiting = decided.filter(~F.coalesce(F.col("go"), F.lit(True)))
-        acting = decided.filter(F.coalesce(F.col("go"), F.lit(True)))
+        decided = materialize(_with_requests(_decide(state, names, opts, ledger is not None)))
+        kinds = {r["action"] for r in decided.select("action").distinct().collect()}  # four at most
+        if "rename" in kinds:
+            settled = settle_renames(decided.filter(F.col("action") == "rename").select("path", "target"))
+            decided = decided.join(settled, "path", "left")
+        else:
+            decided = decided.withColumns({"go": F.lit(None).cast("boolean"), "step": F.lit(0)})
+        go = F.coalesce(F.col("go"), F.lit(True))
+        waiting, acting = decided.filter(~go), decided.filter(go)
         moved = acting.filter(F.col("action") == "rename")
         converts = acting.filter(F.col("action") == "convert")
 
         # names that become free, files that are in the way, backup names
         freed = acting.filter(F.col("action").isin("rename", "convert", "delete")).select("path")
-        held = current.join(moved.select(F.col("target").alias("path")), "path", "left_semi")
-        displaced = materialize(held.join(freed, "path", "left_anti"))
-        to_back_up = displaced.select("path") if opts.skip_backup else displaced.select("path").unionByName(converts.select("path"))
-        backups = materialize(next_backup_names(to_back_up, listing))
-
-        # convert targets are unique; with backups on, an .mp4 source frees its own name first
-        taken = listing if opts.skip_backup else listing.join(converts.select("path"), "path", "left_anti")
-        taken = taken.unionByName(moved.select(F.col("target").alias("path")))
-        named = unique_names(converts.select("path", F.col("target").alias("dest")), taken, "dest", "path", cut_input=False)
-        acting = acting.join(named.select("path", "final_dest"), "path", "left")
-        if opts.skip_backup:
+        displaced = no_names
+        if "rename" in kinds:
+            held = names.among(moved.select(F.col("target").alias("path")).distinct())
+            displaced = materialize(held.join(freed, "path", "left_anti"))
+        backups = None
+        if not opts.skip_backup and kinds & {"rename", "convert"}:
+            backups = materialize(names.next_backups(displaced.select("path").unionByName(converts.select("path"))))
+
+        if "convert" in kinds:
+            acting = acting.join(_named_converts(converts, names, moved, opts), "path", "left")
+            acting = acting.withColumn("target", F.coalesce("final", "target"))
+        if backups is None or "convert" not in kinds:
             acting = acting.withColumn("backup", none)
         else:
             source = backups.select("path", F.col("backup_path").alias("backup"), F.lit("convert").alias("action"))
             acting = acting.join(source, ["path", "action"], "left")
-        acting = acting.withColumn("target", F.coalesce("final_dest", "target"))
         acting = acting.withColumn("tracker", F.concat("backup", F.lit(TRACKER_SUFFIX)))
         number = len(rounds) + 1
-        rows = acting.select(F.lit(number).alias("round"), *STATE_COLUMNS, "rule", "action", "target", "backup", "tracker", "outcome", "reason")
+        step = F.coalesce("step", F.lit(0)).alias("step")
+        rows = acting.select(F.lit(number).alias("round"), *STATE_COLUMNS, "rule", "action", "target", "backup", "tracker", "outcome", "reason", step)
         acting = materialize(rows)
-        out_of_the_way = displaced.join(backups, "path").select(
-            F.lit(number).alias("round"), "path", "origin", F.lit("delete" if opts.skip_backup else "backup").alias("action"),
-            (none if opts.skip_backup else F.col("backup_path")).alias("target"), none.alias("backup"), none.alias("tracker"),
-            F.lit("Displaced").alias("outcome"), F.lit("displaced").alias("reason"),
-        )
-        rounds.append(acting.select("round", "path", "origin", "action", "target", "backup", "tracker", "outcome", "reason").unionByName(out_of_the_way))
+        plan_rows = acting.select("round", "path", "origin", "action", "target", "backup", "tracker", "outcome", "reason", "step")
+        put = acting.filter(F.col("outcome") == "Reprocess").select(F.col("target").alias("path"), "origin", "content_id")
+        if "rename" in kinds:
+            aside = displaced.withColumn("backup_path", none) if opts.skip_backup else displaced.join(backups, "path")
+            plan_rows = plan_rows.unionByName(
+                aside.select(
+                    F.lit(number).alias("round"), "path", "origin", F.lit("delete" if opts.skip_backup else "backup").alias("action"),
+                    F.col("backup_path").alias("target"), none.alias("backup"), none.alias("tracker"),
+                    F.lit("Displaced").alias("outcome"), F.lit("displaced").alias("reason"), F.lit(0).alias("step"),
+                )
+            )
+            if not opts.skip_backup:
+                put = put.unionByName(aside.select(F.col("backup_path").alias("path"), "origin", none.alias("content_id")))
+        rounds.append(plan_rows)
 
         again = acting.filter(F.col("outcome") == "Reprocess")
-        gone = freed.unionByName(displaced.select("path"))
-        current = current.join(gone, "path", "left_anti").unionByName(again.select(F.col("target").alias("path"), "origin", "content_id"))
-        if not opts.skip_backup:
-            kept = displaced.join(backups, "path").select(F.col("backup_path").alias("path"), "origin", none.alias("content_id"))
+        if backups is not None and "convert" in kinds:
             sources = again.filter(F.col("backup").isNotNull())
             for name in ("backup", "tracker"):
-                kept = kept.unionByName(sources.select(F.col(name).alias("path"), "origin", none.alias("content_id")))
-            current = current.unionByName(kept)
-        current = materialize(current)
+                put = put.unionByName(sources.select(F.col(name).alias("path"), "origin", none.alias("content_id")))
+        if kinds & {"rename", "convert", "delete"}:
+            freed = acting.filter(F.col("action").isin("rename", "convert", "delete")).select("path")
+            names = names.after(freed.unionByName(displaced.select("path")), put)
 
         converted = F.col("action") == "convert"
         renewed = again.select(
@@ -377,14 +489,16 @@ def process_run(
             "duration_s",
             F.when(converted & (F.col("rule") != "remux"), F.lit("aac")).otherwise(F.col("audio_codec")).alias("audio_codec"),
         )
-        still = waiting.join(displaced.select("path"), "path", "left_anti").select(*STATE_COLUMNS)
-        state = materialize(renewed.unionByName(still))
+        if "rename" in kinds:
+            renewed = renewed.unionByName(waiting.join(displaced.select("path"), "path", "left_anti").select(*STATE_COLUMNS))
+        state = materialize(renewed)
+        mark = _mark(state)
 
     plan = rounds[0]
     for r in rounds[1:]:
         plan = plan.unionByName(r)
     plan = plan.join(start.waves, "origin", "left").withColumn("wave", F.coalesce("wave", F.lit(0)))
-    plan = plan.select("round", "path", "origin", "action", "target", "backup", "tracker", "outcome", "reason", "wave")
+    plan = plan.select("round", "path", "origin", "action", "target", "backup", "tracker", "outcome", "reason", "wave", "step")
 
     next_ledger = None
     if start.ledger is not None:
@@ -395,7 +509,7 @@ def process_run(
             *[c for c in LEDGER_COLUMNS if c != "is_processed"],
             (F.col("is_processed") | F.coalesce(F.col("_done"), F.lit(False))).alias("is_processed"),
         )
-    return ProcessResult(plan=plan, renames=start.renames, ledger=next_ledger, listing=current.select("path", "origin"))
+    return ProcessResult(plan=plan, renames=start.renames, ledger=next_ledger, listing=names.all().select("path", "origin"))
 
 
 def process_summary(plan: DataFrame) -> DataFrame:

@@ -212,6 +212,84 @@ def test_process_gives_no_two_files_one_name(spark):
     assert {t for o, (t, _, _) in converted.items() if o.startswith("/l/a.")} == {"/l/a.mp4", "/l/a_1.mp4"}
 
 
+def test_chains_of_waiting_moves_settle_in_few_rounds(spark, monkeypatch):
+    """a -> b -> c ...: 1,000 moves in one round, found by pointer jumping."""
+    from mediacat.plans import process as P
+
+    landed = []
+    plain = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df: landed.append(1) or plain(df))
+    n = 1000
+    rows = [(f"/d/x.{i:04d}", f"/d/x.{i + 1:04d}") for i in range(n)]
+    got = {r.path: (r.go, r.step) for r in P.settle_renames(spark.createDataFrame(rows, "path string, target string")).collect()}
+    assert got == {f"/d/x.{i:04d}": (True, n - 1 - i) for i in range(n)}
+    assert len(landed) <= 12 + 1  # eleven jumps, the start and the result
+
+
+def test_who_waits(spark):
+    from mediacat.plans.process import settle_renames
+
+    rows = [
+        ("/a.1", "/a.2"), ("/a.2", "/a.3"), ("/b.1", "/b.9"), ("/b.2", "/b.9"), ("/b.3", "/b.1"), ("/b.4", "/b.2"),
+        ("/c.1", "/c.2"), ("/c.2", "/c.1"), ("/e.1", "/e.2"), ("/e.2", "/e.3"), ("/e.3", "/e.2"), ("/f.1", "/f.9"),
+    ]
+    got = {r.path: (r.go, r.step) for r in settle_renames(spark.createDataFrame(rows, "path string, target string")).collect()}
+    assert got == {
+        "/a.1": (True, 1), "/a.2": (True, 0),  # a chain
+        "/b.1": (True, 0), "/b.2": (False, 0), "/b.3": (True, 1), "/b.4": (False, 0),  # rivals, and those behind them
+        "/c.1": (True, 0), "/c.2": (False, 0),  # a circle: the first goes
+        "/e.1": (True, 0), "/e.2": (False, 0), "/e.3": (False, 0),  # into a circle
+        "/f.1": (True, 0),
+    }
+
+
+def test_backup_numbers_against_brute_force(spark):
+    import random
+
+    from mediacat.plans.process import next_backup_names
+
+    rnd = random.Random(5)
+    taken = {f"/p{i}": {k for k in range(30) if rnd.random() < rnd.choice([0, 0.5, 0.95])} for i in range(60)} | {"/big": {0, 1, 2**63 - 1}}
+    listing = [(p + ".bak" + (str(k) if k else ""),) for p, ks in taken.items() for k in ks] + [("/p1.bak99999999999999999999",), ("/x.jpg",)]
+    got = {r.path: r.backup_path for r in next_backup_names(spark.createDataFrame([(p,) for p in taken] * 2, "path string"), spark.createDataFrame(listing, "path string")).collect()}
+    for p, ks in taken.items():
+        k = next(k for k in range(99) if k not in ks)
+        assert got[p] == p + ".bak" + (str(k) if k else "")
+    assert len(got) == len(taken)
+
+
+def test_process_writes_no_listing_after_the_first_round(spark, monkeypatch):
+    """A round lands what it changes: rows do not grow with the library."""
+    import json
+
+    from mediacat.plans import process as P
+
+    def run(extra):
+        names = ["/l/a.JpG", "/l/b.mkv", "/l/b.mp4", "/l/c.Mov"] + [f"/l/f{i}.jpg" for i in range(extra)]
+        types = {".JpG": "jpg", ".mkv": "mkv", ".mp4": "mp4", ".Mov": "mov", ".jpg": "jpg"}
+        files = spark.createDataFrame([(p, 1, 1) for p in names], "path string, file_size long, mtime_ticks long")
+        docs = [(p, json.dumps({"SourceFile": p, "File:FileTypeExtension": types["." + p.rsplit(".", 1)[1]]})) for p in names]
+        meta = spark.createDataFrame(docs, "path string, meta_json string")
+        probe = spark.createDataFrame([(p, 9.0, "aac") for p in names], "path string, duration_s double, audio_codec string")
+        sizes, plain = [], P.materialize
+
+        def landing(df):
+            out = plain(df)
+            sizes.append(out.count())
+            return out
+
+        monkeypatch.setattr(P, "materialize", landing)
+        plan = P.process_run(files, meta, probe).plan.collect()
+        monkeypatch.setattr(P, "materialize", plain)
+        return sizes, sorted((r.path, r.action, r.target or "") for r in plan if r.action != "none")
+
+    few, want = run(2)
+    many, got = run(300)
+    assert got == want and len(few) == len(many)
+    # what grows with the library: the state, its decisions and the first round's plan
+    assert sum(a != b for a, b in zip(few, many, strict=True)) <= 3
+
+
 def test_process_without_backups_deletes_what_is_in_the_way(spark):
     files = {"/l/c.jpg": ("png", None, None), "/l/c.png": ("png", None, None), "/l/b.avi": ("AVI", 9.0, "mp3")}
     plan, final, rows = _process(spark, files, skip_backup=True)
