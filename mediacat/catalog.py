@@ -39,6 +39,7 @@ from .sources.trash_feed import parse_feed_pages
 from .sources.verdicts import parse_verdict_lines
 from .streaming.keyed_index import apply_changes, changes_of, keyed_index, ledger_after, read_log
 from .streaming.stream_index import start_ledger, stream_index
+from .streaming.trash_stream import read_added, trash_after, trash_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -672,6 +673,20 @@ def trash_pages_to_empty(spark, sf_dir):
     return visited_pages(_with_empty_page(spark, sf_dir))
 
 
+@register("trash_sync_streamed")
+def trash_sync_streamed(spark, sf_dir):
+    """PLN-7 + SRC-5 as a stream: the visited pages land in three batches and
+    are folded into the trash set, with state by content hash."""
+    fx = fixtures(spark, sf_dir)
+    pages = materialize(_landed_pages(fx).join(visited_pages(fx.trash_pages), "page", "left_semi"))
+    root = scratch_path(spark, "feed-stream")
+    last = pages.agg(F.max("page")).first()[0]
+    for i in range(3):
+        pages.where((F.col("page") - 1) * 3 >= i * last).where((F.col("page") - 1) * 3 < (i + 1) * last).coalesce(1).write.parquet(f"{root}/in/b{i}")
+        trash_stream(spark, root + "/in/*", fx.trash, root + "/added", root + "/ckpt")
+    return trash_after(fx.trash, read_added(spark, root + "/added"))
+
+
 @register("stream_index_two_runs")
 def stream_index_two_runs(spark, sf_dir):
     """STR-1: two streams in turn, each with a checkpoint of its own, over one ledger."""

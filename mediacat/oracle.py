@@ -935,7 +935,7 @@ add(
 )
 add("trackers_from_disk", ["trackers"], "SELECT backup_path, output_path FROM trackers")
 ORACLE["ledger_roundtrip"] = ORACLE["index_ledger"]
-ORACLE["trash_set_roundtrip"] = ORACLE["trash_sync_set"]
+ORACLE["trash_set_roundtrip"] = ORACLE["trash_sync_streamed"] = ORACLE["trash_sync_set"]
 ORACLE["stream_index_ledger"] = ORACLE["index_ledger"]
 add(
     "archive_roundtrip",

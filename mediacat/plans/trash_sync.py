@@ -72,6 +72,13 @@ def visited_pages(items: DataFrame) -> DataFrame:
     return reached
 
 
+def trashed_items(items: DataFrame) -> DataFrame:
+    """The trashed assets with a valid checksum, with their ``sha1``."""
+    return items.withColumn("sha1", checksum_to_hex(F.col("checksum"))).filter(
+        F.coalesce(F.col("is_trashed"), F.lit(False)) & F.col("sha1").isNotNull()
+    )
+
+
 def trash_sync(items: DataFrame, trash: DataFrame) -> TrashSyncResult:
     """``items``: page, next_page, id, checksum, original_file_name,
     is_trashed (one row per asset; optional item_no gives in-page order)."""
@@ -80,9 +87,7 @@ def trash_sync(items: DataFrame, trash: DataFrame) -> TrashSyncResult:
     order = "item_no" if "item_no" in items.columns else "id"
     fetched = read.filter(F.col("id").isNotNull() | F.col("checksum").isNotNull())
 
-    valid = fetched.withColumn("sha1", checksum_to_hex(F.col("checksum"))).filter(
-        F.coalesce(F.col("is_trashed"), F.lit(False)) & F.col("sha1").isNotNull()
-    )
+    valid = trashed_items(fetched)
     first = valid.groupBy("sha1").agg(
         F.min_by("original_file_name", F.struct(F.col("page"), F.col(order))).alias("original_file_name")
     )

@@ -14,6 +14,7 @@ after the stream is the starting ledger with the last logged change of each path
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ _STATE = "sha256 string, sha1 string, file_size long, mtime_ticks long, is_proce
 LOG = f"path string, status string, was_processed boolean, changed boolean, {_STATE}"
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, as keyed state needs."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
 class IndexProcessor(StatefulProcessor):
     """The index rules (PLN-1) for the rows of one path, in order of time and size."""
 
@@ -106,16 +118,9 @@ def keyed_index(
     log = listed.groupBy("path").transformWithState(
         statefulProcessor=IndexProcessor(prefix, mark_processed, rehash), outputStructType=LOG, outputMode="Append", timeMode="None", initialState=start
     )
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        query = (
-            log.writeStream.format("parquet").outputMode("append").option("path", log_root).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    with rocksdb_state(spark):
+        writer = log.writeStream.format("parquet").outputMode("append").option("path", log_root).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def read_log(spark: SparkSession, log_root: str) -> DataFrame:

@@ -107,6 +107,34 @@ def test_keyed_stream_hashes_files_that_changed(spark):
         keyed_index(spark, base, ledger, base, base)
 
 
+def test_trash_stream_adds_each_hash_once(spark):
+    import base64
+    import json
+
+    from mediacat.streaming.trash_stream import read_added, trash_after, trash_stream
+
+    root = folder("feed")
+    sha = {k: base64.b64encode(hashlib.sha1(k.encode()).digest()).decode() for k in "abcdef"}
+
+    def page(number, *items):
+        body = {"assets": {"items": [{"id": n, "checksum": c, "originalFileName": n, "isTrashed": t} for n, c, t in items], "nextPage": str(number + 1)}}
+        return number, json.dumps(body)
+
+    def land(name, *pages):
+        spark.createDataFrame(pages, "page long, body string").coalesce(1).write.parquet(f"{root}/in/{name}")
+        trash_stream(spark, root + "/in/*", trash, root + "/added", root + "/ckpt")
+        return {r.original_file_name for r in read_added(spark, root + "/added").collect()}
+
+    trash = spark.createDataFrame([(hashlib.sha1(b"a").hexdigest(), "old")], "sha1 string, original_file_name string")
+    first = page(1, ("a1", sha["a"], True), ("b1", sha["b"], True), ("b0", sha["b"], True), ("c1", sha["c"], False), ("bad", "??", True), ("none", None, True))
+    assert land("1", first) == {"b1"}
+    assert land("2", page(3, ("b3", sha["b"], True), ("d3", sha["d"], True)), page(2, ("d2", sha["d"], True))) == {"b1", "d2"}
+    # a page landed again, an empty one, and one that is no document
+    assert land("3", first, page(4), (5, "{"), page(6, ("c6", sha["c"], True))) == {"b1", "d2", "c6"}
+    after = trash_after(trash, read_added(spark, root + "/added"))
+    assert sorted(r.original_file_name for r in after.collect()) == ["b1", "c6", "d2", "old"]
+
+
 # ---- partial merges
 
 
