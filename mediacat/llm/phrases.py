@@ -17,11 +17,13 @@ is about ``RANGE_BYTES`` worth of text whatever their number.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -32,11 +34,14 @@ from .textblocks import LOWER, Block, blocks, mix, span_hashes, word_spans
 
 #: bytes of text of a shard (one text at least), and worth of text in a prefix range
 SHARD_BYTES = 3 << 20
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 
 MAX_WORDS = 3
 MIN_COUNT = 10
 TOP = 2000
+SHARES = 32
+#: places that a part's count goes to, for rows that ask for a very frequent part
+SALTS = 4
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".,;:!?"]] = True
@@ -127,13 +132,24 @@ def _range_of(first: np.ndarray, second: np.ndarray | None, ranges: int) -> np.n
 
 
 def _schema(max_words: int) -> StructType:
-    """A transducer as a row: every column but the first two is the bytes of an
-    array; words are spelled one after the other, with a space behind each."""
-    names = ["words", "label1", "weight1", "first2", "label2", "weight2"]
+    """A transducer as a row: words are spelled one after the other, with a
+    space behind each, and packed (a word of many phrases is spelled in many
+    ranges); the other columns are the bytes of arrays, whose numbers have as
+    many bytes as ``widths`` says, column by column."""
+    names = ["widths", "words", "label1", "weight1", "first2", "label2", "weight2"]
     names += [f"{c}{m}" for m in range(3, max_words + 1) for c in ("arcs", "label", "weight")]
     return StructType([StructField("lang", StringType()), StructField("range", LongType()), *[StructField(n, BinaryType()) for n in names]])
 
 
+_KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as hold the largest."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype(next(k for k in _KINDS.values() if most <= np.iinfo(k).max))
+
+
 def _cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """An array's bytes, cut at the given places."""
     offsets = (at * values.itemsize).astype(np.int32)
@@ -151,30 +167,36 @@ def _rows(langs: list, lang: list[np.ndarray], words: pa.Array, t: Transducer, r
         group.append(group[-1][t.levels[m - 1][0]])
     order = [np.argsort(g, kind="stable") for g in group]
     used = [(group[0], label1), (group[1], first2), *[(group[m], t.levels[m][1]) for m in range(1, max_words)]]
-    pairs, place = np.unique(np.concatenate([g * v + x for g, x in used]), return_inverse=True)
+    small = np.uint32 if len(langs) * ranges * v < 2**32 else np.int64
+    pairs, place = np.unique(np.concatenate([(g * v + x).astype(small) for g, x in used]), return_inverse=True)
+    pairs = pairs.astype(np.int64)
     owner = pairs // v
     groups, heads = np.unique(owner, return_index=True)
     place = place - heads[np.searchsorted(groups, owner)][place]
-    local = np.split(place.astype(np.int32), np.cumsum([len(x) for _, x in used])[:-1])
+    local = np.split(place, np.cumsum([len(x) for _, x in used])[:-1])
+    widths = []
 
     def cut(m: int, values: np.ndarray) -> pa.Array:
-        g = group[m - 1][order[m - 1]]
+        g, values = group[m - 1][order[m - 1]], _narrow(values)
+        widths.append(values.itemsize)
         return _cut(values[order[m - 1]], np.append(np.searchsorted(g, groups), len(g)))
 
     spelled = pc.binary_join_element_wise(words.take(pa.array(pairs % v)), b"", b" ")
     ends = np.frombuffer(spelled.buffers()[1], np.int32)[: len(spelled) + 1]
     at = np.append(heads, len(pairs))
-    raw = spelled.buffers()[2]
+    raw = memoryview(spelled.buffers()[2] or b"")
+    packer = zstandard.ZstdCompressor(level=1)
+    packed = [packer.compress(raw[ends[lo] : ends[hi]]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+    whose = [pa.array(langs).take(pa.array(groups // ranges)), pa.array(groups % ranges)]
     columns = [
-        pa.array(langs).take(pa.array(groups // ranges)), pa.array(groups % ranges),
-        pa.Array.from_buffers(pa.binary(), len(groups), [None, pa.py_buffer(ends[at].astype(np.int32)), raw if raw is not None else pa.py_buffer(b"")]),
-        cut(1, local[0]), cut(1, weight1), cut(2, local[1]), cut(2, local[2]), cut(2, weight2),
+        pa.array(packed, pa.binary()), cut(1, local[0]), cut(1, weight1), cut(2, local[1]), cut(2, local[2]), cut(2, weight2),
     ]
     for m in range(3, max_words + 1):
         start, _, weight = t.levels[m - 1]
-        arcs = np.bincount(start, minlength=len(t.levels[m - 2][-1])).astype(np.int32)
+        arcs = np.bincount(start, minlength=len(t.levels[m - 2][-1]))
         columns += [cut(m - 1, arcs), cut(m, local[m]), cut(m, weight)]
-    return pa.RecordBatch.from_arrays(columns, names=_schema(max_words).names)
+    width = pa.repeat(pa.scalar(bytes(widths), pa.binary()), len(groups))
+    return pa.RecordBatch.from_arrays([*whose, width, *columns], names=_schema(max_words).names)
 
 
 def _shard(block: Block, langs: pa.Array, max_words: int, ranges: int) -> pa.RecordBatch | None:
@@ -216,15 +238,20 @@ def shard_transducers(docs: DataFrame, ranges: int, max_words: int = MAX_WORDS)
     return docs.select("lang", "text").mapInArrow(run, schema)
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a column of bytes, one row after the other, and how many each row has."""
-    sizes = pc.binary_length(column).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(column.to_pylist()), kind), sizes
+def _joined(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column, one row after the other, and how many each row has."""
+    place = table.column_names.index(name) - table.column_names.index("label1")
+    parts = [np.frombuffer(raw, _KINDS[w[place]]) for raw, w in zip(table[name].to_pylist(), table["widths"].to_pylist(), strict=True) if w]
+    sizes = np.array([len(x) for x in parts], np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64), sizes
 
 
 def _read(table: pa.Table, max_words: int) -> Transducer:
     """The transducers of a table's rows in one: the union, with summed weights."""
-    data, sizes = _joined(table["words"], np.uint8)
+    table = table.filter(pc.greater(pc.binary_length(table["widths"]), 0))
+    unpacker = zstandard.ZstdDecompressor()
+    spelled = [unpacker.decompress(x) for x in table["words"].to_pylist()]
+    sizes, data = np.array([len(x) for x in spelled], np.int64), np.frombuffer(b"".join(spelled), np.uint8)
     behind = np.flatnonzero(data == 0x20)
     offsets = np.concatenate([[0], behind - np.arange(len(behind))]).astype(np.int32)
     spelled = pa.Array.from_buffers(pa.binary(), len(behind), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 0x20].tobytes())])
@@ -235,16 +262,16 @@ def _read(table: pa.Table, max_words: int) -> Transducer:
     v = np.int64(max(len(words), 1))
 
     def labels(name: str) -> np.ndarray:
-        local, count = _joined(table[name], np.int32)
-        return label[local + np.repeat(base, count)] if len(local) else np.zeros(0, np.int64)
+        local, count = _joined(table, name)
+        return label[local + np.repeat(base, count)] if len(local) else local
 
-    one, total, _ = _summed(labels("label1"), _joined(table["weight1"], np.int64)[0])
-    two, weight, place = _summed(labels("first2") * v + labels("label2"), _joined(table["weight2"], np.int64)[0])
+    one, total, _ = _summed(labels("label1"), _joined(table, "weight1")[0])
+    two, weight, place = _summed(labels("first2") * v + labels("label2"), _joined(table, "weight2")[0])
     levels = [(one, total), (two // v, two % v, weight)]
     for m in range(3, max_words + 1):
-        arcs, _ = _joined(table[f"arcs{m}"], np.int32)
+        arcs, _ = _joined(table, f"arcs{m}")
         start = np.repeat(place, arcs)
-        keys, weight, place = _summed(start * v + labels(f"label{m}"), _joined(table[f"weight{m}"], np.int64)[0])
+        keys, weight, place = _summed(start * v + labels(f"label{m}"), _joined(table, f"weight{m}")[0])
         levels.append((keys // v, keys % v, weight))
     return Transducer(words, levels)
 
@@ -371,8 +398,8 @@ def collocations(
     cut = materialize(cuts(transducers, ranges, max_words))
     sides = [cut.select("lang", F.col(f"{s}_range").alias("range"), F.col(s).alias("part")) for s in ("left", "right")]
     counts = materialize(part_counts(transducers, sides[0].union(sides[1]).distinct(), max_words))
-    cut = lookup(cut, counts.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"], how="inner")
-    cut = lookup(cut, counts.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"], how="inner")
+    cut = lookup(cut, counts.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"], SALTS, "inner")
+    cut = lookup(cut, counts.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"], SALTS, "inner")
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r")}
     cut = cut.withColumns({f"_{c}": x for c, x in wide.items()}).withColumn("score", F.expr("(_a * _a * 1000000BD) div (_l * _r)"))
     scored = cut.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("_c"))
@@ -387,10 +414,13 @@ def collocations(
     scored = lookup(scored, materialize(inner), ["lang", "phrase"])
     scored = scored.where(F.col("_longer").isNull() | (100 * F.col("_longer") < percent * F.col("a"))).drop("_longer")
 
-    # the best of each salted share first, so that no language is ranked in one task as a whole
+    # the best of small shares first, then of larger ones: a task ranks SHARES * top rows of a language at most
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(max(1, ranges // 16))).alias("_share")
-    best = scored.select("*", share).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order))).where(F.col("_r") <= top)
+    shares, best = SHARES ** max(1, math.ceil(math.log(ranges, SHARES))), scored
+    while shares > 1:
+        share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
+        best = best.withColumn("_share", share).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order)))
+        best, shares = best.where(F.col("_r") <= top).drop("_r", "_share"), shares // SHARES
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     n = materialize(transducers.groupBy("lang").agg(F.sum("n").alias("n")))
     return lookup(ranked, n, ["lang"]).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
