@@ -5,8 +5,8 @@ vocabularies of all languages at once, because terms carry their language. Every
 document then becomes the exact sparse vector of its counts in that
 vocabulary, and the vectors of a (language, source) group are summed, sparsely,
 inside the tasks that make them and then by key. (The vectors equal those of the
-model's ``transform``, but are made from Arrow batches: its UDF over lists of
-strings took three times the whole operator's time.)
+model's ``transform``, but are made from Arrow batches: over lists of strings the
+operator took 4,500 task seconds a GB instead of 2,650.)
 
 A group gives a term that it lacks the same smoothed probability as any other
 it lacks. So two sources are compared by the terms they have: what a source's

@@ -40,8 +40,6 @@ MAX_WORDS = 3
 MIN_COUNT = 10
 TOP = 2000
 SHARES = 32
-#: places that a part's count goes to, for rows that ask for a very frequent part
-SALTS = 4
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".,;:!?"]] = True
@@ -317,14 +315,14 @@ def _phrase(words: pa.Array, labels: list[np.ndarray]) -> pa.Array:
 
 
 _CUTS = StructType(
-    [StructField("lang", StringType()), StructField("phrase", StringType()), StructField("size", LongType()), StructField("a", LongType()), StructField("k", LongType())]
+    [StructField("lang", StringType()), StructField("a", LongType()), StructField("k", LongType())]
     + [StructField(f"{side}{c}", t) for side in ("left", "right") for c, t in (("", StringType()), ("_range", LongType()))]
 )
 
 
 def cuts(transducers: DataFrame, ranges: int, max_words: int = MAX_WORDS) -> DataFrame:
     """Every path of 2 words and more, cut after each word but the last: a
-    row with the phrase, its words and count, and both parts with their ranges."""
+    row with its count, and both parts with their ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,9 +334,8 @@ def cuts(transducers: DataFrame, ranges: int, max_words: int = MAX_WORDS) -> Dat
                     path, weight = t.paths(m), t.levels[m - 1][-1]
                     if not len(weight):
                         continue
-                    phrase = _phrase(t.words, path)
                     for k in range(1, m):
-                        columns = [pa.repeat(table["lang"][0], len(weight)), phrase.cast(pa.string()), pa.repeat(pa.scalar(m), len(weight)), pa.array(weight), pa.repeat(pa.scalar(k), len(weight))]
+                        columns = [pa.repeat(table["lang"][0], len(weight)), pa.array(weight), pa.repeat(pa.scalar(k), len(weight))]
                         for part in (path[:k], path[k:]):
                             to = _range_of(hashes[part[0]], hashes[part[1]] if len(part) > 1 else None, ranges)
                             columns += [_phrase(t.words, part).cast(pa.string()), pa.array(to)]
@@ -398,8 +395,11 @@ def collocations(
     cut = materialize(cuts(transducers, ranges, max_words))
     sides = [cut.select("lang", F.col(f"{s}_range").alias("range"), F.col(s).alias("part")) for s in ("left", "right")]
     counts = materialize(part_counts(transducers, sides[0].union(sides[1]).distinct(), max_words))
-    cut = lookup(cut, counts.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"], SALTS, "inner")
-    cut = lookup(cut, counts.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"], SALTS, "inner")
+    # a very frequent part is a skewed key of the cuts, which adaptive execution splits
+    cut = cut.drop("left_range", "right_range")
+    for side, f in (("left", "l"), ("right", "r")):
+        cut = lookup(cut, counts.select("lang", F.col("part").alias(side), F.col("f").alias(f)), ["lang", side], 1, "inner")
+    cut = cut.withColumn("phrase", F.concat_ws(" ", "left", "right"))
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r")}
     cut = cut.withColumns({f"_{c}": x for c, x in wide.items()}).withColumn("score", F.expr("(_a * _a * 1000000BD) div (_l * _r)"))
     scored = cut.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("_c"))
@@ -411,7 +411,7 @@ def collocations(
     inner = whole.select("lang", "a", "_w", F.explode(F.sequence(F.lit(2), F.size("_w") - 1)).alias("_m"))
     inner = inner.select("lang", "a", "_w", "_m", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_m") + 1)).alias("_i"))
     inner = inner.groupBy("lang", F.array_join(F.slice("_w", F.col("_i"), F.col("_m")), " ").alias("phrase")).agg(F.max("a").alias("_longer"))
-    scored = lookup(scored, materialize(inner), ["lang", "phrase"])
+    scored = lookup(scored, materialize(inner), ["lang", "phrase"], 1)  # both have a phrase once
     scored = scored.where(F.col("_longer").isNull() | (100 * F.col("_longer") < percent * F.col("a"))).drop("_longer")
 
     # the best of small shares first, then of larger ones: a task ranks SHARES * top rows of a language at most
