@@ -20,23 +20,28 @@ from ..session import scratch_path
 from ..sinks.snapshots import current_tag, current_version, read_ledger, write_ledger, write_snapshot
 
 
+def listing_stream(spark: SparkSession, listing_dir: str, files_per_batch: int | None) -> DataFrame:
+    """Landed listing files as a stream, so many in a batch; ``None``: all that
+    are present (a listing has as many files as tasks wrote it)."""
+    reader = spark.readStream.schema(FILES)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(listing_dir)
+
+
 def stream_index(
     spark: SparkSession,
     listing_dir: str,
     ledger_root: str,
     hasher,
     mark_processed: bool = False,
-    files_per_batch: int = 1,
+    files_per_batch: int | None = 1,
     checkpoint_location: str | None = None,
     outcomes_root: str | None = None,
 ) -> None:
-    """Run the stream until every listing file present now is consumed."""
-    source = (
-        spark.readStream.schema(FILES)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(listing_dir)
-    )
+    """Run the stream until every listing file present now is consumed.
 
+    Every batch merges with the whole ledger and lands a version of it. So where
+    a listing has many files, say ``None``: all that are present are one batch."""
+    source = listing_stream(spark, listing_dir, files_per_batch)
     checkpoint = checkpoint_location or scratch_path(spark, "stream-index-ckpt")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:

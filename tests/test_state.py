@@ -10,6 +10,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from mediacat import catalog
 from mediacat.operators import ledger as led
 from mediacat.operators.summary import observed_summary, run_summary
 from mediacat.plans.index import index_run
@@ -107,6 +108,28 @@ def test_keyed_stream_hashes_files_that_changed(spark):
         keyed_index(spark, base, ledger, base, base)
 
 
+def documents_in_files(spark, n):
+    """A table folder whose documents lie in ``n`` files."""
+    base = folder("documents")
+    rows = [(i, f"text {i}", 5 + len(str(i))) for i in range(n * 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(n).write.parquet(base + "/documents.parquet")
+    return base
+
+
+def test_a_listing_of_many_files_is_one_keyed_batch(spark, monkeypatch):
+    base = folder("keyed-many")
+    spark.createDataFrame([(f"/l/{i}.jpg", 10, 1000 + i) for i in range(40)], FILES).repartition(8).write.parquet(base + "/in/a")
+    hashes = spark.createDataFrame([(f"/l/{i}.jpg", *content(f"/l/{i}.jpg", 10)) for i in range(40)], "path string, sha256 string, sha1 string")
+    keyed_index(spark, base + "/in/*", spark.createDataFrame(known(30), LEDGER), base + "/log", base + "/ckpt", hashes=hashes)
+    assert len(glob.glob(base + "/ckpt/commits/[0-9]*")) == 1 and read_log(spark, base + "/log").count() == 40
+    # the query: as many batches as parts arrive, whatever the number of their files
+    made = []
+    monkeypatch.setattr(catalog, "scratch_path", lambda s, name, plain=catalog.scratch_path: made.append(plain(s, name)) or made[-1])
+    rows = catalog.QUERIES["stream_index_keyed"](spark, documents_in_files(spark, 6))
+    (checkpoint,) = (p for p in made if "keyed-ckpt" in p)
+    assert len(glob.glob(checkpoint.removeprefix("file:") + "/commits/[0-9]*")) == 4 and rows.count() > 0
+
+
 def test_trash_stream_adds_each_hash_once(spark):
     import base64
     import json
