@@ -130,6 +130,15 @@ def test_a_listing_of_many_files_is_one_keyed_batch(spark, monkeypatch):
     assert len(glob.glob(checkpoint.removeprefix("file:") + "/commits/[0-9]*")) == 4 and rows.count() > 0
 
 
+@pytest.mark.parametrize(("query", "versions"), [("stream_index_ledger", 4), ("stream_index_two_runs", 2)])
+def test_a_landed_listing_is_one_ledger_version(spark, query, versions):
+    """However many files it has: each version reads and writes the whole ledger."""
+    base = documents_in_files(spark, 6)
+    ledger = catalog.QUERIES[query](spark, base)
+    (version,) = {re.search(r"/v=(\d+)/", f)[1] for f in ledger.inputFiles()}
+    assert int(version) == versions and rows_of(ledger) == rows_of(catalog.QUERIES["index_ledger"](spark, base))
+
+
 def test_trash_stream_adds_each_hash_once(spark):
     import base64
     import json
