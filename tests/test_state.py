@@ -301,6 +301,28 @@ def test_planning_looks_at_a_bounded_number_of_entries(monkeypatch):
         assert len(files) == len(set(files)) == sum(3**i for i in range(6))
 
 
+@pytest.mark.parametrize("planned", [10**6, 50])
+def test_many_directories_do_not_make_many_tasks(monkeypatch, planned):
+    """Two levels of 4 x 300 directories: about the wanted number of tasks, even ones."""
+
+    def wide(directory):
+        depth = directory.count("/")
+        yield from (LS.Entry(f"{directory}/d{i}", True, None) for i in range({1: 4, 2: 300, 3: 0}[depth]))
+        yield LS.Entry(f"{directory}/f", False, lambda: (1, 2))
+
+    monkeypatch.setattr(LS, "entries", wide)
+    monkeypatch.setattr(LS, "PLANNED", planned)  # 50: most of a level is not looked at
+    reader = LS.ListingReader({"root": "/r", "tasks": "20"})
+    parts = reader.partitions()
+    files = [[p for b in reader.read(part) for p in b.column(0).to_pylist()] for part in parts]
+    found = [p for f in files for p in f]
+    assert 20 <= len(parts) <= 28 and max(map(len, files)) < 120
+    assert len(found) == len(set(found)) == 1 + 4 + 4 * 300
+    some = LS.ListingReader({"root": "/r", "tasks": "20"})
+    list(some.pushFilters([LS.StringStartsWith(("path",), "/r/d1/d29")]))
+    assert sum(b.num_rows for part in some.partitions() for b in some.read(part)) == 11
+
+
 # ---- hashing by bytes
 
 
