@@ -277,14 +277,15 @@ def _start(files, metadata_docs, probe, opts, ledger, trash, hasher) -> _Start:
         idx = index_run(listing.select("path", "file_size", "mtime_ticks"), ledger, hash_by_origin)
         status = idx.outcomes.select("path", "status", "was_processed")
         indexed = idx.ledger
-        hashes = indexed.select("path", "sha1")
-        state = state.join(status, "path", "left").join(hashes, "path", "left")
-        skip = (F.col("status") == "Unchanged") & F.coalesce(F.col("was_processed"), F.lit(False)) & F.lit(not opts.reprocess)
-        state = state.withColumn("skip", skip)
+        known = indexed.select("path", "sha1")
         if trash is not None:
-            state = flag_member(state, trash, "sha1", "sha1", "in_trash")
+            # flagged before the joins: the trash set's hot keys are measured on these two columns
+            known = flag_member(known, trash, "sha1", "sha1", "in_trash")
         else:
-            state = state.withColumn("in_trash", F.lit(False))
+            known = known.withColumn("in_trash", F.lit(False))
+        state = state.join(status, "path", "left").join(known.select("path", "in_trash"), "path", "left")
+        skip = (F.col("status") == "Unchanged") & F.coalesce(F.col("was_processed"), F.lit(False)) & F.lit(not opts.reprocess)
+        state = state.withColumns({"skip": skip, "in_trash": F.coalesce("in_trash", F.lit(False))})
     else:
         state = state.withColumn("skip", F.lit(False)).withColumn("in_trash", F.lit(False))
     state = materialize(state.select(*STATE_COLUMNS))
@@ -360,9 +361,10 @@ def settle_renames(renames: DataFrame) -> DataFrame:
     return materialize(r.join(groups, "_base").select("path", (F.col("_free") | alone).alias("go"), F.when(F.col("_free"), F.col("step")).otherwise(F.lit(0)).alias("step")))
 
 
-def _named_converts(converts: DataFrame, names: _Names, moved: DataFrame, opts: ProcessOptions) -> DataFrame:
+def _named_converts(converts: DataFrame, names: _Names, present: DataFrame, moved: DataFrame, opts: ProcessOptions) -> DataFrame:
     """``path`` and ``final``: the free name each convert gets (WIN-3). Only
-    requests for a name that is taken, or asked for twice, are ranked."""
+    requests for a name that is taken, or asked for twice, are ranked.
+    ``present``: the current names that are asked for, and maybe others."""
     req = converts.select("path", F.col("target").alias("dest"))
     own = converts.select("path")
 
@@ -371,8 +373,7 @@ def _named_converts(converts: DataFrame, names: _Names, moved: DataFrame, opts:
         return present if opts.skip_backup else present.join(own, "path", "left_anti")
 
     targets = moved.select(F.col("target").alias("path"))
-    asked = req.select(F.col("dest").alias("path")).distinct()
-    held = taken(names.among(asked).select("path")).unionByName(targets).distinct()
+    held = taken(present.select("path")).unionByName(targets).distinct()
     counts = req.groupBy("dest").agg((F.count(F.lit(1)) > 1).alias("_several"))
     marked = req.join(counts, "dest").join(held.select(F.col("path").alias("dest"), F.lit(True).alias("_held")), "dest", "left")
     marked = materialize(marked.select("path", "dest", (F.col("_several") | F.col("_held").isNotNull()).alias("contested")))
@@ -430,16 +431,20 @@ def process_run(
 
         # names that become free, files that are in the way, backup names
         freed = acting.filter(F.col("action").isin("rename", "convert", "delete")).select("path")
-        displaced = no_names
+        # (the listing is asked once in a round for the names of moves and converts)
+        displaced = present = no_names
+        if kinds & {"rename", "convert"}:
+            asked = moved.unionByName(converts).select(F.col("target").alias("path")).distinct()
+            present = materialize(names.among(asked))
         if "rename" in kinds:
-            held = names.among(moved.select(F.col("target").alias("path")).distinct())
+            held = present.join(moved.select(F.col("target").alias("path")), "path", "left_semi")
             displaced = materialize(held.join(freed, "path", "left_anti"))
         backups = None
         if not opts.skip_backup and kinds & {"rename", "convert"}:
             backups = materialize(names.next_backups(displaced.select("path").unionByName(converts.select("path"))))
 
         if "convert" in kinds:
-            acting = acting.join(_named_converts(converts, names, moved, opts), "path", "left")
+            acting = acting.join(_named_converts(converts, names, present, moved, opts), "path", "left")
             acting = acting.withColumn("target", F.coalesce("final", "target"))
         if backups is None or "convert" not in kinds:
             acting = acting.withColumn("backup", none)

@@ -323,6 +323,27 @@ def test_many_directories_do_not_make_many_tasks(monkeypatch, planned):
     assert sum(b.num_rows for part in some.partitions() for b in some.read(part)) == 11
 
 
+# ---- process at size
+
+
+def test_trash_is_looked_up_before_the_state_is_joined(spark, monkeypatch):
+    """The look-up reads its rows twice, so they are two columns of the index run and not
+    the joined state; and the stand-in names are no second copy of the texts."""
+    from mediacat.fixtures import fixtures
+    from mediacat.plans import process
+
+    given, plain = [], process.flag_member
+    monkeypatch.setattr(process, "flag_member", lambda df, *a, **k: given.append(set(df.columns)) or plain(df, *a, **k))
+    base = documents_in_files(spark, 3)
+    out = catalog.QUERIES["process_first_round"](spark, base)
+    assert given == [{"path", "sha1"}]
+    fx = fixtures(spark, base)
+    trash = {r.sha1 for r in fx.trash.collect()}
+    gone = {r.path for r in fx.media_files.collect() if r.sha1 in trash} - {r.path for r in out.where("reason = 'ignored'").collect()}
+    assert gone and {r.origin for r in out.where("reason = 'trashed'").collect()} == gone
+    assert all(f.startswith("file://" + base) for f in fx.media_names.inputFiles())
+
+
 # ---- hashing by bytes
 
 
