@@ -149,21 +149,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
-def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int, once: bool = False) -> DataFrame:
     """Pairs (``a`` < ``b``) of ``wanted`` (``_id``, ``_comp``) in different
     components whose sets may be ``percent`` similar, none left out.
 
     The shingles of a set are ranked from the rarest among the wanted sets
     (those in no other set first). Similar sets share a shingle among the
     first n - ceil(percent/100 * n) + 1 of each, and at the first one they
-    share they have no more in common than what follows in either."""
+    share they have no more in common than what follows in either. With
+    ``once`` an id has one set at most, so no shingle of it comes twice."""
     tokens = sets.join(wanted, "_id").select("_id", "_comp", F.size("_set").alias("_n"), F.explode("_set").alias("_tok"))
-    tokens = materialize(tokens.distinct())
+    tokens = materialize(tokens if once else tokens.distinct())
     shared = tokens.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-    per_set = Window.partitionBy("_id", "_n")
-    ranked = tokens.join(shared, "_tok").withColumn(
-        "_pos", F.col("_n") - F.count(F.lit(1)).over(per_set) + F.row_number().over(per_set.orderBy("_df", "_tok")) - 1
-    )
+    # counted from the most frequent one down, the shingles of no other set need no count
+    per_set = Window.partitionBy("_id", "_n").orderBy(F.desc("_df"), F.desc("_tok"))
+    ranked = tokens.join(shared, "_tok").withColumn("_pos", F.col("_n") - F.row_number().over(per_set))
     prefix = materialize(ranked.where(F.col("_pos") <= F.col("_n") - F.ceil(percent * F.col("_n") / 100)).drop("_df"))
     x = prefix.withColumnsRenamed({c: f"{c}x" for c in prefix.columns})
     y = prefix.withColumnsRenamed({c: f"{c}y" for c in prefix.columns})
@@ -178,16 +178,16 @@ def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFr
     return x.join(y, on).select(F.col("_idx").alias("a"), F.col("_idy").alias("b")).distinct()
 
 
-def links_within_buckets(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def links_within_buckets(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, once: bool = False) -> DataFrame | None:
     """Links among the members ``b`` of a bucket ``_key`` (its smallest one
     aside) that do not all lie in one component of ``roots`` yet; None if all
-    buckets are settled."""
+    buckets are settled. ``once``: an id has one row of ``sets`` at most."""
     placed = crowd.join(roots, F.col("b") == F.col("node"), "left").select("_key", "b", F.coalesce("root", "b").alias("_comp"))
     unsettled = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
     wanted = materialize(placed.join(unsettled, "_key", "left_semi").select(F.col("b").alias("_id"), "_comp").distinct())
     if wanted.isEmpty():
         return None
-    return verified(rare_token_pairs(sets, wanted, percent), sets, percent)
+    return verified(rare_token_pairs(sets, wanted, percent, once), sets, percent)
 
 
 def near_duplicates(

@@ -44,12 +44,14 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from ..operators.materialize import materialize
 from .components import components
 from .minhash_dedup import links_within_buckets, verified
-from .tables import bitmap_of, in_bitmap
+from .tables import TWO_PLACES, bitmap_of, in_bitmap
 from .textblocks import LOWER, SPACES, Block, blocks, combined, mix, row_of, span_hashes, windows, word_spans
 
 MIN_WORDS = 24
 ANCHOR_WINDOW = 13
 SHINGLE = 5
+#: bytes of a run of texts; its arrays of words and shingles stay in the processor's cache
+RUN_BYTES = 1 << 18
 BANDS = 2
 OWN_BANDS = 6
 
@@ -72,13 +74,18 @@ class Paragraphs:
         inside = stop < len(anchors)
         inside[inside] = texts[stop[inside]] == texts[inside]
         n = len(self.words) + 1
-        cut = anchors[inside] * n + anchors[stop[inside]]
+        cut = anchors[inside] * n + anchors[stop[inside]]  # ascending, each once
         first, end = _own_paragraphs(block, self.starts, self.ends, at)
-        spans = np.unique(np.concatenate([cut, first * n + end]))
-        self.first, self.end = spans // n, spans % n
+        own = np.sort(first * n + end)
+        spans = np.sort(np.concatenate([cut, own]), kind="stable")  # two ascending runs are merged
+        spans = spans[np.append(spans[1:] != spans[:-1], len(spans) > 0)] if len(spans) else spans
+        self.first, self.end = np.divmod(spans, n)
         self.text = row_of(at)[self.first]
         #: the kinds: bands x paragraphs, whether a paragraph has the band's key
-        self.has = np.repeat([np.isin(spans, cut), np.isin(spans, first * n + end)], [BANDS, OWN_BANDS], axis=0)
+        kinds = np.zeros((2, len(spans)), bool)
+        kinds[0, np.searchsorted(spans, cut)] = True
+        kinds[1, np.searchsorted(spans, own)] = True
+        self.has = np.repeat(kinds, [BANDS, OWN_BANDS], axis=0)
         self.number = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
 
     @cached_property
@@ -172,9 +179,9 @@ def _repeated_keys(source: DataFrame) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            keys = [p.keys[p.has] for p in map(Paragraphs, blocks(batch.column(1)))]
+            keys = [p.keys[p.has] for p in map(Paragraphs, blocks(batch.column(1), RUN_BYTES))]
             keys = _twice(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-            bucket = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+            bucket = ((keys >> np.uint64(24)) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
@@ -201,20 +208,20 @@ def _repeated_keys(source: DataFrame) -> DataFrame:
 
 def _classes(source: DataFrame, bitmap) -> DataFrame:
     """The classes of equal paragraphs that may have a repeated key: digest,
-    keys (null for bands of a kind that none of them is of), number of
-    paragraphs and the least and largest id."""
+    keys (null for those that no other paragraph has, and for bands of a kind
+    that none of them is of), number of paragraphs and the least and largest id."""
     keys = [f"_k{b}" for b in range(BANDS + OWN_BANDS)]
     schema = StructType([source.schema["_id"], *[StructField(c, LongType()) for c in ("_digest", *keys)]])
 
     def run(batches):
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(1), RUN_BYTES):
                 p = Paragraphs(b)
                 maybe = np.zeros(p.has.shape, bool)
-                maybe[p.has] = in_bitmap(bitmap, p.keys[p.has])
+                maybe[p.has] = in_bitmap(bitmap, p.keys[p.has], TWO_PLACES)
                 k = np.flatnonzero(maybe.any(axis=0))
                 ids = batch.column(0).take(pa.array(b.lo + p.text[k]))
-                found = [pa.array(c[k].view(np.int64), mask=~h[k]) for c, h in zip(p.keys, p.has, strict=True)]
+                found = [pa.array(c[k].view(np.int64), mask=~m[k]) for c, m in zip(p.keys, maybe, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(p.digest[k].view(np.int64)), *found], names=schema.names)
 
     rows = source.mapInArrow(run, schema).groupBy("_digest")
@@ -228,9 +235,9 @@ def _occurrences(source: DataFrame, bitmap) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(1), RUN_BYTES):
                 p = Paragraphs(b)
-                k = np.flatnonzero(in_bitmap(bitmap, p.digest))
+                k = np.flatnonzero(in_bitmap(bitmap, p.digest, TWO_PLACES))
                 points = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])
                 head = b.offsets[p.text[k]]
                 word = np.searchsorted(p.starts, head)
@@ -244,18 +251,33 @@ def _occurrences(source: DataFrame, bitmap) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _before(values: np.ndarray) -> np.ndarray:
+    """Where each value stands last before its place, -1 where it does not."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1)
+    same = np.flatnonzero(values[order[1:]] == values[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
+
+
 def _shingle_sets(source: DataFrame, bitmap) -> DataFrame:
-    """Digest and shingle set of the paragraphs whose digest may be wanted."""
+    """Digest and shingle set of the paragraphs whose digest may be wanted.
+    Of a paragraph's shingles those count that do not stand in it before."""
     schema = StructType([StructField("_id", LongType()), StructField("_set", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(1), RUN_BYTES):
                 p = Paragraphs(b)
                 _, k = np.unique(p.digest, return_index=True)
-                k = k[in_bitmap(bitmap, p.digest[k])]
-                sets = [np.unique(p.shingles[p.first[i] : p.end[i] - SHINGLE + 1]).view(np.int64) for i in k]
-                yield pa.RecordBatch.from_arrays([pa.array(p.digest[k].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
+                k = k[in_bitmap(bitmap, p.digest[k], TWO_PLACES)]
+                first, sizes = p.first[k], p.end[k] - SHINGLE + 1 - p.first[k]
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], sizes)
+                new = _before(p.shingles)[at] < np.repeat(first, sizes)
+                offsets = np.concatenate([[0], np.cumsum(new)])[offsets].astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(p.shingles[at[new]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(p.digest[k].view(np.int64)), sets], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -282,7 +304,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     gives no rows; other columns are not read.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    classes = materialize(_classes(source, bitmap_of(materialize(_repeated_keys(source)), "_key")))
+    classes = materialize(_classes(source, bitmap_of(materialize(_repeated_keys(source)), "_key", TWO_PLACES)))
 
     # buckets of several classes; each class meets the bucket's least one
     members = classes.select(F.explode(F.array(*[c for c in classes.columns if c.startswith("_k")])).alias("_key"), "_digest")
@@ -291,10 +313,10 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     crowd = materialize(members.join(least, "_key").where("_digest <> a").select("_key", "a", F.col("_digest").alias("b")))
     pairs = materialize(crowd.select("a", "b").distinct())
     used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    sets = materialize(_shingle_sets(source, bitmap_of(used, "_id")).join(used, "_id", "left_semi").dropDuplicates(["_id"]))
+    sets = materialize(_shingle_sets(source, bitmap_of(used, "_id", TWO_PLACES)).join(used, "_id", "left_semi").dropDuplicates(["_id"]))
     links = materialize(verified(pairs, sets, percent))
     roots = components(links)
-    more = links_within_buckets(crowd, roots, sets, percent)
+    more = links_within_buckets(crowd, roots, sets, percent, once=True)
     if more is not None:
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
@@ -306,7 +328,7 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     verdicts = materialize(verdicts)
     # an inner join of two shuffled sides: a passage that very many documents
     # share is a skewed key of the first, which adaptive execution splits
-    out = _occurrences(source, bitmap_of(verdicts, "_digest")).join(verdicts, "_digest")
+    out = _occurrences(source, bitmap_of(verdicts, "_digest", TWO_PLACES)).join(verdicts, "_digest")
     return out.select(
         F.col("_id").alias(id_col), "paragraph", "first_word", "end_word", "start", "end", "cluster_id", "copies",
         (F.col("_id") != F.col("cluster_id")).alias("removed"),
