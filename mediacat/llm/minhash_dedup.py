@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -34,6 +34,9 @@ from .textblocks import SPACES, Block, blocks, combined, map_texts, mix, row_of,
 
 TABLES = 8
 HALF = 2
+#: counters of tokens, least and most (16 MB), and the tokens that are ranked at once
+MIN_PLACES, MAX_PLACES = 1 << 16, 1 << 24
+RUN_TOKENS = 1 << 17
 
 _rng = np.random.default_rng(19970611)
 _A = _rng.integers(1, 2**63, 2 * TABLES * HALF, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,22 +152,64 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (na + nb - common)).select("a", "b")
 
 
-def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int, once: bool = False) -> DataFrame:
+def _rarity(sets: DataFrame) -> Broadcast:
+    """How often each token of a written table of sets occurs, in eighths of
+    powers of two, by its low bits; on all executors. Tokens that share a place
+    are counted together, so none looks rarer than it is. The places are as
+    many as the tokens need, 16 million at most, and one long for eight of
+    them comes to the driver."""
+    places = MIN_PLACES
+    n = sets.agg(F.sum(F.size("_set"))).first()[0] or 0
+    while places < min(2 * n, MAX_PLACES):
+        places *= 2
+    tokens = sets.select(F.explode("_set").alias("_tok")).select(F.col("_tok").bitwiseAND(F.lit(places - 1)).alias("p"))
+    counts = tokens.groupBy("p").agg(F.count(F.lit(1)).alias("_df"))
+    level = F.least(F.floor(8 * F.log2("_df")), F.lit(255)).cast("long").alias("level")
+    longs = counts.select("p", level).where("level > 0").selectExpr("shiftright(p, 3) AS w", "shiftleft(level, CAST(8 * (p & 7) AS INT)) AS part")
+    rows = longs.groupBy("w").agg(F.bit_or("part").alias("levels")).toArrow()
+    out = np.zeros(places >> 3, "<i8")
+    out[rows["w"].to_numpy()] = rows["levels"].to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+
+
+def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a`` < ``b``) of ``wanted`` (``_id``, ``_comp``) in different
     components whose sets may be ``percent`` similar, none left out.
 
     The shingles of a set are ranked from the rarest among the wanted sets
-    (those in no other set first). Similar sets share a shingle among the
+    (those in no other set first), all in the same order: by :func:`_rarity`,
+    then by value. Similar sets share a shingle among the
     first n - ceil(percent/100 * n) + 1 of each, and at the first one they
-    share they have no more in common than what follows in either. With
-    ``once`` an id has one set at most, so no shingle of it comes twice."""
-    tokens = sets.join(wanted, "_id").select("_id", "_comp", F.size("_set").alias("_n"), F.explode("_set").alias("_tok"))
-    tokens = materialize(tokens if once else tokens.distinct())
-    shared = tokens.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-    # counted from the most frequent one down, the shingles of no other set need no count
-    per_set = Window.partitionBy("_id", "_n").orderBy(F.desc("_df"), F.desc("_tok"))
-    ranked = tokens.join(shared, "_tok").withColumn("_pos", F.col("_n") - F.row_number().over(per_set))
-    prefix = materialize(ranked.where(F.col("_pos") <= F.col("_n") - F.ceil(percent * F.col("_n") / 100)).drop("_df"))
+    share they have no more in common than what follows in either; that
+    holds for any order, so the rarity may be a rough one."""
+    held = materialize(sets.join(wanted, "_id").select("_id", "_comp", "_set"))
+    rarity = _rarity(held)
+    schema = StructType([held.schema["_id"], held.schema["_comp"], *[StructField(c, LongType()) for c in ("_n", "_tok", "_pos")]])
+
+    def runs(batches):
+        for batch in batches:
+            offsets, lo = batch.column(2).offsets.to_numpy().astype(np.int64), 0
+            while lo < batch.num_rows:
+                hi = max(int(np.searchsorted(offsets, offsets[lo] + RUN_TOKENS, "right")) - 1, lo + 1)
+                yield batch.slice(lo, hi - lo)
+                lo = hi
+
+    def run(batches):
+        for batch in runs(batches):
+            sizes = np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64)
+            tokens = batch.column(2).flatten().to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), sizes)
+            level = rarity.value[tokens & (len(rarity.value) - 1)]
+            order = np.lexsort((tokens, (rows << 8) | level))
+            n = sizes[rows]
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # a token of level 0 is in no other set
+            kept = np.flatnonzero((pos <= n - (percent * n + 99) // 100) & (level[order] > 0))
+            ids, comps = (batch.column(c).take(pa.array(rows[kept])) for c in (0, 1))
+            numbers = [pa.array(x) for x in (n[kept], tokens[order[kept]], pos[kept])]
+            yield pa.RecordBatch.from_arrays([ids, comps, *numbers], names=schema.names)
+
+    prefix = materialize(held.mapInArrow(run, schema))
     x = prefix.withColumnsRenamed({c: f"{c}x" for c in prefix.columns})
     y = prefix.withColumnsRenamed({c: f"{c}y" for c in prefix.columns})
     total = F.col("_nx") + F.col("_ny")
@@ -178,16 +223,16 @@ def rare_token_pairs(sets: DataFrame, wanted: DataFrame, percent: int, once: boo
     return x.join(y, on).select(F.col("_idx").alias("a"), F.col("_idy").alias("b")).distinct()
 
 
-def links_within_buckets(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, once: bool = False) -> DataFrame | None:
+def links_within_buckets(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links among the members ``b`` of a bucket ``_key`` (its smallest one
     aside) that do not all lie in one component of ``roots`` yet; None if all
-    buckets are settled. ``once``: an id has one row of ``sets`` at most."""
+    buckets are settled."""
     placed = crowd.join(roots, F.col("b") == F.col("node"), "left").select("_key", "b", F.coalesce("root", "b").alias("_comp"))
     unsettled = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
     wanted = materialize(placed.join(unsettled, "_key", "left_semi").select(F.col("b").alias("_id"), "_comp").distinct())
     if wanted.isEmpty():
         return None
-    return verified(rare_token_pairs(sets, wanted, percent, once), sets, percent)
+    return verified(rare_token_pairs(sets, wanted, percent), sets, percent)
 
 
 def near_duplicates(
